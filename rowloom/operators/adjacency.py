@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rowloom.operators.index import dense_index
 from rowloom.session import stage
 
-# Times are cut into slices of 2^16 seconds: no slice has more than 65,536
-# distinct seconds, and 70 years have fewer slices than that.
-SLICE_BITS = 16
+KEY = ["parent_id", "child_class"]
+
+# A parent's history is cut into equal slices of time, one per SLICE_TARGET
+# timed children and at most MAX_SLICES.
+SLICE_TARGET = 256
+MAX_SLICES = 1 << 16
 
 # Stands for the time of a seed that has none: later than everything.
 NO_TIME = (1 << 63) - 1
@@ -25,103 +28,129 @@ NO_TIME = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class Adjacency:
-    entries: DataFrame  # adj_pos, child_id, child_cells
-    runs: DataFrame  # one row per (parent, class)
-    steps: DataFrame  # one row per (parent, class, second): last place at or before it
+    """``entries``: one row per edge, by ``adj_pos``. ``runs``: one row per
+    (parent, class). ``slices``: the moments at which a run grows."""
+
+    entries: DataFrame
+    runs: DataFrame
+    slices: DataFrame
 
 
 def child_order(edges: DataFrame) -> DataFrame:
-    slim = edges.select("parent_id", "child_class", "child_ts", "child_id", "fk_pos", "child_cells")
-    return dense_index(slim, ["parent_id", "child_class", "child_ts", "child_id", "fk_pos"], "adj_pos")
+    slim = edges.select(*KEY, "child_ts", "child_id", "fk_pos", "child_cells")
+    return dense_index(slim, [*KEY, "child_ts", "child_id", "fk_pos"], "adj_pos")
 
 
 def build_adjacency(edges: DataFrame) -> Adjacency:
     ordered = stage(child_order(edges), "adjacency")
-    parts = adjacency_of(ordered)
-    return Adjacency(parts.entries, stage(parts.runs, "runs"), stage(parts.steps, "steps"))
+    runs = stage(child_runs(ordered), "runs")
+    return Adjacency(
+        ordered.select("adj_pos", "parent_id", "child_id", "fk_pos", "child_cells"),
+        runs,
+        stage(time_slices(ordered, runs), "slices"),
+    )
 
 
-def adjacency_of(ordered: DataFrame) -> Adjacency:
+def child_runs(ordered: DataFrame) -> DataFrame:
+    """First place, length and time span of every parent's children."""
     ts = F.col("child_ts")
-    runs = ordered.groupBy("parent_id", "child_class").agg(
-        F.min("adj_pos").alias("start"),
-        F.count("*").alias("degree"),
-        F.count(F.when(ts.isNull(), 1)).alias("n_untimed"),
-        F.min(ts).alias("first_ts"),
-        F.max(ts).alias("last_ts"),
-        F.max("fk_pos").alias("max_fk_pos"),
-        F.min("child_cells").alias("min_cells"),
-        F.count(F.when(F.col("child_cells") == 0, 1)).alias("n_bare"),
-    )
-    steps = (
-        ordered.filter(ts.isNotNull())
-        .groupBy("parent_id", "child_class", "child_ts")
-        .agg(F.max("adj_pos").alias("last_pos"))
+    wanted = F.least(F.lit(MAX_SLICES), F.floor(F.col("n_timed") / SLICE_TARGET) + 1)
+    span = F.col("last_ts") - F.col("first_ts") + 1
+    return (
+        ordered.groupBy(*KEY)
+        .agg(
+            F.min("adj_pos").alias("start"),
+            F.count("*").alias("degree"),
+            F.count(ts).alias("n_timed"),
+            F.min(ts).alias("first_ts"),
+            F.max(ts).alias("last_ts"),
+            F.max("fk_pos").alias("max_fk_pos"),
+            F.min("child_cells").alias("min_cells"),
+            F.count(F.when(F.col("child_cells") == 0, 1)).alias("n_bare"),
+        )
+        .withColumn("width", F.ceil(span / wanted).cast("bigint"))
     )
-    return Adjacency(ordered.select("adj_pos", "parent_id", "child_id", "fk_pos", "child_cells"), runs, steps)
 
 
-def slice_of(ts):
-    return F.shiftright(ts, SLICE_BITS)
+def slice_of(ts: Column) -> Column:
+    return F.call_function("div", ts - F.col("first_ts"), F.col("width"))
 
 
-def last_place(steps: DataFrame, asked: DataFrame) -> DataFrame:
-    """For distinct (parent_id, child_class, seed_ts): the last place with child_ts <= seed_ts.
+def time_slices(ordered: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per slice of a run: the seconds at which children appear and the last place by then.
 
-    An as-of lookup in two bounded steps: within the slice of the seed's time,
-    and, where that slice has nothing early enough, the end of the nearest
-    slice before it. Neither window holds more rows than a slice has seconds
-    or the calendar has slices, so a parent with a third of all children is
-    no longer than any other.
+    Children of one second are added up first. A slice lists at most as many
+    seconds as it covers, and a run has at most MAX_SLICES slices; slices
+    without a child repeat the last place before them, so that every moment of
+    a run's history has a row.
     """
-    key = ["parent_id", "child_class"]
-    pairs = asked.select(*key).distinct()
-    near = steps.join(pairs, key, "left_semi").withColumn("slice", slice_of(F.col("child_ts")))
-    q = asked.withColumn("slice", slice_of(F.col("seed_ts")))
-    inside = near.select(*key, "slice", F.col("child_ts").alias("ts"), "last_pos", F.lit(0).alias("q")).unionByName(
-        q.select(*key, "slice", F.col("seed_ts").alias("ts"), F.lit(None).cast("bigint").alias("last_pos"), F.lit(1).alias("q"))
-    )
-    w = W.partitionBy(*key, "slice").orderBy("ts", "q").rowsBetween(W.unboundedPreceding, 0)
-    within = (
-        inside.withColumn("here", F.max("last_pos").over(w))
-        .filter("q = 1")
-        .select(*key, "slice", F.col("ts").alias("seed_ts"), "here")
-    )
-    ends = near.groupBy(*key, "slice").agg(F.max("last_pos").alias("end_pos"))
-    across = ends.select(*key, "slice", "end_pos", F.lit(1).alias("s")).unionByName(
-        q.select(*key, "slice").distinct().select(*key, "slice", F.lit(None).cast("bigint").alias("end_pos"), F.lit(0).alias("s"))
+    steps = (
+        ordered.filter(F.col("child_ts").isNotNull())
+        .groupBy(*KEY, "child_ts")
+        .agg(F.min("adj_pos").alias("first_pos"), F.max("adj_pos").alias("last_pos"))
     )
-    w2 = W.partitionBy(*key).orderBy("slice", "s").rowsBetween(W.unboundedPreceding, 0)
-    before = (
-        across.withColumn("there", F.max("end_pos").over(w2)).filter("s = 0").select(*key, "slice", "there")
+    located = steps.join(runs.select(*KEY, "first_ts", "width"), KEY).withColumn("slice", slice_of(F.col("child_ts")))
+    packed = located.groupBy(*KEY, "slice").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("child_ts").alias("ts"), "last_pos"))).alias("steps"),
+        (F.min("first_pos") - 1).alias("before_pos"),
+        F.max("last_pos").alias("end_pos"),
     )
-    return within.join(before, [*key, "slice"]).select(
-        *key, "seed_ts", F.coalesce("here", "there").alias("last_pos")
+    following = F.lead("slice").over(W.partitionBy(*KEY).orderBy("slice"))
+    return (
+        packed.withColumn("next", F.coalesce(following, F.col("slice") + 1))
+        .select("*", F.explode(F.sequence("slice", F.col("next") - 1)).alias("at"))
+        .select(
+            *KEY,
+            F.col("at").alias("slice"),
+            F.when(F.col("at") == F.col("slice"), F.col("before_pos")).otherwise(F.col("end_pos")).alias("before_pos"),
+            F.when(F.col("at") == F.col("slice"), F.col("steps")).alias("steps"),
+        )
     )
 
 
+def last_step(steps: Column, moment: Column) -> Column:
+    """Place of the last step at or before a moment, by halving the sorted list; null if none."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(steps) + 1)).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.call_function("div", acc["lo"] + acc["hi"], F.lit(2)).cast("int")
+        early = F.get(steps, mid)["ts"] <= moment
+        narrowed = F.when(early, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(
+            F.struct(acc["lo"].alias("lo"), mid.alias("hi"))
+        )
+        return F.when(acc["lo"] < acc["hi"], narrowed).otherwise(acc)
+
+    at = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(steps).alias("hi")), halve)["lo"]
+    return F.when(at > 0, F.get(steps, at - 1)["last_pos"])
+
+
 def visible_counts(adjacency: Adjacency, asked: DataFrame) -> DataFrame:
     """Add ``start`` and ``n``, the number of children visible at ``seed_ts``, to every question.
 
     ``asked`` has parent_id, child_class and a non-null ``seed_ts``; a seed
     without a time asks with NO_TIME and sees every child, as children without
-    a time are seen by every seed. Only times inside a parent's history need
-    the as-of lookup. Questions without any visible child drop out.
+    a time are seen by every seed. Equal questions are answered once: a parent
+    that all seeds visit at a few moments costs a few lookups. Questions
+    without any visible child drop out.
     """
-    key = ["parent_id", "child_class"]
-    seed = F.col("seed_ts")
-    met = asked.join(adjacency.runs, key).withColumn(
-        "n",
-        F.when(F.col("last_ts").isNull() | (F.col("last_ts") <= seed), F.col("degree")).when(
-            F.col("first_ts") > seed, F.col("n_untimed")
-        ),
+    moment = F.col("seed_ts")
+    runs = adjacency.runs.select(
+        *KEY, "start", "degree", "n_timed", "first_ts", "last_ts", "width", "max_fk_pos", "min_cells", "n_bare"
     )
-    inner = met.filter(F.col("n").isNull()).select(*key, "seed_ts").distinct()
-    found = last_place(adjacency.steps, inner)
-    n = F.coalesce(F.col("n"), F.col("last_pos") - F.col("start") + 1)
-    return (
-        met.join(found, [*key, "seed_ts"], "left")
-        .withColumn("n", n)
-        .filter(F.col("n") > 0)
-        .drop("last_pos", "degree", "n_untimed", "first_ts", "last_ts")
+    inside = (F.col("first_ts") <= moment) & (moment < F.col("last_ts"))
+    distinct = (
+        asked.select(*KEY, "seed_ts")
+        .distinct()
+        .join(runs, KEY)
+        .withColumn("slice", F.when(inside, slice_of(moment)))
+        .join(adjacency.slices, [*KEY, "slice"], "left")
+    )
+    looked_up = F.coalesce(last_step(F.col("steps"), moment), F.col("before_pos")) - F.col("start") + 1
+    n = (
+        F.when(F.col("n_timed") == 0, F.col("degree"))
+        .when(F.col("last_ts") <= moment, F.col("degree"))
+        .when(moment < F.col("first_ts"), F.col("degree") - F.col("n_timed"))
+        .otherwise(looked_up)
     )
+    answers = distinct.select(*KEY, "seed_ts", "start", n.alias("n"), "max_fk_pos", "min_cells", "n_bare").filter("n > 0")
+    return asked.join(answers, [*KEY, "seed_ts"])

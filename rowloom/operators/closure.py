@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.operators.util import union_all
 from rowloom.session import stage
 
 
+def path_step(fk_pos: Column) -> Column:
+    """One hop of a path: three digits that fall as the key position grows."""
+    return F.lpad((F.lit(999) - fk_pos).cast("string"), 3, "0")
+
+
 def ancestor_paths(nodes: DataFrame, edges: DataFrame, max_hops: int | None) -> DataFrame:
     """(node_id, ancestor_id, hops, path) for every node, itself included with an empty path.
 
@@ -18,8 +23,7 @@ def ancestor_paths(nodes: DataFrame, edges: DataFrame, max_hops: int | None) ->
     round extends only the paths that improved, keeping the least per pair,
     until none does; a loop never improves a path, so this ends.
     """
-    step = F.lpad((F.lit(999) - F.col("fk_pos")).cast("string"), 3, "0")
-    up = edges.select(F.col("child_id").alias("ancestor_id"), step.alias("step"), "parent_id")
+    up = edges.select(F.col("child_id").alias("ancestor_id"), path_step(F.col("fk_pos")).alias("step"), "parent_id")
     start = nodes.select(
         "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("hops"), F.lit("").alias("path")
     )

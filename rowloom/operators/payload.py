@@ -88,11 +88,13 @@ def context_cells(
     is_target = is_seed & (F.col("col_id") == target)
     return (
         joined.select(
-            *ITEM, "before", "node_id", "depth", "table_name", "is_task", "f2p_nbr_ids", cell.alias("ord", "c")
+            *ITEM, "task_no", "seed_id", "before", "node_id", "depth", "table_name", "is_task", "f2p_nbr_ids", cell.alias("ord", "c")
         )
         .select("*", "c.*")
         .select(
             *ITEM,
+            "task_no",
+            "seed_id",
             (F.col("before") + F.col("ord")).cast("int").alias("pos"),
             "node_id",
             "depth",

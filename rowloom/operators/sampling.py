@@ -15,11 +15,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rowloom.functions import scalars as S
+from rowloom.operators.closure import path_step
 from rowloom.operators.adjacency import NO_TIME, Adjacency, visible_counts
 from rowloom.operators.util import union_all
 from rowloom.session import stage
 
-ITEM = ["task_no", "seed_id"]
+# A seed of a run: its task number above its node id.
+ITEM = ["item_id"]
+TASK_SHIFT = 48
 RANK = ["level", "key", "tie", "path"]
 
 
@@ -50,6 +53,18 @@ class SampleConfig:
         return S.keyed_hash(F.lit(self.seed), F.lit(self.epoch), *parts)
 
 
+def item_id(task_no: Column, seed_id: Column) -> Column:
+    return F.shiftleft(task_no.cast("bigint"), TASK_SHIFT) + seed_id
+
+
+def task_no() -> Column:
+    return F.shiftright("item_id", TASK_SHIFT).cast("int")
+
+
+def seed_id() -> Column:
+    return F.col("item_id").bitwiseAND(F.lit((1 << TASK_SHIFT) - 1))
+
+
 def ask(visited: DataFrame, strict_time: bool) -> DataFrame:
     """One question per visited row and visibility class: which children may the seed see?
 
@@ -102,14 +117,14 @@ def sample_children(counted: DataFrame, config: SampleConfig) -> DataFrame:
     k = F.least(n, limit)
 
     def offset_random(j: Column) -> Column:
-        return config.random(F.lit("d"), F.col("seed_id"), F.col("parent_id"), F.col("child_class"), j)
+        return config.random(F.lit("d"), seed_id(), F.col("parent_id"), F.col("child_class"), j)
 
     offsets = F.when(n <= k, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(
         draw_without_replacement(n, k, offset_random)
     )
 
     def entry_random(place: Column) -> Column:
-        return config.random(F.lit("k"), F.col("seed_id"), place)
+        return config.random(F.lit("k"), seed_id(), place)
 
     def exponential(h: Column) -> Column:
         return -F.log1p(-S.unit(h))
@@ -129,13 +144,13 @@ def sample_children(counted: DataFrame, config: SampleConfig) -> DataFrame:
             F.array().cast("array<struct<adj_pos:bigint,key:double>>").alias("out"),
         ),
         lambda acc, e: F.struct(
-            (acc["sum"] + exponential(config.random(F.lit("g"), F.col("seed_id"), F.col("parent_id"), acc["i"])) / (n - acc["i"])).alias("sum"),
+            (acc["sum"] + exponential(config.random(F.lit("g"), seed_id(), F.col("parent_id"), acc["i"])) / (n - acc["i"])).alias("sum"),
             (acc["i"] + 1).alias("i"),
             F.array_append(
                 acc["out"],
                 F.struct(
                     e["adj_pos"].alias("adj_pos"),
-                    (acc["sum"] + exponential(config.random(F.lit("g"), F.col("seed_id"), F.col("parent_id"), acc["i"])) / (n - acc["i"])).alias("key"),
+                    (acc["sum"] + exponential(config.random(F.lit("g"), seed_id(), F.col("parent_id"), acc["i"])) / (n - acc["i"])).alias("key"),
                 ),
             ),
         ),
@@ -151,73 +166,88 @@ def expand(visited: DataFrame, adjacency: Adjacency, config: SampleConfig) -> Da
     """The sampled children of visited rows, one row per edge."""
     counted = visible_counts(adjacency, ask(visited, config.strict_time))
     picked = sample_children(counted, config)
-    return picked.join(adjacency.entries.select("adj_pos", "child_id", "child_cells"), "adj_pos")
+    return picked.join(adjacency.entries.select("adj_pos", "child_id", "fk_pos", "child_cells"), "adj_pos")
 
 
-def trim_level(entries: DataFrame, config: SampleConfig) -> DataFrame:
-    """One entry per (seed, row), and none past the point where the budget must be full.
+def within_budget(rows: DataFrame, config: SampleConfig) -> DataFrame:
+    """Keep the first visit of every row and the rows that begin inside the cell budget.
 
-    Every distinct row that shows a cell has filled, or fills, one place of
-    the budget; after ``seq_len`` of them nothing can be shown any more.
+    A seed's rows number at most its budget plus rows without cells.
     """
     item = W.partitionBy(*ITEM)
-    first = W.partitionBy(*ITEM, "node_id").orderBy("key", "tie")
-    earlier = item.orderBy("key", "tie").rowsBetween(W.unboundedPreceding, -1)
-    shows = F.when(config.sure_cells(F.col("node_id"), F.col("n_cells")) > 0, 1).otherwise(0)
+    first = W.partitionBy(*ITEM, "node_id").orderBy(*RANK)
+    earlier = item.orderBy(*RANK).rowsBetween(W.unboundedPreceding, -1)
+    sure = config.sure_cells(F.col("node_id"), F.col("n_cells"))
     return (
-        entries.repartition(*ITEM)
-        .withColumn("__rn", F.row_number().over(first))
-        .filter("__rn = 1")
-        .withColumn("__shown", F.coalesce(F.sum(shows).over(earlier), F.lit(0)))
-        .filter(F.col("__shown") < config.seq_len)
-        .drop("__rn", "__shown", "n_cells")
+        rows.repartition(*ITEM)
+        .withColumn("rn", F.row_number().over(first))
+        .filter("rn = 1")
+        .withColumn("before", F.coalesce(F.sum(sure).over(earlier), F.lit(0)).cast("bigint"))
+        .filter(F.col("before") < config.seq_len)
+        .drop("rn")
     )
 
 
 def with_ancestors(entries: DataFrame, closure: DataFrame) -> DataFrame:
-    """Every entry followed by its ancestors, each one step deeper per hop."""
-    up = closure.select("node_id", "ancestor_id", "hops", "path", "n_cells")
-    return entries.join(up, "node_id").select(
-        *ITEM,
-        "seed_class",
-        "item_ts",
-        F.col("ancestor_id").alias("node_id"),
-        "level",
-        "key",
-        "tie",
-        "path",
-        (F.col("level") + F.col("hops")).alias("depth"),
-        "n_cells",
-    )
-
+    """Every entry followed by its ancestors, each one step deeper per hop.
 
-def visit(candidates: DataFrame, config: SampleConfig) -> DataFrame:
-    """Keep the first visit of every row and the rows that begin inside the cell budget."""
-    item = W.partitionBy(*ITEM)
-    first = W.partitionBy(*ITEM, "node_id").orderBy(*RANK)
-    earlier = item.orderBy(*RANK).rowsBetween(W.unboundedPreceding, -1)
-    sure = config.sure_cells(F.col("node_id"), F.col("n_cells"))
+    An entry that came over an edge skips the paths back over that edge: its
+    parent and the parent's ancestors have been visited.
+    """
+    up = closure.select("node_id", "ancestor_id", "hops", F.col("path").alias("up_path"), F.col("n_cells").alias("up_cells"))
+    back = F.col("back").isNotNull() & F.startswith("up_path", F.col("back"))
     return (
-        candidates.repartition(*ITEM)
-        .withColumn("__rn", F.row_number().over(first))
-        .filter("__rn = 1")
-        .drop("__rn")
-        .withColumn("before", F.coalesce(F.sum(sure).over(earlier), F.lit(0)).cast("bigint"))
-        .filter(F.col("before") < config.seq_len)
-        .withColumn("done", F.max(F.col("before") + sure).over(item) >= config.seq_len)
+        entries.join(up, "node_id")
+        .filter(~back)
+        .select(
+            *ITEM,
+            "seed_class",
+            "item_ts",
+            F.col("ancestor_id").alias("node_id"),
+            "level",
+            "key",
+            "tie",
+            F.col("up_path").alias("path"),
+            (F.col("level") + F.col("hops")).alias("depth"),
+            F.col("up_cells").alias("n_cells"),
+        )
     )
 
 
 def first_level(seeds: DataFrame) -> DataFrame:
     return seeds.select(
-        *ITEM,
+        item_id(F.col("task_no"), F.col("seed_id")).alias("item_id"),
         "seed_class",
         F.coalesce("seed_ts", F.lit(NO_TIME)).alias("item_ts"),
         F.col("seed_id").alias("node_id"),
         F.lit(0).alias("level"),
         F.lit(0.0).alias("key"),
         F.lit(0).cast("bigint").alias("tie"),
+        F.lit(None).cast("string").alias("back"),
+    )
+
+
+def next_level(active: DataFrame, depth: int, adjacency: Adjacency, closure: DataFrame, config: SampleConfig) -> DataFrame:
+    """All rows of the unfinished seeds after one more level."""
+    children = expand(active.filter(F.col("depth") == depth), adjacency, config)
+    seen = active.drop("before", "done")
+    entries = children.select(
+        *ITEM,
+        "seed_class",
+        "item_ts",
+        F.col("child_id").alias("node_id"),
+        F.lit(depth + 1).alias("level"),
+        "key",
+        F.col("adj_pos").alias("tie"),
+        F.lit("").alias("path"),
+        F.lit(depth + 1).alias("depth"),
+        F.col("child_cells").alias("n_cells"),
+        path_step(F.col("fk_pos")).alias("back"),
     )
+    # Entries beyond the budget by their own cells alone need no ancestors.
+    fresh = within_budget(seen.withColumn("back", F.lit(None).cast("string")).unionByName(entries), config)
+    fresh = fresh.filter(F.col("level") == depth + 1).drop("before", "path", "depth", "n_cells")
+    return seen.unionByName(with_ancestors(fresh, closure))
 
 
 def sample_contexts(
@@ -225,6 +255,7 @@ def sample_contexts(
     adjacency: Adjacency,
     closure: DataFrame,
     config: SampleConfig,
+    seeds_have_children: bool = True,
     max_levels: int | None = None,
 ) -> DataFrame:
     """The rows of every seed's context in visiting order.
@@ -233,35 +264,36 @@ def sample_contexts(
     the ancestors of every row with their cell counts. Each level is written
     once; seeds whose budget is full leave the loop. The result has one row
     per context row with ``before``, the cells shown before it (exact when no
-    columns are hidden).
+    columns are hidden). Rows of task tables are nobody's parents, so seeds
+    from there (``seeds_have_children`` false) skip the first expansion.
     """
+    item = W.partitionBy(*ITEM)
+    sure = config.sure_cells(F.col("node_id"), F.col("n_cells"))
+    full = F.max(F.col("before") + sure).over(item) >= config.seq_len
     finished = []
-    active = visit(with_ancestors(first_level(seeds), closure), config)
-    depth = 0
+    rows = with_ancestors(first_level(seeds), closure)
+    depth = 0 if seeds_have_children else 1
     while True:
-        level = stage(active, "level", partition_by=["done"])
+        level = stage(within_budget(rows, config).withColumn("done", full), "level", partition_by=["done"])
         finished.append(level.filter("done"))
         active = level.filter("NOT done")
         deepest = active.agg(F.max("depth")).first()[0]
         if deepest is None or deepest < depth or (max_levels is not None and depth >= max_levels):
             finished.append(active)
             break
-        children = expand(active.filter(F.col("depth") == depth), adjacency, config)
-        entries = children.select(
-            *ITEM,
-            "seed_class",
-            "item_ts",
-            F.col("child_id").alias("node_id"),
-            F.lit(depth + 1).alias("level"),
-            "key",
-            F.col("adj_pos").alias("tie"),
-            F.col("child_cells").alias("n_cells"),
-        )
-        found = with_ancestors(trim_level(entries, config), closure)
-        active = visit(active.drop("before", "done").unionByName(found), config)
+        rows = next_level(active, depth, adjacency, closure, config)
         depth += 1
-    seed_ts = F.nullif(F.col("item_ts"), F.lit(NO_TIME)).alias("seed_ts")
-    return union_all(finished).select(*ITEM, seed_ts, "node_id", *RANK, "depth", "n_cells", "before")
+    return union_all(finished).select(
+        *ITEM,
+        task_no().alias("task_no"),
+        seed_id().alias("seed_id"),
+        F.nullif(F.col("item_ts"), F.lit(NO_TIME)).alias("seed_ts"),
+        "node_id",
+        *RANK,
+        "depth",
+        "n_cells",
+        "before",
+    )
 
 
 def with_node_pos(context_nodes: DataFrame) -> DataFrame:

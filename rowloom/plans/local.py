@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rowloom.plans.params import CUTOFFS, LABEL_DAYS
 from rowloom.sources.catalog import Catalog, Table
+from rowloom.session import stage
 from rowloom.sources.tasks import Task
 
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
 
-CUTOFFS = [
-    ("1999-01-01", "train"),
-    ("1999-07-01", "train"),
-    ("2000-01-01", "train"),
-    ("2000-07-01", "val"),
-    ("2001-01-01", "test"),
-]
-LABEL_DAYS = 180
-
 CHURN = Task("local", "customer-churn", "churn", (), "forecast", "clf")
 SPEND = Task("local", "customer-spend", "spend", (), "forecast", "reg")
 ORDER_TOTAL = Task("local", "orders", "o_totalprice", ("o_orderstatus",), "autocomplete", "reg")
@@ -91,7 +84,8 @@ def local_catalog(
     if tables is not None:
         found = [t for t in found if t.name in tables]
     if tasks:
-        labelled = task_customer(r("orders"))
+        # Task tables are given data: written once, like the tables beside them.
+        labelled = stage(task_customer(r("orders")), "task_customer")
         for split in ("train", "val", "test"):
             mine = labelled.filter(F.col("split") == split)
             for task, target in (("customer-churn", "churn"), ("customer-spend", "spend")):

@@ -16,6 +16,10 @@ RUNTIME_CONF = {
     # that costs one more exchange above the join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sampling steps compute much per byte: keep small shuffles spread out.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # Hash instead of sort where the measured build partitions are this small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 

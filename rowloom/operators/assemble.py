@@ -88,9 +88,8 @@ def pad_contexts(cells: DataFrame, seq_len: int, table_names: list[str], bf16: b
     packed = cells.groupBy("task_no", "seed_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
     missing = F.lit(seq_len) - F.size("c")
     columns = [
-        F.concat(
-            F.transform("c", lambda e, f=field: e[f]), F.array_repeat(F.lit(pad).cast(kind), missing)
-        ).alias(name)
+        # A field of an array of structs is the array of that field.
+        F.concat(F.col("c")[field], F.array_repeat(F.lit(pad).cast(kind), missing)).alias(name)
         for name, (field, pad, kind) in BATCH_ARRAYS.items()
     ]
     no_parents = F.array_repeat(F.lit(-1).cast("bigint"), MAX_PARENTS)
@@ -99,7 +98,7 @@ def pad_contexts(cells: DataFrame, seq_len: int, table_names: list[str], bf16: b
         "seed_id",
         F.size("c").alias("n_cells"),
         *columns,
-        F.concat(F.transform("c", lambda e: e["parents"]), F.array_repeat(no_parents, missing)).alias("f2p_nbr_ids"),
+        F.concat(F.col("c")["parents"], F.array_repeat(no_parents, missing)).alias("f2p_nbr_ids"),
         F.concat(F.array_repeat(F.lit(False), F.size("c")), F.array_repeat(F.lit(True), missing)).alias("is_padding"),
     )
 

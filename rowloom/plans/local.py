@@ -55,8 +55,14 @@ def local_catalog(
     sf_dir: str,
     tables: list[str] | None = None,
     tasks: bool = True,
-    line_order: str | tuple[str, ...] = LINE_KEY,
+    file_order: bool = False,
 ) -> Catalog:
+    """Rows of tables without a dense key are numbered by a unique key, or, with
+    ``file_order``, as they lie in the files, which needs no sort."""
+
+    def order(*keys: str):
+        return "file" if file_order else keys
+
     r = lambda name: read(spark, sf_dir, name)
     found = [
         Table("region", r("region"), pkey="r_regionkey", order="pkey"),
@@ -72,12 +78,12 @@ def local_catalog(
             r("lineitem"),
             fkeys=(("l_orderkey", "orders"), ("l_partkey", "part"), ("l_suppkey", "supplier")),
             time_col="l_shipdate",
-            order=line_order,
+            order=order(*LINE_KEY),
         ),
         Table("events", r("events"), pkey="event_id", fkeys=(("user_id", "customer"),), time_col="ts", order="pkey"),
         Table("documents", r("documents"), pkey="doc_id", order="pkey"),
-        Table("labels", r("labels"), fkeys=(("doc_id", "documents"),), order=("doc_id",)),
-        Table("conversations", r("conversations"), order=("conv_id", "turn")),
+        Table("labels", r("labels"), fkeys=(("doc_id", "documents"),), order=order("doc_id")),
+        Table("conversations", r("conversations"), order=order("conv_id", "turn")),
         Table("pages", r("pages"), pkey="page_id", order="pkey"),
         Table("benchmark", r("benchmark"), pkey="item_id", order="pkey"),
     ]
@@ -87,7 +93,7 @@ def local_catalog(
         # Task tables are given data: written once, like the tables beside them.
         labelled = stage(task_customer(r("orders")), "task_customer")
         for split in ("train", "val", "test"):
-            mine = labelled.filter(F.col("split") == split)
+            mine = stage(labelled.filter(F.col("split") == split).drop("split"), split)
             for task, target in (("customer-churn", "churn"), ("customer-spend", "spend")):
                 found.append(
                     Table(
@@ -96,7 +102,7 @@ def local_catalog(
                         split=split,
                         fkeys=(("c_custkey", "customer"),),
                         time_col="seed_time",
-                        order=("seed_time", "c_custkey"),
+                        order=order("seed_time", "c_custkey"),
                     )
                 )
     return Catalog.of(found, "local")

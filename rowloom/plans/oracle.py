@@ -178,7 +178,7 @@ def _dictionary() -> str:
 uses as ({' union all '.join(texts)}),
 text_dict as (
   select row_number() over (order by sha256(text)) - 1 as text_id, text, n_uses from
-  (select text, sum(n) as n_uses from uses group by text)
+  (select text, cast(sum(n) as bigint) as n_uses from uses group by text)
 )"""
 
 
@@ -196,9 +196,12 @@ def _stats() -> str:
                     f"coalesce(nullif(stddev_samp({x}), 0), 1) as std from {_rel(name, source)} where {_valid(c, k)}"
                 )
             elif k == TEXT:
-                parts.append(f"select '{name}', '{split}', '{c}', {TEXT}, 0.0, 0.0")
+                parts.append(f"select '{name}' as table_name, '{split}' as split, '{c}' as col_name, {TEXT} as sem_type, 0.0 as mean, 0.0 as std")
             elif k == DT:
-                parts.append(f"select '{name}', '{split}', '{c}', {DT}, (select mean from dt), (select std from dt)")
+                parts.append(
+                    f"select '{name}' as table_name, '{split}' as split, '{c}' as col_name, {DT} as sem_type, "
+                    "(select mean from dt) as mean, (select std from dt) as std"
+                )
     return f"""
 dt as (select count(*) as n, avg(x) as mean, stddev_pop(x) as std from ({' union all '.join(times)})),
 col_stats as ({' union all '.join(parts)})"""
@@ -510,8 +513,8 @@ where (sem_type = 1 and text is not null) or (sem_type <> 1 and raw is not null
     q["split_stats"] = with_(*BASE, "stats") + stats_out + "split in ('val', 'test') and sem_type in (0, 3)"
     q["zscore_cells"] = with_(*FULL) + (
         "select col_id, count(*) as n, round(avg(number_value), 3) + 0.0 as avg_number, round(avg(datetime_value), 3) + 0.0 as avg_datetime, "
-        "round(avg(boolean_value), 3) + 0.0 as avg_boolean, round(min(number_value + datetime_value + boolean_value), 3) + 0.0 as lo, "
-        "round(max(number_value + datetime_value + boolean_value), 3) + 0.0 as hi from cells where sem_type <> 1 group by col_id"
+        "round(avg(boolean_value), 3) + 0.0 as avg_boolean, round(cast(min(number_value + datetime_value + boolean_value) as double), 3) + 0.0 as lo, "
+        "round(cast(max(number_value + datetime_value + boolean_value) as double), 3) + 0.0 as hi from cells where sem_type <> 1 group by col_id"
     )
     q["infinite_cells"] = (
         "select o_orderstatus, count(*) as n_infinite from (select o_orderstatus, case when o_orderkey % 3 = 0 then cast('inf' as double) "
@@ -527,12 +530,12 @@ where (sem_type = 1 and text is not null) or (sem_type <> 1 and raw is not null
         "select col_id, class_value_id, count(*) as n from cells where sem_type = 1 group by col_id, class_value_id"
     )
     q["binarize_first"] = (
-        "select o_orderkey, cast(nullif(o_orderstatus, 'F') as varchar) = (select o_orderstatus from orders order by o_orderkey limit 1) as is_first "
-        "from orders"
+        "select o_orderkey, case when o_orderkey % 11 <> 5 then o_orderstatus end = (select o_orderstatus from orders order by o_orderkey limit 1) "
+        "as is_first from orders"
     )
     q["cast_bool"] = "select doc_id, cast(quality as boolean) as quality, cast(toxic as boolean) as toxic from labels"
     q["first_elem"] = "select vec_id, round(cast(embedding[1] as double), 6) + 0.0 as first_value, label from embeddings"
-    q["drop_columns"] = "select o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority from orders"
+    q["drop_columns"] = "select o_orderkey, o_custkey, o_totalprice, o_orderpriority from orders"
     q["drop_null_rows"] = "select o_orderkey, nullif(o_orderstatus, 'P') as o_orderstatus, o_custkey from orders where nullif(o_orderstatus, 'P') is not null"
     q["dummy_index"] = (
         "select row_number() over (order by o_orderkey) - 1 as dummy, o_orderkey, o_custkey from orders where nullif(o_orderstatus, 'P') is not null"
@@ -625,9 +628,9 @@ from crow r left join ups u using (task_no, seed_id, node_id) left join downs d
     q["mask_density"] = churn_contexts(CTX_ROWS) + """
 select t.task_no, t.seed_id, t.n_cells, t.same + coalesce(l.pairs, 0) as feat_pairs, coalesce(l.pairs, 0) as nbr_pairs, c.col_pairs,
        t.n_cells * t.n_cells as full_pairs
-from (select task_no, seed_id, sum(n) as n_cells, sum(n * n) as same from crow group by task_no, seed_id) t
-left join (select task_no, seed_id, sum(n * m) as pairs from link group by task_no, seed_id) l using (task_no, seed_id)
-join (select task_no, seed_id, sum(k * k) as col_pairs from
+from (select task_no, seed_id, cast(sum(n) as bigint) as n_cells, cast(sum(n * n) as bigint) as same from crow group by task_no, seed_id) t
+left join (select task_no, seed_id, cast(sum(n * m) as bigint) as pairs from link group by task_no, seed_id) l using (task_no, seed_id)
+join (select task_no, seed_id, cast(sum(k * k) as bigint) as col_pairs from
       (select task_no, seed_id, col_id, count(*) as k from ctx group by task_no, seed_id, col_id) group by task_no, seed_id) c using (task_no, seed_id)"""
     order = seeds_cte + f""",
 ordered as (
@@ -673,6 +676,39 @@ from ctx group by task_no, seed_id"""
         "select task_no, seed_id, round(coalesce(avg(case when sem_type = 0 and not is_target then cast(number_value as double) end), 0), 4) + 0.0 as yhat "
         "from ctx group by task_no, seed_id"
     )
+    batch_rows = f"""
+churn_pool as (select *, '{task_rows[0][0]}' as task_id from seeds),
+churn_order as (
+  select *, row_number() over (order by md5('{STRIPE['seed']}|{STRIPE['epoch']}|' || task_id || '|' || cast(seed_id as varchar))) - 1 as position
+  from churn_pool
+),
+churn_total as (select count(*) as n from churn_pool),
+churn_places as (
+  select o.task_no, o.seed_id, j // {per} as batch_idx, (j // {bs}) % {ws} as rank, j >= t.n as is_wrapped,
+         t.n - (j // {per}) * {per} - ((j // {bs}) % {ws}) * {bs} as own
+  from churn_total t, range(cast(ceil((select n from churn_total) / {float(per)!r}) * {per} as bigint)) r(j), churn_order o
+  where o.position = j % t.n
+),
+sizes as (select task_no, seed_id, count(*) as n_cells, count(case when is_target then 1 end) as n_targets from ctx group by task_no, seed_id)"""
+    q["padded_batches"] = churn_contexts(batch_rows) + f"""
+select {STRIPE['epoch']} as epoch, p.rank, p.batch_idx, count(*) as n_rows, cast(sum(case when is_wrapped then 0 else n_targets end) as bigint) as n_targets,
+       cast(sum(case when is_wrapped then {n} else {n} - n_cells end) as bigint) as n_padding
+from churn_places p join sizes s using (task_no, seed_id) where own > 0 group by p.rank, p.batch_idx"""
+    q["embed_lookup"] = churn_contexts() + (
+        "select task_no, seed_id, count(*) as n_names, count(case when sem_type = 1 then 1 end) as n_texts, 64 as dim from ctx group by task_no, seed_id"
+    )
+    geo = " union all ".join(
+        f"select 'geo' as db, {k} as sem_type, '{t}' || {key} as node, '{c}' as col from {t}"
+        for t, key, c, k in (
+            ("region", "r_regionkey", "r_name", TEXT), ("nation", "n_nationkey", "n_name", TEXT), ("supplier", "s_suppkey", "s_name", TEXT),
+            ("supplier", "s_suppkey", "s_acctbal", NUM), ("customer", "c_custkey", "c_name", TEXT), ("customer", "c_custkey", "c_acctbal", NUM),
+            ("customer", "c_custkey", "c_mktsegment", TEXT),
+        )
+    )
+    q["union_databases"] = with_(*FULL) + (
+        "select 'local' as db, sem_type, count(*) as n_cells, count(distinct node_id) as n_nodes, count(distinct col_id) as n_cols from cells group by sem_type "
+        f"union all select db, sem_type, count(*), count(distinct node), count(distinct col) from ({geo}) group by db, sem_type"
+    )
     preds = "with " + PREDICTIONS
     q["huber_loss"] = preds + (
         f" select task_id, split, step, round(avg({LOSS}), 6) as loss, count(*) as n from predictions where mask and sem_type = 0 group by task_id, split, step"

@@ -185,8 +185,8 @@ def q_dummy_index(run: LocalRun) -> DataFrame:
 
 
 def q_binarize(run: LocalRun) -> DataFrame:
-    # The first row has status P, so nulls injected for F leave it in place.
-    df = run.table("orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("is_first"))
+    holes = F.when(F.col("o_orderkey") % 11 != 5, F.col("o_orderstatus"))
+    df = run.table("orders").select("o_orderkey", holes.alias("is_first"))
     return C.binarize_first(df, "is_first", ["o_orderkey"])
 
 
@@ -410,7 +410,7 @@ QUERIES: dict[str, Callable[[LocalRun], DataFrame]] = {
     "first_elem": lambda r: C.first_element(r.table("embeddings"), "embedding").select(
         "vec_id", (F.round(F.col("embedding").cast("double"), 6) + 0.0).alias("first_value"), "label"
     ),
-    "drop_columns": lambda r: C.drop_columns(r.table("orders"), "o_orderstatus"),
+    "drop_columns": lambda r: C.drop_columns(r.table("orders"), "o_orderstatus", "o_orderdate"),
     "drop_null_rows": lambda r: C.drop_null_rows(with_nulls(r)),
     "dummy_index": q_dummy_index,
     "seed_ranges": lambda r: T.seed_ranges(T.task_frame(r.spark, LOCAL_TASKS), r.numbered.info, ["train", "val", "test"]),

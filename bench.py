@@ -61,7 +61,7 @@ def main() -> None:
 
     def sample():
         rows = PL.contexts(graph, index, tasks, pool, config)
-        return stage(context_cells(rows, index.payload, tasks, SEQ_LEN), "contexts")
+        return stage(context_cells(rows, index.payload, graph.cells, tasks, SEQ_LEN), "contexts")
 
     cells = timed("context_sampling", sample)
 

@@ -42,7 +42,7 @@ def child_order(edges: DataFrame) -> DataFrame:
 
 
 def build_adjacency(edges: DataFrame) -> Adjacency:
-    ordered = stage(child_order(edges), "adjacency")
+    ordered = child_order(edges)
     runs = stage(child_runs(ordered), "runs")
     return Adjacency(
         ordered.select("adj_pos", "parent_id", "child_id", "fk_pos", "child_cells"),

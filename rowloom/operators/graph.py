@@ -63,17 +63,28 @@ class Numbered:
         return self.rows[(t.name, t.split)]
 
 
+# A table of this many rows that comes in fewer pieces than there are cores is
+# written again in as many pieces as cores. Large tables never are.
+SPREAD_ROWS = 100_000
+
+
 def number_rows(catalog: Catalog) -> Numbered:
     """Assign node ids. Reads back one row per table: the offsets."""
     info = table_info(catalog)
     ranges = {
         (r.table_name, r.split): (r.node_offset, r.num_nodes) for r in info.collect()
     }
-    rows = {}
+    rows, tables = {}, []
     for t in catalog.tables:
-        offset, _ = ranges[(t.name, t.split)]
-        rows[(t.name, t.split)] = with_row_index(t).withColumn("node_id", F.col("row_idx") + F.lit(offset))
-    return Numbered(catalog, rows, ranges, info)
+        offset, count = ranges[(t.name, t.split)]
+        numbered = with_row_index(t).withColumn("node_id", F.col("row_idx") + F.lit(offset))
+        cores = t.df.sparkSession.sparkContext.defaultParallelism
+        if count >= SPREAD_ROWS and t.df.rdd.getNumPartitions() < cores:
+            numbered = stage(numbered.repartition(cores), t.name)
+            t = t.with_df(numbered.drop("row_idx", "node_id"))
+        rows[(t.name, t.split)] = numbered
+        tables.append(t)
+    return Numbered(Catalog(tuple(tables), catalog.name), rows, ranges, info)
 
 
 def row_seconds(t: Table):
@@ -335,8 +346,8 @@ def build_graph(
     every later table starts from them.
     """
     numbered = number_rows(catalog)
-    stats = column_stats(catalog, datetime_splits=datetime_splits)
-    texts = D.build_dictionary(table_texts(catalog, skip_db), D.schema_texts(spark, catalog))
+    stats = column_stats(numbered.catalog, datetime_splits=datetime_splits)
+    texts = D.build_dictionary(table_texts(numbered.catalog, skip_db), D.schema_texts(spark, catalog))
     if staged:
         stats = stage(stats, "col_stats")
         texts = stage(texts, "text_dict")

@@ -1,4 +1,4 @@
-"""Everything a context shows of a row, in one record per row."""
+"""From the rows of contexts to their cells."""
 
 from __future__ import annotations
 
@@ -18,19 +18,14 @@ CELL_FIELDS = [
 ]
 
 
-def node_payload(nodes: DataFrame, edges: DataFrame, cells: DataFrame, max_parents: int = 5) -> DataFrame:
-    """Per row: timestamp, parents (up to ``max_parents``) and cells, all as wide as its table."""
-    packed = F.transform(
-        F.array_sort(F.collect_list(F.struct("cell_ord", *CELL_FIELDS))),
-        lambda c: F.struct(*[c[f].alias(f) for f in CELL_FIELDS]),
-    )
-    per_node = cells.groupBy("node_id").agg(packed.alias("cells"))
+def node_payload(nodes: DataFrame, edges: DataFrame, max_parents: int = 5) -> DataFrame:
+    """Per row: its table, its timestamp and up to ``max_parents`` parents."""
     parents = parents_list(edges).select(
         F.col("child_id").alias("node_id"), F.slice("parent_ids", 1, max_parents).alias("f2p_nbr_ids")
     )
     return (
-        nodes.select("node_id", "table_name", "ts_sec", "is_task")
-        .join(per_node, "node_id")
+        nodes.filter("n_cells > 0")
+        .select("node_id", "table_name", "ts_sec", "is_task")
         .join(parents, "node_id", "left")
         .withColumn("f2p_nbr_ids", F.coalesce("f2p_nbr_ids", F.array().cast("array<bigint>")))
     )
@@ -50,6 +45,7 @@ def parent_cap_violations(edges: DataFrame, max_parents: int = 5) -> DataFrame:
 def context_cells(
     context_nodes: DataFrame,
     payload: DataFrame,
+    cells: DataFrame,
     tasks: list,
     seq_len: int,
 ) -> DataFrame:
@@ -58,9 +54,9 @@ def context_cells(
     A task's leakage columns are hidden on the seed and on every row with the
     seed's timestamp (no timestamp equals no timestamp). ``tasks`` are the
     resolved tasks in the order of ``task_no``; their number is the
-    catalogue's.
+    catalogue's. Rows were trimmed before, so only rows with a visible cell
+    meet their cells here.
     """
-    joined = context_nodes.join(payload, "node_id")
     target = F.lit(None).cast("bigint")
     drops = F.lit(None).cast("array<bigint>")
     for t in tasks:
@@ -69,40 +65,27 @@ def context_cells(
         if t.drop_col_ids:
             ids = F.array(*[F.lit(c).cast("bigint") for c in t.drop_col_ids])
             drops = F.when(mine, ids).otherwise(drops)
+    shown = context_nodes.join(payload, "node_id").join(cells.select("node_id", "cell_ord", *CELL_FIELDS), "node_id")
     is_seed = F.col("node_id") == F.col("seed_id")
+    pos = F.col("before") + F.col("cell_ord")
     if any(t.drop_col_ids for t in tasks):
-        leaky = drops.isNotNull() & (is_seed | F.col("ts_sec").eqNullSafe(F.col("seed_ts")))
-        joined = joined.withColumn("__drops", F.when(leaky, drops))
-        shown = F.when(
-            F.col("__drops").isNotNull(),
-            F.filter("cells", lambda c: ~F.array_contains(F.col("__drops"), c["col_id"])),
-        ).otherwise(F.col("cells"))
-        earlier = W.partitionBy(*ITEM).orderBy(*RANK).rowsBetween(W.unboundedPreceding, -1)
-        joined = (
-            joined.withColumn("cells", shown)
-            .withColumn("before", F.coalesce(F.sum(F.size("cells")).over(earlier), F.lit(0)).cast("bigint"))
-            .filter(F.col("before") < seq_len)
-        )
-    room = (F.lit(seq_len) - F.col("before")).cast("int")
-    cell = F.posexplode(F.slice("cells", F.lit(1), room))
+        at_seed = is_seed | F.col("ts_sec").eqNullSafe(F.col("seed_ts"))
+        hidden = drops.isNotNull() & at_seed & F.array_contains(drops, F.col("col_id"))
+        order = W.partitionBy(*ITEM).orderBy(*RANK, "cell_ord")
+        shown = shown.filter(~F.coalesce(hidden, F.lit(False))).withColumn("before", F.row_number().over(order) - 1)
+        pos = F.col("before")
     is_target = is_seed & (F.col("col_id") == target)
-    return (
-        joined.select(
-            *ITEM, "task_no", "seed_id", "before", "node_id", "depth", "table_name", "is_task", "f2p_nbr_ids", cell.alias("ord", "c")
-        )
-        .select("*", "c.*")
-        .select(
-            *ITEM,
-            "task_no",
-            "seed_id",
-            (F.col("before") + F.col("ord")).cast("int").alias("pos"),
-            "node_id",
-            "depth",
-            "table_name",
-            *CELL_FIELDS,
-            "f2p_nbr_ids",
-            is_target.alias("is_target"),
-            is_target.alias("mask"),
-            (F.col("is_task") | (F.col("col_id") == target)).alias("is_task_node"),
-        )
+    return shown.filter(pos < seq_len).select(
+        *ITEM,
+        "task_no",
+        "seed_id",
+        pos.cast("int").alias("pos"),
+        "node_id",
+        "depth",
+        "table_name",
+        *CELL_FIELDS,
+        "f2p_nbr_ids",
+        is_target.alias("is_target"),
+        is_target.alias("mask"),
+        (F.col("is_task") | (F.col("col_id") == target)).alias("is_task_node"),
     )

@@ -30,7 +30,7 @@ def index_graph(graph: Graph) -> SamplingIndex:
     return SamplingIndex(
         adjacency=build_adjacency(graph.edges),
         closure=stage(closure_with_cells(graph.nodes, graph.edges, graph.catalog.max_hops()), "closure"),
-        payload=stage(node_payload(graph.nodes, graph.edges, graph.cells), "payload"),
+        payload=stage(node_payload(graph.nodes, graph.edges), "payload"),
     )
 
 
@@ -93,7 +93,7 @@ def training_batches(
     """Padded batches of one epoch over the common pool of all tasks."""
     pool = stage(seeds(graph.nodes, graph.cells, tasks), "seeds")
     config = run_config(tasks, width, seq_len, epoch=epoch, seed=seed)
-    cells = context_cells(contexts(graph, index, tasks, pool, config), index.payload, tasks, seq_len)
+    cells = context_cells(contexts(graph, index, tasks, pool, config), index.payload, graph.cells, tasks, seq_len)
     padded = B.pad_contexts(cells, seq_len, [t.name for t in graph.catalog.tables])
     slots = B.stripe(B.epoch_order(pool, epoch, seed), batch_size, world_size)
     return B.assemble_batches(slots, padded)

@@ -97,7 +97,7 @@ class LocalRun:
     @cached_property
     def churn_cells(self) -> DataFrame:
         return stage(
-            P.context_cells(self.churn_nodes, self.index.payload, self.churn_tasks, CONTEXT["seq_len"]), "context_cells"
+            P.context_cells(self.churn_nodes, self.index.payload, self.graph.cells, self.churn_tasks, CONTEXT["seq_len"]), "context_cells"
         )
 
     @cached_property
@@ -267,7 +267,7 @@ def q_leakage(run: LocalRun) -> DataFrame:
     seeds = stage(T.seeds(run.graph.nodes, run.graph.cells, tasks), "seeds")
     config = PL.run_config(tasks, LEAK["width"], LEAK["seq_len"])
     nodes = PL.contexts(run.graph, run.index, tasks, seeds, config, LEAK["levels"])
-    return P.context_cells(nodes, run.index.payload, tasks, LEAK["seq_len"]).select(
+    return P.context_cells(nodes, run.index.payload, run.graph.cells, tasks, LEAK["seq_len"]).select(
         "task_no", "seed_id", "pos", "node_id", "depth", "col_id", "is_target", "is_task_node"
     )
 

@@ -130,6 +130,12 @@ def nodes(numbered: Numbered, skip_db: bool = False, compat: bool = False) -> Da
     return union_all(parts)
 
 
+EDGE_SCHEMA = (
+    "child_id bigint, fk_pos int, fk_col string, parent_id bigint, child_table string, child_split string, child_class int, "
+    "child_ts bigint, child_cells int, parent_table string, parent_ts bigint"
+)
+
+
 def edges(numbered: Numbered, parent_ts: bool = True) -> DataFrame:
     """One row per foreign key value that meets a parent row; several keys to one parent stay apart.
 
@@ -195,7 +201,7 @@ def edges(numbered: Numbered, parent_ts: bool = True) -> DataFrame:
                     }
                 )
             )
-    return union_all(parts).select(
+    return union_all(parts, catalog.spark, EDGE_SCHEMA).select(
         "child_id",
         "fk_pos",
         "fk_col",
@@ -256,7 +262,8 @@ def raw_cells(numbered: Numbered, t: Table) -> DataFrame:
 
 def all_raw_cells(numbered: Numbered, skip_db: bool = False) -> DataFrame:
     parts = [raw_cells(numbered, t) for t in numbered.catalog.tables if t.is_task or not skip_db]
-    return union_all([p for p in parts if p is not None])
+    schema = "node_id bigint, cell_ord int, col_id bigint, stat_key int, sem_type tinyint, raw double, text string"
+    return union_all([p for p in parts if p is not None], numbered.catalog.spark, schema)
 
 
 def table_texts(catalog: Catalog, skip_db: bool = False) -> DataFrame:
@@ -268,7 +275,7 @@ def table_texts(catalog: Catalog, skip_db: bool = False) -> DataFrame:
         cols = [F.col(f.name) for f in t.value_fields() if semantic_type(f.dataType) == TEXT]
         if cols:
             parts.append(t.df.select(F.explode(F.array(*cols)).alias("text")).filter(F.col("text").isNotNull()))
-    return union_all(parts)
+    return union_all(parts, catalog.spark, "text string")
 
 
 def cells(numbered: Numbered, stats: DataFrame, dictionary: DataFrame, skip_db: bool = False) -> DataFrame:

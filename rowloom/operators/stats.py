@@ -66,7 +66,8 @@ def table_moments(table: Table) -> DataFrame:
 def column_moments(catalog: Catalog) -> DataFrame:
     """The moments of all tables; written once, as every statistic starts from these few rows."""
     parts = [m for m in (table_moments(t) for t in catalog.tables) if m is not None]
-    return stage(union_all(parts), "moments")
+    schema = "table_name string, split string, col_name string, sem_type tinyint, n bigint, avg double, sd double, var double"
+    return stage(union_all(parts, catalog.spark, schema), "moments")
 
 
 def datetime_moments(moments: DataFrame, splits: list[str] | None = None) -> DataFrame:

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
+def union_all(parts: list[DataFrame], spark: SparkSession | None = None, schema: str | None = None) -> DataFrame:
+    """The union by name; with no parts, an empty table of the given schema."""
+    if not parts:
+        return spark.createDataFrame([], schema)
     return reduce(lambda a, b: a.unionByName(b), parts)

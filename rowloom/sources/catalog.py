@@ -80,6 +80,10 @@ class Catalog:
         ordered = sorted(tables, key=lambda t: (t.is_task, t.name, rank[t.split]))
         return Catalog(tuple(ordered), name)
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.tables[0].df.sparkSession
+
     def table(self, name: str, split: str = "db") -> Table:
         for t in self.tables:
             if (t.name, t.split) == (name, split):

@@ -28,8 +28,9 @@ NO_TIME = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class Adjacency:
-    """``entries``: one row per edge, by ``adj_pos``. ``runs``: one row per
-    (parent, class). ``slices``: the moments at which a run grows."""
+    """``entries``: one row per edge, by ``adj_pos``, with the child's parents over its
+    other keys. ``runs``: one row per (parent, class). ``slices``: the moments at
+    which a run grows."""
 
     entries: DataFrame
     runs: DataFrame
@@ -41,11 +42,17 @@ def child_order(edges: DataFrame) -> DataFrame:
     return dense_index(slim, [*KEY, "child_ts", "child_id", "fk_pos"], "adj_pos")
 
 
-def build_adjacency(edges: DataFrame) -> Adjacency:
+def with_other_parents(ordered: DataFrame, payload: DataFrame) -> DataFrame:
+    ups = payload.select(F.col("node_id").alias("child_id"), "ups")
+    others = F.filter("ups", lambda u: u["fk_pos"] != F.col("fk_pos"))
+    return ordered.join(ups, "child_id").select("adj_pos", "parent_id", "child_id", "child_cells", others.alias("ups"))
+
+
+def build_adjacency(edges: DataFrame, payload: DataFrame) -> Adjacency:
     ordered = child_order(edges)
     runs = stage(child_runs(ordered), "runs")
     return Adjacency(
-        ordered.select("adj_pos", "parent_id", "child_id", "fk_pos", "child_cells"),
+        stage(with_other_parents(ordered, payload), "entries"),
         runs,
         stage(time_slices(ordered, runs), "slices"),
     )

@@ -69,7 +69,12 @@ def ancestors(nodes: DataFrame, edges: DataFrame, max_hops: int | None) -> DataF
     return least_paths(ancestor_paths(nodes, edges, max_hops))
 
 
-def closure_with_cells(nodes: DataFrame, edges: DataFrame, max_hops: int | None) -> DataFrame:
-    """Ancestor paths with the cell count of every ancestor, as the sampler reads them."""
+def parent_closure(nodes: DataFrame, edges: DataFrame, max_hops: int | None) -> DataFrame:
+    """Ancestor paths, with the cell count of every ancestor, of the rows that are parents.
+
+    Rows nobody points to, as in the largest tables, reach their ancestors
+    through their own keys and need no entry here.
+    """
+    parents = edges.select(F.col("parent_id").alias("node_id")).distinct()
     counts = nodes.select(F.col("node_id").alias("ancestor_id"), "n_cells")
-    return ancestor_paths(nodes, edges, max_hops).join(counts, "ancestor_id")
+    return ancestor_paths(parents, edges, max_hops).join(counts, "ancestor_id")

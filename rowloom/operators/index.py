@@ -8,6 +8,11 @@ from rowloom.session import stage
 from rowloom.sources.catalog import FILE_ORDER, Table
 
 
+# One offset per file: this many take some 200 MB at most and are broadcast;
+# the offsets of more files are joined by a shuffle.
+BROADCAST_FILES = 1_000_000
+
+
 def prefix_offsets(counts: DataFrame, key: str, n: str = "n", name: str = "offset") -> DataFrame:
     """Exclusive running sum over a small table of counts (one row per partition, file or table)."""
     w = W.orderBy(key).rowsBetween(W.unboundedPreceding, -1)
@@ -83,6 +88,8 @@ def with_row_index(table: Table) -> DataFrame:
         rows = file_order(df)
         counts = rows.groupBy(FILE_ORDER[0]).agg((F.max(FILE_ORDER[1]) + 1).alias("n"))
         offsets = prefix_offsets(counts, FILE_ORDER[0]).select(FILE_ORDER[0], "offset")
+        if len(df.inputFiles()) <= BROADCAST_FILES:
+            offsets = F.broadcast(offsets)
         out = (
             rows.join(offsets, FILE_ORDER[0])
             .withColumn("row_idx", F.col("offset") + F.col(FILE_ORDER[1]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from rowloom.operators.graph import parents_list
+from rowloom.operators.closure import path_step
 from rowloom.operators.sampling import ITEM, RANK
 
 CELL_FIELDS = [
@@ -19,15 +19,16 @@ CELL_FIELDS = [
 
 
 def node_payload(nodes: DataFrame, edges: DataFrame, max_parents: int = 5) -> DataFrame:
-    """Per row: its table, its timestamp and up to ``max_parents`` parents."""
-    parents = parents_list(edges).select(
-        F.col("child_id").alias("node_id"), F.slice("parent_ids", 1, max_parents).alias("f2p_nbr_ids")
-    )
+    """Per row: table, timestamp, number of cells, all parents with their path steps (``ups``)
+    and the first ``max_parents`` of them as ids."""
+    steps = F.array_sort(F.collect_list(F.struct("fk_pos", path_step(F.col("fk_pos")).alias("step"), "parent_id")))
+    ups = edges.groupBy(F.col("child_id").alias("node_id")).agg(steps.alias("ups"))
+    none = F.array().cast("array<struct<fk_pos:int,step:string,parent_id:bigint>>")
     return (
-        nodes.filter("n_cells > 0")
-        .select("node_id", "table_name", "ts_sec", "is_task")
-        .join(parents, "node_id", "left")
-        .withColumn("f2p_nbr_ids", F.coalesce("f2p_nbr_ids", F.array().cast("array<bigint>")))
+        nodes.select("node_id", "table_name", "ts_sec", "is_task", "n_cells")
+        .join(ups, "node_id", "left")
+        .withColumn("ups", F.coalesce("ups", none))
+        .withColumn("f2p_nbr_ids", F.slice(F.col("ups")["parent_id"], 1, max_parents))
     )
 
 
@@ -65,7 +66,7 @@ def context_cells(
         if t.drop_col_ids:
             ids = F.array(*[F.lit(c).cast("bigint") for c in t.drop_col_ids])
             drops = F.when(mine, ids).otherwise(drops)
-    shown = context_nodes.join(payload, "node_id").join(cells.select("node_id", "cell_ord", *CELL_FIELDS), "node_id")
+    shown = context_nodes.drop("n_cells").join(payload.drop("ups", "n_cells"), "node_id").join(cells.select("node_id", "cell_ord", *CELL_FIELDS), "node_id")
     is_seed = F.col("node_id") == F.col("seed_id")
     pos = F.col("before") + F.col("cell_ord")
     if any(t.drop_col_ids for t in tasks):

@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rowloom.functions import scalars as S
-from rowloom.operators.closure import path_step
 from rowloom.operators.adjacency import NO_TIME, Adjacency, visible_counts
 from rowloom.operators.util import union_all
 from rowloom.session import stage
@@ -94,8 +93,8 @@ def draw_without_replacement(n: Column, k: Column, random: Callable[[Column], Co
     )
 
 
-def sample_children(counted: DataFrame, config: SampleConfig) -> DataFrame:
-    """Places of the children to visit, with their random keys.
+def child_draws(config: SampleConfig) -> Column:
+    """Places of the children to visit, with their random keys, from ``start`` and ``n``.
 
     Database children: at most ``width`` per parent, uniformly without
     replacement. Task children are all wanted, but a context shows ``seq_len``
@@ -156,17 +155,17 @@ def sample_children(counted: DataFrame, config: SampleConfig) -> DataFrame:
         ),
         lambda acc: acc["out"],
     )
-    entries = F.when(is_db | (n <= k), free).otherwise(grown)
-    return counted.select(
-        *ITEM, "seed_class", "item_ts", "parent_id", "child_class", F.inline(entries)
-    )
+    return F.when(is_db | (n <= k), free).otherwise(grown)
 
 
-def expand(visited: DataFrame, adjacency: Adjacency, config: SampleConfig) -> DataFrame:
+def expand(
+    visited: DataFrame, adjacency: Adjacency, config: SampleConfig, draws: Column | None = None
+) -> DataFrame:
     """The sampled children of visited rows, one row per edge."""
     counted = visible_counts(adjacency, ask(visited, config.strict_time))
-    picked = sample_children(counted, config)
-    return picked.join(adjacency.entries.select("adj_pos", "child_id", "fk_pos", "child_cells"), "adj_pos")
+    draws = child_draws(config) if draws is None else draws
+    picked = counted.select(*ITEM, "seed_class", "item_ts", "parent_id", "child_class", F.inline(draws))
+    return picked.join(adjacency.entries.select("adj_pos", "child_id", "child_cells", "ups"), "adj_pos")
 
 
 def within_budget(rows: DataFrame, config: SampleConfig) -> DataFrame:
@@ -191,45 +190,57 @@ def within_budget(rows: DataFrame, config: SampleConfig) -> DataFrame:
 def with_ancestors(entries: DataFrame, closure: DataFrame) -> DataFrame:
     """Every entry followed by its ancestors, each one step deeper per hop.
 
-    An entry that came over an edge skips the paths back over that edge: its
-    parent and the parent's ancestors have been visited.
+    ``ups`` holds the parents to follow. An entry that came over an edge leaves
+    that edge out: its parent and the parent's ancestors have been visited.
     """
-    up = closure.select("node_id", "ancestor_id", "hops", F.col("path").alias("up_path"), F.col("n_cells").alias("up_cells"))
-    back = F.col("back").isNotNull() & F.startswith("up_path", F.col("back"))
+    own = F.array(F.struct(F.lit(None).cast("int").alias("fk_pos"), F.lit("").alias("step"), F.lit(None).cast("bigint").alias("parent_id")))
+    up = closure.select(
+        F.col("node_id").alias("via"), "ancestor_id", "hops", F.col("path").alias("up_path"), F.col("n_cells").alias("up_cells")
+    )
+    # The entry's own row meets nothing in the closure: no id is negative.
+    via = F.coalesce(F.col("u.parent_id"), -F.col("node_id") - 1)
     return (
-        entries.join(up, "node_id")
-        .filter(~back)
+        entries.withColumn("u", F.explode(F.concat(own, "ups")))
+        .withColumn("via", via)
+        .join(up, "via", "left")
         .select(
             *ITEM,
             "seed_class",
             "item_ts",
-            F.col("ancestor_id").alias("node_id"),
+            F.coalesce("ancestor_id", "node_id").alias("node_id"),
             "level",
             "key",
             "tie",
-            F.col("up_path").alias("path"),
-            (F.col("level") + F.col("hops")).alias("depth"),
-            F.col("up_cells").alias("n_cells"),
+            F.concat("u.step", F.coalesce("up_path", F.lit(""))).alias("path"),
+            (F.col("level") + F.coalesce(F.col("hops") + 1, F.lit(0))).alias("depth"),
+            F.coalesce("up_cells", "n_cells").alias("n_cells"),
         )
     )
 
 
-def first_level(seeds: DataFrame) -> DataFrame:
-    return seeds.select(
-        item_id(F.col("task_no"), F.col("seed_id")).alias("item_id"),
-        "seed_class",
-        F.coalesce("seed_ts", F.lit(NO_TIME)).alias("item_ts"),
-        F.col("seed_id").alias("node_id"),
-        F.lit(0).alias("level"),
-        F.lit(0.0).alias("key"),
-        F.lit(0).cast("bigint").alias("tie"),
-        F.lit(None).cast("string").alias("back"),
+def first_level(seeds: DataFrame, payload: DataFrame) -> DataFrame:
+    return (
+        seeds.select("task_no", F.col("seed_id").alias("node_id"), "seed_ts", "seed_class")
+        .join(payload.select("node_id", "n_cells", "ups"), "node_id")
+        .select(
+            item_id(F.col("task_no"), F.col("node_id")).alias("item_id"),
+            "seed_class",
+            F.coalesce("seed_ts", F.lit(NO_TIME)).alias("item_ts"),
+            "node_id",
+            F.lit(0).alias("level"),
+            F.lit(0.0).alias("key"),
+            F.lit(0).cast("bigint").alias("tie"),
+            "n_cells",
+            "ups",
+        )
     )
 
 
-def next_level(active: DataFrame, depth: int, adjacency: Adjacency, closure: DataFrame, config: SampleConfig) -> DataFrame:
+def next_level(
+    active: DataFrame, depth: int, adjacency: Adjacency, closure: DataFrame, config: SampleConfig, draws: Column
+) -> DataFrame:
     """All rows of the unfinished seeds after one more level."""
-    children = expand(active.filter(F.col("depth") == depth), adjacency, config)
+    children = expand(active.filter(F.col("depth") == depth), adjacency, config, draws)
     seen = active.drop("before", "done")
     entries = children.select(
         *ITEM,
@@ -242,16 +253,18 @@ def next_level(active: DataFrame, depth: int, adjacency: Adjacency, closure: Dat
         F.lit("").alias("path"),
         F.lit(depth + 1).alias("depth"),
         F.col("child_cells").alias("n_cells"),
-        path_step(F.col("fk_pos")).alias("back"),
+        "ups",
     )
     # Entries beyond the budget by their own cells alone need no ancestors.
-    fresh = within_budget(seen.withColumn("back", F.lit(None).cast("string")).unionByName(entries), config)
-    fresh = fresh.filter(F.col("level") == depth + 1).drop("before", "path", "depth", "n_cells")
+    no_ups = F.lit(None).cast(entries.schema["ups"].dataType)
+    fresh = within_budget(seen.withColumn("ups", no_ups).unionByName(entries), config)
+    fresh = fresh.filter(F.col("level") == depth + 1).drop("before", "path", "depth")
     return seen.unionByName(with_ancestors(fresh, closure))
 
 
 def sample_contexts(
     seeds: DataFrame,
+    payload: DataFrame,
     adjacency: Adjacency,
     closure: DataFrame,
     config: SampleConfig,
@@ -261,7 +274,7 @@ def sample_contexts(
     """The rows of every seed's context in visiting order.
 
     ``seeds`` has task_no, seed_id, seed_ts and seed_class; ``closure`` lists
-    the ancestors of every row with their cell counts. Each level is written
+    the ancestors of every parent row with their cell counts. Each level is written
     once; seeds whose budget is full leave the loop. The result has one row
     per context row with ``before``, the cells shown before it (exact when no
     columns are hidden). Rows of task tables are nobody's parents, so seeds
@@ -270,8 +283,9 @@ def sample_contexts(
     item = W.partitionBy(*ITEM)
     sure = config.sure_cells(F.col("node_id"), F.col("n_cells"))
     full = F.max(F.col("before") + sure).over(item) >= config.seq_len
+    draws = child_draws(config)
     finished = []
-    rows = with_ancestors(first_level(seeds), closure)
+    rows = with_ancestors(first_level(seeds, payload), closure)
     depth = 0 if seeds_have_children else 1
     while True:
         level = stage(within_budget(rows, config).withColumn("done", full), "level", partition_by=["done"])
@@ -281,7 +295,7 @@ def sample_contexts(
         if deepest is None or deepest < depth or (max_levels is not None and depth >= max_levels):
             finished.append(active)
             break
-        rows = next_level(active, depth, adjacency, closure, config)
+        rows = next_level(active, depth, adjacency, closure, config, draws)
         depth += 1
     return union_all(finished).select(
         *ITEM,

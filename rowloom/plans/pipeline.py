@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowloom.operators import assemble as B
 from rowloom.operators.adjacency import Adjacency, build_adjacency
-from rowloom.operators.closure import closure_with_cells
+from rowloom.operators.closure import parent_closure
 from rowloom.operators.graph import Graph
 from rowloom.operators.payload import context_cells, node_payload
 from rowloom.operators.sampling import SampleConfig, sample_contexts
@@ -27,10 +27,11 @@ class SamplingIndex:
 
 
 def index_graph(graph: Graph) -> SamplingIndex:
+    payload = stage(node_payload(graph.nodes, graph.edges), "payload")
     return SamplingIndex(
-        adjacency=build_adjacency(graph.edges),
-        closure=stage(closure_with_cells(graph.nodes, graph.edges, graph.catalog.max_hops()), "closure"),
-        payload=stage(node_payload(graph.nodes, graph.edges), "payload"),
+        payload=payload,
+        adjacency=build_adjacency(graph.edges, payload),
+        closure=stage(parent_closure(graph.nodes, graph.edges, graph.catalog.max_hops()), "closure"),
     )
 
 
@@ -67,7 +68,7 @@ def contexts(
 ) -> DataFrame:
     """Context rows of every seed of the pool."""
     have_children = any(t.seed_class == 0 and is_parent(graph.catalog, t.task.table) for t in tasks)
-    return sample_contexts(pool, index.adjacency, index.closure, config, have_children, max_levels)
+    return sample_contexts(pool, index.payload, index.adjacency, index.closure, config, have_children, max_levels)
 
 
 def resolve_splits(graph: Graph, wanted: list[tuple[Task, str]]) -> list[ResolvedTask]:

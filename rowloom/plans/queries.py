@@ -248,7 +248,7 @@ def q_child_sample(run: LocalRun) -> DataFrame:
 def q_one_hop(run: LocalRun) -> DataFrame:
     """The children that the customers of all churn seeds pass on to the next level."""
     config = PL.run_config(run.churn_tasks, CONTEXT["width"], CONTEXT["seq_len"])
-    first = SP.with_ancestors(SP.first_level(run.churn_seeds), run.index.closure)
+    first = SP.with_ancestors(SP.first_level(run.churn_seeds, run.index.payload), run.index.closure)
     return SP.expand(first.filter("depth = 1"), run.index.adjacency, config).select(
         SP.task_no().alias("task_no"), SP.seed_id().alias("seed_id"), "parent_id", "child_class", "child_id", "child_cells"
     )

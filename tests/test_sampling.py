@@ -3,6 +3,7 @@ import random
 import pytest
 
 from rowloom.operators import adjacency as A, closure as CL, sampling as SP
+from rowloom.operators.payload import node_payload
 from rowloom.session import stage
 from walk import context
 
@@ -39,10 +40,12 @@ def random_graphs(seed, n_graphs, self_loops=False):
 def sampled(spark, cells, edges, seeds, width, seq_len, hops=None, **options):
     nodes = spark.createDataFrame(list(cells.items()), NODES)
     e = stage(spark.createDataFrame(edges, EDGES), "edges")
-    closure = stage(CL.closure_with_cells(nodes, e, hops), "closure")
+    flat = nodes.selectExpr("node_id", "'t' AS table_name", "CAST(NULL AS BIGINT) AS ts_sec", "false AS is_task", "n_cells")
+    payload = stage(node_payload(flat, e), "payload")
+    closure = stage(CL.parent_closure(nodes, e, hops), "closure")
     pool = spark.createDataFrame(seeds, "task_no int, seed_id long, seed_ts long, seed_class int")
     config = SP.SampleConfig(width=width, seq_len=seq_len, **options)
-    rows = SP.with_node_pos(SP.sample_contexts(pool, A.build_adjacency(e), closure, config)).collect()
+    rows = SP.with_node_pos(SP.sample_contexts(pool, payload, A.build_adjacency(e, payload), closure, config)).collect()
     out = {}
     for r in sorted(rows, key=lambda r: (r.seed_id, r.node_pos)):
         out.setdefault(r.seed_id, []).append((r.node_id, r.depth))
@@ -117,7 +120,9 @@ def test_visible_counts_match_brute_force(spark):
         # The hot parent has long quiet spells between bursts.
         ts = None if rng.random() < 0.1 else rng.choice([0, 7, 1_000_000, 5_000_000]) + rng.randint(-300, 300)
         edges.append((1000 + i, 0, parent, rng.choice([0, 1]), ts, 1))
-    adjacency = A.build_adjacency(spark.createDataFrame(edges, EDGES))
+    e = spark.createDataFrame(edges, EDGES)
+    nodes = e.selectExpr("child_id AS node_id", "'t' AS table_name", "child_ts AS ts_sec", "false AS is_task", "child_cells AS n_cells")
+    adjacency = A.build_adjacency(e, stage(node_payload(nodes, e), "payload"))
     asked = [(p, k, t) for p in range(41) for k in (0, 1) for t in (-400, -5, 0, 150, 400, 999_000, 1_000_050, 3_000_000, 6_000_000, A.NO_TIME)]
     q = spark.createDataFrame(asked, "parent_id long, child_class int, seed_ts long")
     got = {(r.parent_id, r.child_class, r.seed_ts): r.n for r in A.visible_counts(adjacency, q).collect()}

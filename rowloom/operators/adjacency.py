@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rowloom.operators.index import dense_index
-from rowloom.session import stage
+from rowloom.session import stage, together
 
 KEY = ["parent_id", "child_class"]
 
@@ -50,12 +50,15 @@ def with_other_parents(ordered: DataFrame, payload: DataFrame) -> DataFrame:
 
 def build_adjacency(edges: DataFrame, payload: DataFrame) -> Adjacency:
     ordered = child_order(edges)
-    runs = stage(child_runs(ordered), "runs")
-    return Adjacency(
-        stage(with_other_parents(ordered, payload), "entries"),
-        runs,
-        stage(time_slices(ordered, runs), "slices"),
+
+    def history() -> tuple[DataFrame, DataFrame]:
+        runs = stage(child_runs(ordered), "runs")
+        return runs, stage(time_slices(ordered, runs), "slices")
+
+    made = together(
+        {"entries": lambda: stage(with_other_parents(ordered, payload), "entries"), "history": history}
     )
+    return Adjacency(made["entries"], *made["history"])
 
 
 def child_runs(ordered: DataFrame) -> DataFrame:

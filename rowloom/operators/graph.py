@@ -11,7 +11,7 @@ from rowloom.operators import dictionary as D
 from rowloom.operators.index import prefix_offsets, with_row_index
 from rowloom.operators.stats import column_stats
 from rowloom.operators.util import union_all
-from rowloom.session import stage
+from rowloom.session import stage, together
 from rowloom.sources.catalog import (
     BOOLEAN,
     DATETIME,
@@ -74,16 +74,19 @@ def number_rows(catalog: Catalog) -> Numbered:
     ranges = {
         (r.table_name, r.split): (r.node_offset, r.num_nodes) for r in info.collect()
     }
-    rows, tables = {}, []
-    for t in catalog.tables:
+
+    def numbered(t: Table) -> tuple[Table, DataFrame]:
         offset, count = ranges[(t.name, t.split)]
-        numbered = with_row_index(t).withColumn("node_id", F.col("row_idx") + F.lit(offset))
+        rows = with_row_index(t).withColumn("node_id", F.col("row_idx") + F.lit(offset))
         cores = t.df.sparkSession.sparkContext.defaultParallelism
         if count >= SPREAD_ROWS and t.df.rdd.getNumPartitions() < cores:
-            numbered = stage(numbered.repartition(cores), t.name)
-            t = t.with_df(numbered.drop("row_idx", "node_id"))
-        rows[(t.name, t.split)] = numbered
-        tables.append(t)
+            rows = stage(rows.repartition(cores), t.name)
+            t = t.with_df(rows.drop("row_idx", "node_id"))
+        return t, rows
+
+    done = together({(t.name, t.split): (lambda t=t: numbered(t)) for t in catalog.tables})
+    rows = {key: df for key, (_, df) in done.items()}
+    tables = [done[(t.name, t.split)][0] for t in catalog.tables]
     return Numbered(Catalog(tuple(tables), catalog.name), rows, ranges, info)
 
 
@@ -353,11 +356,17 @@ def build_graph(
     every later table starts from them.
     """
     numbered = number_rows(catalog)
-    stats = column_stats(numbered.catalog, datetime_splits=datetime_splits)
-    texts = D.build_dictionary(table_texts(numbered.catalog, skip_db), D.schema_texts(spark, catalog))
-    if staged:
-        stats = stage(stats, "col_stats")
-        texts = stage(texts, "text_dict")
+
+    def statistics() -> DataFrame:
+        stats = column_stats(numbered.catalog, datetime_splits=datetime_splits)
+        return stage(stats, "col_stats") if staged else stats
+
+    def dictionary() -> DataFrame:
+        texts = D.build_dictionary(table_texts(numbered.catalog, skip_db), D.schema_texts(spark, catalog))
+        return stage(texts, "text_dict") if staged else texts
+
+    made = together({"stats": statistics, "texts": dictionary})
+    stats, texts = made["stats"], made["texts"]
     return Graph(
         catalog=catalog,
         ranges=numbered.ranges,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,7 +12,7 @@ from rowloom.operators.closure import parent_closure
 from rowloom.operators.graph import Graph
 from rowloom.operators.payload import context_cells, node_payload
 from rowloom.operators.sampling import SampleConfig, sample_contexts
-from rowloom.session import stage
+from rowloom.session import stage, together
 from rowloom.sources.catalog import Catalog
 from rowloom.sources.tasks import ResolvedTask, Task, hidden_columns, resolve_tasks, seeds
 
@@ -27,27 +27,24 @@ class SamplingIndex:
 
 
 def index_graph(graph: Graph) -> SamplingIndex:
-    payload = stage(node_payload(graph.nodes, graph.edges), "payload")
-    return SamplingIndex(
-        payload=payload,
-        adjacency=build_adjacency(graph.edges, payload),
-        closure=stage(parent_closure(graph.nodes, graph.edges, graph.catalog.max_hops()), "closure"),
-    )
+    def lookups() -> tuple[DataFrame, Adjacency]:
+        payload = stage(node_payload(graph.nodes, graph.edges), "payload")
+        return payload, build_adjacency(graph.edges, payload)
+
+    def ancestors() -> DataFrame:
+        return stage(parent_closure(graph.nodes, graph.edges, graph.catalog.max_hops()), "closure")
+
+    made = together({"lookups": lookups, "ancestors": ancestors})
+    payload, adjacency = made["lookups"]
+    return SamplingIndex(adjacency=adjacency, closure=made["ancestors"], payload=payload)
 
 
 def stage_graph(graph: Graph) -> Graph:
     """Write the tables every later stage reads."""
-    return Graph(
-        catalog=graph.catalog,
-        ranges=graph.ranges,
-        nodes=stage(graph.nodes, "nodes"),
-        edges=stage(graph.edges, "edges"),
-        cells=stage(graph.cells, "cells"),
-        text_dict=graph.text_dict,
-        column_index=graph.column_index,
-        col_stats=graph.col_stats,
-        table_info=graph.table_info,
+    written = together(
+        {name: (lambda name=name: stage(getattr(graph, name), name)) for name in ("nodes", "edges", "cells")}
     )
+    return replace(graph, **written)
 
 
 def is_parent(catalog: Catalog, table: str) -> bool:
@@ -76,7 +73,7 @@ def resolve_splits(graph: Graph, wanted: list[tuple[Task, str]]) -> list[Resolve
     out = []
     for i, (task, split) in enumerate(wanted):
         (one,) = resolve_tasks(graph.catalog, graph.ranges, [task], split)
-        out.append(ResolvedTask(**{**one.__dict__, "task_no": i}))
+        out.append(replace(one, task_no=i))
     return out
 
 

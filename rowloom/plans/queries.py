@@ -64,16 +64,18 @@ class LocalRun:
     @cached_property
     def graph(self) -> G.Graph:
         n = self.numbered
-        return G.Graph(
-            catalog=self.catalog,
-            ranges=n.ranges,
-            nodes=stage(G.nodes(n), "nodes"),
-            edges=stage(G.edges(n), "edges"),
-            cells=stage(G.cells(n, self.stats, self.text_dict), "cells"),
-            text_dict=self.text_dict,
-            column_index=D.column_index(self.spark, self.catalog, self.text_dict),
-            col_stats=self.stats,
-            table_info=n.info,
+        return PL.stage_graph(
+            G.Graph(
+                catalog=self.catalog,
+                ranges=n.ranges,
+                nodes=G.nodes(n),
+                edges=G.edges(n),
+                cells=G.cells(n, self.stats, self.text_dict),
+                text_dict=self.text_dict,
+                column_index=D.column_index(self.spark, self.catalog, self.text_dict),
+                col_stats=self.stats,
+                table_info=n.info,
+            )
         )
 
     @cached_property

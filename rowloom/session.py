@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -57,3 +61,11 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(jobs: dict[Any, Callable[[], Any]], at_once: int = 6) -> dict[Any, Any]:
+    """Run independent Spark jobs side by side, so that one fills the cores another leaves idle."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(jobs)))) as pool:
+        running = {name: pool.submit(inherit(job)) for name, job in jobs.items()}
+        return {name: future.result() for name, future in running.items()}

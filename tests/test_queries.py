@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from rowloom.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,10 +15,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(QUERIES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, SF_DIR).toPandas()
     assert difference(got, con.sql(entry.oracle_sql()[name]).df()) is None

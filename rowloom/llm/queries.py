@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import exact_dedup, sql, url_filter
+from rowloom.llm import exact_dedup, packing, sql, url_filter
 from rowloom.llm.common import read_table
+from rowloom.session import stage
+
+
+def token_pieces(docs: DataFrame) -> DataFrame:
+    """Pieces by the public byte-level vocabulary."""
+    from public_tokenizers import path
+
+    return packing.token_pieces(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(stage(token_pieces(read_table(spark, sf_dir, "documents")), "pieces"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +32,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_exact_dedup, op10_url_filter)
+    for f in (op2_best_fit_packing, op4_exact_dedup, op10_url_filter)
 }
 
 SQL: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP, "op10_url_filter": sql.url_filter()}

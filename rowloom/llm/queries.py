@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact_dedup, packing, sql, url_filter
-from rowloom.llm.common import read_table
+from rowloom.llm import exact_dedup, language_id, packing, sql, url_filter
+from rowloom.llm.common import read_table, remainder
 from rowloom.session import stage
 
 
+def held_out(rest: int):
+    return (remainder() == rest).alias("held_out")
+
+
 def token_pieces(docs: DataFrame) -> DataFrame:
     """Pieces by the public byte-level vocabulary."""
     from public_tokenizers import path
@@ -26,13 +30,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    told = language_id.predict(docs, language_id.train(docs))
+    return told.select("doc_id", held_out(0), "lang_pred", "score", "rejected")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_best_fit_packing, op4_exact_dedup, op10_url_filter)
+    for f in (op2_best_fit_packing, op4_exact_dedup, op9_language_id, op10_url_filter)
 }
 
 SQL: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP, "op10_url_filter": sql.url_filter()}

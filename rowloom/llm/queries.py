@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact_dedup, language_id, packing, sql, url_filter
+from rowloom.llm import exact_dedup, language_id, packing, sql, toxicity, url_filter
 from rowloom.llm.common import read_table, remainder
 from rowloom.session import stage
 
@@ -26,6 +26,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stage(token_pieces(read_table(spark, sf_dir, "documents")), "pieces"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out(0), "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -42,7 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_best_fit_packing, op4_exact_dedup, op9_language_id, op10_url_filter)
+    for f in (op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op9_language_id, op10_url_filter)
 }
 
 SQL: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP, "op10_url_filter": sql.url_filter()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact_dedup, language_id, packing, sql, toxicity, url_filter
+from rowloom.llm import exact_dedup, language_id, packing, quality, sql, toxicity, url_filter
 from rowloom.llm.common import read_table, remainder
 from rowloom.session import stage
 
@@ -36,6 +36,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    field = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, field).select("doc_id", held_out(0), "score", "predicted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     told = language_id.predict(docs, language_id.train(docs))
@@ -48,7 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op9_language_id, op10_url_filter)
+    for f in (op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op5_quality, op9_language_id, op10_url_filter)
 }
 
 SQL: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP, "op10_url_filter": sql.url_filter()}

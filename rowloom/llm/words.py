@@ -19,7 +19,7 @@ class WordRows(dict):
     def __init__(self, compute: Callable[[list[bytes]], np.ndarray], width: int):
         super().__init__()
         self.compute = compute
-        self.table = np.zeros((1024, width), np.float32)
+        self.table = np.zeros((1024, width), np.float64)
         self.new: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
@@ -34,7 +34,7 @@ class WordRows(dict):
         at = [np.array(list(map(self.__getitem__, t.lower().split())), np.int64) for t in texts]
         if self.new:
             if len(self) > len(self.table):
-                grown = np.zeros((2 * len(self), self.table.shape[1]), np.float32)
+                grown = np.zeros((2 * len(self), self.table.shape[1]), np.float64)
                 grown[: len(self.table)] = self.table
                 self.table = grown
             self.table[len(self) - len(self.new) : len(self)] = self.compute(self.new)

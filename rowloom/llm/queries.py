@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact_dedup, language_id, packing, quality, sql, suffix_tree, toxicity, url_filter
+from rowloom.llm import exact_dedup, language_id, mixing, packing, quality, sql, suffix_tree, toxicity, url_filter
 from rowloom.llm.common import read_table, remainder
 from rowloom.session import stage
 
@@ -48,6 +48,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out(1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     told = language_id.predict(docs, language_id.train(docs))
@@ -60,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op5_quality, op7_lm_scoring, op9_language_id, op10_url_filter)
+    for f in (op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op5_quality, op7_lm_scoring, op8_mixing, op9_language_id, op10_url_filter)
 }
 
 SQL: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP, "op10_url_filter": sql.url_filter()}

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rowloom.llm.common import remainder, small_batches, text_bytes
+from rowloom.llm.common import labelled_rows, small_batches, text_bytes
 
 #: Labelled documents of each class that the model is fitted on at most.
 TRAIN_ROWS = 2000
@@ -195,19 +195,11 @@ def _climb(field: LineField, docs: list[tuple[np.ndarray, np.ndarray, float]]) -
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> LineField:
     """Fit on at most ``rows`` documents of each class outside the held-out fifth, chosen by a hash of the id."""
-    known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality IS NOT NULL")
-    rest = docs.filter(remainder() != 0).filter("text IS NOT NULL").join(known, "doc_id")
     texts, good = [], []
     for label in (0, 1):
-        chosen = (
-            rest.filter(F.col("quality") == label)
-            .select("doc_id", text_bytes().alias("text"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id")
-            .limit(rows)
-            .select("text")
-            .toArrow()
-        )
-        texts += chosen["text"].to_pylist()
+        chosen = labelled_rows(docs, labels, "quality", label, rows).toArrow()
+        # In one order, however the rows arrive.
+        texts += sorted(chosen["text"].to_pylist())
         good += [label] * chosen.num_rows
     return fit(texts, good)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact_dedup, language_id, mixing, packing, quality, sql, suffix_tree, toxicity, url_filter
+from rowloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, sql, suffix_tree, toxicity, url_filter
 from rowloom.llm.common import read_table, remainder
 from rowloom.session import stage
 
@@ -22,6 +22,10 @@ def token_pieces(docs: DataFrame) -> DataFrame:
     return packing.token_pieces(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(stage(token_pieces(read_table(spark, sf_dir, "documents")), "pieces"))
 
@@ -64,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op5_quality, op7_lm_scoring, op8_mixing, op9_language_id, op10_url_filter)
+    for f in (op1_near_dedup, op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op5_quality, op7_lm_scoring, op8_mixing, op9_language_id, op10_url_filter)
 }
 
 SQL: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP, "op10_url_filter": sql.url_filter()}

@@ -38,12 +38,12 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, mark: str, value: int, rows: int) -> DataFrame:
-    """Texts (``text``, bytes) of at most ``rows`` documents with this label, outside the held-out fifth.
+def labelled_rows(docs: DataFrame, labels: DataFrame, mark: str, value: int, rows: int, skip: int = 0) -> DataFrame:
+    """Texts (``text``, bytes) of at most ``rows`` documents with this label, after the first ``skip``, outside the held-out fifth.
 
     The ids are chosen from the labels alone, by a hash; they are at most
     ``rows``, so that they may be broadcast and no text is shuffled.
     """
     marks = labels.filter(remainder() != 0).groupBy("doc_id").agg(F.max(mark).alias(mark))
-    ids = marks.filter(F.col(mark) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
+    ids = marks.filter(F.col(mark) == value).orderBy(F.xxhash64("doc_id"), "doc_id").offset(skip).limit(rows).select("doc_id")
     return docs.filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id", "left_semi").select(text_bytes().alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -11,23 +12,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rowloom.llm.common import remainder, small_batches, text_bytes
+from rowloom.llm.common import labelled_rows, small_batches, text_bytes
 from rowloom.llm.words import word_rows
+from rowloom.session import stage
 
-#: Labelled documents of each class that the model is fitted on at most.
-TRAIN_ROWS = 1500
+#: Labelled documents that the model is fitted on at most: toxic ones; clean ones, of which only word counts are
+#: gathered; and clean ones that help to calibrate the score.
+TOXIC_ROWS, CLEAN_ROWS, CALIBRATION_ROWS = 1500, 6000, 400
 #: The kernel counts common subsequences of three characters within SPAN characters, each weighted DECAY**gaps.
 SPAN, DECAY = 5, 0.6
 GAPS = tuple((i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN))
 TABLE_BITS = 20
 LANDMARKS = 192
+#: Words of clean documents that the machine is trained against.
+NEGATIVES = 40_000
 #: Rounds in which the words that bear witness against a toxic sentence are chosen anew.
 ROUNDS, NEWTON, PENALTY = 4, 20, 1e-5
 #: Weight of all positive words against all negative ones.
 POSITIVE = 0.1
 #: Longest word compared as one; longer ones are compared in overlapping pieces.
 LONGEST = 24
-#: Share of fitted documents set aside to turn margins into scores.
+#: Steepness of the score around its cut, and the cost of a clean document called toxic against a toxic one missed.
+SLOPE, CLEAN_COST = 6.0, 5.0
+#: Share of toxic documents set aside to turn margins into scores.
 CALIBRATION = 0.2
 
 #: Digits and signs that stand for letters.
@@ -113,6 +120,10 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
+def hash_of(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
 def _pieces(word: str) -> list[str]:
     if len(word) <= LONGEST:
         return [word]
@@ -168,33 +179,39 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, fl
     return theta[:-1], float(theta[-1])
 
 
-def fit(toxic: list[list[bytes]], clean: list[list[bytes]], seed: int = 7) -> ToxicityModel:
+def distinct_pieces(words: list[bytes]) -> list[str]:
+    return sorted({p for w in words for p in _pieces(plain(w)) if p})
+
+
+def fit(toxic: list[list[bytes]], in_good: dict[str, int], n_clean: int, clean: list[list[bytes]], seed: int = 7) -> ToxicityModel:
     """Multiple-instance training: a toxic text holds some toxic sentence, a clean one none.
 
-    Inputs are the distinct words of each document. A toxic document is
-    witnessed by its words of the highest decision value (at first: those that the most
-    other toxic and no clean documents have); all words of clean documents are negative.
+    toxic, clean: the distinct words of each document; in_good: in how many of ``n_clean`` other clean
+    documents each word is. A toxic document is witnessed by its word of the highest decision value
+    (at first: the one that the most other toxic and no clean documents have); all words of clean documents are negative.
     """
     rng = np.random.default_rng(seed)
     model = ToxicityModel(np.zeros(1 << TABLE_BITS, np.float32), model_id=f"toxicity:{uuid.uuid4().hex}")
-    bad = [sorted({p for w in d for p in _pieces(plain(w)) if p}) for d in toxic]
-    good = [sorted({p for w in d for p in _pieces(plain(w)) if p}) for d in clean]
-    bad, good = [d for d in bad if d], [d for d in good if d]
-    if not bad or not good:
+    bad = [d for d in map(distinct_pieces, toxic) if d]
+    held_good = [d for d in map(distinct_pieces, clean) if d]
+    if not bad or not in_good:
         model.bias = -1.0
         return model
-    for docs in (bad, good):
-        rng.shuffle(docs)
-    n_bad, n_good = (len(d) - int(len(d) * CALIBRATION) for d in (bad, good))
-    in_good = Counter(w for d in good[:n_good] for w in d)
+    rng.shuffle(bad)
+    n_bad = len(bad) - int(len(bad) * CALIBRATION)
     in_bad = Counter(w for d in bad[:n_bad] for w in d)
-    odds = {w: np.log((n + 0.1) / len(bad)) - np.log((in_good[w] + 0.1) / len(good)) for w, n in in_bad.items()}
-    telling = sorted((w for w in odds if odds[w] > 2 and in_bad[w] >= min(5, 1 + len(bad) // 200)), key=lambda w: (-odds[w], w))
-    witness = {w for d in bad[:n_bad] for w in sorted(d, key=lambda w: (-odds.get(w, -9), w))[:1]} | set(telling[:2000])
-    common = [w for w, _ in in_good.most_common(LANDMARKS // 4)]
-    negatives = sorted(in_good)
-    if len(negatives) > 40_000:
-        negatives = sorted(set(common) | set(rng.choice(negatives, 40_000, replace=False)))
+    odds = {w: np.log((n + 0.1) / n_bad) - np.log((in_good.get(w, 0) + 0.1) / n_clean) for w, n in in_bad.items()}
+    few = min(5, 2 + len(bad) // 100)
+    telling = sorted((w for w in odds if odds[w] > 2 and in_bad[w] >= few), key=lambda w: (-odds[w], w))
+    often = set(telling)
+    witness = {w for d in bad[:n_bad] for w in sorted((w for w in d if w in often), key=lambda w: (-odds[w], w))[:1]} | set(telling[:2000])
+    if not witness:  # too few documents for any word to repeat
+        witness = {w for d in bad[:n_bad] for w in sorted(d, key=lambda w: (-odds[w], w))[:1]}
+    common = sorted(in_good, key=lambda w: (-in_good[w], w))[: LANDMARKS // 4]
+    # The commonest words of clean documents, which must not be misjudged, and as many others.
+    by_use = sorted(in_good, key=lambda w: (-in_good[w], w))
+    negatives = by_use[: NEGATIVES // 2] + sorted(by_use[NEGATIVES // 2 :], key=lambda w: hash_of(w))[: NEGATIVES // 2]
+    heavy = 1 + np.log([in_good[w] for w in negatives])
     heads = sorted(witness, key=lambda w: (-odds.get(w, -9), w))
     step = max(1, len(heads) // (LANDMARKS // 2))
     landmarks = list(dict.fromkeys(heads[: LANDMARKS // 4] + heads[LANDMARKS // 4 :: step][: LANDMARKS // 2] + common))
@@ -210,7 +227,7 @@ def fit(toxic: list[list[bytes]], clean: list[list[bytes]], seed: int = 7) -> To
         y = np.r_[np.ones(len(positives)), -np.ones(len(z_neg))]
         # Positive words weigh by the documents that have them: words of a few copies say little.
         seen = np.array([in_bad[w] for w in positives], float)
-        cost = np.r_[seen / seen.sum() * POSITIVE * len(z_neg), np.ones(len(z_neg))]
+        cost = np.r_[seen / seen.sum() * POSITIVE * heavy.sum(), heavy]
         w, b = _svm(z, y, cost)
         beta = root @ w
         model.table = np.bincount(l_slot, weights=beta[l_own] * l_weight, minlength=1 << TABLE_BITS).astype(np.float32)
@@ -224,44 +241,50 @@ def fit(toxic: list[list[bytes]], clean: list[list[bytes]], seed: int = 7) -> To
         learn(sorted(witness))
         value = values_of(candidates)
         # Words that clean documents have too bear no witness.
-        witness = {w for d in bad[:n_bad] for w in sorted((w for w in d if odds[w] > 1), key=lambda w: (-value[w], w))[:1]}
-        witness |= {w for w in telling if value[w] > 0}
-    held = [max(values_of(d).values()) for d in bad[n_bad:] + good[n_good:]]
-    truth = np.r_[np.ones(len(bad) - n_bad), np.zeros(len(good) - n_good)]
+        heard = {w for d in bad[:n_bad] for w in sorted((w for w in d if odds[w] > 1), key=lambda w: (-value[w], w))[:1] if w in often or value[w] > 0.5}
+        witness = (heard | {w for w in telling if value[w] > 0}) or witness
+    held = [max(values_of(d).values()) for d in bad[n_bad:] + held_good]
+    truth = np.r_[np.ones(len(bad) - n_bad), np.zeros(len(held_good))]
     if 0 < truth.sum() < len(truth):
-        model.slope, model.offset = _platt(np.array(held), truth)
+        model.slope, model.offset = _calibrated(np.array(held), truth > 0)
     return model
 
 
-def _platt(margin: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """Logistic scale and shift by Newton steps, with both classes of equal weight and softened targets."""
-    weight = np.where(truth > 0, 0.5 / truth.mean(), 0.5 / (1 - truth.mean()))
-    target = np.where(truth > 0, 1 - 1 / (truth.sum() + 2), 1 / (len(truth) - truth.sum() + 2))
-    x = np.c_[margin, np.ones(len(margin))]
-    theta = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        grad = x.T @ (weight * (p - target)) + 1e-3 * theta
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        theta = theta - np.linalg.solve(hess, grad)
-    return float(theta[0]), float(theta[1])
+def _calibrated(margin: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic score: 0.5 lies amid the cuts with the fewest errors on documents set aside.
+
+    A clean document that is called toxic counts ``CLEAN_COST`` times.
+    """
+    cuts = np.linspace(-1.5, 1.5, 301)
+    errors = np.array([np.mean(margin[truth] < c) + CLEAN_COST * np.mean(margin[~truth] >= c) for c in cuts])
+    best = cuts[errors <= errors.min() + 1e-9]
+    return SLOPE, -SLOPE * float(best[len(best) // 2])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` documents of each class outside the held-out fifth, chosen by a hash of the id."""
-    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic IS NOT NULL")
-    known = docs.filter(remainder() != 0).filter("text IS NOT NULL").join(marks, "doc_id").select("doc_id", "toxic", text_bytes().alias("text"))
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> ToxicityModel:
+    """Fit on a bounded number of labelled documents outside the held-out fifth, chosen by a hash of the id."""
 
-    def words_of(toxic: int) -> list[list[bytes]]:
-        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                words = [sorted(set(sentence_words(t))) for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.binary()))], ["words"])
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(set(sentence_words(t))) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary()))], ["words"])
 
-        chosen = known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text")
-        return chosen.mapInArrow(distinct, "words array<binary>").toArrow()["words"].to_pylist()
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [distinct_pieces(sentence_words(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["pieces"])
 
-    return fit(words_of(1), words_of(0))
+    def listed(texts: DataFrame) -> list[list[bytes]]:
+        # In one order, however the rows arrive.
+        return sorted(texts.mapInArrow(words, "words array<binary>").toArrow()["words"].to_pylist())
+
+    small_batches(docs.sparkSession)
+    toxic = listed(labelled_rows(docs, labels, "toxic", 1, toxic_rows))
+    calibration = listed(labelled_rows(docs, labels, "toxic", 0, CALIBRATION_ROWS))
+    clean = stage(labelled_rows(docs, labels, "toxic", 0, clean_rows, CALIBRATION_ROWS).mapInArrow(pieces, "pieces array<string>"), "clean_words")
+    counts = clean.select(F.explode("pieces").alias("word")).groupBy("word").agg(F.count("*").alias("n")).toArrow()
+    in_good = dict(zip(counts["word"].to_pylist(), counts["n"].to_pylist()))
+    return fit(toxic, in_good, max(1, clean.count()), calibration)
 
 
 SCORED = "doc_id long, score double, predicted int"

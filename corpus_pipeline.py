@@ -12,7 +12,11 @@ from rowloom.session import stage_root
 
 #: Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
+    ("language_id", stages.language_id),
     ("exact_dedup", stages.exact_dedup),
+    ("near_dedup", stages.near_dedup),
+    ("mixing", stages.mixing),
+    ("packing", stages.packing),
 ]
 
 #: Trained models, sketches and subword ids are beyond SQL: tests compare the stages with brute force.

@@ -166,6 +166,19 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     return fit(chosen["text"].to_pylist(), chosen["lang"].to_pylist())
 
 
+def _told(model: LanguageModel, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text of a batch."""
+    if not model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    width = len(model.languages) + 1
+    rows = word_rows(model.model_id, model.word_logits, width)
+    sums = np.array([rows.table[a].sum(0) if len(a) else np.zeros(width) for a in rows.rows(texts)]).reshape(-1, width)
+    known = sums[:, -1] > 0
+    p = model.scores(sums)
+    score = np.where(known, p.max(1), 0.0)
+    return [model.languages[b] if k else UNKNOWN for b, k in zip(p.argmax(1), known)], score, ~known | (score < model.bound)
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score, rejected - one row per row of ``docs``, from all words of its text.
 
@@ -176,19 +189,29 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(model.languages) + 1
-        rows = word_rows(model.model_id, model.word_logits, width)
         for batch in batches:
-            at = rows.rows(batch.column(1).to_pylist())
-            sums = np.array([rows.table[a].sum(0, dtype=np.float64) if len(a) else np.zeros(width) for a in at]).reshape(-1, width)
-            known = sums[:, -1] > 0 if model.languages else np.zeros(len(sums), bool)
-            p = model.scores(sums) if model.languages else np.zeros((len(sums), 1))
-            best = p.argmax(1) if len(p) else np.zeros(0, int)
-            score = np.where(known, p.max(1) if len(p) else 0, 0.0)
-            names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
+            names, score, rejected = _told(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(~known | (score < model.bound))],
-                ["doc_id", "lang_pred", "score", "rejected"],
+                [batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"]
             )
 
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(tell, PREDICTED)
+
+
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, all columns as they are, in one pass without a shuffle.
+
+    Without a label to learn from, only texts without a letter are rejected.
+    """
+    small_batches(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            if model.languages:
+                rejected = _told(model, texts)[2]
+            else:
+                rejected = np.array([not letters(t) for t in texts], bool)
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(~rejected))
+
+    return docs.withColumn("language_text", text_bytes()).mapInArrow(keep, docs.schema)

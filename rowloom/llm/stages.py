@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowloom.llm import exact_dedup as exact
+from rowloom.llm import language_id as language
+from rowloom.llm import mixing as mix
+from rowloom.llm import near_dedup as near
+from rowloom.llm import packing as pack
+from rowloom.session import stage
+
+#: Near-duplicates of the pipeline: five words, a similarity of 0.8 or more.
+NEAR = near.Threshold(80, 100)
 
 
 def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -13,5 +21,37 @@ def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the model rejects: texts without a letter, and those whose language it cannot tell."""
+    return language.accepted(docs, language.train(docs))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
     return _chosen(docs, exact.exact_groups(docs).filter("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates stays."""
+    return _chosen(docs, near.near_duplicates(docs, NEAR).filter("kept"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes its words, on average: 0 to 3 times.
+
+    The mix takes blocks of words; taken / size is rounded up or down by a hash of the id, so that
+    the sum over a source stays near its target. Texts without words are never taken.
+    """
+    mixed = mix.mix(docs).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("times"))
+    unit = F.pmod(F.xxhash64("doc_id", F.lit(mix.SEED + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    copies = stage(mixed.select(F.col("doc_id").alias("mixed_id"), F.floor(F.col("times") + unit).cast("int").alias("copies")).filter("copies > 0"), "copies")
+    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"]))
+    return met.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place in it."""
+    from public_tokenizers import path
+
+    pieces = pack.token_pieces(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+    return pack.pack(stage(pieces, "pieces"))

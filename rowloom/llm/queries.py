@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, sql, suffix_tree, toxicity, url_filter
+from rowloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, spotsigs, sql, suffix_tree, toxicity, url_filter
 from rowloom.llm.common import read_table, remainder
 from rowloom.session import stage
 
@@ -46,6 +46,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, field).select("doc_id", held_out(0), "score", "predicted")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     told = suffix_tree.score(docs, remainder() != 1)
@@ -68,7 +72,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op5_quality, op7_lm_scoring, op8_mixing, op9_language_id, op10_url_filter)
+    for f in (op1_near_dedup, op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op5_quality, op6_fingerprints, op7_lm_scoring, op8_mixing, op9_language_id, op10_url_filter)
 }
 
 SQL: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP, "op10_url_filter": sql.url_filter()}

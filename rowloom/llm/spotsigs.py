@@ -48,7 +48,9 @@ def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
         whole, lambda p: F.xxhash64(F.get(F.col(words), p["i"]), *[F.get(F.col(content), p["k"] + n) for n in range(CHAIN)])
     )
     alone = F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.col(words))))
-    short = F.transform(F.when(F.size(chain) > 0, chain).otherwise(alone), lambda h: F.pmod(h, F.lit(1 << (4 * DIGITS))))
+    # The first anchor has the most content words after it.
+    any_chain = F.coalesce(F.get(F.col(at), F.lit(0)) + CHAIN <= F.size(content), F.lit(False))
+    short = F.transform(F.when(any_chain, chain).otherwise(alone), lambda h: F.pmod(h, F.lit(1 << (4 * DIGITS))))
     return rows.withColumn(out, F.array_sort(F.array_distinct(short))).drop(words, at, content)
 
 

@@ -203,6 +203,8 @@ def mix(docs: DataFrame) -> DataFrame:
     # The last block of a source is short: its blocks hold this many words on average.
     targets = [t["target"] / t["size"] * b if t["size"] else 0.0 for t, b in zip(table, blocks)]
     uses = draw_blocks(spark, blocks, targets).groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # The planner takes the slots for as small as the drawn counts; they grow with the words and must not be broadcast.
+    uses = uses.hint("merge")
     key = ["source_no", "chunk", "rank"]
     taken = _pieces(placed).select(*key, "block", "n_words").join(uses, ["source_no", "block"]).groupBy(*key).agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
     return placed.join(taken, key, "left").select(

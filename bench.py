@@ -66,7 +66,7 @@ def main() -> None:
     cells = timed("context_sampling", sample)
 
     def assemble():
-        padded = B.pad_contexts(cells, SEQ_LEN, [t.name for t in catalog.tables])
+        padded = B.pad_contexts(cells, SEQ_LEN, [t.name for t in catalog.tables], catalog.max_parents())
         slots = B.stripe(B.epoch_order(pool, 0), BATCH, RANKS)
         B.write_batches(B.assemble_batches(slots, padded), tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/batches")
 

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowloom.functions import scalars as S
 from rowloom.operators.index import dense_index_by_hash
 
-MAX_PARENTS = 5
 
 # Array columns of a batch row: name -> (field of a context cell, padding value, type).
 BATCH_ARRAYS = {
@@ -72,17 +71,20 @@ def stripe(order: DataFrame, batch_size: int, world_size: int, n_items: int | No
     )
 
 
-def pad_contexts(cells: DataFrame, seq_len: int, table_names: list[str], bf16: bool = False) -> DataFrame:
-    """One row per context: every cell field as an array of ``seq_len``, padded at the end."""
+def pad_contexts(cells: DataFrame, seq_len: int, table_names: list[str], n_parents: int, bf16: bool = False) -> DataFrame:
+    """One row per context: every cell field as an array of ``seq_len``, padded at the end.
+
+    ``n_parents``, the most foreign keys of any table, is the width of the parent lists: no parent is left out.
+    """
     names = F.array(*[F.lit(n) for n in sorted(table_names)])
     value = {f: F.col(f) for f in ("number_value", "datetime_value", "boolean_value")}
     if bf16:
         value = {f: S.bf16(c) for f, c in value.items()}
-    parents = F.concat("f2p_nbr_ids", F.array_repeat(F.lit(-1).cast("bigint"), MAX_PARENTS))
+    parents = F.concat("f2p_nbr_ids", F.array_repeat(F.lit(-1).cast("bigint"), n_parents))
     fields = [
         F.col("pos"),
         (F.array_position(names, F.col("table_name")) - 1).cast("int").alias("table_id"),
-        F.slice(parents, 1, MAX_PARENTS).alias("parents"),
+        F.slice(parents, 1, n_parents).alias("parents"),
         *[value.get(f, F.col(f)).alias(f) for f, _, _ in BATCH_ARRAYS.values() if f != "table_id"],
     ]
     packed = cells.groupBy("task_no", "seed_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
@@ -92,7 +94,7 @@ def pad_contexts(cells: DataFrame, seq_len: int, table_names: list[str], bf16: b
         F.concat(F.col("c")[field], F.array_repeat(F.lit(pad).cast(kind), missing)).alias(name)
         for name, (field, pad, kind) in BATCH_ARRAYS.items()
     ]
-    no_parents = F.array_repeat(F.lit(-1).cast("bigint"), MAX_PARENTS)
+    no_parents = F.array_repeat(F.lit(-1).cast("bigint"), n_parents)
     return packed.select(
         "task_no",
         "seed_id",

@@ -18,9 +18,8 @@ CELL_FIELDS = [
 ]
 
 
-def node_payload(nodes: DataFrame, edges: DataFrame, max_parents: int = 5) -> DataFrame:
-    """Per row: table, timestamp, number of cells, all parents with their path steps (``ups``)
-    and the first ``max_parents`` of them as ids."""
+def node_payload(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per row: table, timestamp, number of cells, all parents with their path steps (``ups``) and as ids."""
     steps = F.array_sort(F.collect_list(F.struct("fk_pos", path_step(F.col("fk_pos")).alias("step"), "parent_id")))
     ups = edges.groupBy(F.col("child_id").alias("node_id")).agg(steps.alias("ups"))
     none = F.array().cast("array<struct<fk_pos:int,step:string,parent_id:bigint>>")
@@ -28,18 +27,7 @@ def node_payload(nodes: DataFrame, edges: DataFrame, max_parents: int = 5) -> Da
         nodes.select("node_id", "table_name", "ts_sec", "is_task", "n_cells")
         .join(ups, "node_id", "left")
         .withColumn("ups", F.coalesce("ups", none))
-        .withColumn("f2p_nbr_ids", F.slice(F.col("ups")["parent_id"], 1, max_parents))
-    )
-
-
-def parent_cap_violations(edges: DataFrame, max_parents: int = 5) -> DataFrame:
-    """Rows with more parents than the cap, counted per table."""
-    return (
-        edges.groupBy("child_table", "child_id")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > max_parents)
-        .groupBy("child_table")
-        .agg(F.count("*").alias("n_rows"), F.max("n").alias("max_parents"))
+        .withColumn("f2p_nbr_ids", F.col("ups")["parent_id"])
     )
 
 

@@ -269,7 +269,6 @@ def sample_contexts(
     closure: DataFrame,
     config: SampleConfig,
     seeds_have_children: bool = True,
-    max_levels: int | None = None,
 ) -> DataFrame:
     """The rows of every seed's context in visiting order.
 
@@ -292,7 +291,7 @@ def sample_contexts(
         finished.append(level.filter("done"))
         active = level.filter("NOT done")
         deepest = active.agg(F.max("depth")).first()[0]
-        if deepest is None or deepest < depth or (max_levels is not None and depth >= max_levels):
+        if deepest is None or deepest < depth:
             finished.append(active)
             break
         rows = next_level(active, depth, adjacency, closure, config, draws)

@@ -15,6 +15,7 @@ from rowloom.plans.params import (
     SAMPLE_MOMENT,
     SAMPLE_WIDTH,
     STRIPE,
+    UNROLLED,
 )
 
 NUM, TEXT, DT, BOOL = 0, 1, 2, 3
@@ -150,7 +151,7 @@ def _rows() -> str:
 
 
 def _nodes() -> str:
-    return "nodes as (" + " union all ".join(
+    return "nodes as materialized (" + " union all ".join(
         f"select node_id, '{t[0]}' as table_name, '{t[1]}' as split, row_idx, ts_sec, {str(t[1] != 'db').lower()} as is_task, n_cells "
         f"from {_rel(t[0], t[1])}"
         for t in TABLES
@@ -167,7 +168,7 @@ def _edges() -> str:
                 f"'{parent}' as parent_table, p.ts_sec as parent_ts "
                 f"from {_rel(name, split)} c join {_rel(parent, 'db')} p on c.{col} = p.{_PKEY[parent]}"
             )
-    return "edges as (" + " union all ".join(parts) + ")"
+    return "edges as materialized (" + " union all ".join(parts) + ")"
 
 
 def _dictionary() -> str:
@@ -222,7 +223,7 @@ def _cells() -> str:
     z = "cast((raw - s.mean) / s.std as float)"
     return f"""
 raw_cells as ({' union all '.join(parts)}),
-cells as (
+cells as materialized (
   select r.node_id, cast(row_number() over (partition by r.node_id order by col_pos) - 1 as bigint) as cell_ord, r.col_id, r.sem_type,
          case when r.sem_type = 0 then {z} else 0 end as number_value,
          case when r.sem_type = 1 then d.text_id else 0 end as text_id,
@@ -270,15 +271,16 @@ def h60(*parts: str) -> str:
 
 
 CLOSURE = """
-closure as (
+closure_walk as (
   select node_id, node_id as ancestor_id, 0 as hops, '' as path from nodes
   union all
   select c.node_id, e.parent_id, c.hops + 1, c.path || lpad(cast(999 - e.fk_pos as varchar), 3, '0')
-  from closure c join edges e on e.child_id = c.ancestor_id
-)"""
+  from closure_walk c join edges e on e.child_id = c.ancestor_id
+),
+closure as materialized (select * from closure_walk)"""
 
 ADJACENCY = """
-adj as (
+adj as materialized (
   select row_number() over (order by parent_id, child_class, child_ts nulls first, child_id, fk_pos) - 1 as adj_pos, * from edges
 )"""
 
@@ -295,7 +297,7 @@ def draws(asks: str, width: int, name: str, seed: int = 0, epoch: int = 0) -> st
         "lambda acc, x: list_append(acc, case when list_contains(acc, x[2]) then x[1] else x[2] end))"
     )
     return f"""
-{name}_n as (
+{name}_n as materialized (
   select q.item_id, q.seed_id, q.seed_ts, q.parent_id, q.child_class, min(a.adj_pos) as start, count(*) as n
   from {asks} q join adj a on q.parent_id = a.parent_id and q.child_class = a.child_class
    and (a.child_ts is null or q.seed_ts is null or a.child_ts <= q.seed_ts)
@@ -307,18 +309,25 @@ def draws(asks: str, width: int, name: str, seed: int = 0, epoch: int = 0) -> st
          unnest(case when n = k then range(n) else {floyd} end) as o
   from {name}_k
 ),
-{name} as (
+{name} as materialized (
   select o.item_id, o.seed_id, o.seed_ts, o.parent_id, o.child_class, a.adj_pos, a.child_id, a.child_cells,
          -ln(1 - {h60(str(seed), str(epoch), repr('k'), 'o.seed_id', 'a.adj_pos')} / {float(1 << 60)!r}) as key
   from {name}_o o join adj a on a.adj_pos = o.start + o.o
 )"""
 
 
-def contexts(seeds_sql: str, width: int, levels: int) -> str:
-    """CTEs ending in ``visits``: every context row in order, with no budget applied.
+def contexts(seeds_sql: str, width: int, seq_len: int, lost: dict[str, int] | None = None, levels: int = UNROLLED) -> str:
+    """CTEs ending in ``visits``: every context row that begins inside the budget, in order.
 
-    ``seeds_sql`` gives task_no, seed_id, seed_ts, seed_class.
+    ``seeds_sql`` gives task_no, seed_id, seed_ts, seed_class; ``lost`` the columns
+    that a row of a table may hide. A row that begins behind ``seq_len`` sure cells shows
+    nothing, and later levels come after it, so that it is left out and the walk dies out.
     """
+    sure = "n.n_cells" + "".join(f" - case when n.table_name = '{t}' then {k} else 0 end" for t, k in (lost or {}).items())
+    before = (
+        f"coalesce(sum(greatest(0, {sure})) over (partition by v.item_id order by v.level, v.key, v.tie, v.path "
+        "rows between unbounded preceding and 1 preceding), 0)"
+    )
     out = [
         CLOSURE,
         ADJACENCY,
@@ -343,14 +352,15 @@ q{d} as (
         out.append(draws(f"q{d}", width, f"s{d}"))
         out.append(
             f"""
-v{d + 1} as (
-  select * from (
+v{d + 1} as materialized (
+  select v.* from (select * from (
     select item_id, task_no, seed_id, seed_ts, seed_class, node_id, level, key, tie, path, depth from v{d}
     union all
     select s.item_id, i.task_no, s.seed_id, s.seed_ts, i.seed_class, c.ancestor_id, {d + 1}, s.key, s.adj_pos, c.path, {d + 1} + c.hops
     from s{d} s join items i on i.item_id = s.item_id join closure c on c.node_id = s.child_id
   )
-  qualify row_number() over (partition by item_id, node_id order by level, key, tie, path) = 1
+  qualify row_number() over (partition by item_id, node_id order by level, key, tie, path) = 1) v
+  join nodes n on n.node_id = v.node_id qualify {before} < {seq_len}
 )"""
         )
     out.append(f"visits as (select * from v{levels})")
@@ -375,7 +385,7 @@ def shown(seq_len: int, drops: dict[int, list[int]] | None = None, targets: dict
     )
     target = "case v.task_no " + " ".join(f"when {t} then {c}" for t, c in (targets or {0: -1}).items()) + " end"
     return f"""
-ctx as (
+ctx as materialized (
   select * from (
     select v.task_no, v.seed_id, v.seed_ts, v.node_id, v.depth, n.table_name, n.is_task, c.* exclude (node_id),
            row_number() over (partition by v.item_id order by v.level, v.key, v.tie, v.path, c.cell_ord) - 1 as pos,
@@ -391,22 +401,22 @@ CHURN_COL = COLUMN_IDS[("customer-churn", "churn")]
 
 
 def churn_contexts(more: str = "") -> str:
-    text = contexts(churn_seeds(), CONTEXT["width"], CONTEXT["levels"]) + ",\n" + shown(
+    text = contexts(churn_seeds(), CONTEXT["width"], CONTEXT["seq_len"]) + ",\n" + shown(
         CONTEXT["seq_len"], targets={0: CHURN_COL, 1: CHURN_COL, 2: CHURN_COL}
     )
     return with_(*FULL, more=text + (",\n" + more if more else ""))
 
 
 PARENTS = """
-parents as (select child_id as node_id, list(parent_id order by fk_pos) as f2p from edges group by child_id)"""
+parents as materialized (select child_id as node_id, list(parent_id order by fk_pos) as f2p from edges group by child_id)"""
 
 CTX_ROWS = PARENTS + """,
-crow as (
+crow as materialized (
   select c.task_no, c.seed_id, c.node_id, c.table_name, count(*) as n, bool_or(c.is_target) as is_target,
          list(c.pos order by c.pos) as q_pos, any_value(p.f2p) as f2p
   from ctx c left join parents p on p.node_id = c.node_id group by all
 ),
-link as (
+link as materialized (
   select distinct a.task_no, a.seed_id, a.node_id, b.node_id as parent_id, a.n, b.n as m, a.q_pos, b.q_pos as parent_pos
   from (select *, unnest(f2p) as parent_id from crow) a
   join crow b on a.task_no = b.task_no and a.seed_id = b.seed_id and a.parent_id = b.node_id
@@ -576,11 +586,11 @@ where (sem_type = 1 and text is not null) or (sem_type <> 1 and raw is not null
     q["child_sample"] = with_(*GRAPH, more=ADJACENCY + ",\n" + asks + ",\n" + draws("asks", SAMPLE_WIDTH, "s")) + (
         "select parent_id, child_id, adj_pos from s"
     )
-    hop = contexts(churn_seeds(), CONTEXT["width"], 2)
+    hop = contexts(churn_seeds(), CONTEXT["width"], CONTEXT["seq_len"], levels=2)
     q["expand_one_hop"] = with_(*GRAPH, more=hop) + (
         "select i.task_no, s.seed_id, s.parent_id, s.child_class, s.child_id, s.child_cells from s1 s join items i on i.item_id = s.item_id"
     )
-    visits = contexts(churn_seeds(), CONTEXT["width"], CONTEXT["levels"])
+    visits = contexts(churn_seeds(), CONTEXT["width"], CONTEXT["seq_len"])
     q["context_nodes"] = with_(*GRAPH, more=visits) + f"""
 select task_no, seed_id, node_pos, node_id, depth, before from (
   select v.task_no, v.seed_id, v.node_id, v.depth,
@@ -598,7 +608,7 @@ select task_no, seed_id, node_pos, node_id, depth, before from (
         for i, (t, c) in enumerate((("orders", "o_totalprice"), ("lineitem", "l_linestatus")))
     )
     col = lambda t, c: COLUMN_IDS[(t, c)]
-    leak = contexts(leak_seeds, LEAK["width"], LEAK["levels"]) + ",\n" + shown(
+    leak = contexts(leak_seeds, LEAK["width"], LEAK["seq_len"], {"orders": 1, "lineitem": 1}) + ",\n" + shown(
         LEAK["seq_len"],
         drops={0: [col("orders", "o_orderstatus")], 1: [col("lineitem", "l_returnflag")]},
         targets={0: col("orders", "o_totalprice"), 1: col("lineitem", "l_linestatus")},

@@ -61,11 +61,10 @@ def contexts(
     tasks: list[ResolvedTask],
     pool: DataFrame,
     config: SampleConfig,
-    max_levels: int | None = None,
 ) -> DataFrame:
     """Context rows of every seed of the pool."""
     have_children = any(t.seed_class == 0 and is_parent(graph.catalog, t.task.table) for t in tasks)
-    return sample_contexts(pool, index.payload, index.adjacency, index.closure, config, have_children, max_levels)
+    return sample_contexts(pool, index.payload, index.adjacency, index.closure, config, have_children)
 
 
 def resolve_splits(graph: Graph, wanted: list[tuple[Task, str]]) -> list[ResolvedTask]:
@@ -92,7 +91,7 @@ def training_batches(
     pool = stage(seeds(graph.nodes, graph.cells, tasks), "seeds")
     config = run_config(tasks, width, seq_len, epoch=epoch, seed=seed)
     cells = context_cells(contexts(graph, index, tasks, pool, config), index.payload, graph.cells, tasks, seq_len)
-    padded = B.pad_contexts(cells, seq_len, [t.name for t in graph.catalog.tables])
+    padded = B.pad_contexts(cells, seq_len, [t.name for t in graph.catalog.tables], graph.catalog.max_parents())
     slots = B.stripe(B.epoch_order(pool, epoch, seed), batch_size, world_size)
     return B.assemble_batches(slots, padded)
 

@@ -93,7 +93,7 @@ class LocalRun:
     @cached_property
     def churn_nodes(self) -> DataFrame:
         config = PL.run_config(self.churn_tasks, CONTEXT["width"], CONTEXT["seq_len"])
-        found = PL.contexts(self.graph, self.index, self.churn_tasks, self.churn_seeds, config, CONTEXT["levels"])
+        found = PL.contexts(self.graph, self.index, self.churn_tasks, self.churn_seeds, config)
         return stage(found, "context_nodes")
 
     @cached_property
@@ -104,7 +104,7 @@ class LocalRun:
 
     @cached_property
     def churn_padded(self) -> DataFrame:
-        return B.pad_contexts(self.churn_cells, CONTEXT["seq_len"], [t.name for t in self.catalog.tables])
+        return B.pad_contexts(self.churn_cells, CONTEXT["seq_len"], [t.name for t in self.catalog.tables], self.catalog.max_parents())
 
     @cached_property
     def pool(self) -> DataFrame:
@@ -268,7 +268,7 @@ def q_leakage(run: LocalRun) -> DataFrame:
     tasks = PL.resolve_splits(run.graph, [(ORDER_TOTAL, "train"), (LINE_OPEN, "train")])
     seeds = stage(T.seeds(run.graph.nodes, run.graph.cells, tasks), "seeds")
     config = PL.run_config(tasks, LEAK["width"], LEAK["seq_len"])
-    nodes = PL.contexts(run.graph, run.index, tasks, seeds, config, LEAK["levels"])
+    nodes = PL.contexts(run.graph, run.index, tasks, seeds, config)
     return P.context_cells(nodes, run.index.payload, run.graph.cells, tasks, LEAK["seq_len"]).select(
         "task_no", "seed_id", "pos", "node_id", "depth", "col_id", "is_target", "is_task_node"
     )

@@ -129,6 +129,10 @@ class Catalog:
     def visibility_class(self, table: Table) -> int:
         return self.task_classes()[table.name] if table.is_task else 0
 
+    def max_parents(self) -> int:
+        """The most foreign keys of any table."""
+        return max((len(t.fkeys) for t in self.tables), default=0)
+
     def has_cycle(self) -> bool:
         return self.max_hops() is None
 

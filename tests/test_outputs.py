@@ -137,7 +137,7 @@ def test_relations_match_pairs(cells):
 
 
 def test_padding_masking_and_export(spark, cells):
-    padded = B.pad_contexts(cells, 10, ["t", "p", "q"], bf16=True)
+    padded = B.pad_contexts(cells, 10, ["t", "p", "q"], 5, bf16=True)
     row = padded.first()
     assert row.node_ids == [9, 9, 5, 5, 5, 4, 7, 7, -1, -1] and row.is_padding == [False] * 8 + [True] * 2
     assert row.f2p_nbr_ids[2] == [4, 5, -1, -1, -1] and row.f2p_nbr_ids[9] == [-1] * 5

@@ -53,7 +53,7 @@ def main() -> None:
         return out
 
     catalog = local_catalog(spark, SF_DIR, file_order=True)
-    graph = timed("graph_build", lambda: PL.stage_graph(build_graph(spark, catalog)))
+    graph = timed("graph_build", lambda: PL.stage_graph(build_graph(spark, catalog, spread=int(CPUS))))
     index = timed("sampling_index", lambda: PL.index_graph(graph))
     tasks = PL.resolve_splits(graph, [(CHURN, "test")])
     pool = stage(seeds(graph.nodes, graph.cells, tasks), "seeds")

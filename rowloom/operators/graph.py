@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowloom.functions import scalars as S
 from rowloom.operators import dictionary as D
@@ -25,16 +25,26 @@ from rowloom.sources.catalog import (
 )
 
 
-def table_info(catalog: Catalog) -> DataFrame:
-    """Row count, width and first node id of every table, in scan order."""
+def _dense_facts(t: Table):
+    """Keys, their sum and the sum of their squares where the primary key numbers the rows, else null."""
+    kind = "struct<n_keys: bigint, sum: decimal(38,0), squares: decimal(38,0)>"
+    if t.order != "pkey":
+        return F.lit(None).cast(kind)
+    key = F.col(t.pkey).cast("decimal(18,0)")
+    return F.struct(F.count(key).alias("n_keys"), F.sum(key).alias("sum"), F.sum(key * key).alias("squares")).cast(kind)
+
+
+def table_info(catalog: Catalog, with_keys: bool = False) -> DataFrame:
+    """Row count, width and first node id of every table, in scan order; with ``dense``, facts on the keys, on request."""
     counts = union_all(
         [
-            t.df.agg(F.count("*").alias("num_nodes")).select(
+            t.df.agg(F.count("*").alias("num_nodes"), *([_dense_facts(t).alias("dense")] if with_keys else [])).select(
                 F.lit(i).alias("scan_pos"),
                 F.lit(t.name).alias("table_name"),
                 F.lit(t.split).alias("split"),
                 "num_nodes",
                 (F.col("num_nodes") * len(t.all_columns())).alias("num_cells"),
+                *(["dense"] if with_keys else []),
             )
             for i, t in enumerate(catalog.tables)
         ]
@@ -47,6 +57,7 @@ def table_info(catalog: Catalog) -> DataFrame:
         "node_offset",
         "num_nodes",
         "num_cells",
+        *(["dense"] if with_keys else []),
     )
 
 
@@ -63,24 +74,21 @@ class Numbered:
         return self.rows[(t.name, t.split)]
 
 
-# A table of this many rows that comes in fewer pieces than there are cores is
-# written again in as many pieces as cores. Large tables never are.
-SPREAD_ROWS = 100_000
-
+def number_rows(catalog: Catalog, spread: int = 0) -> Numbered:
+    """Assign node ids. Reads back one row per table: the offsets, and what tells whether declared dense keys are.
 
-def number_rows(catalog: Catalog) -> Numbered:
-    """Assign node ids. Reads back one row per table: the offsets."""
+    ``spread`` writes tables that come in fewer pieces again in so many: for tables in a few large files.
+    """
+    counted = table_info(catalog, with_keys=True).collect()
+    ranges = {(r.table_name, r.split): (r.node_offset, r.num_nodes) for r in counted}
+    for r in counted:
+        refuse_sparse(r)
     info = table_info(catalog)
-    ranges = {
-        (r.table_name, r.split): (r.node_offset, r.num_nodes) for r in info.collect()
-    }
 
     def numbered(t: Table) -> tuple[Table, DataFrame]:
-        offset, count = ranges[(t.name, t.split)]
-        rows = with_row_index(t).withColumn("node_id", F.col("row_idx") + F.lit(offset))
-        cores = t.df.sparkSession.sparkContext.defaultParallelism
-        if count >= SPREAD_ROWS and t.df.rdd.getNumPartitions() < cores:
-            rows = stage(rows.repartition(cores), t.name)
+        rows = with_row_index(t).withColumn("node_id", F.col("row_idx") + F.lit(ranges[(t.name, t.split)][0]))
+        if spread and t.df.rdd.getNumPartitions() < spread:
+            rows = stage(rows.repartition(spread), t.name)
             t = t.with_df(rows.drop("row_idx", "node_id"))
         return t, rows
 
@@ -90,6 +98,14 @@ def number_rows(catalog: Catalog) -> Numbered:
     return Numbered(Catalog(tuple(tables), catalog.name), rows, ranges, info)
 
 
+def refuse_sparse(counted) -> None:
+    """Keys that number the rows must be 0..n-1, each once: else ids would run into those of other tables."""
+    n = counted.num_nodes
+    want = (n, n * (n - 1) // 2, (n - 1) * n * (2 * n - 1) // 6)
+    if counted.dense is not None and tuple(int(counted.dense[c] or 0) for c in ("n_keys", "sum", "squares")) != want:
+        raise ValueError(f"the keys of {counted.table_name} ({counted.split}) are not 0 to {n - 1}, each once: give the table another order")
+
+
 def row_seconds(t: Table):
     return S.epoch_seconds(F.col(t.time_col)) if t.time_col else F.lit(None).cast("bigint")
 
@@ -139,6 +155,46 @@ EDGE_SCHEMA = (
 )
 
 
+def comparable(child: Table, col: str, parent: Table) -> tuple[Column, Column]:
+    """A foreign key and its parent's key in one type: whole numbers of any type, texts, or one same type.
+
+    A number that is not whole, NaN or infinite meets no whole one. Keys that cannot be compared are refused.
+    """
+
+    def kind(dtype: T.DataType) -> str:
+        if isinstance(dtype, T.NumericType):
+            return "number"
+        return "text" if isinstance(dtype, T.StringType) else dtype.simpleString()
+
+    def key(df: DataFrame, name: str) -> Column:
+        c = F.col(name)
+        if isinstance(df.schema[name].dataType, T.IntegralType) or kind(df.schema[name].dataType) != "number":
+            return c.cast("bigint") if kind(df.schema[name].dataType) == "number" else c
+        whole = (c == F.floor(c)) & (F.abs(c) < F.lit(2.0**63))
+        return F.when(whole, c.cast("bigint"))
+
+    kinds = kind(child.df.schema[col].dataType), kind(parent.df.schema[parent.pkey].dataType)
+    if kinds[0] != kinds[1]:
+        raise ValueError(f"{child.name}.{col} ({kinds[0]}) cannot be compared with {parent.name}.{parent.pkey} ({kinds[1]})")
+    return key(child.df, col), key(parent.df, parent.pkey)
+
+
+def key_report(numbered: Numbered, edges: DataFrame) -> DataFrame:
+    """table_name, split, col_name, n_rows, n_set, n_matched of each foreign key: n_set - n_matched values met no parent row."""
+    parts = []
+    for t in numbered.catalog.tables:
+        if t.fkeys:
+            entries = [F.struct(F.lit(c).alias("col_name"), F.count(c).alias("n_set")) for c in t.fkey_cols]
+            counted = numbered.node_rows(t).agg(F.count("*").alias("n_rows"), F.array(*entries).alias("e"))
+            parts.append(counted.select(F.lit(t.name).alias("table_name"), F.lit(t.split).alias("split"), "n_rows", F.inline("e")))
+    matched = edges.groupBy(
+        F.col("child_table").alias("table_name"), F.col("child_split").alias("split"), F.col("fk_col").alias("col_name")
+    ).agg(F.count("*").alias("n_matched"))
+    empty = "table_name string, split string, n_rows bigint, col_name string, n_set bigint"
+    key = ["table_name", "split", "col_name"]
+    return union_all(parts, numbered.catalog.spark, empty).join(matched, key, "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)).cast("bigint"))
+
+
 def edges(numbered: Numbered, parent_ts: bool = True) -> DataFrame:
     """One row per foreign key value that meets a parent row; several keys to one parent stay apart.
 
@@ -168,7 +224,7 @@ def edges(numbered: Numbered, parent_ts: bool = True) -> DataFrame:
             entries = []
             for pos, col, parent in positional:
                 offset, count = numbered.ranges[(parent.name, "db")]
-                key = F.col(col).cast("bigint")
+                key = comparable(t, col, parent)[0]
                 hit = key.between(0, count - 1)
                 entries.append(
                     F.struct(
@@ -186,13 +242,13 @@ def edges(numbered: Numbered, parent_ts: bool = True) -> DataFrame:
                 .filter(F.col("parent_id").isNotNull())
             )
         for pos, col, parent in keyed:
-            key_type = "bigint" if parent.order == "pkey" else "string"
+            down_key, up_key = comparable(t, col, parent)
             up = numbered.node_rows(parent).select(
-                F.col(parent.pkey).cast(key_type).alias("__key"),
+                up_key.alias("__key"),
                 F.col("node_id").alias("parent_id"),
                 row_seconds(parent).alias("parent_ts"),
             )
-            down = base.select(*common, F.col(col).cast(key_type).alias("__key")).filter(F.col("__key").isNotNull())
+            down = base.select(*common, down_key.alias("__key")).filter(F.col("__key").isNotNull())
             parts.append(
                 down.join(up, "__key")
                 .drop("__key")
@@ -349,13 +405,14 @@ def build_graph(
     compat: bool = False,
     datetime_splits: list[str] | None = None,
     parent_ts: bool = True,
+    spread: int = 0,
 ) -> Graph:
     """Nodes, edges, cells and their dictionaries for a catalog.
 
     ``staged`` writes the text dictionary and the statistics once, so that
     every later table starts from them.
     """
-    numbered = number_rows(catalog)
+    numbered = number_rows(catalog, spread)
 
     def statistics() -> DataFrame:
         stats = column_stats(numbered.catalog, datetime_splits=datetime_splits)

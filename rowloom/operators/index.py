@@ -100,13 +100,3 @@ def with_row_index(table: Table) -> DataFrame:
     if table.index_cell:
         out = out.withColumn(table.index_cell, F.col("row_idx"))
     return out
-
-
-def check_dense(table: Table) -> DataFrame:
-    """One row per table whose declared dense key is not 0..n-1 (empty when all is well)."""
-    key = F.col(table.pkey)
-    return (
-        table.df.agg(F.count("*").alias("n"), F.count(key).alias("n_keys"), F.min(key).alias("lo"), F.max(key).alias("hi"))
-        .filter((F.col("n") > 0) & ((F.col("n") != F.col("n_keys")) | (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1)))
-        .select(F.lit(table.name).alias("table_name"), "n", "n_keys", "lo", "hi")
-    )

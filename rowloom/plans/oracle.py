@@ -475,6 +475,21 @@ def oracle() -> dict[str, str]:
     q["nodes"] = with_(*BASE, "nodes") + "select * from nodes"
     q["nodes_skip_db"] = with_(*BASE, "nodes") + "select * from nodes where split <> 'db'"
     q["edges_fk"] = with_(*GRAPH) + "select * from edges"
+    q["edges_typed"] = """
+with up as (select c_custkey, row_number() over (order by c_custkey) - 1 as node_id from customer),
+n as (select count(*) as k from customer),
+down as (
+  select o_orderkey, k + row_number() over (order by o_orderkey) - 1 as node_id, o_totalprice,
+         case when o_orderkey % 5 <> 0 then o_custkey + case when o_orderkey % 7 = 0 then 0.5 when o_orderkey % 11 = 0 then 1e9 else 0 end end as who
+  from orders, n
+)
+select d.node_id as child_id, 'who' as fk_col, u.node_id as parent_id, case when o_totalprice is null then 0 else 1 end as child_cells
+from down d join up u on d.who = u.c_custkey"""
+    q["six_parents"] = """
+with n as (select (select count(*) from lineitem) as l, (select count(*) from orders) as o, (select count(*) from part) as p)
+select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 as node_id,
+       array_to_string([l + l_orderkey, l + o + l_partkey, l + o + p + l_suppkey, l + l_orderkey, l + o + l_partkey, l + o + p + l_suppkey], ',') as parents
+from lineitem, n"""
     q["parents_list"] = with_(*GRAPH) + (
         f"select child_id, {joined('list(parent_id order by fk_pos)')} as parent_ids from edges group by child_id"
     )

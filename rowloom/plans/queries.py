@@ -151,9 +151,7 @@ def q_table_roles(run: LocalRun) -> DataFrame:
             t.df.agg(F.count("*").alias("n_rows"), F.array(*entries).alias("e"))
             .select(F.lit(t.name).alias("table_name"), F.lit(t.split).alias("split"), "n_rows", F.inline("e"))
         )
-    matched = run.graph.edges.groupBy(
-        F.col("child_table").alias("table_name"), F.col("child_split").alias("split"), F.col("fk_col").alias("col_name")
-    ).agg(F.count("*").alias("n_hit"))
+    matched = G.key_report(run.numbered, run.graph.edges).select("table_name", "split", "col_name", F.col("n_matched").alias("n_hit"))
     key = ["table_name", "split", "col_name"]
     out = roles.join(union_all(parts), key).join(matched, key, "left")
     hit = F.when(F.col("role") == "fkey", F.coalesce("n_hit", F.lit(0))).otherwise(F.col("n_set"))
@@ -176,6 +174,39 @@ def q_null_nan(run: LocalRun) -> DataFrame:
     return G.raw_cells(numbered, t).select("node_id", F.col("cell_ord").cast("bigint").alias("cell_ord"), "sem_type", "text", "raw")
 
 
+def q_edges_typed(run: LocalRun) -> DataFrame:
+    """Orders whose customer key is a double, with nulls, fractions and keys that meet no customer."""
+    key = F.col("o_orderkey")
+    down = run.table("orders").select(
+        "o_orderkey",
+        "o_totalprice",
+        F.when(key % 5 != 0, F.col("o_custkey").cast("double") + F.when(key % 7 == 0, F.lit(0.5)).when(key % 11 == 0, F.lit(1e9)).otherwise(F.lit(0.0))).alias("who"),
+    )
+    up = run.table("customer").select("c_custkey", "c_acctbal")
+    tables = [
+        Table("buyers", up, pkey="c_custkey", order=("c_custkey",)),
+        Table("sales", down, pkey="o_orderkey", fkeys=(("who", "buyers"),), order=("o_orderkey",)),
+    ]
+    return G.edges(G.number_rows(Catalog.of(tables, "typed"))).select("child_id", "fk_col", "parent_id", "child_cells")
+
+
+def q_six_parents(run: LocalRun) -> DataFrame:
+    """Line items with six foreign keys: all parents in the order of the columns."""
+    line = run.table("lineitem").select(
+        *LINE_KEY,
+        *[F.col(c).alias(f"{c}_again") for c in ("l_orderkey", "l_partkey", "l_suppkey")],
+    )
+    keys = [(f"l_{c}", p) for c, p in (("orderkey", "orders"), ("partkey", "part"), ("suppkey", "supplier"))]
+    keys += [(f"{c}_again", p) for c, p in keys]
+    parents = [
+        Table(n, run.table(n).select(k, v), pkey=k, order="pkey")
+        for n, k, v in (("orders", "o_orderkey", "o_totalprice"), ("part", "p_partkey", "p_size"), ("supplier", "s_suppkey", "s_acctbal"))
+    ]
+    numbered = G.number_rows(Catalog.of([*parents, Table("links", line, fkeys=tuple(keys), order=tuple(LINE_KEY))], "six"))
+    payload = P.node_payload(G.nodes(numbered), G.edges(numbered))
+    return payload.filter("table_name = 'links'").select("node_id", joined("f2p_nbr_ids").alias("parents"))
+
+
 def with_nulls(run: LocalRun) -> DataFrame:
     return run.table("orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("o_orderstatus"), "o_custkey")
 
@@ -391,6 +422,8 @@ QUERIES: dict[str, Callable[[LocalRun], DataFrame]] = {
         r4("datetime_value").alias("datetime_value"), r4("boolean_value").alias("boolean_value"), "class_value_id",
     ),
     "cells_null_nan": q_null_nan,
+    "edges_typed": q_edges_typed,
+    "six_parents": q_six_parents,
     "sem_types": lambda r: r.graph.cells.groupBy("col_id", "sem_type").agg(F.count("*").alias("n_cells")),
     "col_stats_num": lambda r: stats_view(r).filter("sem_type = 0"),
     "col_stats_bool": lambda r: stats_view(r).filter("sem_type = 3"),

@@ -7,6 +7,7 @@ tables and columns of the database.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
@@ -198,28 +199,33 @@ def is_cell(f: T.StructField) -> Column:
 # -- sources ---------------------------------------------------------------
 
 
-def classify_path(path: Column) -> dict[str, Column]:
-    """Table name and split of a file laid out as db/<t>.parquet or tasks/<t>/<split>.parquet."""
-    task = F.regexp_extract(path, r"/tasks/([^/]+)/(train|val|test)\.parquet", 1)
-    split = F.regexp_extract(path, r"/tasks/([^/]+)/(train|val|test)\.parquet", 2)
-    db = F.regexp_extract(path, r"/db/([^/]+)\.parquet", 1)
-    return {
-        "table_name": F.when(task != "", task).when(db != "", db),
-        "split": F.when(split != "", split).when(db != "", F.lit("db")),
-    }
-
-
 def is_link_task(path_in_db: str) -> bool:
     """Link-prediction tasks carry exactly two hyphens in their path within the database."""
     return path_in_db.count("-") == 2
 
 
 def _listing(root: str):
+    """All parquet files below ``root``, and the tables they make up: a file or a folder of part files each."""
     from pyarrow import fs
 
     filesystem, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
     infos = filesystem.get_file_info(fs.FileSelector(base, recursive=True))
-    return filesystem, base, sorted(i.path for i in infos if i.is_file and i.path.endswith(".parquet"))
+    files = sorted(i.path for i in infos if i.is_file and i.path.endswith(".parquet"))
+    tables: dict[tuple[str, ...], str] = {}
+    for path in files:
+        parts = path[len(base):].strip("/").split("/")
+        ends = [k for k, part in enumerate(parts) if part.endswith(".parquet")]
+        tables.setdefault(tuple(parts[: ends[0] + 1]), path)
+    return filesystem, tables
+
+
+def table_of_path(parts: tuple[str, ...]) -> tuple[str, str]:
+    """Table name and split of db/<t>.parquet or tasks/<t>/<split>.parquet; anything else is refused."""
+    if len(parts) == 2 and parts[0] == "db":
+        return parts[1].removesuffix(".parquet"), "db"
+    if len(parts) == 3 and parts[0] == "tasks" and (split := parts[2].removesuffix(".parquet")) in SPLITS[1:]:
+        return parts[1], split
+    raise ValueError(f"{'/'.join(parts)} is neither db/<table>.parquet nor tasks/<table>/<{'|'.join(SPLITS[1:])}>.parquet")
 
 
 def read_roles(filesystem, path: str, fk_override: dict[str, str] | None = None) -> dict:
@@ -252,27 +258,25 @@ def load_catalog(
 ) -> Catalog:
     """Read a database folder: db/*.parquet first, then tasks/*/*.parquet, each by path.
 
-    The roles come from the footers. ``clean(name, table)`` may change a table
-    before its rows are numbered in the order of the files.
+    A table is a file or a folder of part files. The roles come from the footers. ``clean(name, table)``
+    may change a table before its rows are numbered in the order of the files. Link-prediction tasks are left out with a
+    warning; any other path is an error.
     """
-    filesystem, base, paths = _listing(root.rstrip("/"))
-    tables = []
-    for path in paths:
-        parts = path[len(base):].strip("/").split("/")
+    filesystem, paths = _listing(root.rstrip("/"))
+    tables, left_out = [], []
+    for parts, first_file in sorted(paths.items()):
         if is_link_task("/".join(parts)):
+            left_out.append("/".join(parts))
             continue
-        if parts[0] == "db" and len(parts) == 2:
-            table, split = parts[1].removesuffix(".parquet"), "db"
-        elif parts[0] == "tasks" and len(parts) == 3:
-            table, split = parts[1], parts[2].removesuffix(".parquet")
-            if split not in SPLITS:
-                continue
-        else:
-            continue
-        roles = read_roles(filesystem, path, FK_OVERRIDES.get(name))
-        uri = f"{root.rstrip('/')}/{'/'.join(parts)}"
-        found = Table(name=table, df=spark.read.parquet(uri), split=split, order="file", **roles)
+        table, split = table_of_path(parts)
+        roles = read_roles(filesystem, first_file, FK_OVERRIDES.get(name))
+        df = spark.read.parquet(f"{root.rstrip('/')}/{'/'.join(parts)}")
+        # Keys count in the order of the table's columns, whatever the order of the footer.
+        roles["fkeys"] = tuple(sorted(roles["fkeys"], key=lambda k: df.columns.index(k[0])))
+        found = Table(name=table, df=df, split=split, order="file", **roles)
         tables.append(clean(name, found) if clean is not None else found)
+    if left_out:
+        warnings.warn(f"link-prediction tables left out of {name}: {', '.join(left_out)}", stacklevel=2)
     return Catalog.of(tables, name)
 
 

@@ -11,7 +11,7 @@ from rowloom.operators.clean import clean_table
 from rowloom.plans import pipeline as PL
 from rowloom.session import stage_root
 from rowloom.sources import tasks as T
-from rowloom.sources.catalog import classify_path, load_catalog, table_roles
+from rowloom.sources.catalog import load_catalog, table_roles
 
 
 def put(path, columns, pkey=None, fkeys=None, time_col=None, parts=None):
@@ -79,11 +79,28 @@ def test_overrides_and_missing_roles(spark):
         load_catalog(spark, str(root), "rel-avito")
 
 
-def test_classify_path(spark, root):
-    df = spark.read.option("recursiveFileLookup", True).schema("user long").parquet(root)
-    parts = classify_path(F.col("_metadata.file_path"))
-    got = {(r.table_name, r.split) for r in df.select(*[c.alias(n) for n, c in parts.items()]).collect()}
-    assert ("users", "db") in got and ("user-repeat", "val") in got
+def test_folder_tables_and_unknown_paths(spark):
+    from pathlib import Path
+
+    root = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    put(root / "db/users.parquet", {"id": [0, 1]}, pkey="id")
+    for k in range(3):  # a table as Spark writes it
+        put(root / f"db/orders.parquet/part-{k}.parquet", {"b": [k], "a": [1], "v": [1.0]}, fkeys={"a": "users", "b": "users"})
+    put(root / "tasks/t/train.parquet", {"u": [0], "y": [True]}, fkeys={"u": "users"})
+    catalog = load_catalog(spark, str(root), "x")
+    assert [(t.name, t.split) for t in catalog.tables] == [("orders", "db"), ("users", "db"), ("t", "train")]
+    assert catalog.table("orders").df.count() == 3
+    # Keys in the order of the columns, not of the footer.
+    assert catalog.table("orders").fkey_cols == ["b", "a"]
+    put(root / "tasks/a-b-c/train.parquet", {"u": [0]}, fkeys={})
+    with pytest.warns(UserWarning, match="a-b-c"):
+        load_catalog(spark, str(root), "x")
+    (root / "tasks/a-b-c/train.parquet").unlink()
+    for odd in ("tasks/t/holdout.parquet", "tasks/t/db.parquet", "db/deep/x.parquet", "plain.parquet"):
+        put(root / odd, {"u": [0]})
+        with pytest.raises(ValueError, match="neither"):
+            load_catalog(spark, str(root), "x")
+        (root / odd).unlink()
 
 
 def test_file_order_spans_files(spark):
@@ -95,12 +112,54 @@ def test_file_order_spans_files(spark):
     assert got.filter("id <> row_idx").count() == 0 and got.count() == 1000
 
 
-def test_check_dense(spark):
-    from rowloom.sources.catalog import Table
+def test_keys_that_do_not_number_the_rows(spark):
+    from rowloom.sources.catalog import Catalog, Table
+
+    for keys in ([1, 2], [0, 5, 7], [0, 0, 2], [0, 2, 2, 2, 4], [0, None]):
+        df = spark.createDataFrame([(k, 1) for k in keys], "id long, v int")
+        with pytest.raises(ValueError, match="each once"):
+            G.number_rows(Catalog.of([Table("t", df, pkey="id", order="pkey")]))
+    for n in (0, 1, 5):
+        G.number_rows(Catalog.of([Table("t", spark.range(n).withColumn("v", F.lit(1)), pkey="id", order="pkey")]))
 
-    good = Table("g", spark.range(5), pkey="id", order="pkey")
-    gap = Table("h", spark.range(1, 5), pkey="id", order="pkey")
-    assert I.check_dense(good).count() == 0 and I.check_dense(gap).first().lo == 1
+
+@pytest.mark.parametrize("order", ["pkey", ("id",)])
+def test_keys_of_other_number_types(spark, order):
+    from rowloom.sources.catalog import Catalog, Table
+
+    up = Table("up", spark.range(3).withColumn("v", F.lit(1)), pkey="id", order=order)
+    rows = [(1.0, 0), (None, 1), (2.0, 2), (1.5, 3), (9.0, 4), (float("nan"), 5), (float("inf"), 6)]
+    for kind in ("double", "float"):
+        down = Table("down", spark.createDataFrame(rows, f"k {kind}, v int"), fkeys=(("k", "up"),), order=("v",))
+        numbered = G.number_rows(Catalog.of([up, down]))
+        edges = G.edges(numbered)
+        assert sorted((r.child_id, r.parent_id) for r in edges.collect()) == [(0, 8), (2, 9)]
+        report = G.key_report(numbered, edges).first()
+        assert (report.n_rows, report.n_set, report.n_matched) == (7, 6, 2)
+    text = Table("down", spark.createDataFrame([("1", 0)], "k string, v int"), fkeys=(("k", "up"),), order=("v",))
+    with pytest.raises(ValueError, match="cannot be compared"):
+        G.edges(G.number_rows(Catalog.of([up, text])))
+
+
+def test_six_keys_keep_six_parents(spark):
+    from rowloom.operators.assemble import pad_contexts
+    from rowloom.operators.payload import context_cells, node_payload
+    from rowloom.sources.catalog import Catalog, Table
+
+    up = Table("up", spark.range(8).withColumn("v", F.lit(1)), pkey="id", order="pkey")
+    cols = [f"k{i}" for i in range(6)]
+    down = Table("down", spark.createDataFrame([(*range(1, 7), 5)], ", ".join(f"{c} long" for c in cols) + ", v int"),
+                 fkeys=tuple((c, "up") for c in cols), order=("v",))
+    catalog = Catalog.of([up, down])
+    graph = G.build_graph(spark, catalog)
+    payload = node_payload(graph.nodes, graph.edges)
+    (row,) = payload.filter("table_name = 'down'").collect()
+    assert row.f2p_nbr_ids == [2, 3, 4, 5, 6, 7] and catalog.max_parents() == 6
+    nodes = spark.createDataFrame([(0, 0, 0, 0, 0, 0.0, 0, "", 0, 1, 0)], "item_id long, task_no int, seed_id long, seed_ts long, "
+                                  "level int, key double, tie long, path string, node_id long, n_cells int, before long").withColumn("depth", F.lit(0))
+    cells = context_cells(nodes, payload, graph.cells, [], 4)
+    padded = pad_contexts(cells, 4, ["up", "down"], catalog.max_parents()).first()
+    assert padded.f2p_nbr_ids[0] == [2, 3, 4, 5, 6, 7] and padded.f2p_nbr_ids[1] == [-1] * 6
 
 
 def test_sparse_and_text_keys(spark):

@@ -31,7 +31,8 @@ class SampleConfig:
 
     ``strict_time`` hides rows of the seed's own task that have the seed's
     time. ``hidden`` lists (first node, last node, columns) for tables whose
-    rows may lose that many leakage columns.
+    rows may lose that many leakage columns, ``hidden_children`` (visibility class, columns)
+    for the task tables among them.
     """
 
     width: int
@@ -40,6 +41,7 @@ class SampleConfig:
     seed: int = 0
     strict_time: bool = False
     hidden: tuple[tuple[int, int, int], ...] = field(default=())
+    hidden_children: tuple[tuple[int, int], ...] = field(default=())
 
     def sure_cells(self, node: Column, n_cells: Column) -> Column:
         """Cells a row shows whatever the seed: a lower bound used only to stop early."""
@@ -106,11 +108,11 @@ def child_draws(config: SampleConfig) -> Column:
     n, start = F.col("n"), F.col("start")
     width = F.lit(config.width).cast("bigint")
     per_key = (F.col("max_fk_pos") + 1).cast("bigint")
-    dropped = max([columns for _, _, columns in config.hidden], default=0)
-    if dropped == 0:
-        head = (F.lit(config.seq_len) + F.col("n_bare")) * per_key
-    else:
-        head = F.when(F.col("min_cells") > dropped, F.lit(config.seq_len) * per_key).otherwise(n)
+    head = (F.lit(config.seq_len) + F.col("n_bare")) * per_key
+    # Children of one class are rows of one task table: only its own leakage columns count.
+    for seed_class, columns in config.hidden_children:
+        own = F.when(F.col("min_cells") > columns, F.lit(config.seq_len) * per_key).otherwise(n)
+        head = F.when(F.col("child_class") == seed_class, own).otherwise(head)
     is_db = F.col("child_class") == 0
     limit = F.when(is_db, width).otherwise(head)
     k = F.least(n, limit)

@@ -14,7 +14,7 @@ from rowloom.operators.payload import context_cells, node_payload
 from rowloom.operators.sampling import SampleConfig, sample_contexts
 from rowloom.session import stage, together
 from rowloom.sources.catalog import Catalog
-from rowloom.sources.tasks import ResolvedTask, Task, hidden_columns, resolve_tasks, seeds
+from rowloom.sources.tasks import ResolvedTask, Task, hidden_children, hidden_columns, resolve_tasks, seeds
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def is_parent(catalog: Catalog, table: str) -> bool:
 
 
 def run_config(tasks: list[ResolvedTask], width: int, seq_len: int, **options) -> SampleConfig:
-    return SampleConfig(width=width, seq_len=seq_len, hidden=hidden_columns(tasks), **options)
+    return SampleConfig(width=width, seq_len=seq_len, hidden=hidden_columns(tasks), hidden_children=hidden_children(tasks), **options)
 
 
 def contexts(

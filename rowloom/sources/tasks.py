@@ -182,6 +182,15 @@ def hidden_columns(tasks: list[ResolvedTask]) -> tuple[tuple[int, int, int], ...
     return tuple((a, b, n) for (a, b), n in sorted(most.items()))
 
 
+def hidden_children(tasks: list[ResolvedTask]) -> tuple[tuple[int, int], ...]:
+    """Visibility classes of task tables that may lose leakage columns, with the most a task hides there."""
+    most: dict[int, int] = {}
+    for t in tasks:
+        if t.seed_class and t.drop_col_ids:
+            most[t.seed_class] = max(most.get(t.seed_class, 0), len(t.drop_col_ids))
+    return tuple(sorted(most.items()))
+
+
 def seed_ranges(tasks: DataFrame, table_info: DataFrame, splits: list[str]) -> DataFrame:
     """Node range per task and split, the database table first."""
     wanted = tasks.select("*", F.explode(F.array(*[F.lit(s) for s in splits])).alias("wanted_split"))

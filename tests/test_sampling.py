@@ -146,3 +146,23 @@ def test_sampling_is_uniform(spark):
                 times[node] += 1
     want = n_seeds * width / n
     assert all(abs(t - want) < 5 * want**0.5 for t in times[1:])
+
+
+def test_other_tasks_of_a_pool_do_not_widen_the_draw(spark):
+    """Leakage columns of an orders task say nothing about the rows of the churn task."""
+    from dataclasses import replace
+
+    from rowloom.operators import sampling as SP
+    from rowloom.plans import pipeline as PL
+    from rowloom.plans.local import CHURN, ORDER_TOTAL
+    from rowloom.plans.queries import run_for
+
+    run = run_for(spark, "/root/testdata/sf0.001")
+    alone = PL.resolve_splits(run.graph, [(CHURN, "train")])
+    wide = replace(ORDER_TOTAL, drop_cols=("o_orderstatus", "o_orderpriority"))
+    mixed = PL.resolve_splits(run.graph, [(CHURN, "train"), (wide, "train")])
+    first = SP.with_ancestors(SP.first_level(run.churn_seeds, run.index.payload), run.index.closure).filter("depth = 1")
+    drawn = [
+        SP.expand(first, run.index.adjacency, PL.run_config(tasks, 4, 1)).filter("child_class > 0").count() for tasks in (alone, mixed)
+    ]
+    assert drawn[0] == drawn[1] > 0

@@ -24,7 +24,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Shingles sketched at once; registers of parts are merged by maximum.
 STEP_SHINGLES = 8192
 #: A pair is verified unless its best estimate is so much likelier (nats) than the threshold.
-DOUBT = 12.0
+DOUBT = 9.0
 #: Buckets up to this size list their pairs directly; members of larger ones meet in blocks of about this many.
 SMALL, BLOCK = 16, 256
 #: Word hashes that a worker remembers.
@@ -95,10 +95,11 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
-    rows = sketch.reshape(BANDS, BAND_ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    """Keys of the bands of one sketch, or row by row of several."""
+    rows = sketch.reshape(*sketch.shape[:-1], BANDS, BAND_ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:-1])
     for k in range(BAND_ROWS):
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[..., k])
     return h.view(np.int64)
 
 
@@ -230,15 +231,13 @@ def private_shingles(sets: DataFrame) -> DataFrame:
     return used.filter("n = 1").groupBy("rep").agg(F.count("*").alias("private"))
 
 
-BLOCKED = "key long, i int, j int, rep long, component long, n_shingles long, private long, sketch binary"
-
-
 def block_pairs(crowd: DataFrame, limit: Threshold) -> DataFrame:
     """Pairs of members of one bucket in different components whose bound and sketches leave room for a link.
 
     ``crowd``: key, size, rep, component, n_shingles, private, sketch. Members are dealt to chunks; each
     pair of chunks is one block, so no task holds a bucket. A set with p of n
     shingles to itself shares n - p at most: that bound is exact and settles nearly all pairs of a large group.
+    Of the buckets that two members share, only that of the first band yields the pair.
     """
     n_chunks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = crowd.withColumn("chunks", n_chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
@@ -247,14 +246,19 @@ def block_pairs(crowd: DataFrame, limit: Threshold) -> DataFrame:
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("rep").sort_values("rep").reset_index(drop=True)
-        rep, comp = rows["rep"].to_numpy(), rows["component"].to_numpy()
+        rep, comp, chunk = (rows[c].to_numpy() for c in ("rep", "component", "chunk"))
+        within = bool(rows["i"].iloc[0] == rows["j"].iloc[0])
         n, private = rows["n_shingles"].to_numpy().astype(float), rows["private"].to_numpy().astype(float)
         sketch = _unpacked(rows["sketch"].tolist())
+        bands = band_keys(sketch)
+        earlier = bands[:, : int((bands[0] == rows["key"].iloc[0]).argmax())]
         found_a, found_b = [], []
         for k in range(len(rows) - 1):
             common = np.minimum(n[k] - private[k], n[k + 1 :] - private[k + 1 :])
-            fits = (comp[k + 1 :] != comp[k]) & (common * limit.under >= (n[k] + n[k + 1 :] - common) * limit.over)
+            # A block of two chunks pairs one with the other, a block of one chunk all within.
+            fits = ((chunk[k + 1 :] != chunk[k]) | within) & (comp[k + 1 :] != comp[k]) & (common * limit.under >= (n[k] + n[k + 1 :] - common) * limit.over)
             at = np.flatnonzero(fits) + k + 1
+            at = at[~(earlier[at] == earlier[k]).any(1)]
             if len(at):
                 ok = plausible((sketch[k] > sketch[at]).sum(1), (sketch[k] < sketch[at]).sum(1), np.full(len(at), n[k]), n[at], limit)
                 found_a.append(np.full(int(ok.sum()), rep[k]))
@@ -262,7 +266,7 @@ def block_pairs(crowd: DataFrame, limit: Threshold) -> DataFrame:
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pd.DataFrame({"a": join(found_a), "b": join(found_b)})
 
-    wide = dealt.select("key", "i", "j", "rep", "component", "n_shingles", "private", "sketch")
+    wide = dealt.select("key", "i", "j", "chunk", "rep", "component", "n_shingles", "private", "sketch")
     return wide.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
 
 

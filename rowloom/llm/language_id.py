@@ -19,10 +19,13 @@ BUCKETS, DIM = 1 << 15, 16
 #: Lengths of subwords; a word is written between marks.
 SHORTEST, LONGEST = 2, 4
 EPOCHS, RATE, BATCH = 6, 0.5, 32
+#: Few rows are gone through more often, for so many steps at least.
+LEAST_STEPS = 400
 #: Share of fitted rows set aside to calibrate the score and the rejection bound.
 CALIBRATION = 0.2
 #: The bound rejects this share of correctly labelled rows.
 REJECTED = 0.001
+MOST_BOUND = 0.4
 UNKNOWN = "und"
 PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -116,8 +119,10 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel:
         return kinds, share, share @ embeddings[kinds]
 
     seen = [forward(i)[:2] for i in range(len(bags))]
-    steps, step = max(1, EPOCHS * -(-len(used) // BATCH)), 0
-    for _ in range(EPOCHS):
+    per_epoch = max(1, -(-len(used) // BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    steps, step = epochs * per_epoch, 0
+    for _ in range(epochs):
         rng.shuffle(used)
         for at in range(0, len(used), BATCH):
             own = used[at : at + BATCH]
@@ -147,8 +152,8 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel:
         p = np.exp(z - z.max(1, keepdims=True))
         best = (p / p.sum(1, keepdims=True)).max(1)
         right = logits.argmax(1) == truth
-        # Never above a coin's toss between two languages: texts that mix two are kept.
-        model.bound = float(min(np.quantile(best[right], REJECTED), 0.5)) if right.any() else 0.0
+        # Below a coin's toss between two languages: texts that mix two are kept.
+        model.bound = float(min(np.quantile(best[right], REJECTED), MOST_BOUND)) if right.any() else 0.0
     return model
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rowloom.llm.common import remainder, small_batches, text_bytes
+from rowloom.llm.common import chosen_ids, remainder, small_batches, text_bytes
 from rowloom.llm.words import word_rows
 
 #: Labelled rows that the model is fitted on at most, and words of each, evenly spaced over its text.
@@ -159,16 +159,12 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     """Fit on at most ``rows`` labelled documents outside the held-out fifth, chosen by a hash of the id."""
-    chosen = (
-        docs.filter(remainder() != 0)
-        .filter("lang IS NOT NULL AND text IS NOT NULL")
-        .select(text_bytes().alias("text"), "lang", "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-        .select("text", "lang")
-        .toArrow()
-    )
-    return fit(chosen["text"].to_pylist(), chosen["lang"].to_pylist())
+    known = docs.filter(remainder() != 0).filter("lang IS NOT NULL AND text IS NOT NULL")
+    ids = chosen_ids(known.select("doc_id").distinct(), rows)
+    chosen = known.join(F.broadcast(ids), "doc_id", "left_semi").select(text_bytes().alias("text"), "lang").toArrow()
+    # In one order, however the rows arrive.
+    pairs = sorted(zip(chosen["text"].to_pylist(), chosen["lang"].to_pylist()))
+    return fit([t for t, _ in pairs], [v for _, v in pairs])
 
 
 def _told(model: LanguageModel, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:

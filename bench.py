@@ -40,7 +40,7 @@ def main() -> None:
     from rowloom.operators.payload import context_cells
     from rowloom.plans import pipeline as PL
     from rowloom.plans.local import CHURN, local_catalog
-    from rowloom.session import configure, stage
+    from rowloom.session import configure, drop_stages, stage
     from rowloom.sources.tasks import seeds
 
     configure(spark)
@@ -88,6 +88,7 @@ def main() -> None:
         ),
         flush=True,
     )
+    drop_stages(spark)
     spark.stop()
 
 

@@ -701,6 +701,21 @@ from ctx group by task_no, seed_id"""
         "select task_no, seed_id, round(coalesce(avg(case when sem_type = 0 and not is_target then cast(number_value as double) end), 0), 4) + 0.0 as yhat "
         "from ctx group by task_no, seed_id"
     )
+    q["batch_auc"] = churn_contexts() + """
+, s as (
+  select task_no, seed_id, max(case when is_target then boolean_value end) as y,
+         round(coalesce(avg(case when sem_type = 0 and not is_target then cast(number_value as double) end), 0), 4) + 0.0 as yhat
+  from ctx group by task_no, seed_id
+),
+r as (
+  select *, rank() over (partition by task_no order by yhat) + (count(*) over (partition by task_no, yhat) - 1) / 2.0 as place from s
+),
+c as (
+  select task_no, sum(case when y > 0 then place end) as rank_sum, count(case when y > 0 then 1 end) as n_pos, count(case when y <= 0 then 1 end) as n_neg
+  from r group by task_no
+)
+select 'TASK' as task_id, ['train', 'val', 'test'][task_no + 1] as split, 0 as step,
+       round((rank_sum - n_pos * (n_pos + 1) / 2.0) / (n_pos * cast(n_neg as double)), 6) as auc, n_pos, n_neg from c""".replace("TASK", task_rows[0][0])
     batch_rows = f"""
 churn_pool as (select *, '{task_rows[0][0]}' as task_id from seeds),
 churn_order as (

@@ -390,6 +390,14 @@ def q_score(run: LocalRun) -> DataFrame:
     return U.score_batches(churn_batches(run)).select("task_no", "seed_id", r4("yhat").alias("yhat"))
 
 
+def q_batch_auc(run: LocalRun) -> DataFrame:
+    """From batches over scores to the AUC of the churn task, per split."""
+    batches = churn_batches(run)
+    scores = U.score_batches(batches).withColumn("yhat", r4("yhat"))
+    table = stage(M.predictions(batches, scores, run.churn_tasks), "predictions")
+    return M.roc_auc(table).select(*M.RUN, F.round("auc", 6).alias("auc"), "n_pos", "n_neg")
+
+
 def q_bf16(run: LocalRun) -> DataFrame:
     x = ((F.col("o_totalprice") - 250000.0) / 144000.0).cast("float")
     return run.table("orders").select("o_orderkey", S.bf16(x).cast("double").alias("value"))
@@ -473,6 +481,7 @@ QUERIES: dict[str, Callable[[LocalRun], DataFrame]] = {
     "padded_contexts": q_padded,
     "padded_batches": q_batches,
     "score_batches": q_score,
+    "batch_auc": q_batch_auc,
     "huber_loss": lambda r: q_typed_loss(r, 0),
     "bce_loss": lambda r: q_typed_loss(r, 3),
     "total_loss": lambda r: M.batch_loss(predictions(r)).select(*M.RUN, "batch_idx", F.round("loss", 6).alias("loss"), "n_masked"),

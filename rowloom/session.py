@@ -48,14 +48,29 @@ def stage_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the tables that this application has staged so far; what still reads them must be done. Returns their number."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+    return len(paths)
+
+
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     Cuts the lineage, survives the loss of executors and gives the next plan
     true sizes, so that small sides are broadcast and large ones are not.
+    ``drop_stages`` deletes what a run has written.
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

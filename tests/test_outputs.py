@@ -164,3 +164,38 @@ def test_custom_embedder_and_scorer(spark, cells):
     assert got == {0: [4.0, 1.0], 1: [0.0, 1.0], 2: [3.0, 1.0]}
     plain = {r.text_id: np.array(r.vec) for r in U.embed_texts(texts).collect()}
     assert all(abs(np.linalg.norm(v) - 1) < 1e-6 for v in plain.values())
+
+
+def test_predictions_from_batches(spark):
+    from rowloom.operators import metrics as M
+    from rowloom.sources.tasks import ResolvedTask, Task
+
+    tasks = [ResolvedTask(i, Task("d", t, "y"), "val", 0, (), 1, 0, 9, ()) for i, t in enumerate(("user-churn", "user-ltv"))]
+    rows = [
+        (0, 1, 0, False, [0, 3], [False, True], [7.0, 0.0], [0.0, -1.0]),
+        (0, 2, 0, False, [3, 0], [True, False], [0.0, 7.0], [1.0, 0.0]),
+        (0, 2, 1, True, [3, 0], [True, False], [0.0, 7.0], [1.0, 0.0]),
+    ]
+    schema = ("task_no int, seed_id long, batch_idx long, is_wrapped boolean, sem_types array<int>, is_targets array<boolean>, "
+              "number_values array<double>, boolean_values array<double>")
+    batches = spark.createDataFrame(rows, schema)
+    scores = lambda *x: spark.createDataFrame(list(x), "task_no int, seed_id long, yhat double")
+    got = M.predictions(batches, scores((0, 1, 0.2), (0, 2, 0.7)), tasks).collect()
+    assert {r.seed_id: (r.sem_type, r.y, r.yhat) for r in got} == {1: (3, -1.0, 0.2), 2: (3, 1.0, 0.7)}
+    for bad in ([(0, 1, 0.2)], [(0, 1, 0.2), (0, 2, 0.7), (0, 2, 0.7)], [(0, 1, 0.2), (0, 2, 0.7), (0, 5, 0.1)]):
+        with pytest.raises(Exception, match="score"):
+            M.predictions(batches, scores(*bad), tasks).collect()
+
+
+def test_staged_tables_are_dropped(spark):
+    from rowloom import session
+
+    # Apart from the tables that other tests still read.
+    app = spark.sparkContext.applicationId
+    kept = session._STAGED.pop(app, [])
+    table = session.stage(spark.range(3), "short")
+    (path,) = session._STAGED[app]
+    assert table.count() == 3 and session.drop_stages(spark) == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    session._STAGED[app] = kept

@@ -18,9 +18,9 @@ def ancestor_paths(nodes: DataFrame, edges: DataFrame, max_hops: int | None) ->
 
     The last key of a row is followed first, so a hop adds three digits that
     fall as ``fk_pos`` grows, and depth-first order is the order of the paths
-    as strings, a prefix before its extensions. With ``max_hops`` known from the schema the hops are unrolled
-    into one plan and every path is listed. In a cyclic schema (``None``) each
-    round extends only the paths that improved, keeping the least per pair,
+    as strings, a prefix before its extensions. Only the least path per pair is kept, hop by hop: of two paths
+    to one ancestor the lesser stays so when both go on. With ``max_hops`` known from the schema each hop is written once and
+    extended by the next. In a cyclic schema (``None``) each round extends only the paths that improved,
     until none does; a loop never improves a path, so this ends.
     """
     up = edges.select(F.col("child_id").alias("ancestor_id"), path_step(F.col("fk_pos")).alias("step"), "parent_id")
@@ -39,8 +39,8 @@ def ancestor_paths(nodes: DataFrame, edges: DataFrame, max_hops: int | None) ->
     if max_hops is not None:
         levels = [start]
         for _ in range(max_hops):
-            levels.append(extend(levels[-1]))
-        return union_all(levels)
+            levels.append(stage(least_paths(extend(levels[-1])), "closure"))
+        return least_paths(union_all(levels))
 
     best = fresh = stage(start, "closure")
     while True:
@@ -66,7 +66,7 @@ def least_paths(paths: DataFrame) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame, edges: DataFrame, max_hops: int | None) -> DataFrame:
-    return least_paths(ancestor_paths(nodes, edges, max_hops))
+    return ancestor_paths(nodes, edges, max_hops)
 
 
 def parent_closure(nodes: DataFrame, edges: DataFrame, max_hops: int | None) -> DataFrame:

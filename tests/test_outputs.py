@@ -199,3 +199,16 @@ def test_staged_tables_are_dropped(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
     session._STAGED[app] = kept
+
+
+def test_closure_keeps_one_path_per_ancestor(spark):
+    """Seven layers of two rows, each pointing to both rows of the layer above: paths double, pairs do not."""
+    from rowloom.operators.closure import ancestors
+
+    edges = [(2 * k + i, j, 2 * (k - 1) + j) for k in range(1, 7) for i in range(2) for j in range(2)]
+    nodes = spark.range(14).withColumnRenamed("id", "node_id")
+    for max_hops in (6, None):
+        got = ancestors(nodes, spark.createDataFrame(edges, "child_id long, fk_pos int, parent_id long"), max_hops).collect()
+        assert len(got) == len({(r.node_id, r.ancestor_id) for r in got}) == 98
+        # The last key goes first.
+        assert {r.path for r in got if (r.node_id, r.ancestor_id) == (4, 1)} == {"998998"}

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from rowloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, spotsigs, sql, suffix_tree, toxicity, url_filter
 from rowloom.llm.common import read_table, remainder
 from rowloom.session import stage
 
 
-def held_out(rest: int):
+def held_out(rest: int) -> Column:
     return (remainder() == rest).alias("held_out")
 
 

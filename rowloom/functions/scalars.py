@@ -22,10 +22,6 @@ def epoch_seconds(ts: Column) -> Column:
     return F.call_function("div", epoch_micros(ts), F.lit(1000000))
 
 
-def qualified_column(column: Column, table: Column) -> Column:
-    return F.concat_ws(" of ", column, table)
-
-
 def table_key(table: Column, split: Column) -> Column:
     return F.concat_ws(":", table, F.initcap(split))
 

@@ -73,10 +73,3 @@ def column_index(spark, catalog: Catalog, dictionary: DataFrame | None = None) -
         .join(names, "text")
         .select("col_id", "col_name", "table_name", F.col("text_id").alias("name_text_id"))
     )
-
-
-def resolve_columns(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """Column ids for (col_name, table_name) rows; an unknown column is an error."""
-    joined = wanted.join(F.broadcast(index), ["col_name", "table_name"], "left")
-    missing = F.raise_error(F.concat(F.lit("unknown column: "), "col_name", F.lit(" of "), "table_name")).cast("bigint")
-    return joined.withColumn("col_id", F.coalesce("col_id", missing))

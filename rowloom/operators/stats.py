@@ -7,9 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from rowloom.operators.util import union_all
 from rowloom.session import stage
 from rowloom.sources.catalog import (
-    BOOLEAN,
     DATETIME,
-    NUMBER,
     TEXT,
     Catalog,
     Table,
@@ -140,6 +138,3 @@ def column_stats(
         F.coalesce("mean", F.lit(0.0)).alias("mean"),
         F.coalesce("std", F.lit(0.0)).alias("std"),
     )
-
-
-NUMERIC_SEMS = (NUMBER, DATETIME, BOOLEAN)

@@ -2,64 +2,70 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.llm.common import small_batches, text_bytes
-from rowloom.llm.words import word_rows
+from rowloom.llm.words import REMEMBERED
 from rowloom.session import stage
 
-#: Longest context in symbols.
+#: Longest context in tokens.
 DEPTH = 3
-#: A token of at least this share of all training tokens is a symbol of its own, so there are 1 / SYMBOL_SHARE at most;
-#: the others share the symbol RARE and are told apart by their counts.
-SYMBOL_SHARE = 1e-4
-#: A context must make up this share of all tokens: at most DEPTH / CONTEXT_SHARE contexts exist, whatever the corpus.
-CONTEXT_SHARE = 1e-4
+#: Uses from which on a context is looked at, in a corpus of any size.
+LEAST_USES = 4
 #: A context is kept if it explains what follows so much better than its suffix does (nats), and for each continuation.
 LEAST_GAIN, GAIN_EACH = 8.0, 1.0
 #: Weight, in observations, of the shorter context when a longer one is smoothed.
 SMOOTHING = 8.0
-#: Counts of tokens above this share of all go to every task (at most 1 / HEAD_SHARE of them); the rest are joined.
+#: Values of what makes up this share of all tokens go to every task (at most 1 / HEAD_SHARE of a kind); the rest are joined.
 HEAD_SHARE = 2e-6
-#: Distinct words and positions that a task holds before it hands counts on.
-HELD_WORDS, HELD_POSITIONS = 400_000, 2_000_000
-
-#: Symbols: tokens of their own come after these.
-START, END, RARE, FIRST = 0, 1, 2, 3
-#: Bits of a symbol in a context; the last symbol is lowest, each one more than its number, so length shows.
+#: Positions that a task holds before it hands counts on.
+HELD_POSITIONS = 2_000_000
+#: Bits (log2) of a sieve, some eight for each key between these bounds. Above, more keys make it coarser, which costs rows in a
+#: join but changes no result.
+SIEVE_BITS = (16, 28)
+
+#: Codes of the start and the end of a text; those of words are digests.
+START, END = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+#: Bits of a symbol in a context of ``SuffixTree``; the last symbol is lowest, each one more than its number, so length shows.
 BITS = 14
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word (A-Z lower-cased), n: uses of every word of every text."""
-    small_batches(docs.sparkSession)
+def code_of(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
 
-        def hand_on() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ordered pair of hashes."""
+    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.view(np.uint64) ^ np.uint64(0xD1B54A32D192ED03))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(text.lower().split())
-            if len(held) > HELD_WORDS:
-                yield hand_on()
-        if held:
-            yield hand_on()
 
-    used = docs.select(text_bytes().alias("text")).mapInArrow(count, "word binary, n long")
-    return used.groupBy("word").agg(F.sum("n").alias("n"))
+def grams(codes: np.ndarray, own: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 1: the positions whose context of that length lies in the text, the context,
+    the key of the token in the next shorter context, and its key in this one.
+
+    The key of a token in a context is at the same time the longer context that both make.
+    """
+    key = codes
+    at = np.flatnonzero(np.r_[False, own[1:] == own[:-1]])
+    for length in range(1, depth + 1):
+        at = at[at >= length]
+        at = at[own[at - length] == own[at]]
+        longer = np.zeros(len(codes), np.int64)
+        longer[at] = mixed(key[at - 1], key[at])
+        yield at, key[at - 1], key[at], longer[at]
+        key = longer
 
 
 @dataclass
@@ -69,79 +75,56 @@ class Counts:
     tokens: int
     kinds: int
     texts: int
-    #: Tokens and kinds under RARE, and the discount that their counts suggest.
-    rare: int = 0
-    rare_kinds: int = 0
+    #: What the counts suggest to take off each count of a token for those never seen.
     discount: float = 0.75
 
-    def base_log(self, c):
-        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
+    def base_log(self, c: Column) -> Column:
+        return F.log10((c + 0.5) / F.lit(self.tokens + 0.5 * (self.kinds + 1)))
 
-    def rare_log(self, c):
-        """log10 probability of a RARE token with count c; tokens never seen share what is discounted, as one token."""
-        if not self.rare:
-            return np.where(np.asarray(c) > 0, -np.inf, 0.0)
-        unseen = self.discount * self.rare_kinds / self.rare
-        return np.log10(np.where(np.asarray(c) > 0, (c - self.discount) / self.rare, unseen))
+    @property
+    def base_unseen(self) -> float:
+        return float(np.log10(0.5 / (self.tokens + 0.5 * (self.kinds + 1))))
 
+    @property
+    def unseen(self) -> float:
+        """Share of all tokens never seen, which count as one."""
+        return self.discount * self.kinds / self.tokens if self.tokens else 1.0
 
-ROWS = "row long, doc_id long, learn boolean, n_tokens long, head_rare double, head_base double, head_known long, symbols array<int>, tail array<struct<word: binary, n: int>>"
+    def share(self, c: Column) -> Column:
+        return (c - F.lit(self.discount)) / F.lit(float(self.tokens))
 
 
-def read_symbols(docs: DataFrame, learn: Column, symbols: dict[bytes, int], head: dict[bytes, int], counts: Counts) -> DataFrame:
-    """One pass over the texts: symbols of each, sums over frequent words, and the uses of the others for a join."""
-    shared = docs.sparkSession.sparkContext.broadcast((symbols, head))
-    model_id = f"suffix:{uuid.uuid4().hex}"
-    base_end, end_known = float(counts.base_log(counts.texts)), int(counts.texts > 0)
+def read_codes(docs: DataFrame, learn: Column) -> DataFrame:
+    """row, doc_id, learn, codes: the codes of the words of each text and of its end."""
     small_batches(docs.sparkSession)
 
-    def of_words(words: list[bytes]) -> np.ndarray:
-        """Symbol, log10 share under RARE, base log10, whether the count must be joined."""
-        own, common = shared.value
-        symbol = np.array([own.get(w, RARE) for w in words], np.float64)
-        uses = np.array([common.get(w, 0) for w in words], np.float64)
-        known = uses > 0
-        rare = np.zeros(len(words))
-        at = known & (symbol == RARE)
-        rare[at] = counts.rare_log(uses[at])
-        return np.c_[symbol, rare, np.where(known, counts.base_log(uses), 0), ~known]
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = word_rows(model_id, of_words, 4)
+        known: dict[bytes, int] = {}
         at_row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            at = rows.rows(texts)
-            sums = np.array([rows.table[a, 1:].sum(0) if len(a) else np.zeros(3) for a in at]).reshape(-1, 3)
-            spelled = [np.append(rows.table[a, 0], END).astype(np.int32) for a in at]
-            tails = []
-            for text, a in zip(texts, at):
-                rare = np.flatnonzero(rows.table[a, 3]) if len(a) else ()
-                words = text.lower().split() if len(rare) else []
-                tails.append([{"word": w, "n": k} for w, k in Counter(words[i] for i in rare).items()])
-            sizes = np.array([len(a) for a in at], np.int64)
-            offsets = np.r_[0, np.cumsum(sizes + 1)].astype(np.int32)
+            codes, offsets = [], [0]
+            for text in batch.column(1).to_pylist():
+                for w in text.lower().split():
+                    c = known.get(w)
+                    if c is None:
+                        c = known[w] = code_of(w)
+                    codes.append(c)
+                codes.append(END)
+                offsets.append(len(codes))
+            if len(known) > REMEMBERED:
+                known.clear()
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(at_row, at_row + len(texts))),
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array(sizes + 1),
-                    pa.array(sums[:, 0]),
-                    pa.array(sums[:, 1] + base_end),
-                    pa.array(sizes - sums[:, 2].astype(np.int64) + end_known),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(spelled) if spelled else np.zeros(0, np.int32))),
-                    pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))),
-                ],
-                ["row", "doc_id", "learn", "n_tokens", "head_rare", "head_base", "head_known", "symbols", "tail"],
+                [pa.array(np.arange(at_row, at_row + batch.num_rows)), batch.column(0), batch.column(2), lists], ["row", "doc_id", "learn", "codes"]
             )
-            at_row += len(texts)
+            at_row += batch.num_rows
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), learn.alias("learn")).mapInArrow(scan, ROWS)
+    texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), learn.alias("learn"))
+    return texts.mapInArrow(scan, "row long, doc_id long, learn boolean, codes array<long>")
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each after a START, and the number of the text of each symbol."""
+    """Codes of all texts, each after a START, and the number of the text of each code."""
     sizes = np.diff(column.offsets.to_numpy())
     own = np.repeat(np.arange(len(sizes)), sizes + 1)
     codes = np.full(len(own), START, np.int64)
@@ -163,38 +146,67 @@ def contexts(codes: np.ndarray, own: np.ndarray, depth: int) -> Iterator[tuple[i
         yield length, at, held[at]
 
 
-def context_counts(texts: DataFrame, length: int, frontier: np.ndarray | None) -> DataFrame:
-    """context, next, n over all contexts of one length, or those in the sorted ``frontier``."""
+def sieve(keys: DataFrame) -> Broadcast:
+    """Bits for the column ``key``: a key whose bit is not set is not among them."""
+    size = 1 << (min(max((8 * keys.count()).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1]) - 6)
+    at = F.col("key").bitwiseAND(F.lit(size - 1))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 58) AS INT))")
+    told = keys.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(size, np.uint64)
+    bits[told["at"].to_numpy()] = told["bits"].to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    k = keys.view(np.uint64)
+    return (bits[k & np.uint64(len(bits) - 1)] >> (k >> np.uint64(58)) & np.uint64(1)).astype(bool)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """key, n: uses of every token, ends included."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return texts.select("codes").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def context_counts(texts: DataFrame, length: int, frontier: Broadcast) -> DataFrame:
+    """context, above, key, n over the contexts of one length that pass the sieve ``frontier``; above: the key in the next shorter context."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def hand_on() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            context, above, key = map(np.concatenate, zip(*held))
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys >> BITS), pa.array((keys & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n.astype(np.int64))], ["context", "next", "n"]
-            )
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(above[first]), pa.array(n.astype(np.int64))], ["context", "above", "n"])
 
         for batch in batches:
-            codes, own = _flat(batch.column(0))
-            *_, (_, at, keys) = contexts(codes, own, length)
-            if frontier is not None:
-                place = np.minimum(np.searchsorted(frontier, keys), len(frontier) - 1)
-                at, keys = at[frontier[place] == keys], keys[frontier[place] == keys]
-            held.append(keys << BITS | codes[at])
-            if sum(map(len, held)) > HELD_POSITIONS:
+            *_, (_, context, above, key) = grams(*_flat(batch.column(0)), length)
+            some = passes(frontier.value, context)
+            held.append((context[some], above[some], key[some]))
+            if sum(len(h[0]) for h in held) > HELD_POSITIONS:
                 yield hand_on()
         if held:
             yield hand_on()
 
-    found = texts.select("symbols").mapInArrow(count, "context long, next int, n long")
-    return found.groupBy("context", "next").agg(F.sum("n").alias("n"))
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Keys are made once they are counted, so that less is shuffled.
+            key = mixed(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], ["context", "above", "n", "key"])
+
+    found = texts.select("codes").mapInArrow(count, "context long, above long, n long").groupBy("context", "above").agg(F.sum("n").alias("n"))
+    return found.mapInArrow(keyed, "context long, above long, n long, key long")
 
 
 @dataclass
 class SuffixTree:
-    """Kept contexts, sorted; state 0 is the root, state i + 1 the i-th context."""
+    """The smoothed tree of a few counts, in memory. Kept contexts, sorted; state 0 is the root, state i + 1 the i-th context."""
 
     keys: np.ndarray = field(repr=False)
     depth: int
@@ -276,46 +288,65 @@ def build(levels: list[dict[tuple[int, int], int]]) -> SuffixTree:
     return tree
 
 
-def grow(texts: DataFrame, depth: int = DEPTH) -> SuffixTree:
-    """Count contexts length by length over all training texts, and keep those that pass the tests.
+def grow(texts: DataFrame, words: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
+    """Count contexts length by length over all training texts, and smooth those that pass the tests.
 
-    A context of length k is looked at where its k symbols follow each other in
-    ``CONTEXT_SHARE`` of all places, so that each frontier is bounded; it is kept if
-    its continuations diverge from those of its suffix. Only kept contexts and frontiers reach the driver.
+    A context is looked at from ``LEAST_USES`` uses on, and kept if its continuations
+    diverge from those of its suffix. ``words`` has key, n, share and p of each token. Returns for each length a written
+    table: context, above, key, n, total, share (of the context), whether it is kept, back and p, the
+    smoothed probabilities in the next shorter kept context and in this one.
     """
-    root = context_counts(texts, 0, None).toArrow().to_pylist()
-    levels = [{(0, r["next"]): r["n"] for r in root}]
-    least = max(2.0, CONTEXT_SHARE * sum(levels[0].values()))
-    frontier = np.array(sorted([s + 1 for (_, s), n in levels[0].items() if n >= least and s != END] + [START + 1]), np.int64)
-    before = None
+    levels, before = [], words
+    start = texts.sparkSession.createDataFrame([(START,)], "key long")
     for length in range(1, depth + 1):
-        if not len(frontier):
-            break
-        now = stage(context_counts(texts, length, frontier), f"contexts{length}")
-        suffix = (F.lit(1).cast("long") * (1 << (BITS * (length - 1)))) - 1
-        now = now.withColumn("suffix", F.col("context").bitwiseAND(suffix))
-        if before is None:
-            above = now.sparkSession.createDataFrame([(0, r["next"], r["n"]) for r in root], "context long, next int, n long")
-        else:
-            above = before
-        total = now.groupBy("context").agg(F.sum("n").alias("total"))
-        shares = above.join(above.groupBy("context").agg(F.sum("n").alias("of")), "context").select(
-            F.col("context").alias("suffix"), "next", (F.col("n") / F.col("of")).alias("p_above")
+        longer = before.filter(F.col("n") >= LEAST_USES).select("key")
+        frontier = sieve(longer.unionByName(start) if length == 1 else longer)
+        counted = stage(context_counts(texts, length, frontier), f"contexts{length}")
+        frontier.destroy()
+        told = counted.join(before.select(F.col("key").alias("above"), F.col("share").alias("share_above"), F.col("p").alias("back")), "above")
+        told = stage(told, f"above{length}")
+        n = F.col("n")
+        tests = told.groupBy("context").agg(
+            F.sum("n").alias("total"), F.count("*").alias("n_next"), F.sum(n * F.log(n / F.col("share_above"))).alias("told")
         )
-        told = now.join(total, "context").join(shares, ["suffix", "next"])
-        gains = told.groupBy("context").agg(
-            F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("p_above"))).alias("gain"), F.count("*").alias("n_next")
+        # The sieve lets some contexts of fewer uses pass.
+        tests = tests.filter(F.col("total") >= LEAST_USES).select(
+            "context", "total", (F.col("told") - F.col("total") * F.log("total") >= LEAST_GAIN + GAIN_EACH * F.col("n_next")).alias("kept")
         )
-        kept = gains.filter(F.col("gain") >= LEAST_GAIN + GAIN_EACH * F.col("n_next")).select("context")
-        table = now.join(kept, "context", "left_semi").select("context", "next", "n").toArrow()
-        levels.append(dict(zip(zip(table["context"].to_pylist(), table["next"].to_pylist()), table["n"].to_pylist())))
-        # The longer contexts: this one and what follows it often enough. START begins every text and follows nothing.
-        more = now.filter((F.col("n") >= least) & (F.col("next") != END)).select(
-            (F.shiftleft(F.col("context"), BITS) + F.col("next") + 1).alias("longer")
+        smoothed = F.when(F.col("kept"), (n + SMOOTHING * F.col("back")) / (F.col("total") + SMOOTHING)).otherwise(F.col("back"))
+        before = told.join(tests, "context").select(
+            "context", "above", "key", "n", "total", (n / F.col("total")).alias("share"), "kept", "back", smoothed.alias("p")
         )
-        frontier = np.sort(more.toArrow()["longer"].to_numpy().astype(np.int64))
-        before = now.select("context", "next", "n")
-    return build(levels)
+        before = stage(before, f"level{length}")
+        levels.append(before)
+    return levels
+
+
+def entries(words: DataFrame, levels: list[DataFrame], counts: Counts) -> DataFrame:
+    """key, uses, score, base, known: what each use of a key adds to the sums of a text.
+
+    Smoothed probabilities multiply: a kept context leaves a share to the
+    shorter one for any token, and a token that it knows has so many times that. So a text's score is a sum over its tokens, its
+    contexts (keyed by their complement) and its tokens in contexts.
+    """
+    n, none = F.col("n"), F.lit(0.0)
+    parts = words.select(
+        "key", n.alias("uses"), (F.log10("p") - F.lit(float(np.log10(counts.unseen)))).alias("score"),
+        (counts.base_log(n) - F.lit(counts.base_unseen)).alias("base"), F.lit(1).alias("known"),
+    )
+    for level in levels:
+        kept = level.filter("kept")
+        left = kept.groupBy("context").agg(F.first("total").alias("uses"))
+        score = F.log10(SMOOTHING / (F.col("uses") + SMOOTHING))
+        nothing = [none.alias("base"), F.lit(0).alias("known")]
+        parts = parts.unionByName(left.select(F.bitwise_not("context").alias("key"), "uses", score.alias("score"), *nothing))
+        score = F.log10((n + SMOOTHING * F.col("back")) / (SMOOTHING * F.col("back")))
+        parts = parts.unionByName(kept.select("key", n.alias("uses"), score.alias("score"), *nothing))
+    return parts
+
+
+#: Columns of what is looked up for a text.
+LOOKED_UP = ["row", "key", "times", "score", "base", "known"]
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -323,58 +354,72 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 
     ``learn`` marks the rows to learn from. A text is its words, A-Z lower-cased,
     and one end. base_score is the add-half unigram log10 probability over the training
-    tokens. score is the tree's: each token's symbol in the state of the
-    longest kept context before it, and for RARE tokens their discounted share of it.
+    tokens. score is the tree's: each token in the longest kept context before it, smoothed towards
+    shorter ones and at last towards its discounted share of all tokens.
     As in the base, all tokens never seen count as one. Null and empty texts are one end. Without
     training texts every count is 0. Repeated rows are scored alike.
     """
-    training = docs.filter(learn)
-    vocabulary = stage(count_words(training), "vocabulary")
+    rows = stage(read_codes(docs, learn), "codes")
+    training = rows.filter("learn")
+    vocabulary = stage(word_counts(training), "vocabulary")
     n_texts = training.count()
-    n_words, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    counts = Counts(n_words + n_texts, kinds + (n_texts > 0), n_texts)
-    own = vocabulary.filter(F.col("n") >= SYMBOL_SHARE * counts.tokens).toArrow()
-    symbols = {w: FIRST + i for i, w in enumerate(sorted(own["word"].to_pylist()))}
-    rare = vocabulary.filter(F.col("n") < SYMBOL_SHARE * counts.tokens)
-    once, twice, counts.rare, counts.rare_kinds = rare.agg(
-        F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.coalesce(F.sum("n"), F.lit(0)), F.count("*")
-    ).first()
-    counts.discount = once / (once + 2 * twice) if once and twice else 0.75
-    table = vocabulary.filter(F.col("n") >= max(1.0, HEAD_SHARE * counts.tokens)).toArrow()
-    head = dict(zip(table["word"].to_pylist(), table["n"].to_pylist()))
-    rows = stage(read_symbols(docs, learn, symbols, head, counts), "symbols")
-    tree = grow(rows.filter("learn")) if n_texts else build([{}])
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens, kinds, once, twice = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    counts = Counts(tokens, kinds, n_texts, once / (once + 2 * twice) if once and twice else 0.75)
+    share = counts.share(F.col("n"))
+    words = vocabulary.select("key", "n", (F.col("n") / F.lit(float(max(1, tokens)))).alias("share"), share.alias("p"))
+    table = stage(entries(words, grow(training, words) if n_texts else [], counts), "entries")
+    frequent = max(2.0, HEAD_SHARE * counts.tokens)
+    head = table.filter(F.col("uses") >= frequent).toArrow().sort_by("key")
+    rest = table.filter(F.col("uses") < frequent).select("key", "score", "base", "known")
+    values = np.stack([head[c].to_numpy().astype(float) for c in ("score", "base", "known")], 1)
+    shared = docs.sparkSession.sparkContext.broadcast((head["key"].to_numpy(), values))
+    there = sieve(rest)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, value = shared.value
         for batch in batches:
-            codes, of = _flat(batch.column(1))
-            at, state = shared.value.longest(codes, of)
-            sums = np.bincount(of[at], weights=shared.value.follow(state, codes[at]), minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums), *batch.columns[2:]], ["row", "symbol_score", *batch.schema.names[2:]])
+            codes, own = _flat(batch.column(1))
+            at = np.flatnonzero(np.r_[False, own[1:] == own[:-1]])
+            sums, keys, of = np.zeros((batch.num_rows, 3)), [], []
+            found = [(at, codes[at])]
+            for at, context, _, key in grams(codes, own, DEPTH):
+                found += [(at, ~context), (at, key)]
+            for at, key in found:
+                if len(common):
+                    place = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                    hit = common[place] == key
+                    for i in range(3 if key is found[0][1] else 1):
+                        sums[:, i] += np.bincount(own[at[hit]], weights=value[place[hit], i], minlength=batch.num_rows)
+                    at, key = at[~hit], key[~hit]
+                some = passes(there.value, key)
+                keys.append(key[some])
+                of.append(own[at[some]])
+            keys, of = np.concatenate(keys), np.concatenate(of)
+            order = np.lexsort((keys, of))
+            keys, of = keys[order], of[order]
+            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]) if len(keys) else np.zeros(0, np.int64)
+            uses = np.diff(np.r_[first, len(keys)])
+            row = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[of[first]]), pa.array(keys[first]), pa.array(uses.astype(float)), *[pa.nulls(len(first), pa.float64())] * 3], LOOKED_UP
+            )
+            # What every task knows is handed on as sums.
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.float64()), *[pa.array(sums[:, i]) for i in range(3)]], LOOKED_UP
+            )
 
-    told = rows.select("row", "symbols", "doc_id", "n_tokens", "head_rare", "head_base", "head_known").mapInArrow(
-        walk, "row long, symbol_score double, doc_id long, n_tokens long, head_rare double, head_base double, head_known long"
-    )
-    tail = rows.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("uses"))
-    met = tail.join(vocabulary.withColumnRenamed("n", "c"), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    base = F.log10((c + 0.5) / F.lit(counts.tokens + 0.5 * (counts.kinds + 1)))
-    if counts.rare:
-        share = F.when(c > 0, F.log10((c - F.lit(counts.discount)) / F.lit(counts.rare))).otherwise(F.lit(float(counts.rare_log(0))))
-    else:
-        share = F.lit(0.0)
-    sums = met.groupBy("row").agg(
-        F.sum(F.col("uses") * base).alias("tail_base"),
-        F.sum(F.col("uses") * share).alias("tail_rare"),
-        F.sum(F.when(c > 0, F.col("uses")).otherwise(0)).alias("tail_known"),
-    )
-    none = F.lit(0.0)
-    return told.join(sums, "row", "left").select(
+    asked = rows.select("row", "codes").mapInArrow(look_up, "row long, key long, times double, score double, base double, known double")
+    asked = stage(asked, "asked")
+    met = asked.filter("key IS NOT NULL").select("row", "key", "times").join(rest, "key")
+    added = met.select("row", *[(F.col("times") * F.col(c)).alias(c) for c in ("score", "base", "known")])
+    added = added.unionByName(asked.filter("key IS NULL").select("row", "score", "base", "known"))
+    sums = added.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("score", "base", "known")])
+    size = F.size("codes").cast("long")
+    return rows.select("row", "doc_id", size.alias("n_tokens")).join(sums, "row").select(
         "doc_id",
         "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        F.round("known").cast("long").alias("n_known"),
         F.lit(counts.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("tail_base", none)).alias("base_score"),
-        (F.col("symbol_score") + F.col("head_rare") + F.coalesce("tail_rare", none)).alias("score"),
+        (F.col("n_tokens") * F.lit(counts.base_unseen) + F.col("base")).alias("base_score"),
+        (F.col("n_tokens") * F.lit(float(np.log10(counts.unseen))) + F.col("score")).alias("score"),
     )

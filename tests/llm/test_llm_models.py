@@ -166,3 +166,47 @@ def test_no_training_texts(spark, odd_docs, odd_rows, no_docs):
     rows = suffix_tree.score(odd_docs, F.lit(False)).collect()
     assert len(rows) == len(odd_rows) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and np.isfinite(r["score"]) for r in rows)
     assert suffix_tree.score(no_docs, remainder() != 1).count() == 0
+
+
+def brute_tree(rows, learn):
+    """Score of each text by the tree over all tokens, counted in full."""
+    words = {i: ["<s>", *t.lower().split(), "</s>"] for i, t in rows}
+    level = [Counter() for _ in range(4)]
+    for i in learn:
+        for at in range(1, len(words[i])):
+            for k in range(min(3, at) + 1):
+                level[k][tuple(words[i][at - k : at]), words[i][at]] += 1
+    total = Counter()
+    for counts in level:
+        for (c, _), n in counts.items():
+            total[c] += n
+    n_next = Counter(c for counts in level for c, _ in counts)
+    once, twice = (sum(n == k for n in level[0].values()) for k in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.75
+    gain = Counter()
+    for k in (1, 2, 3):
+        for (c, w), n in level[k].items():
+            gain[c] += n * math.log(n / total[c] / (level[k - 1][c[1:], w] / total[c[1:]]))
+    kept = {c for c in total if c and total[c] >= suffix_tree.LEAST_USES and gain[c] >= suffix_tree.LEAST_GAIN + suffix_tree.GAIN_EACH * n_next[c]}
+
+    def p(c, w):
+        if not c:
+            n = level[0][(), w]
+            return (n - d if n else d * len(level[0])) / total[()]
+        back = p(c[1:], w)
+        return (level[len(c)][c, w] + 8 * back) / (total[c] + 8) if c in kept else back
+
+    return {i: sum(math.log10(p(tuple(w[max(0, at - 3) : at]), w[at])) for at in range(1, len(w))) for i, w in words.items()}, kept
+
+
+def test_rare_contexts_count_in_a_large_corpus(spark):
+    # "zig zag zog" makes up less than 1/10,000 of all tokens.
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 1000) % 5000)) for i in range(80)]
+    rows += [(100 + i, f"w{i} zig zag zog w{i + 9}") for i in range(6)]
+    rows += [(200, "zig zag zog"), (201, "zog zig zag never"), (202, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, docs["doc_id"] < 200).collect()}
+    want, kept = brute_tree(rows, [i for i, _ in rows if i < 200])
+    assert {("zig",), ("zag",)} <= kept and max(map(len, kept)) == 3
+    assert got == pytest.approx(want)

@@ -47,7 +47,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.fingerprints(read_table(spark, sf_dir, "documents"))
+    return spotsigs.fingerprints(read_table(spark, sf_dir, "documents"), windows=True)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,11 @@ au aux avec ce ces dans des du elle est et il je la le les leur mais ne nous on
 """.split()
 #: Content words in a chain.
 CHAIN = 2
+#: Words in a window, the local signature of a text without a whole chain.
+WINDOW = 5
+#: Signs before the first or after the last letter or digit of a word; words of signs only are left as they are.
+SPACE, LETTER = r"\x20\x09-\x0D", r"\p{L}\p{M}\p{N}"
+OUTER_SIGNS = rf"(?<![^{SPACE}])[^{SPACE}{LETTER}]++(?=[{LETTER}])|(?<=[{LETTER}])[^{SPACE}{LETTER}]++(?![^{SPACE}])"
 #: A fingerprint is its signatures in order, in so many hexadecimal digits each.
 DIGITS = 8
 #: Candidates of a pairs search are linked from this likeness on.
@@ -25,16 +30,16 @@ LIKE = 0.8
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words."""
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Lower-cased words, without the signs around them."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), OUTER_SIGNS, ""), rf"[{SPACE}]+"), lambda w: w != "")
 
 
-def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
+def with_signatures(rows: DataFrame, text: str, out: str, windows: bool = False) -> DataFrame:
     """Adds ``out``: the sorted distinct signatures of a text column, as longs.
 
     Each anchor starts a chain of the next ``CHAIN`` words that are no anchors,
-    within the text. A text without a whole chain has one signature, that of all its words; one
-    without words has none.
+    within the text. A text without a whole chain has one signature, that of all its words, or with
+    ``windows`` one for each ``WINDOW`` words in a row, so that an edit changes few; one without words has none.
     """
     words, at, content = f"{out}_words", f"{out}_at", f"{out}_content"
     anchor = lambda w: w.isin(ANCHORS)
@@ -48,6 +53,10 @@ def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
         whole, lambda p: F.xxhash64(F.get(F.col(words), p["i"]), *[F.get(F.col(content), p["k"] + n) for n in range(CHAIN)])
     )
     alone = F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.col(words))))
+    if windows:
+        starts = F.sequence(F.lit(1), F.size(words) - WINDOW + 1)
+        each = F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i, WINDOW)))
+        alone = F.when(F.size(words) > WINDOW, each).otherwise(alone)
     # The first anchor has the most content words after it.
     any_chain = F.coalesce(F.get(F.col(at), F.lit(0)) + CHAIN <= F.size(content), F.lit(False))
     short = F.transform(F.when(any_chain, chain).otherwise(alone), lambda h: F.pmod(h, F.lit(1 << (4 * DIGITS))))
@@ -159,20 +168,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     return met.select("doc_id", "text", "next_text").unionByName(texts.filter("doc_id IS NULL").withColumn("next_text", F.lit(None).cast("string")))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, windows: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, length_partition.
 
     One row per row of ``docs``. The edited text has its last half (rounded down) of code points replaced
     by as many first ones of the next document, or all. near_edited and near_next are the
     likenesses of the fingerprint to those of the edited and the next text. Null and empty texts have the empty fingerprint.
     A row without an id has no next document: its edited text loses its half, its near_next is 0.
+    ``windows``: see ``with_signatures``.
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = with_next(docs).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.coalesce(F.substring("next_text", F.lit(1), half), F.lit(""))))
     rows = rows.withColumn("next_or_none", F.coalesce("next_text", F.lit("")))
     for text, out in (("text", "own"), ("edited", "of_edited"), ("next_or_none", "of_next")):
-        rows = with_signatures(rows, text, out)
+        rows = with_signatures(rows, text, out, windows)
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),

@@ -128,6 +128,20 @@ def test_fingerprints(odd_docs, unique_rows, odd_rows):
     assert len(set(seen.values())) == len({frozenset(signatures(t)) for t in seen})
 
 
+def test_fingerprints_of_texts_with_signs_and_without_anchors(spark, tmp_path):
+    from rowloom.llm.queries import QUERIES
+
+    plain = " ".join(f"the word{i} alpha{i}" for i in range(40))
+    signs = plain.replace("the", "(the,").replace("word7 ", "word7!! ") + " --- &&&"
+    bare = " ".join(f"name{i}" for i in range(400))
+    rows = [(1, plain), (2, signs), (3, bare), (4, "other " + bare), (5, "one two three"), (6, "&&& !!! ---"), (7, "!"), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op6_fingerprints"](spark, str(tmp_path)).collect()}
+    assert got[1]["near_next"] == 1.0 and len(got[2]["fingerprint"]) == 40 * 8
+    assert got[3]["near_next"] > 0.95 and got[3]["near_edited"] > 0.3
+    assert [len(got[i]["fingerprint"]) for i in (5, 6, 7, 8)] == [8, 8, 8, 0]
+
+
 def test_fingerprints_of_nothing_and_one(spark, no_docs):
     assert spotsigs.fingerprints(no_docs).count() == 0
     (one,) = spotsigs.fingerprints(spark.createDataFrame([(4, "the old cat sat")], "doc_id long, text string")).collect()

@@ -38,23 +38,25 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chosen_ids(ids: DataFrame, rows: int, skip: int = 0) -> DataFrame:
+def chosen_ids(ids: DataFrame, rows: int, skip: int = 0, drawn: int = 0) -> DataFrame:
     """At most ``rows`` of the distinct ids, in the order of a hash, after the first ``skip``.
 
+    Several draws from the same ids are parts of one order only if they look at the same share of them: each then names in
+    ``drawn`` how many rows they take in all.
     A share of the hash range that holds some four times as many goes into the sort, so that no task gathers ids from the
     whole table.
     """
-    share = min(1.0, 4 * (rows + skip + 25) / max(1, ids.count()))
+    share = min(1.0, 4 * (max(rows + skip, drawn) + 25) / max(1, ids.count()))
     near = ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
     return near.orderBy(F.xxhash64("doc_id"), "doc_id").offset(skip).limit(rows).select("doc_id")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, mark: str, value: int, rows: int, skip: int = 0) -> DataFrame:
-    """Texts (``text``, bytes) of at most ``rows`` documents with this label, after the first ``skip``, outside the held-out fifth.
+def labelled_rows(docs: DataFrame, labels: DataFrame, mark: str, value: int, rows: int, skip: int = 0, drawn: int = 0) -> DataFrame:
+    """Texts (``text``, bytes) of at most ``rows`` documents with this label, after the first ``skip``, outside the held-out fifth; ``drawn``: see ``chosen_ids``.
 
     The ids are chosen from the labels alone, by a hash; they are at most
     ``rows``, so that they may be broadcast and no text is shuffled.
     """
     marks = labels.filter(remainder() != 0).groupBy("doc_id").agg(F.max(mark).alias(mark))
-    ids = chosen_ids(marks.filter(F.col(mark) == value).select("doc_id"), rows, skip)
+    ids = chosen_ids(marks.filter(F.col(mark) == value).select("doc_id"), rows, skip, drawn)
     return docs.filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id", "left_semi").select(text_bytes().alias("text"))

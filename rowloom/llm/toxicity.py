@@ -280,8 +280,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
 
     small_batches(docs.sparkSession)
     toxic = listed(labelled_rows(docs, labels, "toxic", 1, toxic_rows))
-    calibration = listed(labelled_rows(docs, labels, "toxic", 0, CALIBRATION_ROWS))
-    clean = stage(labelled_rows(docs, labels, "toxic", 0, clean_rows, CALIBRATION_ROWS).mapInArrow(pieces, "pieces array<string>"), "clean_words")
+    # No document that the words come from may calibrate: both are parts of one draw.
+    drawn = CALIBRATION_ROWS + clean_rows
+    calibration = listed(labelled_rows(docs, labels, "toxic", 0, CALIBRATION_ROWS, drawn=drawn))
+    clean = stage(labelled_rows(docs, labels, "toxic", 0, clean_rows, CALIBRATION_ROWS, drawn).mapInArrow(pieces, "pieces array<string>"), "clean_words")
     counts = clean.select(F.explode("pieces").alias("word")).groupBy("word").agg(F.count("*").alias("n")).toArrow()
     in_good = dict(zip(counts["word"].to_pylist(), counts["n"].to_pylist()))
     return fit(toxic, in_good, max(1, clean.count()), calibration)

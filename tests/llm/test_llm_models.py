@@ -82,6 +82,17 @@ def test_toxicity_of_odd_rows(odd_docs, no_docs, labels, odd_rows):
     assert toxicity.score(no_docs, untrained).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 8000])
+def test_toxicity_calibrates_on_other_documents(spark, n, monkeypatch):
+    docs = spark.range(n).selectExpr("id AS doc_id", "repeat(char(97 + id % 26), 1 + cast(id / 26 AS int) % 20) || 'x' || translate(string(id), '0123456789', 'abcdefghij') AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 50 = 0 AS int) AS toxic")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, in_good, n_clean, clean: seen.update(used=set(in_good), n=n_clean, clean=clean))
+    toxicity.train(docs, labels, clean_rows=300)
+    other = {p for d in seen["clean"] for p in toxicity.distinct_pieces(d)}
+    assert len(seen["clean"]) == 400 and seen["n"] == 300 and other and not other & seen["used"]
+
+
 def test_quality_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     told = QUERIES["op5_quality"](spark, SF).join(labels, "doc_id").toPandas()

@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from rowloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, spotsigs, sql, suffix_tree, toxicity, url_filter
+from rowloom.llm import (
+    exact_dedup,
+    grammar_ids,
+    language_id,
+    mixing,
+    near_dedup,
+    packing,
+    prefix_trie,
+    quality,
+    spotsigs,
+    sql,
+    suffix_tree,
+    toxicity,
+    url_filter,
+    whitening,
+)
 from rowloom.llm.common import read_table, remainder
 from rowloom.session import stage
 
@@ -70,9 +85,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    docs = read_table(spark, sf_dir, "documents")
+    return grammar_ids.read_documents(stage(grammar_ids.shards(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken")), "token_ids"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op5_quality, op6_fingerprints, op7_lm_scoring, op8_mixing, op9_language_id, op10_url_filter)
+    for f in (op1_near_dedup, op2_best_fit_packing, op3_toxicity, op4_exact_dedup, op5_quality, op6_fingerprints, op7_lm_scoring, op8_mixing, op9_language_id, op10_url_filter, op11_whitening, op12_prefix_trie, op13_token_ids)
 }
 
-SQL: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP, "op10_url_filter": sql.url_filter()}
+SQL: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP, "op10_url_filter": sql.url_filter(), "op12_prefix_trie": sql.PREFIX_TRIE}

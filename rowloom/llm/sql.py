@@ -71,3 +71,46 @@ SELECT page_id, host, path, rule,
        coalesce(verdict, CASE WHEN allows THEN 'allow' WHEN blocks THEN 'block' END, 'allow') AS verdict, component
 FROM judged LEFT JOIN groups USING (node) LEFT JOIN spread USING (component)
 """
+
+
+#: Polynomial of crc32, reflected; all 32 bits.
+CRC, ONES = 3988292384, 4294967295
+
+
+def _crc32(text: str) -> str:
+    """crc32 of ASCII text: bit by bit, eight steps per character."""
+    steps = f"list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: xor(a >> 1, {CRC} * (a & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda y: ascii(y)::BIGINT)"
+    return f"xor(list_reduce(list_prepend({ONES}::BIGINT, {codes}), lambda c, x: {steps}), {ONES}::BIGINT)"
+
+
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, {_crc32('conv_id::VARCHAR')} % 9 AS h FROM t GROUP BY conv_id),
+c AS (SELECT s.*, least(s.h, coalesce(b.n, 0)) AS taken FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.base),
+r AS (
+  SELECT c.conv_id, pos + 1 AS depth, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.taken
+  UNION ALL
+  SELECT c.conv_id, c.taken + pos - c.h + 1, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+p AS (
+  SELECT conv_id, depth, strlen(text) AS bytes,
+         list(sha256(role || chr(1) || text)) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+len AS (SELECT conv_id, max(depth) AS length FROM p GROUP BY conv_id),
+n AS (
+  SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+         coalesce(string_agg(CASE WHEN depth = length THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends
+  FROM p JOIN len USING (conv_id) GROUP BY path),
+kids AS (SELECT path[:-2] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+-- A node's smallest member passes all its ancestors.
+sums AS (
+  SELECT p.path, count_if(low.n_children = 0) AS n_leaves, sum((low.n_convs - 1) * low.bytes) AS saved
+  FROM whole low JOIN p ON p.conv_id = low.conv_id AND p.depth <= low.depth GROUP BY p.path)
+SELECT w.conv_id, w.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN sums ON sums.path = w.path LEFT JOIN n up ON w.depth > 0 AND up.path = w.path[:-2]
+"""

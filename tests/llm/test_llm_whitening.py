@@ -54,7 +54,7 @@ def test_whitening(spark):
 def test_large_steps_and_minus_zero(spark):
     rows = [(i, [float(i * 100), (-0.0 if i % 2 else 0.0) if i % 3 else i * 0.3, float((i * 7) % 5) * 1e3], 0) for i in range(30)]
     check(spark, rows)
-    check(spark, [(i, [a, b, c * 1e4], 0) for i, (a, b, c), _ in rows])
+    check(spark, [(i, [a, b, c * 1e2], 0) for i, (a, b, c), _ in rows])
 
 
 def test_degenerate(spark):

@@ -25,26 +25,42 @@ from rowloom.sources.catalog import (
 )
 
 
-def _dense_facts(t: Table):
-    """Keys, their sum and the sum of their squares where the primary key numbers the rows, else null."""
-    kind = "struct<n_keys: bigint, sum: decimal(38,0), squares: decimal(38,0)>"
-    if t.order != "pkey":
-        return F.lit(None).cast(kind)
-    key = F.col(t.pkey).cast("decimal(18,0)")
-    return F.struct(F.count(key).alias("n_keys"), F.sum(key).alias("sum"), F.sum(key * key).alias("squares")).cast(kind)
+def key_facts(catalog: Catalog) -> DataFrame:
+    """scan_pos, n_keys, n_bits, least, most of each table whose primary key numbers its rows.
+
+    n_keys: rows with a whole number as key. n_bits: distinct keys, as the bits of bitmaps that each cover 32,768
+    numbers, so that a hot key costs one bit and no task holds a table's keys.
+    """
+    parts = []
+    for i, t in enumerate(catalog.tables):
+        if t.order != "pkey":
+            continue
+        whole = F.when(F.col(t.pkey) == F.floor(t.pkey), F.col(t.pkey).cast("bigint")).alias("key")
+        bits = F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("bits")
+        maps = t.df.select(whole).groupBy(F.bitmap_bucket_number("key").alias("span")).agg(
+            bits, F.count("key").alias("n_keys"), F.min("key").alias("least"), F.max("key").alias("most")
+        )
+        parts.append(
+            maps.agg(
+                F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n_keys"),
+                F.coalesce(F.sum(F.when(F.col("n_keys") > 0, F.bitmap_count("bits"))), F.lit(0)).alias("n_bits"),
+                F.min("least").alias("least"),
+                F.max("most").alias("most"),
+            ).select(F.lit(i).alias("scan_pos"), "*")
+        )
+    return union_all(parts, catalog.spark, "scan_pos int, n_keys bigint, n_bits bigint, least bigint, most bigint")
 
 
-def table_info(catalog: Catalog, with_keys: bool = False) -> DataFrame:
-    """Row count, width and first node id of every table, in scan order; with ``dense``, facts on the keys, on request."""
+def table_info(catalog: Catalog) -> DataFrame:
+    """Row count, width and first node id of every table, in scan order."""
     counts = union_all(
         [
-            t.df.agg(F.count("*").alias("num_nodes"), *([_dense_facts(t).alias("dense")] if with_keys else [])).select(
+            t.df.agg(F.count("*").alias("num_nodes")).select(
                 F.lit(i).alias("scan_pos"),
                 F.lit(t.name).alias("table_name"),
                 F.lit(t.split).alias("split"),
                 "num_nodes",
                 (F.col("num_nodes") * len(t.all_columns())).alias("num_cells"),
-                *(["dense"] if with_keys else []),
             )
             for i, t in enumerate(catalog.tables)
         ]
@@ -57,7 +73,6 @@ def table_info(catalog: Catalog, with_keys: bool = False) -> DataFrame:
         "node_offset",
         "num_nodes",
         "num_cells",
-        *(["dense"] if with_keys else []),
     )
 
 
@@ -75,15 +90,15 @@ class Numbered:
 
 
 def number_rows(catalog: Catalog, spread: int = 0) -> Numbered:
-    """Assign node ids. Reads back one row per table: the offsets, and what tells whether declared dense keys are.
+    """Assign node ids. Reads back one row per table: the offsets, and what proves that declared dense keys are.
 
     ``spread`` writes tables that come in fewer pieces again in so many: for tables in a few large files.
     """
-    counted = table_info(catalog, with_keys=True).collect()
-    ranges = {(r.table_name, r.split): (r.node_offset, r.num_nodes) for r in counted}
-    for r in counted:
-        refuse_sparse(r)
     info = table_info(catalog)
+    read = together({"counts": info.collect, "keys": key_facts(catalog).collect})
+    ranges = {(r.table_name, r.split): (r.node_offset, r.num_nodes) for r in read["counts"]}
+    for facts in read["keys"]:
+        refuse_sparse(catalog.tables[facts.scan_pos], ranges, facts)
 
     def numbered(t: Table) -> tuple[Table, DataFrame]:
         rows = with_row_index(t).withColumn("node_id", F.col("row_idx") + F.lit(ranges[(t.name, t.split)][0]))
@@ -98,12 +113,12 @@ def number_rows(catalog: Catalog, spread: int = 0) -> Numbered:
     return Numbered(Catalog(tuple(tables), catalog.name), rows, ranges, info)
 
 
-def refuse_sparse(counted) -> None:
+def refuse_sparse(t: Table, ranges: dict[tuple[str, str], tuple[int, int]], facts) -> None:
     """Keys that number the rows must be 0..n-1, each once: else ids would run into those of other tables."""
-    n = counted.num_nodes
-    want = (n, n * (n - 1) // 2, (n - 1) * n * (2 * n - 1) // 6)
-    if counted.dense is not None and tuple(int(counted.dense[c] or 0) for c in ("n_keys", "sum", "squares")) != want:
-        raise ValueError(f"the keys of {counted.table_name} ({counted.split}) are not 0 to {n - 1}, each once: give the table another order")
+    n = ranges[(t.name, t.split)][1]
+    dense = n == 0 or (facts.n_keys == facts.n_bits == n and facts.least == 0 and facts.most == n - 1)
+    if not dense:
+        raise ValueError(f"the keys of {t.name} ({t.split}) are not 0 to {n - 1}, each once: give the table another order")
 
 
 def row_seconds(t: Table):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from threading import Lock
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -50,10 +52,29 @@ def stage_root(spark: SparkSession) -> str:
 
 _STAGED: dict[str, list[str]] = {}
 
-
-def drop_stages(spark: SparkSession) -> int:
-    """Delete the tables that this application has staged so far; what still reads them must be done. Returns their number."""
-    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+#: Set while a table is staged: the shuffle files of the job go once its table is written, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITING: dict[str, int] = {}
+_LOCK = Lock()
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs begun inside drop their shuffle files at their end; staged writes may run side by side."""
+    app = spark.sparkContext.applicationId
+    with _LOCK:
+        _WRITING[app] = _WRITING.get(app, 0) + 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITING[app] -= 1
+            if not _WRITING[app]:
+                spark.conf.unset(CLEANUP)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -61,20 +82,45 @@ def drop_stages(spark: SparkSession) -> int:
     return len(paths)
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; ``drop_stages`` deletes what lies there."""
+    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the tables that this application has staged so far; what still reads them must be done. Returns their number."""
+    return _delete(spark, _STAGED.pop(spark.sparkContext.applicationId, []))
+
+
+def drop_staged(*tables: DataFrame) -> int:
+    """Delete the staged tables that these tables are read from; nothing may read them any more. Returns their number."""
+    gone = 0
+    for df in tables:
+        known = _STAGED.get(df.sparkSession.sparkContext.applicationId, [])
+        files = df.inputFiles()
+        mine = [path for path in known if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files)]
+        gone += _delete(df.sparkSession, mine)
+        for path in mine:
+            known.remove(path)
+    return gone
+
+
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     Cuts the lineage, survives the loss of executors and gives the next plan
     true sizes, so that small sides are broadcast and large ones are not.
-    ``drop_stages`` deletes what a run has written.
+    ``drop_stages`` deletes what a run has written, ``drop_staged`` single tables.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    path = stage_path(spark, label)
+    with _clean_shuffles(spark):
+        writer = df.write
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

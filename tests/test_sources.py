@@ -115,14 +115,36 @@ def test_file_order_spans_files(spark):
 def test_keys_that_do_not_number_the_rows(spark):
     from rowloom.sources.catalog import Catalog, Table
 
-    for keys in ([1, 2], [0, 5, 7], [0, 0, 2], [0, 2, 2, 2, 4], [0, None]):
+    for keys in ([1, 2], [0, 5, 7], [0, 0, 2], [0, 2, 2, 2, 4], [0, None], [1, 1, 2, 2, 3, 6, 6], [-1, 0, 1], [0] * 40_000 + [1]):
         df = spark.createDataFrame([(k, 1) for k in keys], "id long, v int")
         with pytest.raises(ValueError, match="each once"):
             G.number_rows(Catalog.of([Table("t", df, pkey="id", order="pkey")]))
-    for n in (0, 1, 5):
+    for n in (0, 1, 5, 70_000):
         G.number_rows(Catalog.of([Table("t", spark.range(n).withColumn("v", F.lit(1)), pkey="id", order="pkey")]))
 
 
+def test_fractions_number_nothing(spark):
+    from rowloom.sources.catalog import Catalog, Table
+
+    df = spark.createDataFrame([(0.0, 1), (1.5, 1)], "id double, v int")
+    with pytest.raises(ValueError, match="each once"):
+        G.number_rows(Catalog.of([Table("t", df, pkey="id", order="pkey")]))
+
+
+def test_single_staged_tables_are_dropped(spark):
+    from pathlib import Path
+
+    from rowloom.session import CLEANUP, drop_staged, stage, stage_root
+
+    before = spark.conf.get(CLEANUP)
+    one = stage(spark.range(10).groupBy("id").count(), "one")
+    two = stage(spark.range(3), "two")
+    assert spark.conf.get(CLEANUP) == before
+    assert drop_staged(one.filter("id > 3")) == 1 and drop_staged(one) == 0
+    left = [p.name.split("-")[0] for p in Path(stage_root(spark)).iterdir()]
+    assert "one" not in left and two.count() == 3
+
+
 @pytest.mark.parametrize("order", ["pkey", ("id",)])
 def test_keys_of_other_number_types(spark, order):
     from rowloom.sources.catalog import Catalog, Table

@@ -1,21 +1,20 @@
-"""Language-model scoring: a probabilistic suffix tree over tokens."""
+"""Language-model scoring: a probabilistic suffix tree over tokens, grown and read where the contexts of one last token lie together."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.llm.common import small_batches, text_bytes
 from rowloom.llm.words import REMEMBERED
-from rowloom.session import stage
+from rowloom.operators.index import dense_index
+from rowloom.session import drop_staged, stage
 
 #: Longest context in tokens.
 DEPTH = 3
@@ -25,18 +24,17 @@ LEAST_USES = 4
 LEAST_GAIN, GAIN_EACH = 8.0, 1.0
 #: Weight, in observations, of the shorter context when a longer one is smoothed.
 SMOOTHING = 8.0
-#: Values of what makes up this share of all tokens go to every task (at most 1 / HEAD_SHARE of a kind); the rest are joined.
-HEAD_SHARE = 2e-6
-#: Positions that a task holds before it hands counts on.
-HELD_POSITIONS = 2_000_000
-#: Bits (log2) of a sieve, some eight for each key between these bounds. Above, more keys make it coarser, which costs rows in a
-#: join but changes no result.
-SIEVE_BITS = (16, 28)
+#: A chunk of texts is closed once it holds so many tokens; a text is never cut.
+CHUNK_TOKENS = 1 << 19
+#: Slices, by last token, that one after another lie on disk; positions of one part of a slice, on average.
+SLICES, PART_POSITIONS = 8, 1 << 18
+#: Training uses from which on the contexts of a token are dealt to several parts.
+HOT_USES = 1 << 18
 
-#: Codes of the start and the end of a text; those of words are digests.
-START, END = 0x5851F42D4C957F2D, 0x14057B7EF767814F
-#: Bits of a symbol in a context of ``SuffixTree``; the last symbol is lowest, each one more than its number, so length shows.
-BITS = 14
+#: Codes of the end of a text; those of words are digests.
+END = 0x14057B7EF767814F
+#: Numbers of what is no word of the training texts: nothing, the start of a text, an unseen token. Words follow.
+NONE, START, UNSEEN, FIRST = 0, 1, 2, 3
 
 
 def code_of(word: bytes) -> int:
@@ -44,28 +42,11 @@ def code_of(word: bytes) -> int:
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ordered pair of hashes."""
-    h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.view(np.uint64) ^ np.uint64(0xD1B54A32D192ED03))
+    """A 64-bit hash of each ordered pair of numbers."""
+    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.astype(np.uint64) ^ np.uint64(0xD1B54A32D192ED03))
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(31))).view(np.int64)
-
-
-def grams(codes: np.ndarray, own: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length from 1: the positions whose context of that length lies in the text, the context,
-    the key of the token in the next shorter context, and its key in this one.
-
-    The key of a token in a context is at the same time the longer context that both make.
-    """
-    key = codes
-    at = np.flatnonzero(np.r_[False, own[1:] == own[:-1]])
-    for length in range(1, depth + 1):
-        at = at[at >= length]
-        at = at[own[at - length] == own[at]]
-        longer = np.zeros(len(codes), np.int64)
-        longer[at] = mixed(key[at - 1], key[at])
-        yield at, key[at - 1], key[at], longer[at]
-        key = longer
+    return h ^ (h >> np.uint64(31))
 
 
 @dataclass
@@ -74,279 +55,344 @@ class Counts:
 
     tokens: int
     kinds: int
-    texts: int
     #: What the counts suggest to take off each count of a token for those never seen.
     discount: float = 0.75
+    #: All texts, those to score alone included.
+    texts: int = 0
+    hot_uses: int = HOT_USES
+
+    def base_log(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
 
-    def base_log(self, c: Column) -> Column:
-        return F.log10((c + 0.5) / F.lit(self.tokens + 0.5 * (self.kinds + 1)))
+    def share(self, c: np.ndarray) -> np.ndarray:
+        """Discounted share of a token of all tokens; those never seen count as one."""
+        unseen = self.discount * self.kinds / self.tokens if self.tokens else 1.0
+        return np.where(c > 0, (c - self.discount) / max(1, self.tokens), unseen)
 
-    @property
-    def base_unseen(self) -> float:
-        return float(np.log10(0.5 / (self.tokens + 0.5 * (self.kinds + 1))))
 
-    @property
-    def unseen(self) -> float:
-        """Share of all tokens never seen, which count as one."""
-        return self.discount * self.kinds / self.tokens if self.tokens else 1.0
+CHUNKS = "first long, doc_ids array<long>, learn array<boolean>, sizes array<int>, words array<long>, used array<long>, places array<int>"
 
-    def share(self, c: Column) -> Column:
-        return (c - F.lit(self.discount)) / F.lit(float(self.tokens))
 
+def read_chunks(docs: DataFrame, learn: Column) -> DataFrame:
+    """Chunks of whole texts: the number of the first text (unique over all chunks), ids, marks and token counts of the texts, the
+    distinct tokens, their uses in texts to learn from, and for each token of each text its place among them.
 
-def read_codes(docs: DataFrame, learn: Column) -> DataFrame:
-    """row, doc_id, learn, codes: the codes of the words of each text and of its end."""
+    A text is its words, A-Z lower-cased, and one end.
+    """
     small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        at_row = TaskContext.get().partitionId() << 36
+        first = TaskContext.get().partitionId() << 36
+        doc_ids, marks, sizes, codes = [], [], [], []
+        types = (pa.int64(), *map(pa.list_, (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32())))
+
+        def close() -> pa.RecordBatch:
+            found, inverse = np.unique(np.array(codes, np.int64), return_inverse=True)
+            learned = np.repeat(np.array(marks, bool), np.array(sizes, np.int64))
+            used, uses = (np.bincount(i, minlength=len(found)) for i in (inverse[learned], inverse))
+            # Frequent tokens get small places.
+            order = np.argsort(-uses, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            values = (first, doc_ids, marks, sizes, found[order], used[order], place[inverse])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], [c.split()[0] for c in CHUNKS.split(", ")])
+
         for batch in batches:
-            codes, offsets = [], [0]
-            for text in batch.column(1).to_pylist():
-                for w in text.lower().split():
+            for doc_id, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
+                words = text.lower().split()
+                for w in words:
                     c = known.get(w)
                     if c is None:
                         c = known[w] = code_of(w)
                     codes.append(c)
                 codes.append(END)
-                offsets.append(len(codes))
-            if len(known) > REMEMBERED:
-                known.clear()
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(codes, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(at_row, at_row + batch.num_rows)), batch.column(0), batch.column(2), lists], ["row", "doc_id", "learn", "codes"]
-            )
-            at_row += batch.num_rows
-
-    texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), learn.alias("learn"))
-    return texts.mapInArrow(scan, "row long, doc_id long, learn boolean, codes array<long>")
-
-
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts, each after a START, and the number of the text of each code."""
-    sizes = np.diff(column.offsets.to_numpy())
-    own = np.repeat(np.arange(len(sizes)), sizes + 1)
-    codes = np.full(len(own), START, np.int64)
-    inner = np.ones(len(own), bool)
-    inner[np.cumsum(sizes + 1) - sizes - 1] = False
-    codes[inner] = column.flatten().to_numpy()
-    return codes, own
-
-
-def contexts(codes: np.ndarray, own: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length from 0: the positions whose context of that length lies in the text, and the context."""
-    at = np.flatnonzero(np.r_[False, own[1:] == own[:-1]])
-    held = np.zeros(len(codes), np.int64)
-    yield 0, at, held[at]
-    for length in range(1, depth + 1):
-        at = at[at >= length]
-        at = at[own[at - length] == own[at]]
-        held[at] |= (codes[at - length] + 1) << (BITS * (length - 1))
-        yield length, at, held[at]
-
-
-def sieve(keys: DataFrame) -> Broadcast:
-    """Bits for the column ``key``: a key whose bit is not set is not among them."""
-    size = 1 << (min(max((8 * keys.count()).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1]) - 6)
-    at = F.col("key").bitwiseAND(F.lit(size - 1))
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 58) AS INT))")
-    told = keys.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(size, np.uint64)
-    bits[told["at"].to_numpy()] = told["bits"].to_numpy().view(np.uint64)
-    return keys.sparkSession.sparkContext.broadcast(bits)
-
-
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    k = keys.view(np.uint64)
-    return (bits[k & np.uint64(len(bits) - 1)] >> (k >> np.uint64(58)) & np.uint64(1)).astype(bool)
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """key, n: uses of every token, ends included."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                doc_ids.append(doc_id), marks.append(bool(mark)), sizes.append(len(words) + 1)
+                if len(codes) >= CHUNK_TOKENS:
+                    yield close()
+                    first += len(sizes)
+                    doc_ids, marks, sizes, codes = [], [], [], []
+                if len(known) > REMEMBERED:
+                    known.clear()
+        if sizes:
+            yield close()
+
+    texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    return texts.mapInArrow(scan, CHUNKS)
+
+
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """word, n, number of every token of the training texts, the most frequent first."""
+    used = chunks.select(F.inline(F.arrays_zip("words", "used"))).filter("used > 0")
+    counted = used.groupBy(F.col("words").alias("word")).agg(F.sum("used").alias("n"))
+    return dense_index(counted.withColumn("fewest", -F.col("n")), ["fewest", "word"], "number").select("word", "n", (F.col("number") + FIRST).alias("number"))
+
+
+def numbered(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """The chunks with the numbers and training uses of their tokens instead of the tokens themselves."""
+    asked = chunks.select("first", F.posexplode("words").alias("place", "word"))
+    met = asked.join(words, "word", "left")
+    told = met.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("number", F.lit(UNSEEN)).alias("number"), F.coalesce("n", F.lit(0)).alias("n")))).alias("t"))
+    return chunks.select("first", "doc_ids", "learn", "sizes", "places").join(told, "first").select(
+        "first", "doc_ids", "learn", "sizes", "places", F.col("t.number").alias("numbers"), F.col("t.n").alias("uses")
+    )
+
+
+@dataclass
+class Chunk:
+    """Positions of one chunk: each token t, its uses n, its text, and the one to three tokens w, c2, c3 before it."""
+
+    rows: np.ndarray
+    learn: np.ndarray
+    tokens: list[np.ndarray]
+    uses: np.ndarray
+    #: Whether w, c2, c3 and t are hot.
+    hot: list[np.ndarray]
+    hot_next: np.ndarray
+
+    @classmethod
+    def of(cls, sizes, marks, places, numbers, uses, counts: Counts) -> Chunk:
+        own, size = np.repeat(np.arange(len(sizes)), sizes), np.array(sizes, np.int64)
+        t, n = numbers[places], uses[places]
+        inside = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
+        tokens, hot = [], []
+        for back in range(1, DEPTH + 1):
+            before, heat = np.full(len(t), NONE), np.ones(len(t), bool)
+            before[inside == back - 1], heat[inside == back - 1] = START, counts.texts > counts.hot_uses
+            at = np.flatnonzero(inside >= back)
+            before[at], heat[at] = t[at - back], n[at - back] > counts.hot_uses
+            tokens.append(before), hot.append(heat)
+        return cls(own, np.array(marks, bool)[own], [t, *tokens], n, hot, n > counts.hot_uses)
+
+    def part(self, n_parts: int) -> np.ndarray:
+        """Where each position is dealt to: by its last token; of hot contexts, by the tokens before as well, then by what follows, then evenly."""
+        t, *before = self.tokens
+        key, split = mixed(before[0], np.zeros_like(t)), self.hot[0].copy()
+        for k in range(1, DEPTH):
+            key = np.where(split, mixed(key, before[k]), key)
+            split &= self.hot[k]
+        key = np.where(split, mixed(key, t), key)
+        split &= self.hot_next
+        key = np.where(split, mixed(key, np.arange(len(t))), key)
+        return (mixed(key, np.ones_like(t)) % np.uint64(n_parts)).astype(np.int64)
+
+
+FIELDS = ("t", "w", "c2", "c3", "uses", "row")
+
+
+def _arrays(batch: pa.RecordBatch, k: int) -> tuple:
+    sizes, marks, places, numbers, uses = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("sizes", "learn", "places", "numbers", "uses"))
+    return sizes, marks, places, numbers, uses
+
+
+def text_sums(chunks: DataFrame, counts: Counts) -> DataFrame:
+    """row, doc_id, n_tokens, n_known, base_score, and score: the tokens after an unseen one, which every context leaves to the root."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+            for k in range(batch.num_rows):
+                sizes, marks, places, numbers, uses = _arrays(batch, k)
+                c = Chunk.of(sizes, marks, places, numbers, uses, counts)
+                sums = lambda v: pa.array(np.bincount(c.rows, weights=v, minlength=len(sizes)))
+                known = np.bincount(c.rows, weights=c.uses > 0, minlength=len(sizes)).astype(np.int64)
+                rooted = np.where(c.tokens[1] == UNSEEN, np.log10(counts.share(c.uses)), 0.0)
+                row = batch.column("first")[k].as_py() + np.arange(len(sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row), batch.column("doc_ids")[k].values, pa.array(sizes.astype(np.int64)), pa.array(known), sums(counts.base_log(c.uses)), sums(rooted)],
+                    ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"],
+                )
 
-    return texts.select("codes").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return chunks.mapInArrow(add, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def context_counts(texts: DataFrame, length: int, frontier: Broadcast) -> DataFrame:
-    """context, above, key, n over the contexts of one length that pass the sieve ``frontier``; above: the key in the next shorter context."""
+def _table(c: Chunk, at: np.ndarray) -> np.ndarray:
+    """FIELDS as rows, one column for each position of ``at``; the last one holds the text and four marks."""
+    row = c.rows[at] << 4 | c.learn[at] << 3
+    for bit, heat in enumerate(c.hot):
+        row |= heat[at].astype(np.int64) << bit
+    return np.stack([*(tokens[at] for tokens in c.tokens), c.uses[at], row])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def hand_on() -> pa.RecordBatch:
-            context, above, key = map(np.concatenate, zip(*held))
-            held.clear()
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(above[first]), pa.array(n.astype(np.int64))], ["context", "above", "n"])
+def dealt(chunks: DataFrame, slice_no: int, n_parts: int, counts: Counts) -> DataFrame:
+    """part, first, positions: the positions of one slice in each chunk, those of one part together in one value."""
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *_, (_, context, above, key) = grams(*_flat(batch.column(0)), length)
-            some = passes(frontier.value, context)
-            held.append((context[some], above[some], key[some]))
-            if sum(len(h[0]) for h in held) > HELD_POSITIONS:
-                yield hand_on()
-        if held:
-            yield hand_on()
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k in range(batch.num_rows):
+                c = Chunk.of(*_arrays(batch, k), counts)
+                part = c.part(n_parts * SLICES)
+                at = np.flatnonzero((part % SLICES == slice_no) & (c.tokens[1] != UNSEEN))
+                if not len(at):
+                    continue
+                at = at[np.argsort(part[at], kind="stable")]
+                table = _table(c, at)
+                kind = "<u4" if table.max() < 1 << 32 else "<u8"
+                number = part[at] // SLICES
+                begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+                values = [kind[-1].encode() + table[:, a:b].astype(kind).tobytes() for a, b in zip(begin, [*begin[1:], len(at)])]
+                first = batch.column("first")[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(number[begin]), pa.array(np.full(len(begin), first)), pa.array(values, pa.binary())], ["part", "first", "positions"])
+
+    return chunks.mapInArrow(deal, "part long, first long, positions binary")
+
+
+def _unpacked(values: list[bytes]) -> np.ndarray:
+    """FIELDS as rows, one column per position."""
+    return np.concatenate([np.frombuffer(v[1:], f"<u{v[:1].decode()}").reshape(len(FIELDS), -1).astype(np.int64) for v in values], 1)
+
+
+def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each distinct pair, and where each pair comes first."""
+    _, first, inverse = np.unique(a * (int(b.max()) + 1) + b, return_index=True, return_inverse=True)
+    return inverse, first
+
+
+class Part:
+    """The positions of one part, and for each length the distinct contexts and the distinct tokens after them."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.t, *self.before, self.uses, flags = table
+        self.row, self.learn = flags >> 4, (flags >> 3 & 1).astype(bool)
+        hot = np.ones(len(flags), bool)
+        self.there, self.split, self.context, self.pair, self.first = [], [], [], [], []
+        token = np.unique(self.t, return_inverse=True)[1]
+        context = np.zeros(len(flags), np.int64)
+        for k in range(DEPTH):
+            hot = hot & (flags >> k & 1).astype(bool)
+            context, _ = _groups(context, np.unique(self.before[k], return_inverse=True)[1])
+            pair, first = _groups(context, token)
+            self.there.append(self.before[k] != NONE), self.split.append(hot)
+            self.context.append(context), self.pair.append(pair), self.first.append(first)
+
+    def uses_of(self, k: int) -> np.ndarray:
+        """Training uses of each pair of length k + 1 in this part."""
+        return np.bincount(self.pair[k], weights=self.learn, minlength=len(self.first[k])).astype(np.int64)
+
+    def shared(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs whose context is dealt to several parts: level, w, c2, c3, t, uses of t, uses of the pair here; and their places per level."""
+        out, at = [], []
+        for k in range(DEPTH):
+            first = self.first[k]
+            mine = np.flatnonzero(self.split[k][first] & self.there[k][first])
+            f = first[mine]
+            before = [self.before[i][f] if i <= k else np.zeros(len(f), np.int64) for i in range(DEPTH)]
+            out.append(np.stack([np.full(len(f), k + 1), *before, self.t[f], self.uses[f], self.uses_of(k)[mine]]))
+            at.append(mine)
+        return np.concatenate(out, 1), at
+
+    def logs(self, counts: Counts, resolved: np.ndarray | None) -> np.ndarray:
+        """log10 probability of each position: the longest kept context before it, smoothed towards shorter ones and the token's share.
+
+        ``resolved``: uses of the pair, total and kept of the context, for each pair of ``shared``, over all parts.
+        """
+        p = counts.share(self.uses)
+        n_above, total_above = self.uses.astype(float), np.full(len(p), float(max(1, counts.tokens)))
+        places, done = self.shared()[1] if resolved is not None else [np.zeros(0, np.int64)] * DEPTH, 0
+        for k in range(DEPTH):
+            pair, context, first = self.pair[k], self.context[k], self.first[k]
+            n = self.uses_of(k).astype(float)
+            of = context[first]
+            total = np.bincount(of, weights=n)
+            seen = np.flatnonzero(n > 0)
+            share = n_above[first] / total_above[first]
+            told = np.bincount(of[seen], weights=n[seen] * np.log(n[seen] / total[of[seen]] / share[seen]), minlength=len(total))
+            n_next = np.bincount(of[seen], minlength=len(total))
+            kept = ((total >= LEAST_USES) & (told >= LEAST_GAIN + GAIN_EACH * n_next))[of]
+            total = total[of]
+            mine = places[k]
+            if len(mine):
+                n[mine], total[mine], kept[mine] = resolved[:, done : done + len(mine)]
+                done += len(mine)
+            use = self.there[k] & kept.astype(bool)[pair]
+            p = np.where(use, (n[pair] + SMOOTHING * p) / (total[pair] + SMOOTHING), p)
+            there = self.there[k]
+            n_above, total_above = np.where(there, n[pair], n_above), np.where(there, np.maximum(total[pair], 1.0), total_above)
+        return np.log10(p)
+
+
+SHARED = ["level", "w", "c2", "c3", "t", "uses", "n"]
+PARTS = "part long, firsts array<long>, positions array<binary>, shared binary, n_shared long"
+
+
+def parts_of(rows: DataFrame) -> DataFrame:
+    """One row per part: its positions, and its pairs of contexts that other parts have, too."""
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        values = table.column("positions").to_pylist()
+        shared, _ = Part(_unpacked(values)).shared()
+        columns = [[key[0].as_py()], [table.column("first").to_pylist()], [values], [shared.astype("<i8").tobytes()], [shared.shape[1]]]
+        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "firsts", "positions", "shared", "n_shared"])
+
+    return rows.groupBy("part").applyInArrow(gather, PARTS)
+
+
+def hot_contexts(chunks: DataFrame, counts: Counts) -> tuple[DataFrame, DataFrame]:
+    """Pairs (level, w, c2, c3, t, n) and contexts (level, w, c2, c3, total, kept) of the contexts whose tokens are all hot, over all texts.
+
+    Each chunk adds up its own pairs first, so a hot context is no hot key.
+    """
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c = Chunk.of(*_arrays(batch, k), counts)
+                at = np.flatnonzero(c.learn & c.hot[0])
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in Part(_table(c, at)).shared()[0]], SHARED)
+
+    rows = stage(chunks.mapInArrow(pair_up, ", ".join(f"{c} long" for c in SHARED)).groupBy(*SHARED[:5]).agg(F.max("uses").alias("uses"), F.sum("n").alias("n")), "shared")
+    n, above, pairs, contexts = F.col("n"), None, [], []
+    for level in range(1, DEPTH + 1):
+        before = ["w", "c2", "c3"][:level]
+        own = rows.filter(F.col("level") == level).select(*before, "t", "uses", "n")
+        if above is None:
+            own = own.withColumn("share", F.col("uses") / F.lit(float(max(1, counts.tokens))))
+        else:
+            own = own.join(above, [*before[:-1], "t"])
+        tests = own.groupBy(*before).agg(F.sum("n").alias("total"), F.count("*").alias("n_next"), F.sum(n * F.log(n / F.col("share"))).alias("told"))
+        kept = (F.col("total") >= LEAST_USES) & (F.col("told") - F.col("total") * F.log("total") >= LEAST_GAIN + GAIN_EACH * F.col("n_next"))
+        tests = stage(tests.select(*before, "total", kept.cast("long").alias("kept")), "contexts")
+        above = rows.filter(F.col("level") == level).join(tests, before).select(*before, "t", (n / F.col("total")).alias("share"))
+        labels = [F.lit(level).cast("long").alias("level"), *before, *[F.lit(0).cast("long").alias(c) for c in ["w", "c2", "c3"][level:]]]
+        contexts.append(tests.select(*labels, "total", "kept"))
+    return rows.drop("uses"), contexts[0].unionByName(contexts[1]).unionByName(contexts[2])
+
+
+def resolve(parts: DataFrame, pairs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """part, all_n, all_total, all_kept: for each shared pair of a part, in order, its uses and the total and kept of its context over all parts."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Keys are made once they are counted, so that less is shuffled.
-            key = mixed(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], ["context", "above", "n", "key"])
+            for part, shared in zip(*(c.to_pylist() for c in batch.columns)):
+                table = np.frombuffer(shared, "<i8").reshape(len(SHARED), -1)[:5]
+                n = table.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(n)), *[pa.array(r) for r in table]], ["part", "place", *SHARED[:5]])
 
-    found = texts.select("codes").mapInArrow(count, "context long, above long, n long").groupBy("context", "above").agg(F.sum("n").alias("n"))
-    return found.mapInArrow(keyed, "context long, above long, n long, key long")
+    rows = parts.select("part", "shared").mapInArrow(spread, "part long, place long, " + ", ".join(f"{c} long" for c in SHARED[:5]))
+    met = rows.join(pairs, SHARED[:5], "left").join(contexts, SHARED[:4], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    listed = met.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", zero("n"), zero("total"), zero("kept")))).alias("r"))
+    return listed.select("part", F.col("r.n").alias("all_n"), F.col("r.total").alias("all_total"), F.col("r.kept").alias("all_kept"))
 
 
-@dataclass
-class SuffixTree:
-    """The smoothed tree of a few counts, in memory. Kept contexts, sorted; state 0 is the root, state i + 1 the i-th context."""
-
-    keys: np.ndarray = field(repr=False)
-    depth: int
-    #: log10 of the weight that a state leaves to the next shorter kept context, and that one's state.
-    left: np.ndarray = field(repr=False)
-    above: np.ndarray = field(repr=False)
-    #: state << BITS | symbol, sorted, and its smoothed log10 probability.
-    pairs: np.ndarray = field(repr=False)
-    logs: np.ndarray = field(repr=False)
-    #: log10 probability of a symbol that the root has not seen.
-    unseen: float
-
-    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol in its state: from the first state upwards that knows it."""
-        out = np.zeros(len(state))
-        todo, at = np.arange(len(state)), state.copy()
-        while len(todo):
-            key = at << BITS | symbol[todo]
-            place = np.searchsorted(self.pairs, key)
-            hit = np.r_[self.pairs, -1][place] == key
-            out[todo[hit]] += self.logs[place[hit]]
-            todo, at = todo[~hit], at[~hit]
-            root = at == 0
-            out[todo[root]] += self.unseen
-            todo, at = todo[~root], at[~root]
-            out[todo] += self.left[at]
-            at = self.above[at]
-        return out
-
-    def longest(self, codes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the tokens, and of each the state of the longest kept context before it."""
-        state = np.zeros(len(codes), np.int64)
-        tokens = np.zeros(0, np.int64)
-        for length, at, keys in contexts(codes, own, self.depth):
-            if not length:
-                tokens = at
-            elif len(self.keys):
-                place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                hit = self.keys[place] == keys
-                state[at[hit]] = place[hit] + 1
-        return tokens, state[tokens]
-
-
-def build(levels: list[dict[tuple[int, int], int]]) -> SuffixTree:
-    """Smoothed tree from kept counts: for each length a map of (context, symbol) to uses."""
-    totals: Counter = Counter()
-    for level in levels:
-        for (context, _), n in level.items():
-            totals[context] += n
-    keys = np.array(sorted(k for k in totals if k), np.int64)
-    number = {0: 0} | {k: i + 1 for i, k in enumerate(keys.tolist())}
-
-    def shorter(context: int) -> int:
-        """The longest kept proper suffix: the oldest symbol is the highest."""
-        while context:
-            context &= (1 << (BITS * ((context.bit_length() - 1) // BITS))) - 1
-            if context in number:
-                break
-        return number[context]
-
-    order = [0, *keys.tolist()]
-    left = np.array([np.log10(SMOOTHING / (totals[k] + SMOOTHING)) for k in order])
-    above = np.array([shorter(k) if k else 0 for k in order], np.int64)
-    kinds = len(levels[0]) + 1
-    unseen = float(np.log10(SMOOTHING / kinds / (totals[0] + SMOOTHING)))
-    tree = SuffixTree(keys, len(levels) - 1, left, above, np.zeros(0, np.int64), np.zeros(0), unseen)
-    for depth, level in enumerate(levels):
-        if not level:
-            continue
-        state = np.array([number[c] for c, _ in level], np.int64)
-        symbol = np.array([s for _, s in level], np.int64)
-        n, total = np.array(list(level.values()), float), np.array([totals[c] for c, _ in level], float)
-        # Shorter contexts are smoothed first: what a longer one falls back on is ready.
-        back = 10.0 ** tree.follow(above[state], symbol) if depth else np.full(len(n), 1 / kinds)
-        pairs = np.r_[tree.pairs, state << BITS | symbol]
-        logs = np.r_[tree.logs, np.log10((n + SMOOTHING * back) / (total + SMOOTHING))]
-        by_pair = np.argsort(pairs, kind="stable")
-        tree.pairs, tree.logs = pairs[by_pair], logs[by_pair]
-    return tree
-
-
-def grow(texts: DataFrame, words: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
-    """Count contexts length by length over all training texts, and smooth those that pass the tests.
-
-    A context is looked at from ``LEAST_USES`` uses on, and kept if its continuations
-    diverge from those of its suffix. ``words`` has key, n, share and p of each token. Returns for each length a written
-    table: context, above, key, n, total, share (of the context), whether it is kept, back and p, the
-    smoothed probabilities in the next shorter kept context and in this one.
-    """
-    levels, before = [], words
-    start = texts.sparkSession.createDataFrame([(START,)], "key long")
-    for length in range(1, depth + 1):
-        longer = before.filter(F.col("n") >= LEAST_USES).select("key")
-        frontier = sieve(longer.unionByName(start) if length == 1 else longer)
-        counted = stage(context_counts(texts, length, frontier), f"contexts{length}")
-        frontier.destroy()
-        told = counted.join(before.select(F.col("key").alias("above"), F.col("share").alias("share_above"), F.col("p").alias("back")), "above")
-        told = stage(told, f"above{length}")
-        n = F.col("n")
-        tests = told.groupBy("context").agg(
-            F.sum("n").alias("total"), F.count("*").alias("n_next"), F.sum(n * F.log(n / F.col("share_above"))).alias("told")
-        )
-        # The sieve lets some contexts of fewer uses pass.
-        tests = tests.filter(F.col("total") >= LEAST_USES).select(
-            "context", "total", (F.col("told") - F.col("total") * F.log("total") >= LEAST_GAIN + GAIN_EACH * F.col("n_next")).alias("kept")
-        )
-        smoothed = F.when(F.col("kept"), (n + SMOOTHING * F.col("back")) / (F.col("total") + SMOOTHING)).otherwise(F.col("back"))
-        before = told.join(tests, "context").select(
-            "context", "above", "key", "n", "total", (n / F.col("total")).alias("share"), "kept", "back", smoothed.alias("p")
-        )
-        before = stage(before, f"level{length}")
-        levels.append(before)
-    return levels
-
-
-def entries(words: DataFrame, levels: list[DataFrame], counts: Counts) -> DataFrame:
-    """key, uses, score, base, known: what each use of a key adds to the sums of a text.
-
-    Smoothed probabilities multiply: a kept context leaves a share to the
-    shorter one for any token, and a token that it knows has so many times that. So a text's score is a sum over its tokens, its
-    contexts (keyed by their complement) and its tokens in contexts.
-    """
-    n, none = F.col("n"), F.lit(0.0)
-    parts = words.select(
-        "key", n.alias("uses"), (F.log10("p") - F.lit(float(np.log10(counts.unseen)))).alias("score"),
-        (counts.base_log(n) - F.lit(counts.base_unseen)).alias("base"), F.lit(1).alias("known"),
-    )
-    for level in levels:
-        kept = level.filter("kept")
-        left = kept.groupBy("context").agg(F.first("total").alias("uses"))
-        score = F.log10(SMOOTHING / (F.col("uses") + SMOOTHING))
-        nothing = [none.alias("base"), F.lit(0).alias("known")]
-        parts = parts.unionByName(left.select(F.bitwise_not("context").alias("key"), "uses", score.alias("score"), *nothing))
-        score = F.log10((n + SMOOTHING * F.col("back")) / (SMOOTHING * F.col("back")))
-        parts = parts.unionByName(kept.select("key", n.alias("uses"), score.alias("score"), *nothing))
-    return parts
-
-
-#: Columns of what is looked up for a text.
-LOOKED_UP = ["row", "key", "times", "score", "base", "known"]
+def slice_scores(parts: DataFrame, counts: Counts) -> DataFrame:
+    """row, score: what the positions of each part add to their texts. ``parts`` may have the columns of ``resolve``."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                values, firsts = batch.column("positions")[k].as_py(), batch.column("firsts")[k].as_py()
+                resolved = None
+                if batch.column("all_n")[k].is_valid:
+                    resolved = np.stack([batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("all_n", "all_total", "all_kept")]).astype(float)
+                part = Part(_unpacked(values))
+                size = [(len(v) - 1) // int(v[:1]) // len(FIELDS) for v in values]
+                row, inverse = np.unique(np.repeat(np.array(firsts), size) + part.row, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(inverse, weights=part.logs(counts, resolved)))], ["row", "score"])
+
+    return parts.select("firsts", "positions", "all_n", "all_total", "all_kept").mapInArrow(tell, "row long, score double")
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -355,71 +401,43 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     ``learn`` marks the rows to learn from. A text is its words, A-Z lower-cased,
     and one end. base_score is the add-half unigram log10 probability over the training
     tokens. score is the tree's: each token in the longest kept context before it, smoothed towards
-    shorter ones and at last towards its discounted share of all tokens.
+    shorter ones and at last towards its discounted share of all tokens. A context is looked at from ``LEAST_USES`` uses on, and kept if
+    what follows it diverges from what follows its suffix.
     As in the base, all tokens never seen count as one. Null and empty texts are one end. Without
-    training texts every count is 0. Repeated rows are scored alike.
+    training texts every count is 0. Repeated rows are scored alike; very long texts are read whole; an empty table gives no rows;
+    other columns are not read.
+
+    All contexts that end in one token lie in one part, so a part counts, tests and smooths its contexts of every length and scores the positions
+    after them by itself. Contexts whose tokens are all hot are dealt to several parts, which put their counts together first.
+    Slices of the parts are written, scored and dropped one after another.
     """
-    rows = stage(read_codes(docs, learn), "codes")
-    training = rows.filter("learn")
-    vocabulary = stage(word_counts(training), "vocabulary")
-    n_texts = training.count()
-    tokens, kinds, once, twice = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    counts = Counts(tokens, kinds, n_texts, once / (once + 2 * twice) if once and twice else 0.75)
-    share = counts.share(F.col("n"))
-    words = vocabulary.select("key", "n", (F.col("n") / F.lit(float(max(1, tokens)))).alias("share"), share.alias("p"))
-    table = stage(entries(words, grow(training, words) if n_texts else [], counts), "entries")
-    frequent = max(2.0, HEAD_SHARE * counts.tokens)
-    head = table.filter(F.col("uses") >= frequent).toArrow().sort_by("key")
-    rest = table.filter(F.col("uses") < frequent).select("key", "score", "base", "known")
-    values = np.stack([head[c].to_numpy().astype(float) for c in ("score", "base", "known")], 1)
-    shared = docs.sparkSession.sparkContext.broadcast((head["key"].to_numpy(), values))
-    there = sieve(rest)
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, value = shared.value
-        for batch in batches:
-            codes, own = _flat(batch.column(1))
-            at = np.flatnonzero(np.r_[False, own[1:] == own[:-1]])
-            sums, keys, of = np.zeros((batch.num_rows, 3)), [], []
-            found = [(at, codes[at])]
-            for at, context, _, key in grams(codes, own, DEPTH):
-                found += [(at, ~context), (at, key)]
-            for at, key in found:
-                if len(common):
-                    place = np.minimum(np.searchsorted(common, key), len(common) - 1)
-                    hit = common[place] == key
-                    for i in range(3 if key is found[0][1] else 1):
-                        sums[:, i] += np.bincount(own[at[hit]], weights=value[place[hit], i], minlength=batch.num_rows)
-                    at, key = at[~hit], key[~hit]
-                some = passes(there.value, key)
-                keys.append(key[some])
-                of.append(own[at[some]])
-            keys, of = np.concatenate(keys), np.concatenate(of)
-            order = np.lexsort((keys, of))
-            keys, of = keys[order], of[order]
-            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]) if len(keys) else np.zeros(0, np.int64)
-            uses = np.diff(np.r_[first, len(keys)])
-            row = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row[of[first]]), pa.array(keys[first]), pa.array(uses.astype(float)), *[pa.nulls(len(first), pa.float64())] * 3], LOOKED_UP
-            )
-            # What every task knows is handed on as sums.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.float64()), *[pa.array(sums[:, i]) for i in range(3)]], LOOKED_UP
-            )
-
-    asked = rows.select("row", "codes").mapInArrow(look_up, "row long, key long, times double, score double, base double, known double")
-    asked = stage(asked, "asked")
-    met = asked.filter("key IS NOT NULL").select("row", "key", "times").join(rest, "key")
-    added = met.select("row", *[(F.col("times") * F.col(c)).alias(c) for c in ("score", "base", "known")])
-    added = added.unionByName(asked.filter("key IS NULL").select("row", "score", "base", "known"))
-    sums = added.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("score", "base", "known")])
-    size = F.size("codes").cast("long")
-    return rows.select("row", "doc_id", size.alias("n_tokens")).join(sums, "row").select(
-        "doc_id",
-        "n_tokens",
-        F.round("known").cast("long").alias("n_known"),
-        F.lit(counts.tokens).cast("long").alias("train_tokens"),
-        (F.col("n_tokens") * F.lit(counts.base_unseen) + F.col("base")).alias("base_score"),
-        (F.col("n_tokens") * F.lit(float(np.log10(counts.unseen))) + F.col("score")).alias("score"),
-    )
+    chunks = stage(read_chunks(docs, learn), "chunks")
+    ranked = vocabulary(chunks)
+    words = stage(ranked, "vocabulary")
+    drop_staged(ranked)
+    n = F.col("n")
+    tokens, kinds, once, twice, hottest = words.agg(
+        F.coalesce(F.sum(n), F.lit(0)), F.count("*"), F.count_if(n == 1), F.count_if(n == 2), F.coalesce(F.max(n), F.lit(0))
+    ).first()
+    texts, positions = chunks.agg(F.coalesce(F.sum(F.size("sizes")), F.lit(0)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    counts = Counts(tokens, kinds, once / (once + 2 * twice) if once and twice else 0.75, texts, HOT_USES)
+    whole = stage(numbered(chunks, words), "numbered")
+    drop_staged(chunks, words)
+    sums = text_sums(whole, counts)
+    partial = [sums.select("row", "score")]
+    n_parts = -(-positions // (SLICES * PART_POSITIONS)) or 1
+    hot = texts > counts.hot_uses or hottest > counts.hot_uses
+    over_all = hot_contexts(whole, counts) if hot else None
+    for slice_no in range(SLICES if positions else 0):
+        parts = stage(parts_of(dealt(whole, slice_no, n_parts, counts)), "parts")
+        if over_all:
+            told = parts.join(resolve(parts.filter("n_shared > 0"), *over_all), "part", "left")
+        else:
+            told = parts.select("*", *[F.lit(None).cast("array<long>").alias(c) for c in ("all_n", "all_total", "all_kept")])
+        partial.append(stage(slice_scores(told, counts).groupBy("row").agg(F.sum("score").alias("score")), "scores"))
+        drop_staged(parts)
+    added = partial[0]
+    for one in partial[1:]:
+        added = added.unionByName(one)
+    total = added.groupBy("row").agg(F.sum("score").alias("score"))
+    return sums.drop("score").join(total, "row").select("doc_id", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")

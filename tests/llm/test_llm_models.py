@@ -154,23 +154,6 @@ def test_tree_beats_the_base(spark):
     assert held.score.sum() > 0.9 * held.base_score.sum() and (held.score > held.base_score).mean() > 0.9
 
 
-def test_distributions_sum_to_one():
-    levels = [{(0, 1): 10, (0, 3): 30, (0, 4): 20}, {(4, 4): 25, (4, 1): 2, (1, 3): 9}, {(4 << suffix_tree.BITS | 5, 1): 6}]
-    tree = suffix_tree.build(levels)
-    symbols = np.array([1, 3, 4, 2])  # 2 was never seen: it stands for all that were not
-    for state in range(len(tree.keys) + 1):
-        assert (10.0 ** tree.follow(np.full(4, state), symbols)).sum() == pytest.approx(1)
-
-
-def test_longest_context():
-    a, b = 3, 4
-    levels = [{(0, a): 5, (0, b): 5}, {(a + 1, b): 5}, {((b + 1) << suffix_tree.BITS | (a + 1), a): 3}]
-    tree = suffix_tree.build(levels)
-    at, state = tree.longest(np.array([0, b, a, b]), np.array([0, 0, 0, 0]))
-    kept = {k: i + 1 for i, k in enumerate(tree.keys.tolist())}
-    assert state.tolist() == [0, 0, kept[(b + 1) << suffix_tree.BITS | (a + 1)]]
-
-
 def test_no_training_texts(spark, odd_docs, odd_rows, no_docs):
     from pyspark.sql import functions as F
 
@@ -210,12 +193,18 @@ def brute_tree(rows, learn):
     return {i: sum(math.log10(p(tuple(w[max(0, at - 3) : at]), w[at])) for at in range(1, len(w))) for i, w in words.items()}, kept
 
 
-def test_rare_contexts_count_in_a_large_corpus(spark):
+@pytest.mark.parametrize("hot,part,chunk", [(1 << 18, 1 << 18, 1 << 19), (40, 700, 3000), (0, 150, 900)])
+def test_rare_contexts_count_in_a_large_corpus(spark, monkeypatch, hot, part, chunk):
+    # With small bounds, hot contexts of every length are dealt to several parts.
+    monkeypatch.setattr(suffix_tree, "HOT_USES", hot)
+    monkeypatch.setattr(suffix_tree, "PART_POSITIONS", part)
+    monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(suffix_tree, "SLICES", 2)
     # "zig zag zog" makes up less than 1/10,000 of all tokens.
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 1000) % 5000)) for i in range(80)]
     rows += [(100 + i, f"w{i} zig zag zog w{i + 9}") for i in range(6)]
-    rows += [(200, "zig zag zog"), (201, "zog zig zag never"), (202, "")]
+    rows += [(200, "zig zag zog"), (201, "zog zig zag never"), (202, ""), (203, "never ever w1"), (120, "w1 " * 900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, docs["doc_id"] < 200).collect()}
     want, kept = brute_tree(rows, [i for i, _ in rows if i < 200])

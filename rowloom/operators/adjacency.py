@@ -13,14 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rowloom.operators.index import dense_index
+from rowloom.operators.util import union_all
 from rowloom.session import stage, together
 
 KEY = ["parent_id", "child_class"]
 
-# A parent's history is cut into equal slices of time, one per SLICE_TARGET
-# timed children and at most MAX_SLICES.
-SLICE_TARGET = 256
-MAX_SLICES = 1 << 16
+# Times of a run lie in blocks of so many places, the first times of so many blocks in a block of the level above.
+BLOCK = 256
 
 # Stands for the time of a seed that has none: later than everything.
 NO_TIME = (1 << 63) - 1
@@ -29,12 +28,13 @@ NO_TIME = (1 << 63) - 1
 @dataclass(frozen=True)
 class Adjacency:
     """``entries``: one row per edge, by ``adj_pos``, with the child's parents over its
-    other keys. ``runs``: one row per (parent, class). ``slices``: the moments at
-    which a run grows."""
+    other keys. ``runs``: one row per (parent, class). ``times``: the times of a run in blocks,
+    level by level; ``height``: how many levels the longest run has."""
 
     entries: DataFrame
     runs: DataFrame
-    slices: DataFrame
+    times: DataFrame
+    height: int
 
 
 def child_order(edges: DataFrame) -> DataFrame:
@@ -51,9 +51,10 @@ def with_other_parents(ordered: DataFrame, payload: DataFrame) -> DataFrame:
 def build_adjacency(edges: DataFrame, payload: DataFrame) -> Adjacency:
     ordered = child_order(edges)
 
-    def history() -> tuple[DataFrame, DataFrame]:
+    def history() -> tuple[DataFrame, DataFrame, int]:
         runs = stage(child_runs(ordered), "runs")
-        return runs, stage(time_slices(ordered, runs), "slices")
+        height = levels_of(runs.agg(F.coalesce(F.max("n_timed"), F.lit(0))).first()[0])
+        return runs, stage(time_blocks(ordered, runs, height), "times", partition_by=["level"]), height
 
     made = together(
         {"entries": lambda: stage(with_other_parents(ordered, payload), "entries"), "history": history}
@@ -61,77 +62,62 @@ def build_adjacency(edges: DataFrame, payload: DataFrame) -> Adjacency:
     return Adjacency(made["entries"], *made["history"])
 
 
+def levels_of(n_timed: int) -> int:
+    """Levels of blocks over so many places; one at least."""
+    height = 1
+    while BLOCK**height < n_timed:
+        height += 1
+    return height
+
+
 def child_runs(ordered: DataFrame) -> DataFrame:
     """First place, length and time span of every parent's children."""
     ts = F.col("child_ts")
-    wanted = F.least(F.lit(MAX_SLICES), F.floor(F.col("n_timed") / SLICE_TARGET) + 1)
-    span = F.col("last_ts") - F.col("first_ts") + 1
-    return (
-        ordered.groupBy(*KEY)
-        .agg(
-            F.min("adj_pos").alias("start"),
-            F.count("*").alias("degree"),
-            F.count(ts).alias("n_timed"),
-            F.min(ts).alias("first_ts"),
-            F.max(ts).alias("last_ts"),
-            F.max("fk_pos").alias("max_fk_pos"),
-            F.min("child_cells").alias("min_cells"),
-            F.count(F.when(F.col("child_cells") == 0, 1)).alias("n_bare"),
-        )
-        .withColumn("width", F.ceil(span / wanted).cast("bigint"))
+    return ordered.groupBy(*KEY).agg(
+        F.min("adj_pos").alias("start"),
+        F.count("*").alias("degree"),
+        F.count(ts).alias("n_timed"),
+        F.min(ts).alias("first_ts"),
+        F.max(ts).alias("last_ts"),
+        F.max("fk_pos").alias("max_fk_pos"),
+        F.min("child_cells").alias("min_cells"),
+        F.count(F.when(F.col("child_cells") == 0, 1)).alias("n_bare"),
     )
 
 
-def slice_of(ts: Column) -> Column:
-    return F.call_function("div", ts - F.col("first_ts"), F.col("width"))
-
+def time_blocks(ordered: DataFrame, runs: DataFrame, height: int) -> DataFrame:
+    """parent_id, child_class, level, block, ts: at most ``BLOCK`` times in order, whatever they are.
 
-def time_slices(ordered: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per slice of a run: the seconds at which children appear and the last place by then.
-
-    Children of one second are added up first. A slice lists at most as many
-    seconds as it covers, and a run has at most MAX_SLICES slices; slices
-    without a child repeat the last place before them, so that every moment of
-    a run's history has a row.
+    On level 0 the times of consecutive places of a run, above the first times of consecutive blocks of the level below. A run
+    ends on the level where one block holds it. Runs of one moment need none.
     """
-    steps = (
-        ordered.filter(F.col("child_ts").isNotNull())
-        .groupBy(*KEY, "child_ts")
-        .agg(F.min("adj_pos").alias("first_pos"), F.max("adj_pos").alias("last_pos"))
-    )
-    located = steps.join(runs.select(*KEY, "first_ts", "width"), KEY).withColumn("slice", slice_of(F.col("child_ts")))
-    packed = located.groupBy(*KEY, "slice").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("child_ts").alias("ts"), "last_pos"))).alias("steps"),
-        (F.min("first_pos") - 1).alias("before_pos"),
-        F.max("last_pos").alias("end_pos"),
-    )
-    following = F.lead("slice").over(W.partitionBy(*KEY).orderBy("slice"))
-    return (
-        packed.withColumn("next", F.coalesce(following, F.col("slice") + 1))
-        .select("*", F.explode(F.sequence("slice", F.col("next") - 1)).alias("at"))
-        .select(
-            *KEY,
-            F.col("at").alias("slice"),
-            F.when(F.col("at") == F.col("slice"), F.col("before_pos")).otherwise(F.col("end_pos")).alias("before_pos"),
-            F.when(F.col("at") == F.col("slice"), F.col("steps")).alias("steps"),
-        )
-    )
-
-
-def last_step(steps: Column, moment: Column) -> Column:
-    """Place of the last step at or before a moment, by halving the sorted list; null if none."""
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(steps) + 1)).cast("int"))
+    some = runs.filter("first_ts < last_ts").select(*KEY, (F.col("start") + F.col("degree") - F.col("n_timed")).alias("first"), "n_timed")
+    timed = ordered.filter(F.col("child_ts").isNotNull()).select(*KEY, "adj_pos", "child_ts").join(some, KEY)
+    below = timed.select(*KEY, "n_timed", (F.col("adj_pos") - F.col("first")).alias("at"), F.col("child_ts").alias("ts"))
+    levels = []
+    for level in range(height):
+        block = F.call_function("div", F.col("at"), F.lit(BLOCK))
+        packed = below.groupBy(*KEY, "n_timed", block.alias("block")).agg(F.array_sort(F.collect_list("ts")).alias("ts"))
+        # Of a tall index each level is written once: the next one reads its first times only.
+        packed = stage(packed, f"times{level}") if level + 1 < height else packed
+        levels.append(packed.select(F.lit(level).alias("level"), *KEY, "block", "ts"))
+        below = packed.filter(F.col("n_timed") > BLOCK ** (level + 1)).select(*KEY, "n_timed", F.col("block").alias("at"), F.get("ts", F.lit(0)).alias("ts"))
+    return union_all(levels)
+
+
+def times_until(ts: Column, moment: Column) -> Column:
+    """How many of the sorted times are at or before a moment, by halving the list."""
+    rounds = F.sequence(F.lit(0), F.lit(BLOCK.bit_length() - 1))
 
     def halve(acc: Column, _: Column) -> Column:
         mid = F.call_function("div", acc["lo"] + acc["hi"], F.lit(2)).cast("int")
-        early = F.get(steps, mid)["ts"] <= moment
+        early = F.get(ts, mid) <= moment
         narrowed = F.when(early, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(
             F.struct(acc["lo"].alias("lo"), mid.alias("hi"))
         )
         return F.when(acc["lo"] < acc["hi"], narrowed).otherwise(acc)
 
-    at = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(steps).alias("hi")), halve)["lo"]
-    return F.when(at > 0, F.get(steps, at - 1)["last_pos"])
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(ts).alias("hi")), halve)["lo"]
 
 
 def visible_counts(adjacency: Adjacency, asked: DataFrame) -> DataFrame:
@@ -144,23 +130,20 @@ def visible_counts(adjacency: Adjacency, asked: DataFrame) -> DataFrame:
     without any visible child drop out.
     """
     moment = F.col("seed_ts")
-    runs = adjacency.runs.select(
-        *KEY, "start", "degree", "n_timed", "first_ts", "last_ts", "width", "max_fk_pos", "min_cells", "n_bare"
-    )
+    runs = adjacency.runs.select(*KEY, "start", "degree", "n_timed", "first_ts", "last_ts", "max_fk_pos", "min_cells", "n_bare")
     inside = (F.col("first_ts") <= moment) & (moment < F.col("last_ts"))
-    distinct = (
-        asked.select(*KEY, "seed_ts")
-        .distinct()
-        .join(runs, KEY)
-        .withColumn("slice", F.when(inside, slice_of(moment)))
-        .join(adjacency.slices, [*KEY, "slice"], "left")
-    )
-    looked_up = F.coalesce(last_step(F.col("steps"), moment), F.col("before_pos")) - F.col("start") + 1
+    found = asked.select(*KEY, "seed_ts").distinct().join(runs, KEY).withColumn("block", F.when(inside, F.lit(0).cast("bigint")))
+    for level in reversed(range(adjacency.height)):
+        # From the top block of each run down to the block that the moment falls in.
+        times = adjacency.times.filter(F.col("level") == level).select(*KEY, "block", "ts")
+        here = F.col("block") * BLOCK + times_until(F.col("ts"), moment) - (1 if level else 0)
+        found = found.join(times, [*KEY, "block"], "left")
+        found = found.withColumn("block", F.when(F.col("ts").isNotNull(), here).otherwise(F.col("block"))).drop("ts")
     n = (
         F.when(F.col("n_timed") == 0, F.col("degree"))
         .when(F.col("last_ts") <= moment, F.col("degree"))
         .when(moment < F.col("first_ts"), F.col("degree") - F.col("n_timed"))
-        .otherwise(looked_up)
+        .otherwise(F.col("degree") - F.col("n_timed") + F.col("block"))
     )
-    answers = distinct.select(*KEY, "seed_ts", "start", n.alias("n"), "max_fk_pos", "min_cells", "n_bare").filter("n > 0")
+    answers = found.select(*KEY, "seed_ts", "start", n.alias("n"), "max_fk_pos", "min_cells", "n_bare").filter("n > 0")
     return asked.join(answers, [*KEY, "seed_ts"])

@@ -9,14 +9,14 @@ shallowest level.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rowloom.functions import scalars as S
 from rowloom.operators.adjacency import NO_TIME, Adjacency, visible_counts
-from rowloom.operators.util import union_all
+from rowloom.operators.draws import drawn
+from rowloom.operators.util import db_of, local_id, union_all
 from rowloom.session import stage
 
 # A seed of a run: its task number above its node id.
@@ -31,7 +31,7 @@ class SampleConfig:
 
     ``strict_time`` hides rows of the seed's own task that have the seed's
     time. ``hidden`` lists (first node, last node, columns) for tables whose
-    rows may lose that many leakage columns, ``hidden_children`` (visibility class, columns)
+    rows may lose that many leakage columns, ``hidden_children`` (database number, visibility class, columns)
     for the task tables among them.
     """
 
@@ -41,7 +41,7 @@ class SampleConfig:
     seed: int = 0
     strict_time: bool = False
     hidden: tuple[tuple[int, int, int], ...] = field(default=())
-    hidden_children: tuple[tuple[int, int], ...] = field(default=())
+    hidden_children: tuple[tuple[int, int, int], ...] = field(default=())
 
     def sure_cells(self, node: Column, n_cells: Column) -> Column:
         """Cells a row shows whatever the seed: a lower bound used only to stop early."""
@@ -82,91 +82,34 @@ def ask(visited: DataFrame, strict_time: bool) -> DataFrame:
     return asked.withColumn("seed_ts", seed_ts)
 
 
-def draw_without_replacement(n: Column, k: Column, random: Callable[[Column], Column]) -> Column:
-    """A uniform k-subset of 0..n-1 with k draws (Floyd's method), as an array."""
-    draws = F.transform(
-        F.sequence(n - k, n - 1),
-        lambda j: F.struct(j.alias("j"), F.pmod(random(j), j + 1).alias("t")),
-    )
-    return F.aggregate(
-        draws,
-        F.array().cast("array<bigint>"),
-        lambda acc, d: F.array_append(acc, F.when(F.array_contains(acc, d["t"]), d["j"]).otherwise(d["t"])),
-    )
-
-
-def child_draws(config: SampleConfig) -> Column:
-    """Places of the children to visit, with their random keys, from ``start`` and ``n``.
+def child_draws(counted: DataFrame, config: SampleConfig) -> DataFrame:
+    """One row per child to visit: its place, as ``adj_pos``, and its random key.
 
     Database children: at most ``width`` per parent, uniformly without
     replacement. Task children are all wanted, but a context shows ``seq_len``
     cells at most, so of a very long run only the head of its random order can
     matter: ``seq_len`` rows that show a cell, beside those that show none, per
-    foreign key. Their keys are then the smallest order statistics of n exponential
-    variates, so they mix with other entries as the whole run would.
+    foreign key. Their keys are then the smallest of as many keys as the run has rows,
+    so they mix with other entries as the whole run would.
     """
-    n, start = F.col("n"), F.col("start")
-    width = F.lit(config.width).cast("bigint")
+    n = F.col("n")
     per_key = (F.col("max_fk_pos") + 1).cast("bigint")
     head = (F.lit(config.seq_len) + F.col("n_bare")) * per_key
     # Children of one class are rows of one task table: only its own leakage columns count.
-    for seed_class, columns in config.hidden_children:
+    for db_no, seed_class, columns in config.hidden_children:
         own = F.when(F.col("min_cells") > columns, F.lit(config.seq_len) * per_key).otherwise(n)
-        head = F.when(F.col("child_class") == seed_class, own).otherwise(head)
+        head = F.when((F.col("child_class") == seed_class) & (db_of(F.col("parent_id")) == db_no), own).otherwise(head)
     is_db = F.col("child_class") == 0
-    limit = F.when(is_db, width).otherwise(head)
-    k = F.least(n, limit)
-
-    def offset_random(j: Column) -> Column:
-        return config.random(F.lit("d"), seed_id(), F.col("parent_id"), F.col("child_class"), j)
-
-    offsets = F.when(n <= k, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(
-        draw_without_replacement(n, k, offset_random)
-    )
+    k = F.least(n, F.when(is_db, F.lit(config.width).cast("bigint")).otherwise(head))
+    question = config.random(F.lit("d"), local_id(seed_id()), local_id(F.col("parent_id")), F.col("child_class"))
+    asked = counted.withColumns({"k": k, "question": question}).withColumn("of", F.when(is_db, F.col("k")).otherwise(n))
+    return drawn(asked.filter("k > 0")).withColumn("adj_pos", F.col("start") + F.col("offset"))
 
-    def entry_random(place: Column) -> Column:
-        return config.random(F.lit("k"), seed_id(), place)
 
-    def exponential(h: Column) -> Column:
-        return -F.log1p(-S.unit(h))
-
-    free = F.transform(
-        offsets,
-        lambda o: F.struct((start + o).alias("adj_pos"), exponential(entry_random(start + o)).alias("key")),
-    )
-    # Order the drawn head at random, then add up the gaps between order
-    # statistics: the i-th gap of n exponentials is exponential / (n - i).
-    shuffled = F.array_sort(F.transform(offsets, lambda o: F.struct(entry_random(start + o).alias("h"), (start + o).alias("adj_pos"))))
-    grown = F.aggregate(
-        shuffled,
-        F.struct(
-            F.lit(0.0).alias("sum"),
-            F.lit(0).cast("bigint").alias("i"),
-            F.array().cast("array<struct<adj_pos:bigint,key:double>>").alias("out"),
-        ),
-        lambda acc, e: F.struct(
-            (acc["sum"] + exponential(config.random(F.lit("g"), seed_id(), F.col("parent_id"), acc["i"])) / (n - acc["i"])).alias("sum"),
-            (acc["i"] + 1).alias("i"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    e["adj_pos"].alias("adj_pos"),
-                    (acc["sum"] + exponential(config.random(F.lit("g"), seed_id(), F.col("parent_id"), acc["i"])) / (n - acc["i"])).alias("key"),
-                ),
-            ),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(is_db | (n <= k), free).otherwise(grown)
-
-
-def expand(
-    visited: DataFrame, adjacency: Adjacency, config: SampleConfig, draws: Column | None = None
-) -> DataFrame:
+def expand(visited: DataFrame, adjacency: Adjacency, config: SampleConfig) -> DataFrame:
     """The sampled children of visited rows, one row per edge."""
     counted = visible_counts(adjacency, ask(visited, config.strict_time))
-    draws = child_draws(config) if draws is None else draws
-    picked = counted.select(*ITEM, "seed_class", "item_ts", "parent_id", "child_class", F.inline(draws))
+    picked = child_draws(counted, config).select(*ITEM, "seed_class", "item_ts", "parent_id", "child_class", "adj_pos", "key")
     return picked.join(adjacency.entries.select("adj_pos", "child_id", "child_cells", "ups"), "adj_pos")
 
 
@@ -239,10 +182,10 @@ def first_level(seeds: DataFrame, payload: DataFrame) -> DataFrame:
 
 
 def next_level(
-    active: DataFrame, depth: int, adjacency: Adjacency, closure: DataFrame, config: SampleConfig, draws: Column
+    active: DataFrame, depth: int, adjacency: Adjacency, closure: DataFrame, config: SampleConfig
 ) -> DataFrame:
     """All rows of the unfinished seeds after one more level."""
-    children = expand(active.filter(F.col("depth") == depth), adjacency, config, draws)
+    children = expand(active.filter(F.col("depth") == depth), adjacency, config)
     seen = active.drop("before", "done")
     entries = children.select(
         *ITEM,
@@ -284,7 +227,6 @@ def sample_contexts(
     item = W.partitionBy(*ITEM)
     sure = config.sure_cells(F.col("node_id"), F.col("n_cells"))
     full = F.max(F.col("before") + sure).over(item) >= config.seq_len
-    draws = child_draws(config)
     finished = []
     rows = with_ancestors(first_level(seeds, payload), closure)
     depth = 0 if seeds_have_children else 1
@@ -296,7 +238,7 @@ def sample_contexts(
         if deepest is None or deepest < depth:
             finished.append(active)
             break
-        rows = next_level(active, depth, adjacency, closure, config, draws)
+        rows = next_level(active, depth, adjacency, closure, config)
         depth += 1
     return union_all(finished).select(
         *ITEM,

@@ -285,34 +285,74 @@ adj as materialized (
 )"""
 
 
-def draws(asks: str, width: int, name: str, seed: int = 0, epoch: int = 0) -> str:
+PRIME, MULTIPLIERS, ROUNDS = 2147483647, (1103515245, 742938285), 8
+
+
+def _mixed(source: str, x: str, s: str, out: str) -> str:
+    """``source`` with a column ``out``: a residue of x and s, by two squarings."""
+    a, b = MULTIPLIERS
+    one = f"(select *, ({x} + {s}) % {PRIME} as {out}_y from {source})"
+    two = f"(select *, ({out}_y * {out}_y % {PRIME} + {out}_y * {a}) % {PRIME} as {out}_z from {one})"
+    return f"(select * exclude ({out}_y, {out}_z), ({out}_z * {out}_z % {PRIME} + {out}_z * {b} + {s}) % {PRIME} as {out} from {two})"
+
+
+def _permuted(source: str, x: str) -> str:
+    """``source`` with a column ``o``: one pass of x through the permutation of a * b places."""
+    source = f"(select *, {x} % a as l0, {x} // a as r0 from {source})"
+    for turn in range(ROUNDS):
+        l, r = f"l{turn}", f"r{turn}"
+        moved, still, side = (l, r, "a") if turn % 2 == 0 else (r, l, "b")
+        source = _mixed(source, still, f"s{turn}", "m")
+        left = f"({l} + m) % a" if turn % 2 == 0 else l
+        right = r if turn % 2 == 0 else f"({r} + m) % b"
+        source = f"(select * exclude (m, {l}, {r}), {left} as l{turn + 1}, {right} as r{turn + 1} from {source})"
+    return f"(select * exclude (l{ROUNDS}, r{ROUNDS}), r{ROUNDS} * a + l{ROUNDS} as o from {source})"
+
+
+def draws(asks: str, width: int, name: str, seed: int = 0, epoch: int = 0, head: str | None = None) -> str:
     """CTEs from questions (item_id, seed_id, seed_ts, parent_id, child_class) to sampled places.
 
-    ``seed_ts`` null sees everything.
+    ``seed_ts`` null sees everything. ``head``: task rows of a run that may matter; all by default.
     """
-    t = f"{h60(str(seed), str(epoch), repr('d'), 'seed_id', 'parent_id', 'child_class', 'j')} % (j + 1)"
-    pairs = f"list_transform(range(n - k, n), lambda j: [j, {t}])"
-    floyd = (
-        f"list_reduce(list_prepend(cast([] as bigint[]), {pairs}), "
-        "lambda acc, x: list_append(acc, case when list_contains(acc, x[2]) then x[1] else x[2] end))"
-    )
+    h = h60(str(seed), str(epoch), repr("d"), "seed_id", "parent_id", "child_class")
+    keyed = f"(select *, {h} as h from {name}_n)"
+    for j in range(ROUNDS + 4):
+        keyed = f"(select * exclude (m), (m + h // {PRIME}) % {PRIME} as s{j} from {_mixed(keyed, str(j + 1), f'h % {PRIME}', 'm')})"
+    # The k + 1-st smallest of ``many`` exponential keys, as a sum of gaps.
+    gap = _mixed(_mixed(f"(select *, unnest(range(k + 1)) as i from {name}_k where many > k)", "i", f"s{ROUNDS + 2}", "g"), "i", f"s{ROUNDS + 3}", "f")
+    number = lambda a, b: f"cast({a} * {PRIME} + {b} as double) / {float(PRIME * PRIME)!r}"
+    random = _mixed(_mixed(f"{name}_o", "i", f"s{ROUNDS}", "g"), "i", f"s{ROUNDS + 1}", "f")
+    step = f"select item_id, parent_id, child_class, i, o from {_permuted('{0}', '{1}')}"
+    keep = "k.item_id = {0}.item_id and k.parent_id = {0}.parent_id and k.child_class = {0}.child_class"
     return f"""
 {name}_n as materialized (
-  select q.item_id, q.seed_id, q.seed_ts, q.parent_id, q.child_class, min(a.adj_pos) as start, count(*) as n
+  select q.item_id, q.seed_id, q.seed_ts, q.parent_id, q.child_class, min(a.adj_pos) as start, count(*) as n, max(a.fk_pos) + 1 as n_keys,
+         (select count(*) from adj z where z.parent_id = q.parent_id and z.child_class = q.child_class and z.child_cells = 0) as n_bare
   from {asks} q join adj a on q.parent_id = a.parent_id and q.child_class = a.child_class
    and (a.child_ts is null or q.seed_ts is null or a.child_ts <= q.seed_ts)
   group by all
 ),
-{name}_k as (select *, case when child_class = 0 then least(n, {width}) else n end as k from {name}_n),
-{name}_o as (
-  select item_id, seed_id, seed_ts, parent_id, child_class, start,
-         unnest(case when n = k then range(n) else {floyd} end) as o
-  from {name}_k
+{name}_k as materialized (
+  select *, (n + a - 1) // a as b from (
+    select *, case when child_class = 0 then k else n end as many, greatest(least(2, n), cast(floor(sqrt(cast(n as double))) as bigint)) as a
+    from (select *, case when child_class = 0 then least(n, {width}) else least(n, {head or 'n'}) end as k from {keyed})
+  )
+),
+{name}_t as materialized (select item_id, parent_id, child_class, sum(-ln(1 - {number('g', 'f')}) / (many - i)) as least_out from {gap} group by all),
+{name}_w as (
+  {step.format(f'(select *, unnest(range(k)) as i from {name}_k)', 'i')}
+  union all
+  {step.format(f'(select k.*, w.i, w.o as x from {name}_w w join {name}_k k on {keep.format("w")} where w.o >= k.n)', 'x')}
+),
+{name}_o as materialized (
+  select k.*, w.i, w.o, case when k.many > k.k then 1 - exp(-t.least_out) else 1.0 end as cut
+  from {name}_w w join {name}_k k on {keep.format("w")} left join {name}_t t on {keep.format("t")}
+  where w.o < k.n
 ),
 {name} as materialized (
   select o.item_id, o.seed_id, o.seed_ts, o.parent_id, o.child_class, a.adj_pos, a.child_id, a.child_cells,
-         -ln(1 - {h60(str(seed), str(epoch), repr('k'), 'o.seed_id', 'a.adj_pos')} / {float(1 << 60)!r}) as key
-  from {name}_o o join adj a on a.adj_pos = o.start + o.o
+         -ln(1 - {number('g', 'f')} * cut) as key
+  from {random} o join adj a on a.adj_pos = o.start + o.o
 )"""
 
 

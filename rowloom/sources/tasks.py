@@ -142,6 +142,7 @@ class ResolvedTask:
     first_node: int
     num_nodes: int
     hidden_ranges: tuple[tuple[int, int], ...]
+    db_no: int = 0
 
 
 def resolve_tasks(
@@ -182,13 +183,14 @@ def hidden_columns(tasks: list[ResolvedTask]) -> tuple[tuple[int, int, int], ...
     return tuple((a, b, n) for (a, b), n in sorted(most.items()))
 
 
-def hidden_children(tasks: list[ResolvedTask]) -> tuple[tuple[int, int], ...]:
-    """Visibility classes of task tables that may lose leakage columns, with the most a task hides there."""
-    most: dict[int, int] = {}
+def hidden_children(tasks: list[ResolvedTask]) -> tuple[tuple[int, int, int], ...]:
+    """Database numbers and visibility classes of task tables that may lose leakage columns, with the most a task hides there."""
+    most: dict[tuple[int, int], int] = {}
     for t in tasks:
         if t.seed_class and t.drop_col_ids:
-            most[t.seed_class] = max(most.get(t.seed_class, 0), len(t.drop_col_ids))
-    return tuple(sorted(most.items()))
+            where = (t.db_no, t.seed_class)
+            most[where] = max(most.get(where, 0), len(t.drop_col_ids))
+    return tuple((*where, n) for where, n in sorted(most.items()))
 
 
 def seed_ranges(tasks: DataFrame, table_info: DataFrame, splits: list[str]) -> DataFrame:

@@ -102,6 +102,7 @@ def test_very_long_task_history_is_cut_where_it_cannot_show(spark):
     seeds = [(0, i, i, 1) for i in range(1, n + 1)]
     got = sampled(spark, cells, edges, seeds, 4, seq_len)
     hits = [0, 0]
+    # The head of each run is the walk's, drawn with the same key.
     for i in range(1, n + 1):
         rows = [r for r, _ in got[i]]
         assert rows[0] == i and rows[1] == 0 and len(rows) == len(set(rows)) == min(seq_len, i + 1)
@@ -131,6 +132,51 @@ def test_visible_counts_match_brute_force(spark):
         assert got.get((p, k, t), 0) == want, (p, k, t)
 
 
+def test_times_of_any_year(spark):
+    """Blocks of times stay short whatever the dates, and runs of several levels are searched to the end."""
+    from datetime import datetime, timezone
+
+    seconds = lambda y: int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp())
+    rng = random.Random(9)
+    n = 70_000
+    times = [seconds(1), seconds(9999), *[seconds(2020) + rng.randint(0, 5000) for _ in range(n - 2)]]
+    e = spark.createDataFrame([(10 + i, 0, 0, 0, t, 1) for i, t in enumerate(times)] + [(10 + n, 0, 0, 0, None, 1)], EDGES)
+    nodes = e.selectExpr("child_id AS node_id", "'t' AS table_name", "child_ts AS ts_sec", "false AS is_task", "child_cells AS n_cells")
+    adjacency = A.build_adjacency(e, stage(node_payload(nodes, e), "payload"))
+    assert adjacency.height == 3
+    assert adjacency.times.selectExpr("max(size(ts))").first()[0] == A.BLOCK
+    asked = [seconds(1) - 1, seconds(1), seconds(1000), seconds(9998), seconds(9999), *[seconds(2020) + k * 97 for k in range(60)]]
+    q = spark.createDataFrame([(0, 0, t) for t in asked], "parent_id long, child_class int, seed_ts long")
+    got = {r.seed_ts: r.n for r in A.visible_counts(adjacency, q).collect()}
+    times.sort()
+    from bisect import bisect_right
+
+    assert got == {t: 1 + bisect_right(times, t) for t in asked}
+
+
+def test_draws_are_a_permutation_and_fair(spark):
+    from pyspark.sql import functions as F
+    from rowloom.operators.draws import drawn
+    from walk import choose, h60
+
+    asked = [(n, k, many, h60(n, k, many)) for n in [*range(1, 30), 1000, 1025, 5000, 10**12] for k in {1, min(n, 3), min(n, 40)} for many in {k, n}]
+    q = spark.createDataFrame(asked, "n long, k long, of long, question long")
+    got = {}
+    for r in drawn(q).collect():
+        got.setdefault((r.n, r.k, r.of, r.question), []).append((r.offset, r.key))
+    for n, k, many, h in asked:
+        rows = got[n, k, many, h]
+        assert len({o for o, _ in rows}) == k and all(0 <= o < n for o, _ in rows)
+        want = sorted(choose(n, k, many, h))
+        assert [o for o, _ in sorted(rows)] == [o for o, _ in want]
+        assert [x for _, x in sorted(rows)] == pytest.approx([x for _, x in want])
+    # Every pair of places is drawn about equally often.
+    many = spark.range(6000).select(F.lit(7).alias("n"), F.lit(2).alias("k"), F.lit(2).alias("of"), (F.abs(F.xxhash64("id")) % (1 << 60)).alias("question"), "id")
+    pairs = drawn(many.selectExpr("CAST(n AS BIGINT) n", "CAST(k AS BIGINT) k", "CAST(of AS BIGINT) of", "question", "id")).groupBy("id").agg(F.sum(F.expr("1L << CAST(offset AS INT)")).alias("set"))
+    counts = [r["count"] for r in pairs.groupBy("set").count().collect()]
+    assert len(counts) == 21 and all(abs(c - 6000 / 21) < 5 * (6000 / 21) ** 0.5 for c in counts)
+
+
 def test_sampling_is_uniform(spark):
     """Over many seeds every child of a parent is drawn about equally often."""
     n, width, n_seeds = 20, 5, 2000

@@ -8,14 +8,39 @@ def h60(*parts):
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
 
 
-def choose(n, k, draw):
-    if n <= k:
-        return list(range(n))
-    picked = []
-    for j in range(n - k, n):
-        t = draw(j) % (j + 1)
-        picked.append(j if t in picked else t)
-    return picked
+PRIME, MULTIPLIERS, ROUNDS = 2**31 - 1, (1_103_515_245, 742_938_285), 8
+
+
+def mix(x, s):
+    y = (x + s) % PRIME
+    z = (y * y + y * MULTIPLIERS[0]) % PRIME
+    return (z * z + z * MULTIPLIERS[1] + s) % PRIME
+
+
+def choose(n, k, many, h):
+    """k of the places 0..n-1 with their keys: the smallest of ``many``."""
+    if not n:
+        return
+    s = [(mix(j + 1, h % PRIME) + h // PRIME) % PRIME for j in range(ROUNDS + 4)]
+    unit = lambda i, a, b: (mix(i, s[a]) * PRIME + mix(i, s[b])) / PRIME**2
+    a = max(min(2, n), math.isqrt(n))
+    b = -(-n // a)
+    cut = 1.0
+    if many > k:
+        cut = -math.expm1(-sum(-math.log1p(-unit(i, ROUNDS + 2, ROUNDS + 3)) / (many - i) for i in range(k + 1)))
+    for i in range(k):
+        x = i
+        while True:
+            left, right = x % a, x // a
+            for turn in range(ROUNDS):
+                if turn % 2 == 0:
+                    left = (left + mix(right, s[turn])) % a
+                else:
+                    right = (right + mix(left, s[turn])) % b
+            x = right * a + left
+            if x < n:
+                break
+        yield x, -math.log1p(-unit(i, ROUNDS, ROUNDS + 1) * cut)
 
 
 def context(seed, seed_ts, seed_class, parents, children, cells, width, seq_len, run_seed=0, epoch=0):
@@ -38,9 +63,9 @@ def context(seed, seed_ts, seed_class, parents, children, cells, width, seq_len,
                 if ts is None or seed_ts is None or ts <= seed_ts
             ]
             limit = width if kind == 0 else len(visible)
-            for o in choose(len(visible), limit, lambda j: h60(run_seed, epoch, "d", seed, node, kind, j)):
+            k = min(limit, len(visible))
+            for o, key in choose(len(visible), k, k if kind == 0 else len(visible), h60(run_seed, epoch, "d", seed, node, kind)):
                 place, child = visible[o]
-                key = -math.log1p(-h60(run_seed, epoch, "k", seed, place) / float(1 << 60))
                 waiting.setdefault(depth + 1, []).append((key, place, child))
         for _, parent in sorted(parents.get(node, []), reverse=True):
             visit(parent, depth + 1)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rowloom.llm.common import small_batches
-from rowloom.llm.packing import chunk_ids
+from rowloom.llm.packing import REMEMBERED, ChunkIds, _Irregular
 from rowloom.operators.index import prefix_offsets
 
 #: A shard is closed once it holds so many ids; a document is never cut.
@@ -24,7 +24,9 @@ END_ID = 0
 #: Uses from which on a pair gets a rule: a rule takes 12 bytes, a use saves 3.
 LEAST_USES = 6
 #: Rounds end when one shortens the sequence by less than this share.
-LEAST_SHRINK = 1 / 256
+LEAST_SHRINK = 1 / 64
+#: A round gives rules to all pairs used at least 1 / so many times as often as the commonest.
+NEAR_MOST = 64
 #: Slots (log2) of the table that finds the pairs of a round; of two pairs in one slot, one waits for the next round.
 SLOT_BITS = 18
 #: Spans that one reader answers at once.
@@ -35,6 +37,30 @@ HEAD = struct.Struct("<4sIIIQ")
 SHARDS = "part int, nth int, n_tokens long, doc_ids array<long>, shard binary"
 
 
+class Ids(ChunkIds):
+    """Ids of chunks, with a cheaper look at new ones: much of the time goes into words that come once."""
+
+    def __missing__(self, chunk: str) -> bytes:
+        line = chunk[:1] == "\n"
+        body = chunk[1:] if line else chunk
+        if body.split() != [body]:
+            raise _Irregular
+        ids = self.short(chunk if line else " " + chunk)
+        if len(self) < REMEMBERED:
+            self[chunk] = ids
+        return ids
+
+
+_IDS: dict[tuple, Ids] = {}
+
+
+def ids_of(path: str, ranks_path: str | None) -> Ids:
+    """One memory per worker process."""
+    if (path, ranks_path) not in _IDS:
+        _IDS[path, ranks_path] = Ids(path, ranks_path)
+    return _IDS[path, ranks_path]
+
+
 @dataclass
 class Grammar:
     """The ids of some documents. Symbols below ``base`` are ids, symbol base + i is rule i: two earlier symbols."""
@@ -50,7 +76,7 @@ class Grammar:
 
     @classmethod
     def of(cls, ids: np.ndarray, ends: np.ndarray) -> Grammar:
-        """Round by round, every pair used at least a quarter as often as the commonest gets a rule; no pair crosses the end of a document."""
+        """Round by round, every pair used nearly as often as the commonest (``NEAR_MOST``) gets a rule; no pair crosses the end of a document."""
         s = ids.astype(np.int64)
         last = np.zeros(len(s), bool)
         last[ends[ends > 0] - 1] = True
@@ -64,7 +90,7 @@ class Grammar:
             first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
             uses = np.diff(np.r_[first, len(ordered)])
             uses[ordered[first] < 0] = 0
-            least = max(LEAST_USES, int(uses.max()) // 4)
+            least = max(LEAST_USES, int(uses.max()) // NEAR_MOST)
             chosen = ordered[first[uses >= least]][: (1 << 24) - 1 - n_symbols]
             if not len(chosen):
                 break
@@ -171,7 +197,7 @@ def shards(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None,
     end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, part, nth = chunk_ids(tokenizer_path, ranks_path), TaskContext.get().partitionId(), 0
+        chunks, part, nth = ids_of(tokenizer_path, ranks_path), TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         held, ends = bytearray(), []
 

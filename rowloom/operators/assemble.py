@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rowloom.functions import scalars as S
+from rowloom.operators.dictionary import HOT_SHARE
 from rowloom.operators.index import dense_index_by_hash
 
 
@@ -76,7 +77,7 @@ def pad_contexts(cells: DataFrame, seq_len: int, table_names: list[str], n_paren
 
     ``n_parents``, the most foreign keys of any table, is the width of the parent lists: no parent is left out.
     """
-    names = F.array(*[F.lit(n) for n in sorted(table_names)])
+    names = F.array(*[F.lit(n) for n in sorted(set(table_names))])
     value = {f: F.col(f) for f in ("number_value", "datetime_value", "boolean_value")}
     if bf16:
         value = {f: S.bf16(c) for f, c in value.items()}
@@ -132,6 +133,64 @@ def write_batches(batches: DataFrame, path: str) -> None:
     batches.repartition("epoch", "rank", "batch_idx").write.partitionBy("epoch", "rank").parquet(path)
 
 
+BATCH = ["epoch", "rank", "batch_idx"]
+
+
+def vectors_of(ids: DataFrame, vectors: DataFrame, uses: DataFrame) -> DataFrame:
+    """``ids`` (any columns and text_id) with the vector ``vec`` of each text.
+
+    The texts that fill most cells (at most HOT_SHARE of them, by ``uses``: text_id, n_uses) come from a broadcast table, so no key of the join is
+    hot; the rest meet the vectors by id.
+    """
+    total = uses.agg(F.coalesce(F.sum("n_uses"), F.lit(0))).scalar()
+    hot = uses.filter(F.col("n_uses") * F.lit(HOT_SHARE) > total).select("text_id")
+    table = vectors.select("text_id", "vec")
+    common = F.broadcast(table.join(F.broadcast(hot), "text_id", "left_semi").withColumnRenamed("vec", "hot_vec"))
+    known = ids.join(common, "text_id", "left")
+    # Ids found already take a key that no text has, each its own.
+    key = F.when(F.col("hot_vec").isNull(), F.col("text_id")).otherwise(-F.abs(F.xxhash64(*ids.columns) % (1 << 62)) - 1)
+    cold = table.select(F.col("text_id").alias("__text"), F.col("vec").alias("cold_vec"))
+    return known.withColumn("__text", key).join(cold, "__text", "left").select(*ids.columns, F.coalesce("hot_vec", "cold_vec").alias("vec"))
+
+
+def indexed(batches: DataFrame, ids: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """Where each cell of a batch finds its id in the sorted list of the batch's distinct ids (-1: nowhere), and those lists in long form.
+
+    First table: BATCH, slot, ``at`` (one place per cell). Second: BATCH, place, ``text_id``. Padding and negative ids have none.
+    """
+    cells = batches.select(*BATCH, "slot", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col("is_padding").alias("pad"))).alias("pos", "c"))
+    cells = cells.select(*BATCH, "slot", "pos", F.when(~F.col("c.pad") & (F.col("c.id") >= 0), F.col("c.id")).alias("id"))
+    order = W.partitionBy(*BATCH).orderBy(F.col("id").asc_nulls_last())
+    ranked = cells.withColumn("place", F.when(F.col("id").isNotNull(), F.dense_rank().over(order) - 1).otherwise(-1))
+    rows = ranked.groupBy(*BATCH, "slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "place"))), lambda c: c["place"]).alias(at))
+    return rows, ranked.filter("place >= 0").select(*BATCH, "place", F.col("id").alias("text_id")).distinct()
+
+
+def batch_vectors(batches: DataFrame, vectors: DataFrame, column_index: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the texts and of the column names of every batch.
+
+    First table: the batch rows with ``text_at`` and ``name_at``, one place per cell. Second: one row per batch (BATCH) with ``text_block`` and
+    ``name_block``, the distinct vectors that the places point to: the cells of B rows and S places have the vectors block[at], of shape (B, S, d),
+    and -1 stands for none. Each vector is in a batch once, however many cells share it.
+    """
+    text_at, text_ids = indexed(batches, "class_value_ids", "text_at")
+    name_at, name_ids = indexed(batches, "col_ids", "name_at")
+    # One row per column of the schema.
+    names = F.broadcast(
+        column_index.select("col_id", "name_text_id").join(vectors.select(F.col("text_id").alias("name_text_id"), "vec"), "name_text_id").select("col_id", "vec")
+    )
+
+    def block(found: DataFrame, name: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct("place", "vec")))
+        return found.groupBy(*BATCH).agg(F.transform(listed, lambda v: v["vec"]).alias(name))
+
+    texts = block(vectors_of(text_ids, vectors, uses), "text_block")
+    columns = block(name_ids.withColumnRenamed("text_id", "col_id").join(names, "col_id"), "name_block")
+    blocks = columns.join(texts, BATCH, "left").withColumn("text_block", F.coalesce("text_block", F.array().cast("array<array<float>>")))
+    rows = batches.join(text_at, [*BATCH, "slot"]).join(name_at, [*BATCH, "slot"])
+    return rows, blocks.select(*BATCH, "text_block", "name_block")
+
+
 def attach_embeddings(cells: DataFrame, text_emb: DataFrame, column_index: DataFrame) -> DataFrame:
     """Vectors of the column name and of the text value, looked up for shown cells only."""
     names = column_index.select("col_id", "name_text_id").join(

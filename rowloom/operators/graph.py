@@ -409,6 +409,16 @@ class Graph:
     col_stats: DataFrame
     table_info: DataFrame
 
+    def member(self, db: str) -> tuple[int, "Graph"]:
+        """Number and graph of a database: a graph by itself is database 0, whatever its tasks call it."""
+        return 0, self
+
+    def table_names(self) -> list[str]:
+        return [t.name for t in self.catalog.tables]
+
+    def max_parents(self) -> int:
+        return self.catalog.max_parents()
+
     TABLES = ("nodes", "edges", "cells", "text_dict", "column_index", "col_stats", "table_info")
 
 

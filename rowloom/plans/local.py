@@ -15,6 +15,9 @@ CHURN = Task("local", "customer-churn", "churn", (), "forecast", "clf")
 SPEND = Task("local", "customer-spend", "spend", (), "forecast", "reg")
 ORDER_TOTAL = Task("local", "orders", "o_totalprice", ("o_orderstatus",), "autocomplete", "reg")
 LINE_OPEN = Task("local", "lineitem", "l_linestatus", ("l_returnflag",), "autocomplete", "clf")
+# A second database over some of the same tables, and a task in it.
+GEO_TABLES = ["region", "nation", "supplier", "customer"]
+GEO_BALANCE = Task("geo", "supplier", "s_acctbal", (), "autocomplete", "reg")
 LOCAL_TASKS = [CHURN, SPEND, ORDER_TOTAL, LINE_OPEN]
 
 

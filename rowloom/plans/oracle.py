@@ -6,6 +6,8 @@ numbered by sorting, contexts grow without any early stop.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from rowloom.plans.params import (
     AUC_STEPS,
     CONTEXT,
@@ -96,6 +98,17 @@ def _columns():
 COLUMN_IDS = _columns()
 
 
+@contextmanager
+def _database(names: list[str]):
+    """SQL made inside is for a database of these tables alone."""
+    global TABLES, COLUMN_IDS
+    whole = TABLES, COLUMN_IDS
+    TABLES = [t for t in TABLES if t[0] in names]
+    COLUMN_IDS = _columns()
+    yield
+    TABLES, COLUMN_IDS = whole
+
+
 def _cutoffs() -> str:
     rows = ", ".join(f"(timestamp '{ts}', '{split}')" for ts, split in CUTOFFS)
     return f"""
@@ -204,7 +217,7 @@ def _stats() -> str:
                     "(select mean from dt) as mean, (select std from dt) as std"
                 )
     return f"""
-dt as (select count(*) as n, avg(x) as mean, stddev_pop(x) as std from ({' union all '.join(times)})),
+dt as (select count(*) as n, avg(x) as mean, stddev_pop(x) as std from ({' union all '.join(times) or 'select 0.0 as x where false'})),
 col_stats as ({' union all '.join(parts)})"""
 
 
@@ -789,6 +802,53 @@ from churn_places p join sizes s using (task_no, seed_id) where own > 0 group by
         "select 'local' as db, sem_type, count(*) as n_cells, count(distinct node_id) as n_nodes, count(distinct col_id) as n_cols from cells group by sem_type "
         f"union all select db, sem_type, count(*), count(distinct node), count(distinct col) from ({geo}) group by db, sem_type"
     )
+    pool_seeds = (
+        "select 0 as task_no, n.node_id as seed_id, n.ts_sec as seed_ts, 1 as seed_class from nodes n where n.table_name = 'customer-churn' and n.split = 'val' "
+        f"and exists (select 1 from {_rel('customer-churn', 'val')} r where r.node_id = n.node_id and r.churn is not null)"
+    )
+    whole = with_(*FULL, more=contexts(pool_seeds, CONTEXT["width"], CONTEXT["seq_len"]) + ",\n" + shown(CONTEXT["seq_len"], targets={0: CHURN_COL}))
+    with _database(["region", "nation", "supplier", "customer"]):
+        geo_seeds = f"select 1 as task_no, node_id as seed_id, ts_sec as seed_ts, 0 as seed_class from {_rel('supplier', 'db')} where {_valid('s_acctbal', NUM)}"
+        part = contexts(geo_seeds, CONTEXT["width"], CONTEXT["seq_len"]) + ",\n" + shown(CONTEXT["seq_len"], targets={1: COLUMN_IDS[("supplier", "s_acctbal")]})
+        geo_part = with_(*FULL, more=part)
+    up = f"{1 << 40} + "
+    lifted = (
+        cell_cols.replace("node_id,", f"{up}node_id as node_id,").replace("col_id,", f"{up}col_id as col_id,")
+        .replace("text_id,", f"case when class_value_id >= 0 then {up}text_id else text_id end as text_id,")
+        .replace("class_value_id, is_target,", f"case when class_value_id >= 0 then {up}class_value_id else -1 end as class_value_id, is_target,")
+    )
+    q["pool_contexts"] = (
+        f"select * from ({whole}select task_no, seed_id, {cell_cols} from ctx) union all "
+        f"select * from ({geo_part}select task_no, {up}seed_id as seed_id, {lifted} from ctx)"
+    )
+    head = contexts(churn_seeds(), CONTEXT["width"], CONTEXT["seq_len"], levels=1) + ",\n" + """
+q1 as (select item_id, seed_id, seed_ts, node_id as parent_id, 1 as child_class from v1 where depth = 1),""" + draws("q1", 0, "s", head="(1 + n_bare) * n_keys")
+    q["task_head"] = with_(*GRAPH, more=head) + (
+        "select i.task_no, s.seed_id, s.parent_id, s.child_id, round(s.key, 8) as key from s join items i on i.item_id = s.item_id"
+    )
+    sums = ", ".join(f"({i}, '{c} of {t}')" for (t, c), i in COLUMN_IDS.items())
+    vectors = f"""
+ww as (
+  select text, ('0x' || substr(md5(w), 1, 8))::bigint % 64 as dim, count(*) as n
+  from (select text, unnest(string_split(text, ' ')) as w from text_dict) group by all
+),
+vec as (select text, sum((dim + 1) * n) / sqrt(sum(n * n)) as s from ww group by text),
+names as (select v.i as col_id, vec.s from (values {sums}) v(i, text) join vec on vec.text = v.text)"""
+    q["batch_vectors"] = churn_contexts(vectors) + """
+select c.task_no, c.seed_id, c.pos, round(coalesce(v.s, 0), 3) + 0.0 as text_sum, round(n.s, 3) + 0.0 as name_sum
+from ctx c left join text_dict d on c.class_value_id = d.text_id left join vec v on v.text = d.text join names n on n.col_id = c.col_id"""
+    n = CONTEXT["seq_len"]
+    most = max(len(t[4]) for t in TABLES)
+    fill = lambda e, pad: f"array_to_string(list({e} order by pos) || list_transform(range({n} - count(*)), lambda z: {pad}), ',')"
+    ten = lambda c: fill(f"cast(round(cast({c} as double) * 10000) as bigint)", "0::bigint")
+    table_no = "case c.table_name " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(sorted({t[0] for t in TABLES}))) + " end"
+    blank = "'" + "/".join(["-1"] * most) + "'"
+    mine = f"array_to_string((coalesce(p.f2p, cast([] as bigint[])) || list_transform(range({most}), lambda z: -1::bigint))[:{most}], '/')"
+    q["padded_values"] = churn_contexts(PARENTS) + f"""
+select task_no, seed_id, {ten('number_value')} as number_values, {ten('datetime_value')} as datetime_values, {ten('boolean_value')} as boolean_values,
+       {fill('cast(is_target as int)', '0')} as masks, {fill('table_no', '0')} as table_ids, {fill('par', blank)} as parents
+from (select c.*, {table_no} as table_no, {mine} as par from ctx c left join parents p on p.node_id = c.node_id)
+group by task_no, seed_id"""
     preds = "with " + PREDICTIONS
     q["huber_loss"] = preds + (
         f" select task_id, split, step, round(avg({LOSS}), 6) as loss, count(*) as n from predictions where mask and sem_type = 0 group by task_id, split, step"

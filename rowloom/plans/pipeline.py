@@ -11,6 +11,7 @@ from rowloom.operators.adjacency import Adjacency, build_adjacency
 from rowloom.operators.closure import parent_closure
 from rowloom.operators.graph import Graph
 from rowloom.operators.payload import context_cells, node_payload
+from rowloom.operators.pool import GraphPool, pool_adjacency, pool_closures, pool_payloads, pool_tasks
 from rowloom.operators.sampling import SampleConfig, sample_contexts
 from rowloom.session import stage, together
 from rowloom.sources.catalog import Catalog
@@ -26,7 +27,20 @@ class SamplingIndex:
     payload: DataFrame
 
 
-def index_graph(graph: Graph) -> SamplingIndex:
+def pool_indexes(parts: list[SamplingIndex]) -> SamplingIndex:
+    """The index of a pool from those of its databases, in the order of the pool."""
+    return SamplingIndex(
+        adjacency=pool_adjacency([p.adjacency for p in parts]),
+        closure=pool_closures([p.closure for p in parts]),
+        payload=pool_payloads([p.payload for p in parts]),
+    )
+
+
+def index_graph(graph: Graph | GraphPool) -> SamplingIndex:
+    """What sampling looks up; for a pool, of each of its databases."""
+    if isinstance(graph, GraphPool):
+        return pool_indexes([index_graph(g) for g in graph.members.values()])
+
     def lookups() -> tuple[DataFrame, Adjacency]:
         payload = stage(node_payload(graph.nodes, graph.edges), "payload")
         return payload, build_adjacency(graph.edges, payload)
@@ -56,28 +70,29 @@ def run_config(tasks: list[ResolvedTask], width: int, seq_len: int, **options) -
 
 
 def contexts(
-    graph: Graph,
+    graph: Graph | GraphPool,
     index: SamplingIndex,
     tasks: list[ResolvedTask],
     pool: DataFrame,
     config: SampleConfig,
 ) -> DataFrame:
     """Context rows of every seed of the pool."""
-    have_children = any(t.seed_class == 0 and is_parent(graph.catalog, t.task.table) for t in tasks)
+    have_children = any(t.seed_class == 0 and is_parent(graph.member(t.task.db)[1].catalog, t.task.table) for t in tasks)
     return sample_contexts(pool, index.payload, index.adjacency, index.closure, config, have_children)
 
 
-def resolve_splits(graph: Graph, wanted: list[tuple[Task, str]]) -> list[ResolvedTask]:
-    """Tasks with a split each, numbered in the order given."""
+def resolve_splits(graph: Graph | GraphPool, wanted: list[tuple[Task, str]]) -> list[ResolvedTask]:
+    """Tasks with a split each, numbered in the order given; in a pool each in the database that it names."""
     out = []
     for i, (task, split) in enumerate(wanted):
-        (one,) = resolve_tasks(graph.catalog, graph.ranges, [task], split)
-        out.append(replace(one, task_no=i))
+        db_no, own = graph.member(task.db)
+        (one,) = resolve_tasks(own.catalog, own.ranges, [task], split)
+        out.append(pool_tasks(one, i, db_no))
     return out
 
 
 def training_batches(
-    graph: Graph,
+    graph: Graph | GraphPool,
     index: SamplingIndex,
     tasks: list[ResolvedTask],
     width: int,
@@ -87,51 +102,15 @@ def training_batches(
     epoch: int = 0,
     seed: int = 0,
 ) -> DataFrame:
-    """Padded batches of one epoch over the common pool of all tasks."""
+    """Padded batches of one epoch over the common pool of all tasks, of one database or several."""
     pool = stage(seeds(graph.nodes, graph.cells, tasks), "seeds")
     config = run_config(tasks, width, seq_len, epoch=epoch, seed=seed)
     cells = context_cells(contexts(graph, index, tasks, pool, config), index.payload, graph.cells, tasks, seq_len)
-    padded = B.pad_contexts(cells, seq_len, [t.name for t in graph.catalog.tables], graph.catalog.max_parents())
+    padded = B.pad_contexts(cells, seq_len, graph.table_names(), graph.max_parents())
     slots = B.stripe(B.epoch_order(pool, epoch, seed), batch_size, world_size)
     return B.assemble_batches(slots, padded)
 
 
-def union_graphs(spark: SparkSession, graphs: dict[str, Graph]) -> dict[str, DataFrame]:
-    """Several databases side by side: ids are shifted so that they stay apart, ``db`` names the source."""
-    shifts, node, text, column = {}, 0, 0, 0
-    for name, g in graphs.items():
-        shifts[name] = (node, text, column)
-        node += sum(n for _, n in g.ranges.values())
-        text += g.text_dict.count()
-        column += len(g.catalog.columns())
-    out: dict[str, DataFrame] = {}
-    id_columns = {
-        "nodes": {"node_id": 0},
-        "edges": {"child_id": 0, "parent_id": 0},
-        "cells": {"node_id": 0, "col_id": 2},
-        "text_dict": {"text_id": 1},
-        "column_index": {"col_id": 2, "name_text_id": 1},
-        "table_info": {"node_offset": 0},
-    }
-    for table, ids in id_columns.items():
-        parts = []
-        for name, g in graphs.items():
-            df = getattr(g, table).withColumn("db", F.lit(name))
-            for c, which in ids.items():
-                df = df.withColumn(c, F.col(c) + F.lit(shifts[name][which]))
-            if table == "cells":
-                is_text = F.col("class_value_id") >= 0
-                shift = F.lit(shifts[name][1])
-                df = df.withColumn("text_id", F.when(is_text, F.col("text_id") + shift).otherwise(F.col("text_id")))
-                df = df.withColumn("class_value_id", F.when(is_text, F.col("class_value_id") + shift).otherwise(F.lit(-1)))
-            parts.append(df)
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.unionByName(p)
-        out[table] = merged
-    return out
-
-
 def write_graph(graph: Graph, path: str) -> None:
     """Persist the graph as parquet, rows by table and split."""
     for name in Graph.TABLES:

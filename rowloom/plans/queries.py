@@ -23,9 +23,10 @@ from rowloom.operators import (
     sampling as SP,
     stats as ST,
 )
+from rowloom.operators.pool import GraphPool, pool_graphs
 from rowloom.operators.util import union_all
 from rowloom.plans import pipeline as PL
-from rowloom.plans.local import CHURN, LINE_KEY, LINE_OPEN, LOCAL_TASKS, ORDER_TOTAL, local_catalog, read
+from rowloom.plans.local import CHURN, GEO_BALANCE, GEO_TABLES, LINE_KEY, LINE_OPEN, LOCAL_TASKS, ORDER_TOTAL, local_catalog, read
 from rowloom.plans.params import AUC_STEPS, CONTEXT, LEAK, SAMPLE_MOMENT, SAMPLE_WIDTH, STRIPE
 from rowloom.session import configure, stage
 from rowloom.sources import tasks as T
@@ -82,6 +83,19 @@ class LocalRun:
     def index(self) -> PL.SamplingIndex:
         return PL.index_graph(self.graph)
 
+    @cached_property
+    def db_pool(self) -> GraphPool:
+        geo = local_catalog(self.spark, self.sf_dir, GEO_TABLES, tasks=False)
+        return pool_graphs({"local": self.graph, "geo": PL.stage_graph(G.build_graph(self.spark, geo))})
+
+    @cached_property
+    def db_pool_index(self) -> PL.SamplingIndex:
+        return PL.pool_indexes([self.index, PL.index_graph(self.db_pool.members["geo"])])
+
+    @cached_property
+    def text_vectors(self) -> DataFrame:
+        return stage(U.embed_texts(self.text_dict), "text_emb")
+
     @cached_property
     def churn_tasks(self) -> list[T.ResolvedTask]:
         return PL.resolve_splits(self.graph, [(CHURN, s) for s in ("train", "val", "test")])
@@ -379,8 +393,7 @@ def q_text_embed(run: LocalRun) -> DataFrame:
 
 def q_embed_lookup(run: LocalRun) -> DataFrame:
     """Vectors attached to the cells of every churn context, summed up per context."""
-    vectors = stage(U.embed_texts(run.text_dict), "text_emb")
-    with_vec = B.attach_embeddings(run.churn_cells, vectors, run.graph.column_index)
+    with_vec = B.attach_embeddings(run.churn_cells, run.text_vectors, run.graph.column_index)
     return with_vec.groupBy("task_no", "seed_id").agg(
         F.count("col_name_vec").alias("n_names"), F.count("text_vec").alias("n_texts"), F.min(F.size("col_name_vec")).alias("dim")
     )
@@ -405,14 +418,51 @@ def q_bf16(run: LocalRun) -> DataFrame:
 
 def q_union_dbs(run: LocalRun) -> DataFrame:
     """Two databases in one pool: the whole one and its geography, apart by their ids."""
-    spark = run.spark
-    geo = local_catalog(spark, run.sf_dir, ["region", "nation", "supplier", "customer"], tasks=False)
-    merged = PL.union_graphs(spark, {"local": run.graph, "geo": PL.stage_graph(G.build_graph(spark, geo))})
-    return merged["cells"].groupBy("db", "sem_type").agg(
+    return run.db_pool.cells.groupBy("db", "sem_type").agg(
         F.count("*").alias("n_cells"), F.count_distinct("node_id").alias("n_nodes"), F.count_distinct("col_id").alias("n_cols")
     )
 
 
+def q_pool_contexts(run: LocalRun) -> DataFrame:
+    """Contexts of two databases in one shuffled pool: churn seeds of the whole one, suppliers of its geography."""
+    tasks = PL.resolve_splits(run.db_pool, [(CHURN, "val"), (GEO_BALANCE, "train")])
+    seeds = stage(T.seeds(run.db_pool.nodes, run.db_pool.cells, tasks), "seeds")
+    config = PL.run_config(tasks, CONTEXT["width"], CONTEXT["seq_len"])
+    nodes = PL.contexts(run.db_pool, run.db_pool_index, tasks, seeds, config)
+    return cells_view(P.context_cells(nodes, run.db_pool_index.payload, run.db_pool.cells, tasks, CONTEXT["seq_len"]))
+
+
+def q_task_head(run: LocalRun) -> DataFrame:
+    """Task rows drawn from runs that are longer than the budget: the head of their random order, with its keys."""
+    config = PL.run_config(run.churn_tasks, CONTEXT["width"], 1)
+    first = SP.with_ancestors(SP.first_level(run.churn_seeds, run.index.payload), run.index.closure)
+    return SP.expand(first.filter("depth = 1"), run.index.adjacency, config).filter("child_class = 1").select(
+        SP.task_no().alias("task_no"), SP.seed_id().alias("seed_id"), "parent_id", "child_id", F.round("key", 8).alias("key")
+    )
+
+
+def q_padded_values(run: LocalRun) -> DataFrame:
+    """Value, mask, table and parent arrays of every padded context; values in ten thousandths."""
+    whole = lambda c: joined(F.transform(c, lambda x: F.round(x.cast("double") * 10000).cast("bigint")))
+    return run.churn_padded.select(
+        "task_no", "seed_id", *[whole(c).alias(c) for c in ("number_values", "datetime_values", "boolean_values")],
+        joined(F.col("masks").cast("array<int>")).alias("masks"), joined("table_ids").alias("table_ids"),
+        F.array_join(F.transform("f2p_nbr_ids", lambda p: F.array_join(p.cast("array<string>"), "/")), ",").alias("parents"),
+    )
+
+
+def q_batch_vectors(run: LocalRun) -> DataFrame:
+    """The vector of each cell's text and of its column's name, looked up in the blocks of its batch, as weighted sums of their entries."""
+    rows, blocks = B.batch_vectors(churn_batches(run), run.text_vectors, run.graph.column_index, run.text_dict.select("text_id", "n_uses"))
+    met = rows.filter("NOT is_wrapped").join(blocks, B.BATCH)
+    cells = met.select("task_no", "seed_id", "text_block", "name_block", F.posexplode(F.arrays_zip("text_at", "name_at", "is_padding")).alias("pos", "c"))
+    total = lambda block, at: F.aggregate(
+        F.transform(F.get(block, at), lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v
+    )
+    value = lambda block, at: F.round(F.coalesce(F.when(F.col(at) >= 0, total(block, F.col(at))), F.lit(0.0)), 3) + F.lit(0.0)
+    return cells.filter("NOT c.is_padding").select("task_no", "seed_id", "pos", value("text_block", "c.text_at").alias("text_sum"), value("name_block", "c.name_at").alias("name_sum"))
+
+
 QUERIES: dict[str, Callable[[LocalRun], DataFrame]] = {
     "table_info": lambda r: G.table_info(r.catalog),
     "table_roles": q_table_roles,
@@ -493,4 +543,8 @@ QUERIES: dict[str, Callable[[LocalRun], DataFrame]] = {
     "embed_lookup": q_embed_lookup,
     "bf16_round": q_bf16,
     "union_databases": q_union_dbs,
+    "pool_contexts": q_pool_contexts,
+    "task_head": q_task_head,
+    "padded_values": q_padded_values,
+    "batch_vectors": q_batch_vectors,
 }

@@ -310,32 +310,37 @@ def children_list(edges: DataFrame, span: int = 1 << 20) -> DataFrame:
     )
 
 
-def raw_cells(numbered: Numbered, t: Table) -> DataFrame:
-    """Typed values of one table in long form; nulls and NaN are gone, order is kept."""
+KINDS = (NUMBER, TEXT, DATETIME, BOOLEAN)
+
+
+def raw_cells(numbered: Numbered, t: Table, kinds: tuple[int, ...] = KINDS) -> DataFrame | None:
+    """Typed values of one table in long form; nulls and NaN are gone, order is kept.
+
+    With some ``kinds`` only, a cell's place is still counted over all of its row, from the flags of the columns before it.
+    """
     catalog = numbered.catalog
     stat_keys, columns = catalog.stat_keys(), catalog.columns()
-    entries = []
+    entries, place = [], F.lit(0)
     for f in t.value_fields():
         sem = semantic_type(f.dataType)
-        entry = F.struct(
-            F.lit(columns[(t.name, f.name)]).cast("bigint").alias("col_id"),
-            F.lit(stat_keys[(t.name, t.split, f.name)]).alias("stat_key"),
-            F.lit(sem).cast("tinyint").alias("sem_type"),
-            (F.lit(None).cast("double") if sem == TEXT else numeric_value(f)).alias("raw"),
-            (F.col(f.name) if sem == TEXT else F.lit(None).cast("string")).alias("text"),
-        )
-        entries.append(F.when(is_cell(f), entry))
+        if sem in kinds:
+            entry = F.struct(
+                place.alias("cell_ord"),
+                F.lit(columns[(t.name, f.name)]).cast("bigint").alias("col_id"),
+                F.lit(stat_keys[(t.name, t.split, f.name)]).alias("stat_key"),
+                F.lit(sem).cast("tinyint").alias("sem_type"),
+                (F.lit(None).cast("double") if sem == TEXT else numeric_value(f)).alias("raw"),
+                (F.col(f.name) if sem == TEXT else F.lit(None).cast("string")).alias("text"),
+            )
+            entries.append(F.when(is_cell(f), entry))
+        place = place + F.when(is_cell(f), 1).otherwise(0)
     if not entries:
         return None
-    return (
-        numbered.node_rows(t)
-        .select("node_id", F.posexplode(F.array_compact(F.array(*entries))).alias("cell_ord", "c"))
-        .select("node_id", "cell_ord", "c.*")
-    )
+    return numbered.node_rows(t).select("node_id", F.inline(F.array_compact(F.array(*entries))))
 
 
-def all_raw_cells(numbered: Numbered, skip_db: bool = False) -> DataFrame:
-    parts = [raw_cells(numbered, t) for t in numbered.catalog.tables if t.is_task or not skip_db]
+def all_raw_cells(numbered: Numbered, skip_db: bool = False, kinds: tuple[int, ...] = KINDS) -> DataFrame:
+    parts = [raw_cells(numbered, t, kinds) for t in numbered.catalog.tables if t.is_task or not skip_db]
     schema = "node_id bigint, cell_ord int, col_id bigint, stat_key int, sem_type tinyint, raw double, text string"
     return union_all([p for p in parts if p is not None], numbered.catalog.spark, schema)
 
@@ -355,38 +360,54 @@ def table_texts(catalog: Catalog, skip_db: bool = False) -> DataFrame:
 def cells(numbered: Numbered, stats: DataFrame, dictionary: DataFrame, skip_db: bool = False) -> DataFrame:
     """One row per surviving value: scaled number, datetime or boolean, or a text id.
 
-    Slots of other types hold zero; the class id is -1 unless the cell is text.
+    Slots of other types hold zero; the class id is -1 unless the cell is text. Numbers, times and booleans go straight to the output;
+    texts alone meet the dictionary.
     """
-    raw = all_raw_cells(numbered, skip_db).withColumn("digest", S.text_digest(F.col("text"))).drop("text")
+    return value_cells(numbered, stats, skip_db).unionByName(text_cells(numbered, dictionary, skip_db))
+
+
+def value_cells(numbered: Numbered, stats: DataFrame, skip_db: bool = False) -> DataFrame:
+    """The cells that are no texts, without a shuffle."""
+    own = all_raw_cells(numbered, skip_db, (NUMBER, DATETIME, BOOLEAN)).drop("text")
     # One row of statistics per column of the schema.
-    scaled = raw.join(F.broadcast(stats.select("stat_key", "mean", "std")), "stat_key")
-    z = F.when(
-        F.col("sem_type") != TEXT,
-        S.zscore(F.col("raw"), F.col("mean"), F.col("std"), F.col("col_id")),
-    )
-    slim = scaled.withColumn("z", z).drop("stat_key", "mean", "std", "raw")
-    coded = D.encode_texts(slim, dictionary, F.col("node_id"))
-    sem = F.col("sem_type")
+    scaled = own.join(F.broadcast(stats.select("stat_key", "mean", "std")), "stat_key")
+    z = S.zscore(F.col("raw"), F.col("mean"), F.col("std"), F.col("col_id"))
 
     def slot(kind: int, name: str):
-        return F.when(sem == kind, F.col("z")).otherwise(F.lit(0.0)).cast("float").alias(name)
+        return F.when(F.col("sem_type") == kind, z).otherwise(F.lit(0.0)).cast("float").alias(name)
 
-    return coded.select(
+    return scaled.select(
         "node_id",
         "cell_ord",
         "col_id",
         "sem_type",
         slot(NUMBER, "number_value"),
-        F.coalesce("text_id", F.lit(0)).cast("bigint").alias("text_id"),
+        F.lit(0).cast("bigint").alias("text_id"),
         slot(DATETIME, "datetime_value"),
         slot(BOOLEAN, "boolean_value"),
-        F.when(sem == TEXT, F.col("text_id")).otherwise(F.lit(-1)).cast("bigint").alias("class_value_id"),
+        F.lit(-1).cast("bigint").alias("class_value_id"),
+    )
+
+
+def text_cells(numbered: Numbered, dictionary: DataFrame, skip_db: bool = False) -> DataFrame:
+    texts = all_raw_cells(numbered, skip_db, (TEXT,)).select("node_id", "cell_ord", "col_id", "sem_type", S.text_digest(F.col("text")).alias("digest"))
+    none = lambda name: F.lit(0.0).cast("float").alias(name)
+    return D.encode_texts(texts, dictionary, F.col("node_id")).select(
+        "node_id",
+        "cell_ord",
+        "col_id",
+        "sem_type",
+        none("number_value"),
+        F.col("text_id").cast("bigint").alias("text_id"),
+        none("datetime_value"),
+        none("boolean_value"),
+        F.col("text_id").cast("bigint").alias("class_value_id"),
     )
 
 
 def infinite_cells(numbered: Numbered, stats: DataFrame) -> DataFrame:
     """Number cells that scaling would make infinite, counted per column."""
-    raw = all_raw_cells(numbered).filter(F.col("sem_type") == NUMBER)
+    raw = all_raw_cells(numbered, kinds=(NUMBER,))
     return (
         raw.join(F.broadcast(stats.select("stat_key", "table_name", "col_name", "mean", "std")), "stat_key")
         .filter(F.abs((F.col("raw") - F.col("mean")) / F.col("std")) == F.lit(float("inf")))

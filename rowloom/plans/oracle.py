@@ -769,6 +769,22 @@ c as (
 )
 select 'TASK' as task_id, ['train', 'val', 'test'][task_no + 1] as split, 0 as step,
        round((rank_sum - n_pos * (n_pos + 1) / 2.0) / (n_pos * cast(n_neg as double)), 6) as auc, n_pos, n_neg from c""".replace("TASK", task_rows[0][0])
+    spend_seeds = " union all ".join(
+        f"select {i} as task_no, n.node_id as seed_id, n.ts_sec as seed_ts, 2 as seed_class from nodes n "
+        f"where n.table_name = 'customer-spend' and n.split = '{split}' "
+        f"and exists (select 1 from {_rel('customer-spend', split)} r where r.node_id = n.node_id and {_valid('r.spend', NUM)})"
+        for i, split in enumerate(("train", "val", "test"))
+    )
+    spend_col = COLUMN_IDS[("customer-spend", "spend")]
+    spend = contexts(spend_seeds, CONTEXT["width"], CONTEXT["seq_len"]) + ",\n" + shown(CONTEXT["seq_len"], targets={t: spend_col for t in range(3)})
+    q["batch_r2"] = with_(*FULL, more=spend) + """
+, s as (
+  select task_no, seed_id, max(case when is_target then cast(number_value as double) end) as y,
+         round(coalesce(avg(case when sem_type = 0 and not is_target then cast(number_value as double) end), 0), 4) + 0.0 as yhat
+  from ctx group by task_no, seed_id
+)
+select 'TASK' as task_id, ['train', 'val', 'test'][task_no + 1] as split, 0 as step,
+       round(1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)), 5) as r2, count(*) as n from s group by task_no""".replace("TASK", "local/customer-spend/spend")
     batch_rows = f"""
 churn_pool as (select *, '{task_rows[0][0]}' as task_id from seeds),
 churn_order as (

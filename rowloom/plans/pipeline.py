@@ -128,3 +128,31 @@ def read_graph(spark: SparkSession, path: str, catalog: Catalog) -> Graph:
     # One row per table of the catalog.
     ranges = {(r.table_name, r.split): (r.node_offset, r.num_nodes) for r in tables["table_info"].collect()}
     return Graph(catalog=catalog, ranges=ranges, **tables)
+
+
+# Layout of a stored index; other versions are refused.
+INDEX_VERSION = 1
+INDEX_TABLES = ("entries", "runs", "times", "closure", "payload")
+
+
+def write_index(index: SamplingIndex, path: str) -> None:
+    """Persist a sampling index, so that later runs over the same graph start from it. The manifest is written last: without it there is no index."""
+    a = index.adjacency
+    tables = {"entries": a.entries, "runs": a.runs, "times": a.times, "closure": index.closure, "payload": index.payload}
+    together({name: (lambda name=name, df=df: df.write.parquet(f"{path}/{name}")) for name, df in tables.items()})
+    spark = a.runs.sparkSession
+    counts = {name: spark.read.parquet(f"{path}/{name}").count() for name in INDEX_TABLES}
+    spark.createDataFrame([(INDEX_VERSION, a.height, counts)], "version int, height int, rows map<string,bigint>").write.parquet(f"{path}/manifest")
+
+
+def read_index(spark: SparkSession, path: str) -> SamplingIndex:
+    """A stored index. Another version, or a table with another number of rows than its manifest says, is an error."""
+    manifest = spark.read.parquet(f"{path}/manifest").first()
+    if manifest.version != INDEX_VERSION:
+        raise ValueError(f"the index at {path} has version {manifest.version}, this library reads {INDEX_VERSION}")
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES}
+    for name, df in tables.items():
+        if df.count() != manifest.rows[name]:
+            raise ValueError(f"the index at {path} is damaged: {name} should have {manifest.rows[name]} rows")
+    adjacency = Adjacency(tables["entries"], tables["runs"], tables["times"], manifest.height)
+    return SamplingIndex(adjacency=adjacency, closure=tables["closure"], payload=tables["payload"])

@@ -26,7 +26,7 @@ from rowloom.operators import (
 from rowloom.operators.pool import GraphPool, pool_graphs
 from rowloom.operators.util import union_all
 from rowloom.plans import pipeline as PL
-from rowloom.plans.local import CHURN, GEO_BALANCE, GEO_TABLES, LINE_KEY, LINE_OPEN, LOCAL_TASKS, ORDER_TOTAL, local_catalog, read
+from rowloom.plans.local import CHURN, GEO_BALANCE, GEO_TABLES, LINE_KEY, LINE_OPEN, LOCAL_TASKS, ORDER_TOTAL, SPEND, local_catalog, read
 from rowloom.plans.params import AUC_STEPS, CONTEXT, LEAK, SAMPLE_MOMENT, SAMPLE_WIDTH, STRIPE
 from rowloom.session import configure, stage
 from rowloom.sources import tasks as T
@@ -411,6 +411,20 @@ def q_batch_auc(run: LocalRun) -> DataFrame:
     return M.roc_auc(table).select(*M.RUN, F.round("auc", 6).alias("auc"), "n_pos", "n_neg")
 
 
+def q_batch_r2(run: LocalRun) -> DataFrame:
+    """From batches over scores to the R2 of the spend task, per split."""
+    tasks = PL.resolve_splits(run.graph, [(SPEND, s) for s in ("train", "val", "test")])
+    seeds = stage(T.seeds(run.graph.nodes, run.graph.cells, tasks), "seeds")
+    config = PL.run_config(tasks, CONTEXT["width"], CONTEXT["seq_len"])
+    nodes = PL.contexts(run.graph, run.index, tasks, seeds, config)
+    cells = P.context_cells(nodes, run.index.payload, run.graph.cells, tasks, CONTEXT["seq_len"])
+    padded = B.pad_contexts(cells, CONTEXT["seq_len"], run.graph.table_names(), run.graph.max_parents())
+    order = B.epoch_order(seeds, STRIPE["epoch"], STRIPE["seed"])
+    batches = stage(B.assemble_batches(B.stripe(order, STRIPE["batch_size"], STRIPE["world_size"], seeds.count()), padded), "batches")
+    scores = U.score_batches(batches).withColumn("yhat", r4("yhat"))
+    return M.r2(M.predictions(batches, scores, tasks)).select(*M.RUN, F.round("r2", 5).alias("r2"), "n")
+
+
 def q_bf16(run: LocalRun) -> DataFrame:
     x = ((F.col("o_totalprice") - 250000.0) / 144000.0).cast("float")
     return run.table("orders").select("o_orderkey", S.bf16(x).cast("double").alias("value"))
@@ -532,6 +546,7 @@ QUERIES: dict[str, Callable[[LocalRun], DataFrame]] = {
     "padded_batches": q_batches,
     "score_batches": q_score,
     "batch_auc": q_batch_auc,
+    "batch_r2": q_batch_r2,
     "huber_loss": lambda r: q_typed_loss(r, 0),
     "bce_loss": lambda r: q_typed_loss(r, 3),
     "total_loss": lambda r: M.batch_loss(predictions(r)).select(*M.RUN, "batch_idx", F.round("loss", 6).alias("loss"), "n_masked"),

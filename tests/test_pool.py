@@ -97,3 +97,27 @@ def test_batches_of_a_pool_and_their_vectors(spark, graphs):
                 assert (np.array(block["name_block"][name]) == names[col]).all()
     # Each distinct text of a batch has one vector there.
     assert {k: len(by_batch[k]["text_block"]) for k in seen} == {k: len(v) for k, v in seen.items()}
+
+
+def test_a_stored_index_samples_alike(spark, graphs, tmp_path):
+    graph = graphs["shop"]
+    index = PL.index_graph(graph)
+    PL.write_index(index, str(tmp_path / "index"))
+    again = PL.read_index(spark, str(tmp_path / "index"))
+    wanted = [(BUYERS, "train")]
+    assert contexts(graph, again, wanted) == contexts(graph, index, wanted)
+    index.adjacency.runs.limit(1).write.mode("overwrite").parquet(str(tmp_path / "index" / "runs"))
+    with pytest.raises(ValueError, match="damaged"):
+        PL.read_index(spark, str(tmp_path / "index"))
+
+
+def test_values_meet_no_shuffle(spark):
+    from rowloom.operators.stats import column_stats
+    from rowloom.operators import dictionary as D
+
+    numbered = G.number_rows(firm(spark))
+    stats = stage(column_stats(numbered.catalog), "col_stats")
+    texts = stage(D.build_dictionary(G.table_texts(numbered.catalog), D.schema_texts(spark, numbered.catalog)), "text_dict")
+    plan = G.value_cells(numbered, stats)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert G.cells(numbered, stats, texts).count() == 3 + 25 * 2 - 4

@@ -215,4 +215,4 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 rejected = np.array([not letters(t) for t in texts], bool)
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(~rejected))
 
-    return docs.withColumn("language_text", text_bytes()).mapInArrow(keep, docs.schema)
+    return docs.select("*", text_bytes().alias("__rowloom_text")).mapInArrow(keep, docs.schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,12 +15,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.llm.common import small_batches, text_bytes
 from rowloom.llm.components import components
-from rowloom.session import stage
+from rowloom.session import drop_staged, stage
 
 SHINGLE_WORDS = 5
-#: Registers are grouped in bands: at a similarity of 0.85, one pair in a million shares no band.
-BANDS, BAND_ROWS = 24, 5
-REGISTERS = BANDS * BAND_ROWS
+#: Registers are grouped in bands of so many; as many bands that of pairs at the threshold only this share has no band in common.
+BAND_ROWS, MISSED = 5, 1e-6
+#: Registers of a sketch unless a threshold asks for others: those of 0.85.
+REGISTERS = 120
 #: SetSketch parameters: spacing of the register values, rate of the exponentials, largest value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Shingles sketched at once; registers of parts are merged by maximum.
@@ -42,6 +45,16 @@ class Threshold:
     def share(self) -> float:
         return self.over / self.under
 
+    @property
+    def bands(self) -> int:
+        """24 at 0.85, 35 at 0.80."""
+        alike = self.share**BAND_ROWS
+        return 1 if alike >= 1 - MISSED else math.ceil(math.log(MISSED) / math.log1p(-alike))
+
+    @property
+    def registers(self) -> int:
+        return self.bands * BAND_ROWS
+
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -73,16 +86,18 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-_RNG = np.random.default_rng(20_23)
-_FLIPS = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64)[:, None]
-_FACTORS = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+@lru_cache
+def _draws(n: int) -> tuple[np.ndarray, np.ndarray]:
+    flips, factors = (np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64)[:, None] for seed in (20_23, 20_24))
+    return flips, factors * np.uint64(2) + np.uint64(1)
 
 
-def registers(keys: np.ndarray) -> np.ndarray:
+def registers(keys: np.ndarray, n: int = REGISTERS) -> np.ndarray:
     """SetSketch of a set: per register the exponential minimum of its elements, on a truncated geometric scale."""
-    out = np.zeros(REGISTERS, np.uint16)
+    flips, factors = _draws(n)
+    out = np.zeros(n, np.uint16)
     for at in range(0, len(keys), STEP_SHINGLES):
-        least = ((keys[None, at : at + STEP_SHINGLES] ^ _FLIPS) * _FACTORS).min(1)
+        least = ((keys[None, at : at + STEP_SHINGLES] ^ flips) * factors).min(1)
         low = -np.log1p(-np.minimum((least.astype(np.float64) + 0.5) / 2.0**64, 1 - 1e-16)) / RATE
         value = np.clip(np.floor(1 - np.log(low) / np.log(BASE)), 0, TOP).astype(np.uint16)
         out = merged(out, value)
@@ -96,37 +111,36 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     """Keys of the bands of one sketch, or row by row of several."""
-    rows = sketch.reshape(*sketch.shape[:-1], BANDS, BAND_ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:-1])
+    rows = sketch.reshape(*sketch.shape[:-1], -1, BAND_ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, rows.shape[-2] + 1, dtype=np.uint64), rows.shape[:-1])
     for k in range(BAND_ROWS):
         h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[..., k])
     return h.view(np.int64)
 
 
-SKETCHED = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary"
+SKETCHED = "doc_id long, n_shingles long, set_hash binary, sketch binary"
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set, band keys and registers, of every row; without words null from the digest on."""
+def sketches(docs: DataFrame, limit: Threshold) -> DataFrame:
+    """doc_id, n_shingles, digest of the whole set and registers, of every row; without words null from the digest on."""
     small_batches(docs.sparkSession)
+    n_registers = limit.registers
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, bands, regs = [], [], [], []
+            sizes, digests, regs = [], [], []
             for text in batch.column(1).to_pylist():
                 keys = shingles(text)
                 sizes.append(len(keys))
                 if len(keys):
-                    sketch = registers(keys)
                     digests.append(xxhash.xxh3_128_digest(keys.tobytes()))
-                    bands.append(band_keys(sketch))
-                    regs.append(sketch.tobytes())
+                    regs.append(registers(keys, n_registers).tobytes())
                 else:
-                    for column in (digests, bands, regs):
-                        column.append(None)
+                    digests.append(None)
+                    regs.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary())],
-                ["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())],
+                ["doc_id", "n_shingles", "set_hash", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(draw, SKETCHED)
@@ -150,7 +164,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(texts, "rep").select("rep", "set_hash", "text").mapInArrow(draw, "rep long, shingles array<long>")
 
 
-def plausible(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, limit: Threshold) -> np.ndarray:
+def plausible(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, limit: Threshold, n_registers: int = REGISTERS) -> np.ndarray:
     """Whether the registers leave room for the threshold.
 
     more, less: registers in which a is above or below b. Given both set sizes, the similarity is
@@ -167,14 +181,14 @@ def plausible(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     up = np.clip(p(u[:, None] - v[:, None] * grid), 1e-9, 1)
     down = np.clip(p(v[:, None] - u[:, None] * grid), 1e-9, 1)
     same = np.clip(1 - up - down, 1e-9, 1)
-    equal = REGISTERS - more - less
+    equal = n_registers - more - less
     logs = more[:, None] * np.log(up) + less[:, None] * np.log(down) + equal[:, None] * np.log(same)
     best = grid[np.arange(len(grid)), logs.argmax(1)]
     return (most >= limit.share - 1e-12) & ((best >= limit.share) | (logs.max(1) - logs[:, -1] < DOUBT))
 
 
 def _unpacked(sketch: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketch), np.uint16).reshape(len(sketch), REGISTERS)
+    return np.frombuffer(b"".join(sketch), np.uint16).reshape(len(sketch), -1)
 
 
 def likely(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
@@ -190,7 +204,7 @@ def likely(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
                 continue
             x, y = (_unpacked(batch.column(c).to_pylist()).astype(np.int32) for c in ("sketch_a", "sketch_b"))
             n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-            keep = plausible((x > y).sum(1), (x < y).sum(1), n_a, n_b, limit)
+            keep = plausible((x > y).sum(1), (x < y).sum(1), n_a, n_b, limit, x.shape[1])
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(judge, "a long, b long")
@@ -210,8 +224,16 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """key, rep, size: every band value that more than one set has."""
-    keys = reps.select(F.explode("bands").alias("key"), "rep")
+    """key, rep, size: every band value that more than one set has; band values follow from the registers."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_unpacked(batch.column(1).to_pylist()))
+                rep = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep)], ["key", "rep"])
+
+    keys = reps.select("rep", "sketch").mapInArrow(spread, "key long, rep long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     return keys.join(sizes, "key")
 
@@ -260,7 +282,7 @@ def block_pairs(crowd: DataFrame, limit: Threshold) -> DataFrame:
             at = np.flatnonzero(fits) + k + 1
             at = at[~(earlier[at] == earlier[k]).any(1)]
             if len(at):
-                ok = plausible((sketch[k] > sketch[at]).sum(1), (sketch[k] < sketch[at]).sum(1), np.full(len(at), n[k]), n[at], limit)
+                ok = plausible((sketch[k] > sketch[at]).sum(1), (sketch[k] < sketch[at]).sum(1), np.full(len(at), n[k]), n[at], limit, sketch.shape[1])
                 found_a.append(np.full(int(ok.sum()), rep[k]))
                 found_b.append(rep[at[ok]])
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
@@ -278,9 +300,11 @@ def links(docs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
     of a large one that the exact bound and the estimate leave.
     """
     members = stage(buckets(reps), "buckets")
-    wanted = members.select("rep").distinct().join(reps.select("rep", "set_hash"), "rep")
-    sets = stage(shingle_sets(docs, wanted), "sets")
     near = stage(likely(star_pairs(members), reps, limit), "near")
+    hashes = reps.select("rep", "set_hash")
+    # Full sets are read of those that a likely pair or a crowd needs, no others.
+    wanted = stage(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
+    sets = stage(shingle_sets(docs, wanted.join(hashes, "rep")), "sets")
     first = stage(verified(near, sets, limit), "links")
     found = components(first, "a", "b").withColumnRenamed("node", "rep")
     placed = members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -291,13 +315,18 @@ def links(docs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
     listed = few.join(other, "key").filter("rep < b AND component <> component_b").select(F.col("rep").alias("a"), "b").distinct()
     crowd = open_members.filter(F.col("size") > SMALL)
     crowd_reps = crowd.select("rep").distinct()
+    few_pairs = stage(likely(listed, reps, limit).join(near, ["a", "b"], "left_anti"), "near")
+    more = few_pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd_reps).distinct()
+    more = stage(shingle_sets(docs, more.join(wanted, "rep", "left_anti").join(hashes, "rep")), "sets")
+    sets = sets.unionByName(more)
     private = private_shingles(sets.join(crowd_reps, "rep", "left_semi"))
     known = reps.select("rep", "n_shingles", "sketch").join(crowd_reps, "rep").join(private, "rep", "left").withColumn("private", F.coalesce("private", F.lit(0).cast("long")))
     left = stage(known.filter((F.col("n_shingles") - F.col("private")) * limit.under >= F.col("n_shingles") * limit.over), "crowd")
     blocks = block_pairs(crowd.join(left, "rep"), limit)
-    pairs = likely(listed, reps, limit).unionByName(blocks).distinct()
-    second = verified(pairs.join(near, ["a", "b"], "left_anti"), sets, limit)
-    return first.unionByName(stage(second, "links"))
+    pairs = few_pairs.unionByName(blocks.join(near, ["a", "b"], "left_anti")).distinct()
+    second = stage(verified(pairs, sets, limit), "links")
+    drop_staged(members, sets, left, open_members)
+    return first.unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, limit: Threshold = Threshold()) -> DataFrame:
@@ -309,11 +338,11 @@ def near_duplicates(docs: DataFrame, limit: Threshold = Threshold()) -> DataFram
     component. Null texts and texts without words have no shingle and are linked with nothing. Repeated rows are copies. Rows
     without an id are in the component of their copies, and have none where all copies lack one.
     """
-    rows = stage(sketches(docs), "sketches")
+    rows = stage(sketches(docs, limit), "sketches")
     reps = stage(
         rows.filter("n_shingles > 0")
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"))
         .filter("rep IS NOT NULL"),
         "classes",
     )

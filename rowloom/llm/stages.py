@@ -14,11 +14,18 @@ from rowloom.session import stage
 #: Near-duplicates of the pipeline: five words, a similarity of 0.8 or more.
 NEAR = near.Threshold(80, 100)
 
+#: Names of columns that stages put beside all columns of the documents; no table of documents has them.
+GONE, MIXED, COPIES, NTH = (f"__rowloom_{name}" for name in ("gone", "mixed", "copies", "nth"))
 
-def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``; a null doc_id meets a null one."""
-    ids = kept.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+
+def _without_dropped(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id some row of ``decided`` (doc_id, kept) keeps; a null doc_id meets a null one.
+
+    What goes is written first: few ids, which Spark broadcasts where their true size allows, so that no text is shuffled; otherwise it joins.
+    """
+    gone = decided.groupBy(F.col("doc_id").alias(GONE)).agg(F.bool_or("kept").alias("kept")).filter("NOT kept").select(GONE)
+    gone = stage(gone, "dropped")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[GONE]), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +35,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return _chosen(docs, exact.exact_groups(docs).filter("kept"))
+    return _without_dropped(docs, exact.exact_groups(docs).select("doc_id", "kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates stays."""
-    return _chosen(docs, near.near_duplicates(docs, NEAR).filter("kept"))
+    return _without_dropped(docs, near.near_duplicates(docs, NEAR).select("doc_id", "kept"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +51,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mixed = mix.mix(docs).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("times"))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(mix.SEED + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = stage(mixed.select(F.col("doc_id").alias("mixed_id"), F.floor(F.col("times") + unit).cast("int").alias("copies")).filter("copies > 0"), "copies")
-    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"]))
-    return met.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    copies = mixed.select(F.col("doc_id").alias(MIXED), F.floor(F.col("times") + unit).cast("int").alias(COPIES)).filter(F.col(COPIES) > 0)
+    copies = stage(copies, "copies")
+    met = docs.join(copies, docs["doc_id"].eqNullSafe(copies[MIXED]))
+    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies[COPIES])).alias(NTH)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]
-    assert {f"op{n}_" for n in range(1, 11)} == {q[: q.index("_") + 1] for q in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q[: q.index("_") + 1] for q in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(queries.SQL) <= set(entry.oracle_sql())
 
@@ -30,6 +30,15 @@ def test_queries_as_sql(spark, name):
     assert difference(entry.queries()[name](spark, SF).toPandas(), connect(SF).sql(entry.oracle_sql()[name]).df()) is None
 
 
+def test_columns_with_the_names_of_stages(spark):
+    docs = read_table(spark, SF, "documents").limit(60)
+    more = docs.selectExpr("*", *[f"'mine' AS {c}" for c in ("copies", "language_text", "mixed_id", "gone", "kept", "kept_id", "nth", "text_2")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, SF)
+        assert out.columns == more.columns, name
+        assert {tuple(r)[5:] for r in out.collect()} == {("mine",) * 8}, name
+
+
 def test_stages(spark, tmp_path):
     docs, kept = read_table(spark, SF, "documents"), []
     for name, stage in corpus_pipeline.STAGES:

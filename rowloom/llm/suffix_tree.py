@@ -25,7 +25,7 @@ LEAST_GAIN, GAIN_EACH = 8.0, 1.0
 #: Weight, in observations, of the shorter context when a longer one is smoothed.
 SMOOTHING = 8.0
 #: A chunk of texts is closed once it holds so many tokens; a text is never cut.
-CHUNK_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 17
 #: Slices, by last token, that one after another lie on disk; positions of one part of a slice, on average.
 SLICES, PART_POSITIONS = 8, 1 << 18
 #: Training uses from which on the contexts of a token are dealt to several parts.

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.llm import stages
 from rowloom.llm.common import read_table
-from rowloom.session import stage_root
+from rowloom.session import stage_path
 
 #: Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
@@ -24,8 +22,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written and read again, so a lost executor costs one stage at most."""
-    root = f"{stage_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each is written and read again, so a lost executor costs one stage at most. ``drop_stages`` deletes what it wrote."""
+    root = stage_path(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{root}/{number}-{name}"

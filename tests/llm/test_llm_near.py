@@ -72,6 +72,15 @@ def test_no_documents(no_docs):
     assert near.near_duplicates(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("share,bands", [(85, 24), (80, 35), (100, 1)])
+def test_bands_follow_from_the_threshold(share, bands):
+    limit = near.Threshold(share, 100)
+    assert limit.bands == bands and limit.registers == 5 * bands
+    assert (1 - limit.share**5) ** bands <= near.MISSED < (1 - limit.share**5) ** (bands - 1)
+    sketch = near.registers(np.arange(1, 900, dtype=np.uint64), limit.registers)
+    assert near.band_keys(sketch).shape == (bands,)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))

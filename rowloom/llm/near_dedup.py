@@ -25,13 +25,13 @@ REGISTERS = 120
 #: SetSketch parameters: spacing of the register values, rate of the exponentials, largest value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Shingles sketched at once; registers of parts are merged by maximum.
-STEP_SHINGLES = 8192
+STEP_SHINGLES = 4096
 #: A pair is verified unless its best estimate is so much likelier (nats) than the threshold.
 DOUBT = 9.0
 #: Buckets up to this size list their pairs directly; members of larger ones meet in blocks of about this many.
 SMALL, BLOCK = 16, 256
 #: Word hashes that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
+from xxhash import xxh3_64_intdigest
 
 from rowloom.llm.common import small_batches, text_bytes
 from rowloom.llm.words import REMEMBERED
-from rowloom.operators.index import dense_index
 from rowloom.session import drop_staged, stage
 
 #: Longest context in tokens.
@@ -25,8 +25,12 @@ LEAST_GAIN, GAIN_EACH = 8.0, 1.0
 #: Weight, in observations, of the shorter context when a longer one is smoothed.
 SMOOTHING = 8.0
 #: A chunk of texts is closed once it holds so many tokens; a text is never cut.
-CHUNK_TOKENS = 1 << 17
-#: Slices, by last token, that one after another lie on disk; positions of one part of a slice, on average.
+CHUNK_TOKENS = 1 << 18
+#: Tokens looked up without a join, the most frequent ones; entries that a task adds up before they are shuffled.
+HEAD_WORDS, ADDED_AT_ONCE = 1 << 16, 1 << 20
+#: A batch handed to Python holds about so many bytes.
+BATCH_BYTES = 16 << 20
+#: Slices, by last token, that one after another lie on disk (at most 126); positions of one part of a slice, on average.
 SLICES, PART_POSITIONS = 8, 1 << 18
 #: Training uses from which on the contexts of a token are dealt to several parts.
 HOT_USES = 1 << 18
@@ -37,10 +41,6 @@ END = 0x14057B7EF767814F
 NONE, START, UNSEEN, FIRST = 0, 1, 2, 3
 
 
-def code_of(word: bytes) -> int:
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
-
-
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each ordered pair of numbers."""
     h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b.astype(np.uint64) ^ np.uint64(0xD1B54A32D192ED03))
@@ -60,6 +60,7 @@ class Counts:
     #: All texts, those to score alone included.
     texts: int = 0
     hot_uses: int = HOT_USES
+    slices: int = SLICES
 
     def base_log(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
@@ -70,7 +71,36 @@ class Counts:
         return np.where(c > 0, (c - self.discount) / max(1, self.tokens), unseen)
 
 
-CHUNKS = "first long, doc_ids array<long>, learn array<boolean>, sizes array<int>, words array<long>, used array<long>, places array<int>"
+#: Bytes of a number in a packed array.
+WIDTHS = (1, 2, 3, 4, 8)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as hold the largest; the first byte tells how many."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in WIDTHS if most < 1 << (8 * w))
+    wide = np.ascontiguousarray(values, "<u8" if width == 8 else "<u4").view(np.uint8).reshape(len(values), -1)
+    return bytes([width]) + wide[:, :width].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    if width in (1, 2, 4, 8):
+        return np.frombuffer(data, f"<u{width}", offset=1).astype(np.int64)
+    wide = np.zeros(((len(data) - 1) // width, 4), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return wide.view("<u4").ravel().astype(np.int64)
+
+
+class Codes(dict):
+    """The digest of each word, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxh3_64_intdigest(word)
+        return code
+
+
+CHUNKS = "first long, doc_ids array<long>, learn binary, sizes binary, words binary, used binary, places binary"
 
 
 def read_chunks(docs: DataFrame, learn: Column) -> DataFrame:
@@ -79,39 +109,35 @@ def read_chunks(docs: DataFrame, learn: Column) -> DataFrame:
 
     A text is its words, A-Z lower-cased, and one end.
     """
-    small_batches(docs.sparkSession)
+    chunk_tokens = CHUNK_TOKENS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = Codes()
         first = TaskContext.get().partitionId() << 36
-        doc_ids, marks, sizes, codes = [], [], [], []
-        types = (pa.int64(), *map(pa.list_, (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32())))
+        doc_ids, marks, sizes, codes = [], [], [], array("Q")
+        types = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)
 
         def close() -> pa.RecordBatch:
-            found, inverse = np.unique(np.array(codes, np.int64), return_inverse=True)
-            learned = np.repeat(np.array(marks, bool), np.array(sizes, np.int64))
+            found, inverse = np.unique(np.frombuffer(codes, np.uint64), return_inverse=True)
+            learned = np.repeat(np.array(marks, bool), sizes)
             used, uses = (np.bincount(i, minlength=len(found)) for i in (inverse[learned], inverse))
             # Frequent tokens get small places.
             order = np.argsort(-uses, kind="stable")
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            values = (first, doc_ids, marks, sizes, found[order], used[order], place[inverse])
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            values = (first, doc_ids, packed(np.array(marks, np.int64)), packed(np.array(sizes)), found[order].tobytes(), packed(used[order]), packed(place[inverse]))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], [c.split()[0] for c in CHUNKS.split(", ")])
 
         for batch in batches:
             for doc_id, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
                 words = text.lower().split()
-                for w in words:
-                    c = known.get(w)
-                    if c is None:
-                        c = known[w] = code_of(w)
-                    codes.append(c)
+                codes.extend(map(known.__getitem__, words))
                 codes.append(END)
                 doc_ids.append(doc_id), marks.append(bool(mark)), sizes.append(len(words) + 1)
-                if len(codes) >= CHUNK_TOKENS:
+                if len(codes) >= chunk_tokens:
                     yield close()
                     first += len(sizes)
-                    doc_ids, marks, sizes, codes = [], [], [], []
+                    doc_ids, marks, sizes, codes = [], [], [], array("Q")
                 if len(known) > REMEMBERED:
                     known.clear()
         if sizes:
@@ -121,26 +147,65 @@ def read_chunks(docs: DataFrame, learn: Column) -> DataFrame:
     return texts.mapInArrow(scan, CHUNKS)
 
 
-def vocabulary(chunks: DataFrame) -> DataFrame:
-    """word, n, number of every token of the training texts, the most frequent first."""
-    used = chunks.select(F.inline(F.arrays_zip("words", "used"))).filter("used > 0")
-    counted = used.groupBy(F.col("words").alias("word")).agg(F.sum("used").alias("n"))
-    return dense_index(counted.withColumn("fewest", -F.col("n")), ["fewest", "word"], "number").select("word", "n", (F.col("number") + FIRST).alias("number"))
+def used_words(chunks: DataFrame) -> DataFrame:
+    """word, n of every token of the training texts; chunks of one task are added up first."""
+
+    def flush(words: list[np.ndarray], used: list[np.ndarray]) -> pa.RecordBatch:
+        found, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate(used)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[n > 0]), pa.array(n[n > 0])], ["word", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, used, held = [], [], 0
+        for batch in batches:
+            for own, uses in zip(*(c.to_pylist() for c in batch.columns)):
+                words.append(np.frombuffer(own, "<i8")), used.append(unpacked(uses))
+                held += len(words[-1])
+                if held > ADDED_AT_ONCE:
+                    yield flush(words, used)
+                    words, used, held = [], [], 0
+        if held:
+            yield flush(words, used)
+
+    return chunks.select("words", "used").mapInArrow(add, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def numbered(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """The chunks with the numbers and training uses of their tokens instead of the tokens themselves."""
-    asked = chunks.select("first", F.posexplode("words").alias("place", "word"))
-    met = asked.join(words, "word", "left")
-    told = met.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("number", F.lit(UNSEEN)).alias("number"), F.coalesce("n", F.lit(0)).alias("n")))).alias("t"))
-    return chunks.select("first", "doc_ids", "learn", "sizes", "places").join(told, "first").select(
-        "first", "doc_ids", "learn", "sizes", "places", F.col("t.number").alias("numbers"), F.col("t.n").alias("uses")
-    )
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """word, n, part, at of every token of the training texts; part and at are its place in the written table."""
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return used_words(chunks).select("word", "n", F.spark_partition_id().alias("part"), at.alias("at"))
 
 
 @dataclass
 class Chunk:
-    """Positions of one chunk: each token t, its uses n, its text, and the one to three tokens w, c2, c3 before it."""
+    """One chunk: the sizes, ends and marks of its texts, the place of each token, number and uses of each place."""
+
+    sizes: np.ndarray
+    marks: np.ndarray
+    places: np.ndarray
+    numbers: np.ndarray
+    uses: np.ndarray
+    counts: Counts
+
+    def take(self, at: np.ndarray) -> Positions:
+        ends = np.cumsum(self.sizes)
+        row = np.searchsorted(ends, at, "right")
+        inside = at - (ends - self.sizes)[row]
+        place = self.places[at]
+        heat = self.uses > self.counts.hot_uses
+        tokens, hot = [self.numbers[place]], []
+        for back in range(1, DEPTH + 1):
+            within = inside >= back
+            before = self.places[np.where(within, at - back, 0)]
+            start = np.where(inside == back - 1, START, NONE)
+            tokens.append(np.where(within, self.numbers[before], start))
+            hot.append(np.where(within, heat[before], (start == NONE) | (self.counts.texts > self.counts.hot_uses)))
+        return Positions(row, self.marks[row].astype(bool), tokens, self.uses[place], hot, heat[place])
+
+
+@dataclass
+class Positions:
+    """Some positions of a chunk: its text, mark, token t with the one to three tokens w, c2, c3 before it, and the uses of t."""
 
     rows: np.ndarray
     learn: np.ndarray
@@ -150,101 +215,175 @@ class Chunk:
     hot: list[np.ndarray]
     hot_next: np.ndarray
 
-    @classmethod
-    def of(cls, sizes, marks, places, numbers, uses, counts: Counts) -> Chunk:
-        own, size = np.repeat(np.arange(len(sizes)), sizes), np.array(sizes, np.int64)
-        t, n = numbers[places], uses[places]
-        inside = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
-        tokens, hot = [], []
-        for back in range(1, DEPTH + 1):
-            before, heat = np.full(len(t), NONE), np.ones(len(t), bool)
-            before[inside == back - 1], heat[inside == back - 1] = START, counts.texts > counts.hot_uses
-            at = np.flatnonzero(inside >= back)
-            before[at], heat[at] = t[at - back], n[at - back] > counts.hot_uses
-            tokens.append(before), hot.append(heat)
-        return cls(own, np.array(marks, bool)[own], [t, *tokens], n, hot, n > counts.hot_uses)
-
-    def part(self, n_parts: int) -> np.ndarray:
-        """Where each position is dealt to: by its last token; of hot contexts, by the tokens before as well, then by what follows, then evenly."""
+    def key(self, at: np.ndarray) -> np.ndarray:
+        """What each position is dealt by: its last token; of hot contexts, the tokens before as well, then what follows, then its place ``at``."""
         t, *before = self.tokens
-        key, split = mixed(before[0], np.zeros_like(t)), self.hot[0].copy()
+        key, split = mixed(before[0], np.zeros_like(t)), np.flatnonzero(self.hot[0])
         for k in range(1, DEPTH):
-            key = np.where(split, mixed(key, before[k]), key)
-            split &= self.hot[k]
-        key = np.where(split, mixed(key, t), key)
-        split &= self.hot_next
-        key = np.where(split, mixed(key, np.arange(len(t))), key)
-        return (mixed(key, np.ones_like(t)) % np.uint64(n_parts)).astype(np.int64)
+            key[split] = mixed(key[split], before[k][split])
+            split = split[self.hot[k][split]]
+        key[split] = mixed(key[split], t[split])
+        split = split[self.hot_next[split]]
+        key[split] = mixed(key[split], at[split])
+        return mixed(key, np.ones_like(t))
+
+    def table(self) -> np.ndarray:
+        """FIELDS as rows, one column per position; the last one holds the text and four marks."""
+        row = self.rows << 4 | self.learn.astype(np.int64) << 3
+        for bit, heat in enumerate(self.hot):
+            row |= heat.astype(np.int64) << bit
+        return np.stack([*self.tokens, self.uses, row])
+
+    def at(self, where: np.ndarray) -> Positions:
+        return Positions(self.rows[where], self.learn[where], [t[where] for t in self.tokens], self.uses[where], [h[where] for h in self.hot], self.hot_next[where])
 
 
 FIELDS = ("t", "w", "c2", "c3", "uses", "row")
+#: Slice of the positions after an unseen token, which every context leaves to the root; mark of positions to learn from after a hot token.
+ROOT, HOT = 127, 128
+WHOLE = (
+    "first long, doc_ids array<long>, sizes binary, learn binary, places binary, numbers binary, uses binary, slices binary, known binary, base binary, rooted binary"
+)
 
 
-def _arrays(batch: pa.RecordBatch, k: int) -> tuple:
-    sizes, marks, places, numbers, uses = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("sizes", "learn", "places", "numbers", "uses"))
-    return sizes, marks, places, numbers, uses
+def numbered(chunks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
+    """The chunks with numbers and training uses of their tokens instead of the tokens, the slice of each position, and the sums of each text.
 
+    The ``HEAD_WORDS`` most frequent tokens are looked up in each task, the rest by a join.
+    """
+    head = words.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "n", "number").orderBy("word").toArrow()
+    known, known_n, known_number = (c.to_numpy() for c in head.columns)
 
-def text_sums(chunks: DataFrame, counts: Counts) -> DataFrame:
+    def look(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(known):
+            return np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        return at, known[at] == own
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, own in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(own, "<i8")
+                place = np.flatnonzero(~look(own)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), first)), pa.array(place), pa.array(own[place])], ["first", "place", "word"])
+
+    def settle(_, chunk: pa.Table, told: pa.Table) -> pa.Table:
+        first, doc_ids, learn, sizes, own, places = (chunk.column(c)[0].as_py() for c in ("first", "doc_ids", "learn", "sizes", "words", "places"))
+        at, hit = look(np.frombuffer(own, "<i8"))
+        numbers, uses = np.full(len(at), UNSEEN), np.zeros(len(at), np.int64)
+        if hit.any():
+            numbers[hit], uses[hit] = known_number[at[hit]], known_n[at[hit]]
+        place, number, n = (told.column(c).to_numpy() for c in ("place", "number", "n"))
+        numbers[place], uses[place] = number, n
+        c = Chunk(unpacked(sizes), unpacked(learn), unpacked(places), numbers, uses, counts)
+        every = np.arange(len(c.places))
+        p = c.take(every)
+        slices = (p.key(every) % np.uint64(counts.slices)).astype(np.uint8)
+        slices[p.tokens[1] == UNSEEN] = ROOT
+        slices[p.learn & p.hot[0]] |= HOT
+        rooted = np.where(p.tokens[1] == UNSEEN, np.log10(counts.share(p.uses)), 0.0)
+        sums = [np.bincount(p.rows, weights=v, minlength=len(c.sizes)) for v in (p.uses > 0, counts.base_log(p.uses), rooted)]
+        values = [first, doc_ids, sizes, learn, places, packed(numbers), packed(uses), slices.tobytes(), *[v.astype("<f8").tobytes() for v in sums]]
+        types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 9]
+        return pa.table([pa.array([v], t) for v, t in zip(values, types)], names=[f.split()[0] for f in WHOLE.split(", ")])
+
+    asked = chunks.select("first", "words").mapInArrow(ask, "first long, place long, word long")
+    met = asked.join(words.select("word", "number", "n"), "word").select("first", "place", "number", "n")
+    return chunks.drop("used").groupBy("first").cogroup(met.groupBy("first")).applyInArrow(settle, WHOLE)
+
+
+READ = ["first", "learn", "sizes", "places", "numbers", "uses", "slices"]
+
+
+def _chunks(batch: pa.RecordBatch, counts: Counts) -> Iterator[tuple[int, Chunk, np.ndarray]]:
+    """Number, chunk, and slices of each row of READ."""
+    for k in range(batch.num_rows):
+        first, learn, sizes, places, numbers, uses, slices = (batch.column(c)[k].as_py() for c in READ)
+        yield first, Chunk(*map(unpacked, (sizes, learn, places, numbers, uses)), counts), np.frombuffer(slices, np.uint8)
+
+
+def n_values(column: str) -> Column:
+    """How many numbers a packed array holds."""
+    return ((F.octet_length(column) - 1) / F.conv(F.hex(F.substring(column, 1, 1)), 16, 10).cast("int")).cast("long")
+
+
+def text_sums(whole: DataFrame) -> DataFrame:
     """row, doc_id, n_tokens, n_known, base_score, and score: the tokens after an unseen one, which every context leaves to the root."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                sizes, marks, places, numbers, uses = _arrays(batch, k)
-                c = Chunk.of(sizes, marks, places, numbers, uses, counts)
-                sums = lambda v: pa.array(np.bincount(c.rows, weights=v, minlength=len(sizes)))
-                known = np.bincount(c.rows, weights=c.uses > 0, minlength=len(sizes)).astype(np.int64)
-                rooted = np.where(c.tokens[1] == UNSEEN, np.log10(counts.share(c.uses)), 0.0)
+                sizes = unpacked(batch.column("sizes")[k].as_py())
+                known, base, rooted = (np.frombuffer(batch.column(c)[k].as_py(), "<f8") for c in ("known", "base", "rooted"))
                 row = batch.column("first")[k].as_py() + np.arange(len(sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row), batch.column("doc_ids")[k].values, pa.array(sizes.astype(np.int64)), pa.array(known), sums(counts.base_log(c.uses)), sums(rooted)],
-                    ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"],
-                )
-
-    return chunks.mapInArrow(add, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+                columns = [pa.array(row), batch.column("doc_ids")[k].values, pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(rooted)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"])
 
+    columns = whole.select("first", "doc_ids", "sizes", "known", "base", "rooted")
+    return columns.mapInArrow(tell, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
 
-def _table(c: Chunk, at: np.ndarray) -> np.ndarray:
-    """FIELDS as rows, one column for each position of ``at``; the last one holds the text and four marks."""
-    row = c.rows[at] << 4 | c.learn[at] << 3
-    for bit, heat in enumerate(c.hot):
-        row |= heat[at].astype(np.int64) << bit
-    return np.stack([*(tokens[at] for tokens in c.tokens), c.uses[at], row])
 
-
-def dealt(chunks: DataFrame, slice_no: int, n_parts: int, counts: Counts) -> DataFrame:
+def dealt(whole: DataFrame, slice_no: int, n_parts: int, counts: Counts) -> DataFrame:
     """part, first, positions: the positions of one slice in each chunk, those of one part together in one value."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                c = Chunk.of(*_arrays(batch, k), counts)
-                part = c.part(n_parts * SLICES)
-                at = np.flatnonzero((part % SLICES == slice_no) & (c.tokens[1] != UNSEEN))
+            for first, c, slices in _chunks(batch, counts):
+                at = np.flatnonzero((slices & (HOT - 1)) == slice_no)
                 if not len(at):
                     continue
-                at = at[np.argsort(part[at], kind="stable")]
-                table = _table(c, at)
-                kind = "<u4" if table.max() < 1 << 32 else "<u8"
-                number = part[at] // SLICES
-                begin = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-                values = [kind[-1].encode() + table[:, a:b].astype(kind).tobytes() for a, b in zip(begin, [*begin[1:], len(at)])]
-                first = batch.column("first")[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(number[begin]), pa.array(np.full(len(begin), first)), pa.array(values, pa.binary())], ["part", "first", "positions"])
+                p = c.take(at)
+                part = (p.key(at) // np.uint64(counts.slices) % np.uint64(n_parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                table, part = p.table()[:, order], part[order]
+                begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                values = [_packed_table(table[:, a:b]) for a, b in zip(begin, [*begin[1:], len(at)])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(np.full(len(begin), first)), pa.array(values, pa.binary())], ["part", "first", "positions"])
 
-    return chunks.mapInArrow(deal, "part long, first long, positions binary")
+    return whole.select(*READ).mapInArrow(deal, "part long, first long, positions binary")
+
+
+def _packed_table(table: np.ndarray) -> bytes:
+    """FIELDS as packed arrays one after another, after the number of positions."""
+    return table.shape[1].to_bytes(8, "little") + b"".join(map(packed, table))
+
+
+def _size(value: bytes) -> int:
+    return int.from_bytes(value[:8], "little")
 
 
 def _unpacked(values: list[bytes]) -> np.ndarray:
     """FIELDS as rows, one column per position."""
-    return np.concatenate([np.frombuffer(v[1:], f"<u{v[:1].decode()}").reshape(len(FIELDS), -1).astype(np.int64) for v in values], 1)
+    tables = []
+    for v in values:
+        n, at, fields = _size(v), 8, []
+        for _ in FIELDS:
+            end = at + 1 + n * v[at]
+            fields.append(unpacked(v[at:end]))
+            at = end
+        tables.append(np.stack(fields))
+    return np.concatenate(tables, 1)
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each distinct value from 0 on, and where each comes first."""
+    bits = len(key).bit_length()
+    if int(key.max()) < 1 << (63 - bits):
+        # One sort of values that carry their places.
+        both = np.sort(key << bits | np.arange(len(key)))
+        order, ordered = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return inverse, order[new]
 
 
 def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each distinct pair, and where each pair comes first."""
-    _, first, inverse = np.unique(a * (int(b.max()) + 1) + b, return_index=True, return_inverse=True)
-    return inverse, first
+    return _ranked(a * (int(b.max()) + 1) + b)
 
 
 class Part:
@@ -256,11 +395,12 @@ class Part:
         self.row, self.learn = flags >> 4, (flags >> 3 & 1).astype(bool)
         hot = np.ones(len(flags), bool)
         self.there, self.split, self.context, self.pair, self.first = [], [], [], [], []
-        token = np.unique(self.t, return_inverse=True)[1]
+        token = _ranked(self.t)[0]
         context = np.zeros(len(flags), np.int64)
         for k in range(DEPTH):
             hot = hot & (flags >> k & 1).astype(bool)
-            context, _ = _groups(context, np.unique(self.before[k], return_inverse=True)[1])
+            before = _ranked(self.before[k])[0]
+            context = _groups(context, before)[0] if k else before
             pair, first = _groups(context, token)
             self.there.append(self.before[k] != NONE), self.split.append(hot)
             self.context.append(context), self.pair.append(pair), self.first.append(first)
@@ -320,7 +460,9 @@ def parts_of(rows: DataFrame) -> DataFrame:
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         values = table.column("positions").to_pylist()
-        shared, _ = Part(_unpacked(values)).shared()
+        positions = _unpacked(values)
+        after_hot = positions[:, (positions[-1] & 1).astype(bool)]
+        shared = Part(after_hot).shared()[0] if after_hot.size else np.zeros((len(SHARED), 0), np.int64)
         columns = [[key[0].as_py()], [table.column("first").to_pylist()], [values], [shared.astype("<i8").tobytes()], [shared.shape[1]]]
         types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "firsts", "positions", "shared", "n_shared"])
@@ -328,7 +470,7 @@ def parts_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInArrow(gather, PARTS)
 
 
-def hot_contexts(chunks: DataFrame, counts: Counts) -> tuple[DataFrame, DataFrame]:
+def hot_contexts(whole: DataFrame, counts: Counts) -> tuple[DataFrame, DataFrame]:
     """Pairs (level, w, c2, c3, t, n) and contexts (level, w, c2, c3, total, kept) of the contexts whose tokens are all hot, over all texts.
 
     Each chunk adds up its own pairs first, so a hot context is no hot key.
@@ -336,13 +478,12 @@ def hot_contexts(chunks: DataFrame, counts: Counts) -> tuple[DataFrame, DataFram
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                c = Chunk.of(*_arrays(batch, k), counts)
-                at = np.flatnonzero(c.learn & c.hot[0])
+            for _, c, slices in _chunks(batch, counts):
+                at = np.flatnonzero(slices >= HOT)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in Part(_table(c, at)).shared()[0]], SHARED)
+                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in Part(c.take(at).table()).shared()[0]], SHARED)
 
-    rows = stage(chunks.mapInArrow(pair_up, ", ".join(f"{c} long" for c in SHARED)).groupBy(*SHARED[:5]).agg(F.max("uses").alias("uses"), F.sum("n").alias("n")), "shared")
+    rows = stage(whole.select(*READ).mapInArrow(pair_up, ", ".join(f"{c} long" for c in SHARED)).groupBy(*SHARED[:5]).agg(F.max("uses").alias("uses"), F.sum("n").alias("n")), "shared")
     n, above, pairs, contexts = F.col("n"), None, [], []
     for level in range(1, DEPTH + 1):
         before = ["w", "c2", "c3"][:level]
@@ -388,8 +529,7 @@ def slice_scores(parts: DataFrame, counts: Counts) -> DataFrame:
                 if batch.column("all_n")[k].is_valid:
                     resolved = np.stack([batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("all_n", "all_total", "all_kept")]).astype(float)
                 part = Part(_unpacked(values))
-                size = [(len(v) - 1) // int(v[:1]) // len(FIELDS) for v in values]
-                row, inverse = np.unique(np.repeat(np.array(firsts), size) + part.row, return_inverse=True)
+                row, inverse = np.unique(np.repeat(np.array(firsts), [_size(v) for v in values]) + part.row, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(inverse, weights=part.logs(counts, resolved)))], ["row", "score"])
 
     return parts.select("firsts", "positions", "all_n", "all_total", "all_kept").mapInArrow(tell, "row long, score double")
@@ -411,19 +551,21 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     after them by itself. Contexts whose tokens are all hot are dealt to several parts, which put their counts together first.
     Slices of the parts are written, scored and dropped one after another.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     chunks = stage(read_chunks(docs, learn), "chunks")
-    ranked = vocabulary(chunks)
-    words = stage(ranked, "vocabulary")
-    drop_staged(ranked)
+    words = stage(vocabulary(chunks), "vocabulary")
     n = F.col("n")
-    tokens, kinds, once, twice, hottest = words.agg(
-        F.coalesce(F.sum(n), F.lit(0)), F.count("*"), F.count_if(n == 1), F.count_if(n == 2), F.coalesce(F.max(n), F.lit(0))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    tokens, kinds, once, twice, hottest, written = words.agg(
+        zero(F.sum(n)), F.count("*"), F.count_if(n == 1), F.count_if(n == 2), zero(F.max(n)), zero(F.max("part")) + 1
     ).first()
-    texts, positions = chunks.agg(F.coalesce(F.sum(F.size("sizes")), F.lit(0)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
-    counts = Counts(tokens, kinds, once / (once + 2 * twice) if once and twice else 0.75, texts, HOT_USES)
-    whole = stage(numbered(chunks, words), "numbered")
+    texts, positions = chunks.agg(zero(F.sum(F.size("doc_ids"))), zero(F.sum(n_values("places")))).first()
+    counts = Counts(tokens, kinds, once / (once + 2 * twice) if once and twice else 0.75, texts, HOT_USES, SLICES)
+    whole = stage(numbered(chunks, words.withColumn("number", F.col("at") * written + F.col("part") + FIRST), counts), "numbered")
     drop_staged(chunks, words)
-    sums = text_sums(whole, counts)
+    sums = text_sums(whole)
     partial = [sums.select("row", "score")]
     n_parts = -(-positions // (SLICES * PART_POSITIONS)) or 1
     hot = texts > counts.hot_uses or hottest > counts.hot_uses

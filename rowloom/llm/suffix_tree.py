@@ -26,8 +26,10 @@ LEAST_GAIN, GAIN_EACH = 8.0, 1.0
 SMOOTHING = 8.0
 #: A chunk of texts is closed once it holds so many tokens; a text is never cut.
 CHUNK_TOKENS = 1 << 18
-#: Tokens looked up without a join, the most frequent ones; entries that a task adds up before they are shuffled.
-HEAD_WORDS, ADDED_AT_ONCE = 1 << 16, 1 << 20
+#: Tokens that make up at least one in so many are looked up without a join: so many at most, 24 bytes each.
+HEAD = 1 << 20
+#: Entries that a task adds up before they are shuffled.
+ADDED_AT_ONCE = 1 << 20
 #: A batch handed to Python holds about so many bytes.
 BATCH_BYTES = 16 << 20
 #: Slices, by last token, that one after another lie on disk (at most 126); positions of one part of a slice, on average.
@@ -227,6 +229,10 @@ class Positions:
         key[split] = mixed(key[split], at[split])
         return mixed(key, np.ones_like(t))
 
+    def part(self, at: np.ndarray, n_parts: int, counts: Counts) -> np.ndarray:
+        """The part of each position within its slice."""
+        return (self.key(at) // np.uint64(counts.slices) % np.uint64(n_parts)).astype(np.int64)
+
     def table(self) -> np.ndarray:
         """FIELDS as rows, one column per position; the last one holds the text and four marks."""
         row = self.rows << 4 | self.learn.astype(np.int64) << 3
@@ -234,12 +240,9 @@ class Positions:
             row |= heat.astype(np.int64) << bit
         return np.stack([*self.tokens, self.uses, row])
 
-    def at(self, where: np.ndarray) -> Positions:
-        return Positions(self.rows[where], self.learn[where], [t[where] for t in self.tokens], self.uses[where], [h[where] for h in self.hot], self.hot_next[where])
-
 
 FIELDS = ("t", "w", "c2", "c3", "uses", "row")
-#: Slice of the positions after an unseen token, which every context leaves to the root; mark of positions to learn from after a hot token.
+#: Slice of the positions after an unseen token, which every context leaves to the root; mark of positions after a hot token.
 ROOT, HOT = 127, 128
 WHOLE = (
     "first long, doc_ids array<long>, sizes binary, learn binary, places binary, numbers binary, uses binary, slices binary, known binary, base binary, rooted binary"
@@ -249,9 +252,9 @@ WHOLE = (
 def numbered(chunks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
     """The chunks with numbers and training uses of their tokens instead of the tokens, the slice of each position, and the sums of each text.
 
-    The ``HEAD_WORDS`` most frequent tokens are looked up in each task, the rest by a join.
+    Frequent tokens (see ``HEAD``) are looked up in each task, the rest by a join.
     """
-    head = words.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "n", "number").orderBy("word").toArrow()
+    head = words.filter(F.col("n") * HEAD >= counts.tokens).select("word", "n", "number").toArrow().sort_by("word")
     known, known_n, known_number = (c.to_numpy() for c in head.columns)
 
     def look(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +283,7 @@ def numbered(chunks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
         p = c.take(every)
         slices = (p.key(every) % np.uint64(counts.slices)).astype(np.uint8)
         slices[p.tokens[1] == UNSEEN] = ROOT
-        slices[p.learn & p.hot[0]] |= HOT
+        slices[p.hot[0]] |= HOT
         rooted = np.where(p.tokens[1] == UNSEEN, np.log10(counts.share(p.uses)), 0.0)
         sums = [np.bincount(p.rows, weights=v, minlength=len(c.sizes)) for v in (p.uses > 0, counts.base_log(p.uses), rooted)]
         values = [first, doc_ids, sizes, learn, places, packed(numbers), packed(uses), slices.tobytes(), *[v.astype("<f8").tobytes() for v in sums]]
@@ -333,7 +336,7 @@ def dealt(whole: DataFrame, slice_no: int, n_parts: int, counts: Counts) -> Data
                 if not len(at):
                     continue
                 p = c.take(at)
-                part = (p.key(at) // np.uint64(counts.slices) % np.uint64(n_parts)).astype(np.int64)
+                part = p.part(at, n_parts, counts)
                 order = np.argsort(part, kind="stable")
                 table, part = p.table()[:, order], part[order]
                 begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -387,20 +390,24 @@ def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Part:
-    """The positions of one part, and for each length the distinct contexts and the distinct tokens after them."""
+    """The positions of one part, and for each length the distinct contexts and the distinct tokens after them.
+
+    With ``own``, the parts of the positions, contexts of different parts are told apart.
+    """
 
-    def __init__(self, table: np.ndarray):
+    def __init__(self, table: np.ndarray, own: np.ndarray | None = None):
         self.table = table
         self.t, *self.before, self.uses, flags = table
         self.row, self.learn = flags >> 4, (flags >> 3 & 1).astype(bool)
+        self.own = np.zeros(len(flags), np.int64) if own is None else own
         hot = np.ones(len(flags), bool)
         self.there, self.split, self.context, self.pair, self.first = [], [], [], [], []
         token = _ranked(self.t)[0]
-        context = np.zeros(len(flags), np.int64)
+        context = None if own is None else _ranked(own)[0]
         for k in range(DEPTH):
             hot = hot & (flags >> k & 1).astype(bool)
             before = _ranked(self.before[k])[0]
-            context = _groups(context, before)[0] if k else before
+            context = before if context is None else _groups(context, before)[0]
             pair, first = _groups(context, token)
             self.there.append(self.before[k] != NONE), self.split.append(hot)
             self.context.append(context), self.pair.append(pair), self.first.append(first)
@@ -409,26 +416,32 @@ class Part:
         """Training uses of each pair of length k + 1 in this part."""
         return np.bincount(self.pair[k], weights=self.learn, minlength=len(self.first[k])).astype(np.int64)
 
-    def shared(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs whose context is dealt to several parts: level, w, c2, c3, t, uses of t, uses of the pair here; and their places per level."""
+    def shared(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Pairs whose context is dealt to several parts, fields of SHARED as rows: the part, level, w, c2, c3, t, uses of t, uses of the pair here; and their places per level."""
         out, at = [], []
         for k in range(DEPTH):
             first = self.first[k]
             mine = np.flatnonzero(self.split[k][first] & self.there[k][first])
             f = first[mine]
             before = [self.before[i][f] if i <= k else np.zeros(len(f), np.int64) for i in range(DEPTH)]
-            out.append(np.stack([np.full(len(f), k + 1), *before, self.t[f], self.uses[f], self.uses_of(k)[mine]]))
+            out.append(np.stack([self.own[f], np.full(len(f), k + 1), *before, self.t[f], self.uses[f], self.uses_of(k)[mine]]))
             at.append(mine)
         return np.concatenate(out, 1), at
 
     def logs(self, counts: Counts, resolved: np.ndarray | None) -> np.ndarray:
         """log10 probability of each position: the longest kept context before it, smoothed towards shorter ones and the token's share.
 
-        ``resolved``: uses of the pair, total and kept of the context, for each pair of ``shared``, over all parts.
+        ``resolved``: level, w, c2, c3 and t of each pair of ``shared`` in any order, then uses of the pair, total and kept of the context over all parts.
         """
         p = counts.share(self.uses)
         n_above, total_above = self.uses.astype(float), np.full(len(p), float(max(1, counts.tokens)))
-        places, done = self.shared()[1] if resolved is not None else [np.zeros(0, np.int64)] * DEPTH, 0
+        asked, places = self.shared()
+        told, done = np.empty((3, asked.shape[1])), 0
+        if asked.shape[1]:
+            mine, theirs = np.lexsort(asked[1:6]), np.lexsort(resolved[:5])
+            if not np.array_equal(asked[1:6, mine], resolved[:5, theirs]):
+                raise RuntimeError("the pairs of hot contexts are not those of the part")
+            told[:, mine] = resolved[5:, theirs]
         for k in range(DEPTH):
             pair, context, first = self.pair[k], self.context[k], self.first[k]
             n = self.uses_of(k).astype(float)
@@ -436,13 +449,13 @@ class Part:
             total = np.bincount(of, weights=n)
             seen = np.flatnonzero(n > 0)
             share = n_above[first] / total_above[first]
-            told = np.bincount(of[seen], weights=n[seen] * np.log(n[seen] / total[of[seen]] / share[seen]), minlength=len(total))
+            gain = np.bincount(of[seen], weights=n[seen] * np.log(n[seen] / total[of[seen]] / share[seen]), minlength=len(total))
             n_next = np.bincount(of[seen], minlength=len(total))
-            kept = ((total >= LEAST_USES) & (told >= LEAST_GAIN + GAIN_EACH * n_next))[of]
+            kept = ((total >= LEAST_USES) & (gain >= LEAST_GAIN + GAIN_EACH * n_next))[of]
             total = total[of]
             mine = places[k]
             if len(mine):
-                n[mine], total[mine], kept[mine] = resolved[:, done : done + len(mine)]
+                n[mine], total[mine], kept[mine] = told[:, done : done + len(mine)]
                 done += len(mine)
             use = self.there[k] & kept.astype(bool)[pair]
             p = np.where(use, (n[pair] + SMOOTHING * p) / (total[pair] + SMOOTHING), p)
@@ -451,29 +464,16 @@ class Part:
         return np.log10(p)
 
 
-SHARED = ["level", "w", "c2", "c3", "t", "uses", "n"]
-PARTS = "part long, firsts array<long>, positions array<binary>, shared binary, n_shared long"
-
-
-def parts_of(rows: DataFrame) -> DataFrame:
-    """One row per part: its positions, and its pairs of contexts that other parts have, too."""
+SHARED = ["part", "level", "w", "c2", "c3", "t", "uses", "n"]
+#: What names a context of a level, and a pair.
+CONTEXT, PAIR = SHARED[1:5], SHARED[1:6]
+RESOLVED = [*PAIR, "all_n", "all_total", "all_kept"]
 
-    def gather(key: tuple, table: pa.Table) -> pa.Table:
-        values = table.column("positions").to_pylist()
-        positions = _unpacked(values)
-        after_hot = positions[:, (positions[-1] & 1).astype(bool)]
-        shared = Part(after_hot).shared()[0] if after_hot.size else np.zeros((len(SHARED), 0), np.int64)
-        columns = [[key[0].as_py()], [table.column("first").to_pylist()], [values], [shared.astype("<i8").tobytes()], [shared.shape[1]]]
-        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "firsts", "positions", "shared", "n_shared"])
 
-    return rows.groupBy("part").applyInArrow(gather, PARTS)
+def hot_contexts(whole: DataFrame, n_parts: int, counts: Counts) -> DataFrame:
+    """slice, part, and RESOLVED: each pair of a context whose tokens are all hot, for each part that has it, with its uses, the total and kept of its context over all parts.
 
-
-def hot_contexts(whole: DataFrame, counts: Counts) -> tuple[DataFrame, DataFrame]:
-    """Pairs (level, w, c2, c3, t, n) and contexts (level, w, c2, c3, total, kept) of the contexts whose tokens are all hot, over all texts.
-
-    Each chunk adds up its own pairs first, so a hot context is no hot key.
+    Each chunk adds up its own pairs first, so a hot context is no hot key. Partitioned by slice.
     """
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,13 +481,19 @@ def hot_contexts(whole: DataFrame, counts: Counts) -> tuple[DataFrame, DataFrame
             for _, c, slices in _chunks(batch, counts):
                 at = np.flatnonzero(slices >= HOT)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in Part(c.take(at).table()).shared()[0]], SHARED)
+                    p = c.take(at)
+                    own = p.part(at, n_parts, counts) * counts.slices + (slices[at] & (HOT - 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in Part(p.table(), own).shared()[0]], SHARED)
 
-    rows = stage(whole.select(*READ).mapInArrow(pair_up, ", ".join(f"{c} long" for c in SHARED)).groupBy(*SHARED[:5]).agg(F.max("uses").alias("uses"), F.sum("n").alias("n")), "shared")
-    n, above, pairs, contexts = F.col("n"), None, [], []
+    paired = whole.select(*READ).mapInArrow(pair_up, ", ".join(f"{c} long" for c in SHARED))
+    rows = stage(paired.groupBy(*PAIR, "part").agg(F.max("uses").alias("uses"), F.sum("n").alias("n")), "shared")
+    n = F.col("n")
+    pairs = stage(rows.groupBy(*PAIR).agg(F.max("uses").alias("uses"), F.sum("n").alias("n")).filter("n > 0"), "pairs")
+    above, contexts = None, []
     for level in range(1, DEPTH + 1):
-        before = ["w", "c2", "c3"][:level]
-        own = rows.filter(F.col("level") == level).select(*before, "t", "uses", "n")
+        before = CONTEXT[1 : level + 1]
+        of_level = pairs.filter(F.col("level") == level)
+        own = of_level.select(*before, "t", "uses", "n")
         if above is None:
             own = own.withColumn("share", F.col("uses") / F.lit(float(max(1, counts.tokens))))
         else:
@@ -495,44 +501,39 @@ def hot_contexts(whole: DataFrame, counts: Counts) -> tuple[DataFrame, DataFrame
         tests = own.groupBy(*before).agg(F.sum("n").alias("total"), F.count("*").alias("n_next"), F.sum(n * F.log(n / F.col("share"))).alias("told"))
         kept = (F.col("total") >= LEAST_USES) & (F.col("told") - F.col("total") * F.log("total") >= LEAST_GAIN + GAIN_EACH * F.col("n_next"))
         tests = stage(tests.select(*before, "total", kept.cast("long").alias("kept")), "contexts")
-        above = rows.filter(F.col("level") == level).join(tests, before).select(*before, "t", (n / F.col("total")).alias("share"))
-        labels = [F.lit(level).cast("long").alias("level"), *before, *[F.lit(0).cast("long").alias(c) for c in ["w", "c2", "c3"][level:]]]
+        above = of_level.join(tests, before).select(*before, "t", (n / F.col("total")).alias("share"))
+        labels = [F.lit(level).cast("long").alias("level"), *before, *[F.lit(0).cast("long").alias(c) for c in CONTEXT[level + 1 :]]]
         contexts.append(tests.select(*labels, "total", "kept"))
-    return rows.drop("uses"), contexts[0].unionByName(contexts[1]).unionByName(contexts[2])
-
-
-def resolve(parts: DataFrame, pairs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """part, all_n, all_total, all_kept: for each shared pair of a part, in order, its uses and the total and kept of its context over all parts."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, shared in zip(*(c.to_pylist() for c in batch.columns)):
-                table = np.frombuffer(shared, "<i8").reshape(len(SHARED), -1)[:5]
-                n = table.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(n)), *[pa.array(r) for r in table]], ["part", "place", *SHARED[:5]])
-
-    rows = parts.select("part", "shared").mapInArrow(spread, "part long, place long, " + ", ".join(f"{c} long" for c in SHARED[:5]))
-    met = rows.join(pairs, SHARED[:5], "left").join(contexts, SHARED[:4], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    listed = met.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", zero("n"), zero("total"), zero("kept")))).alias("r"))
-    return listed.select("part", F.col("r.n").alias("all_n"), F.col("r.total").alias("all_total"), F.col("r.kept").alias("all_kept"))
-
-
-def slice_scores(parts: DataFrame, counts: Counts) -> DataFrame:
-    """row, score: what the positions of each part add to their texts. ``parts`` may have the columns of ``resolve``."""
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                values, firsts = batch.column("positions")[k].as_py(), batch.column("firsts")[k].as_py()
-                resolved = None
-                if batch.column("all_n")[k].is_valid:
-                    resolved = np.stack([batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("all_n", "all_total", "all_kept")]).astype(float)
-                part = Part(_unpacked(values))
-                row, inverse = np.unique(np.repeat(np.array(firsts), [_size(v) for v in values]) + part.row, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(inverse, weights=part.logs(counts, resolved)))], ["row", "score"])
-
-    return parts.select("firsts", "positions", "all_n", "all_total", "all_kept").mapInArrow(tell, "row long, score double")
+    tested = contexts[0].unionByName(contexts[1]).unionByName(contexts[2])
+    met = rows.select("part", *PAIR).join(pairs.select(*PAIR, "n"), PAIR, "left").join(tested, CONTEXT, "left")
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("double").alias(name)
+    told = met.select(
+        (F.col("part") % counts.slices).alias("slice"),
+        F.floor(F.col("part") / counts.slices).alias("part"),
+        *PAIR,
+        zero("n", "all_n"),
+        zero("total", "all_total"),
+        zero("kept", "all_kept"),
+    )
+    resolved = stage(told, "resolved", ["slice"])
+    drop_staged(rows, pairs, tested)
+    return resolved
+
+
+def slice_scores(positions: DataFrame, resolved: DataFrame | None, counts: Counts) -> DataFrame:
+    """row, score: what the positions of each part add to their texts; ``resolved``: the rows of ``hot_contexts`` for this slice."""
+
+    def tell(table: pa.Table, told: np.ndarray | None) -> pa.Table:
+        values, firsts = table.column("positions").to_pylist(), table.column("first").to_numpy()
+        part = Part(_unpacked(values))
+        row, inverse = np.unique(np.repeat(firsts, [_size(v) for v in values]) + part.row, return_inverse=True)
+        return pa.table([pa.array(row), pa.array(np.bincount(inverse, weights=part.logs(counts, told)))], names=["row", "score"])
+
+    parts = positions.groupBy("part")
+    if resolved is None:
+        return parts.applyInArrow(lambda table: tell(table, None), "row long, score double")
+    both = parts.cogroup(resolved.select("part", *RESOLVED).groupBy("part"))
+    return both.applyInArrow(lambda table, told: tell(table, np.stack([told.column(c).to_numpy() for c in RESOLVED])), "row long, score double")
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -549,7 +550,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 
     All contexts that end in one token lie in one part, so a part counts, tests and smooths its contexts of every length and scores the positions
     after them by itself. Contexts whose tokens are all hot are dealt to several parts, which put their counts together first.
-    Slices of the parts are written, scored and dropped one after another.
+    Slices of the parts are dealt and scored one after another.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -569,15 +570,11 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     partial = [sums.select("row", "score")]
     n_parts = -(-positions // (SLICES * PART_POSITIONS)) or 1
     hot = texts > counts.hot_uses or hottest > counts.hot_uses
-    over_all = hot_contexts(whole, counts) if hot else None
+    over_all = hot_contexts(whole, n_parts, counts) if hot else None
     for slice_no in range(SLICES if positions else 0):
-        parts = stage(parts_of(dealt(whole, slice_no, n_parts, counts)), "parts")
-        if over_all:
-            told = parts.join(resolve(parts.filter("n_shared > 0"), *over_all), "part", "left")
-        else:
-            told = parts.select("*", *[F.lit(None).cast("array<long>").alias(c) for c in ("all_n", "all_total", "all_kept")])
-        partial.append(stage(slice_scores(told, counts).groupBy("row").agg(F.sum("score").alias("score")), "scores"))
-        drop_staged(parts)
+        told = over_all.filter(F.col("slice") == slice_no) if hot else None
+        scores = slice_scores(dealt(whole, slice_no, n_parts, counts), told, counts)
+        partial.append(stage(scores.groupBy("row").agg(F.sum("score").alias("score")), "scores"))
     added = partial[0]
     for one in partial[1:]:
         added = added.unionByName(one)

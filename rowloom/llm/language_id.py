@@ -8,13 +8,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from rowloom.llm.common import chosen_ids, remainder, small_batches, text_bytes
+from rowloom.llm.common import remainder, small_batches, text_bytes
 from rowloom.llm.words import word_rows
 
-#: Labelled rows that the model is fitted on at most, and words of each, evenly spaced over its text.
+#: Labelled rows that the model is fitted on, in equal shares of the languages, and words of each, evenly spaced over its text.
 TRAIN_ROWS, TRAIN_WORDS = 4000, 300
+#: Rows of a language at least, if it has them, however many languages there are.
+LEAST_EACH = 40
 BUCKETS, DIM = 1 << 15, 16
 #: Lengths of subwords; a word is written between marks.
 SHORTEST, LONGEST = 2, 4
@@ -157,13 +159,40 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> LanguageModel:
     return model
 
 
+def chosen_rows(known: DataFrame, rows: int) -> DataFrame:
+    """doc_id, lang of the rows to fit on: of each language as many as make ``rows`` in all, ``LEAST_EACH`` at least, in the order of a hash.
+
+    A rare language is learned from all that it has, in a table of any size. Of each language a share of the hash range that
+    holds some four times as many goes into the sort, so that no task gathers a whole language.
+    """
+    pairs = known.select("doc_id", "lang").distinct()
+    sizes = pairs.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(LEAST_EACH, rows // max(1, sizes.count()))
+    share = F.least(F.lit(1.0), 4.0 * (each + 25) / F.col("n"))
+    near = pairs.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < share * (1 << 30))
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each).select("doc_id", "lang")
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Fit on at most ``rows`` labelled documents outside the held-out fifth, chosen by a hash of the id."""
-    known = docs.filter(remainder() != 0).filter("lang IS NOT NULL AND text IS NOT NULL")
-    ids = chosen_ids(known.select("doc_id").distinct(), rows)
-    chosen = known.join(F.broadcast(ids), "doc_id", "left_semi").select(text_bytes().alias("text"), "lang").toArrow()
+    """Fit on labelled documents outside the held-out fifth, about ``rows`` of them in all, drawn per language (``chosen_rows``).
+
+    Only the fitted words of a text reach the driver. Rows that repeat an id and language count once; null and unlabelled texts are left out; of an empty table
+    nothing is learned; other columns are not read.
+    """
+    known = docs.select("doc_id", "lang", "text").filter(remainder() != 0).filter("lang IS NOT NULL AND text IS NOT NULL")
+    small_batches(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [b" ".join(_spaced(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *batch.columns[1:]], ["words", "lang", "doc_id"])
+
+    chosen = known.join(chosen_rows(known, rows), ["doc_id", "lang"], "left_semi")
+    few = chosen.select(text_bytes().alias("text"), "lang", F.col("doc_id").cast("long")).mapInArrow(cut, "words binary, lang string, doc_id long")
+    told = few.groupBy("doc_id", "lang").agg(F.min("words").alias("words")).toArrow()
     # In one order, however the rows arrive.
-    pairs = sorted(zip(chosen["text"].to_pylist(), chosen["lang"].to_pylist()))
+    pairs = sorted(zip(told["words"].to_pylist(), told["lang"].to_pylist()))
     return fit([t for t, _ in pairs], [v for _, v in pairs])
 
 

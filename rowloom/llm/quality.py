@@ -137,7 +137,7 @@ def _add(a: float, b: float) -> float:
 
 
 def fit(texts: list[bytes], good: list[int]) -> LineField:
-    """Conditional maximum likelihood by L-BFGS-like scaled gradient steps, in rounds.
+    """Conditional maximum likelihood by gradient steps with adaptive scales (Adam), in rounds.
 
     At first every line has its document's label. Then the lines of a bad
     document that the field holds good with their neighbours keep that label, as long as most of the text

@@ -25,7 +25,7 @@ LEAST_GAIN, GAIN_EACH = 8.0, 1.0
 #: Weight, in observations, of the shorter context when a longer one is smoothed.
 SMOOTHING = 8.0
 #: A chunk of texts is closed once it holds so many tokens; a text is never cut.
-CHUNK_TOKENS = 1 << 18
+CHUNK_TOKENS = 1 << 17
 #: Tokens that make up at least one in so many are looked up without a join: so many at most, 24 bytes each.
 HEAD = 1 << 20
 #: Entries that a task adds up before they are shuffled.
@@ -249,10 +249,11 @@ WHOLE = (
 )
 
 
-def numbered(chunks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
+def numbered(chunks: DataFrame, words: DataFrame, counts: Counts) -> tuple[DataFrame, DataFrame]:
     """The chunks with numbers and training uses of their tokens instead of the tokens, the slice of each position, and the sums of each text.
 
-    Frequent tokens (see ``HEAD``) are looked up in each task, the rest by a join.
+    Frequent tokens (see ``HEAD``) are looked up in each task, the rest by a join, whose written result is returned as well: its shuffle files are
+    gone before the chunks move.
     """
     head = words.filter(F.col("n") * HEAD >= counts.tokens).select("word", "n", "number").toArrow().sort_by("word")
     known, known_n, known_number = (c.to_numpy() for c in head.columns)
@@ -291,8 +292,8 @@ def numbered(chunks: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
         return pa.table([pa.array([v], t) for v, t in zip(values, types)], names=[f.split()[0] for f in WHOLE.split(", ")])
 
     asked = chunks.select("first", "words").mapInArrow(ask, "first long, place long, word long")
-    met = asked.join(words.select("word", "number", "n"), "word").select("first", "place", "number", "n")
-    return chunks.drop("used").groupBy("first").cogroup(met.groupBy("first")).applyInArrow(settle, WHOLE)
+    met = stage(asked.join(words.select("word", "number", "n"), "word").select("first", "place", "number", "n"), "met")
+    return chunks.drop("used").groupBy("first").cogroup(met.groupBy("first")).applyInArrow(settle, WHOLE), met
 
 
 READ = ["first", "learn", "sizes", "places", "numbers", "uses", "slices"]
@@ -564,8 +565,9 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     ).first()
     texts, positions = chunks.agg(zero(F.sum(F.size("doc_ids"))), zero(F.sum(n_values("places")))).first()
     counts = Counts(tokens, kinds, once / (once + 2 * twice) if once and twice else 0.75, texts, HOT_USES, SLICES)
-    whole = stage(numbered(chunks, words.withColumn("number", F.col("at") * written + F.col("part") + FIRST), counts), "numbered")
-    drop_staged(chunks, words)
+    settled, met = numbered(chunks, words.withColumn("number", F.col("at") * written + F.col("part") + FIRST), counts)
+    whole = stage(settled, "numbered")
+    drop_staged(chunks, words, met)
     sums = text_sums(whole)
     partial = [sums.select("row", "score")]
     n_parts = -(-positions // (SLICES * PART_POSITIONS)) or 1

@@ -31,6 +31,43 @@ def test_language_held_out(spark):
     assert len(held) > 150 and (held.lang_pred == held.lang).mean() > 0.98
 
 
+def test_rare_language_is_learned(spark):
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), 6))
+    text = lambda letters: " ".join(word(letters) for _ in range(40))
+    rows = [(i, text("abcde"), "common") for i in range(3000)] + [(5000 + i, text("vwxyz"), "rare") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # Drawn from all rows alike, 100 of 3,008 would rarely hold one of the eight.
+    drawn = language_id.chosen_rows(docs, 100).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in drawn} == {"common": 50, "rare": 8}
+    model = language_id.train(docs, 100)
+    assert model.languages == ["common", "rare"]
+    told = language_id.predict(docs.filter("doc_id < 100 OR doc_id >= 5000"), model).collect()
+    assert all(r["lang_pred"] == ("rare" if r["doc_id"] >= 5000 else "common") for r in told)
+
+
+def brute_language(text, model):
+    """Prediction and score of a text from its own subwords, one by one."""
+    sums, n = np.zeros(len(model.languages)), 0
+    for w in text.encode().split():
+        for bucket in language_id.subwords([w.lower()])[0]:
+            sums += model.embeddings[bucket].astype(float) @ model.weights.astype(float)
+            n += 1
+    if not n:
+        return "und", 0.0
+    p = np.exp(sums / n / model.temperature)
+    return model.languages[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_language_scores_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(docs)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    for r in language_id.predict(docs, model).collect():
+        name, score = brute_language(texts[r["doc_id"]], model)
+        assert r["lang_pred"] == name and r["score"] == pytest.approx(score, abs=1e-3)
+
+
 def test_language_of_odd_rows(odd_docs, odd_rows):
     model = language_id.train(odd_docs)
     rows = language_id.predict(odd_docs, model).collect()

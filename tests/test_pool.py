@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import udfs as U
 from rowloom.operators import assemble as B, graph as G, sampling as SP
-from rowloom.operators.pool import pool_graphs
+from rowloom.operators.pool import count_cells, pool_graphs
 from rowloom.operators.util import DB_SHIFT
 from rowloom.plans import pipeline as PL
 from rowloom.session import stage
@@ -121,3 +121,20 @@ def test_values_meet_no_shuffle(spark):
     plan = G.value_cells(numbered, stats)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
     assert G.cells(numbered, stats, texts).count() == 3 + 25 * 2 - 4
+
+
+def test_cells_of_a_pool_are_counted_without_moving_ids(spark, graphs):
+    cells = pool_graphs(graphs).cells
+    # Ids around the edges of the 64-bit words, several cells per row.
+    more = spark.range(400).selectExpr("id % 131 AS node_id", "id % 7 AS col_id", "CAST(id % 2 AS TINYINT) AS sem_type", "'more' AS db")
+    for some in (cells.select("db", "sem_type", "node_id", "col_id"), more.select("db", "sem_type", "node_id", "col_id")):
+        got = count_cells(some)
+        assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+        want = defaultdict(lambda: [0, set(), set()])
+        for r in some.collect():
+            w = want[r.db, r.sem_type]
+            w[0] += 1
+            w[1].add(r.node_id)
+            w[2].add(r.col_id)
+        told = {(r.db, r.sem_type): (r.n_cells, r.n_nodes, r.n_cols) for r in got.collect()}
+        assert told == {k: (n, len(a), len(b)) for k, (n, a, b) in want.items()}

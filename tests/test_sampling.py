@@ -212,3 +212,27 @@ def test_other_tasks_of_a_pool_do_not_widen_the_draw(spark):
         SP.expand(first, run.index.adjacency, PL.run_config(tasks, 4, 1)).filter("child_class > 0").count() for tasks in (alone, mixed)
     ]
     assert drawn[0] == drawn[1] > 0
+
+
+def test_few_visited_rows_read_the_index_without_a_shuffle(spark, monkeypatch):
+    cells, edges, seeds = random_graphs(5, 40)
+    few = sampled(spark, cells, edges, seeds, 2, 12)
+    monkeypatch.setattr(SP, "FEW", -1)
+    assert sampled(spark, cells, edges, seeds, 2, 12) == few == walked(cells, edges, seeds, 2, 12)
+
+    links = spark.range(60_000).selectExpr(
+        "id + 10 AS child_id", "0 AS fk_pos", "id % 10 AS parent_id", "0 AS child_class", "id AS child_ts", "3 AS child_cells",
+        "CAST(array() AS array<struct<fk_pos:int,step:string,parent_id:bigint>>) AS ups",
+    )
+    index = A.build_adjacency(links, None)
+    visited = spark.range(3).selectExpr("id AS item_id", "0 AS seed_class", "100L AS item_ts", "id AS node_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        config = SP.SampleConfig(width=4, seq_len=16)
+        found = SP.expand(visited, index, config, few=True)
+        assert "hashpartitioning(adj_pos" not in found._jdf.queryExecution().executedPlan().toString()
+        plain = SP.expand(visited, index, config)
+        assert "hashpartitioning(adj_pos" in plain._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -8,6 +8,7 @@ from rowloom.plans.local import CHURN, LINE_OPEN, ORDER_TOTAL, local_catalog
 from rowloom.plans.queries import QUERIES, run_for
 from rowloom.session import stage
 from rowloom.sources import tasks as T
+from rowloom.sources.catalog import Catalog, Table
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -66,3 +67,20 @@ def test_ancestors_by_their_parents(numbered, graph):
     want = CL.ancestor_paths(nodes, edges, hops)
     same(want, CL.ancestors(nodes, edges, hops))
     same(want, CL.ancestors(nodes, G.row_links(numbered), hops))
+
+
+def test_numbering_without_values(spark, numbered):
+    slim = G.number_rows(local_catalog(spark, SF_DIR), values=False)
+    same(G.nodes(numbered), G.nodes(slim))
+    same(G.edges(numbered), G.edges(slim))
+    line = slim.rows[("lineitem", "db")].columns
+    assert "l_quantity" not in line and "l_extendedprice" not in line and G.N_CELLS in line
+
+
+def test_numbering_without_values_counts_an_index_cell(spark):
+    df = spark.createDataFrame([(1, 0.5), (0, None), (2, float("nan"))], "k int, v double")
+    t = Table("t", df, order=("k",), index_cell="dummy")
+    told = G.nodes(G.number_rows(Catalog.of([t], "m"), values=False))
+    assert [tuple(r) for r in told.select("row_idx", "n_cells").orderBy("row_idx").collect()] == [
+        tuple(r) for r in G.nodes(G.number_rows(Catalog.of([t], "m"))).select("row_idx", "n_cells").orderBy("row_idx").collect()
+    ]

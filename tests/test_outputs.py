@@ -212,3 +212,24 @@ def test_closure_keeps_one_path_per_ancestor(spark):
         assert len(got) == len({(r.node_id, r.ancestor_id) for r in got}) == 98
         # The last key goes first.
         assert {r.path for r in got if (r.node_id, r.ancestor_id) == (4, 1)} == {"998998"}
+
+
+def test_scorer_is_handed_what_it_reads(spark, cells):
+    pool = spark.createDataFrame([(0, "t", 9)], "task_no int, task_id string, seed_id long")
+    slots = B.stripe(B.epoch_order(pool, 0), 2, 1)
+    whole = B.pad_contexts(cells, 10, ["t", "p", "q"], 5)
+    some = B.pad_contexts(cells, 10, ["t", "p", "q"], 5, arrays=("masks", "table_ids", "node_ids"))
+    assert some.columns == ["task_no", "seed_id", "n_cells", "node_ids", "table_ids", "masks", "is_padding"]
+    assert some.collect() == whole.select(*some.columns).collect()
+
+    class Width:
+        reads = ("masks",)
+
+        def __call__(self, batch):
+            assert list(batch.columns) == ["task_no", "seed_id", *self.reads]
+            return pd.DataFrame({"task_no": batch.task_no, "seed_id": batch.seed_id, "yhat": batch.masks.map(len) * 1.0})
+
+    assert [r.yhat for r in U.score_batches(B.assemble_batches(slots, whole), Width).collect()] == [10.0]
+    frame = pd.DataFrame({"task_no": [0, 0], "seed_id": [1, 2], "sem_types": [[0, 1, 0], [1]], "masks": [[False, False, True], [False]]})
+    told = U.MeanNumber()(frame.assign(is_padding=[[False] * 3, [False]], number_values=[[2.5, 1.0, 9.0], [3.0]]))
+    assert told.yhat.tolist() == [2.5, 0.0]

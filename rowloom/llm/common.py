@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A batch handed to Python holds so many rows and bytes at most, so that very long texts do not add up.
@@ -18,6 +21,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remember_only(kind: str, forget: Callable[[], None]) -> None:
+    """Called in a task before it fills a memory of its worker process: what the process remembers for other operators goes.
+
+    Worker processes outlive their stages, so in a pipeline the memories of all operators would add up.
+    """
+    others = [k for k in _REMEMBERED if k != kind]
+    for other in others:
+        _REMEMBERED.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
+    _REMEMBERED[kind] = forget
+
+
 def id_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowloom.llm.common import small_batches, text_bytes
+from rowloom.llm.common import remember_only, small_batches, text_bytes
 from rowloom.llm.components import components
 from rowloom.session import drop_staged, stage
 
@@ -75,6 +75,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, one without words has none."""
+    remember_only("hashes", _HASHES.clear)
     words = text.lower().split()
     h = np.array(list(map(_HASHES.__getitem__, words)), np.uint64)
     if not len(h):

@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rowloom.llm.common import small_batches
+from rowloom.llm.common import remember_only, small_batches
 from rowloom.session import stage
 
 MAX_TOKENS = 1024
@@ -95,6 +95,7 @@ _CHUNKS: dict[tuple, ChunkIds] = {}
 
 def chunk_ids(path: str, ranks_path: str | None = None) -> ChunkIds:
     """One memory per worker process; tasks that follow in the process go on with it."""
+    remember_only("chunks", _CHUNKS.clear)
     if (path, ranks_path) not in _CHUNKS:
         _CHUNKS[path, ranks_path] = ChunkIds(path, ranks_path)
     return _CHUNKS[path, ranks_path]

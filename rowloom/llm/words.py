@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from rowloom.llm.common import remember_only
+
 #: Words that a worker remembers; others are computed again where they occur.
 REMEMBERED = 400_000
 
@@ -47,6 +49,7 @@ _ROWS: dict[str, WordRows] = {}
 
 def word_rows(model_id: str, compute: Callable[[list[bytes]], np.ndarray], width: int) -> WordRows:
     """The table of one model in this worker process; a new model drops the tables of older ones of its kind."""
+    remember_only("words", _ROWS.clear)
     if model_id not in _ROWS:
         kind = model_id.split(":")[0]
         for old in [k for k in _ROWS if k.split(":")[0] == kind]:

@@ -90,3 +90,18 @@ def test_stages_of_odd_rows_and_nothing(spark, odd_docs, no_docs, tmp_path):
 def test_run(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert packed.columns[:2] == ["doc_id", "piece"] and packed.count() > 0
+
+
+def test_workers_remember_for_one_operator_at_a_time():
+    from public_tokenizers import path
+
+    from rowloom.llm import near_dedup, packing, words
+
+    near_dedup.shingles(b"one two")
+    assert near_dedup._HASHES
+    words.word_rows("m:1", lambda new: [[1.0]] * len(new), 1).rows([b"one"])
+    assert not near_dedup._HASHES and words._ROWS
+    chunks = packing.chunk_ids(path("byte_bpe_50k.json"))
+    assert not words._ROWS and chunks.ids("one two") and chunks is packing.chunk_ids(path("byte_bpe_50k.json"))
+    near_dedup.shingles(b"one two")
+    assert not packing._CHUNKS and near_dedup._HASHES

@@ -12,9 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from rowloom.llm.common import small_batches, text_bytes
+from rowloom.llm.common import partitions_of, small_batches, text_bytes
 from rowloom.llm.words import REMEMBERED
-from rowloom.session import drop_staged, stage
+from rowloom.session import drop_staged, stage, stage_buckets
 
 #: Longest context in tokens.
 DEPTH = 3
@@ -26,16 +26,19 @@ LEAST_GAIN, GAIN_EACH = 8.0, 1.0
 SMOOTHING = 8.0
 #: A chunk of texts is closed once it holds so many tokens; a text is never cut.
 CHUNK_TOKENS = 1 << 17
-#: Tokens that make up at least one in so many are looked up without a join: so many at most, 24 bytes each.
-HEAD = 1 << 20
-#: Entries that a task adds up before they are shuffled.
-ADDED_AT_ONCE = 1 << 20
+#: Tokens of chunks, each once per chunk, that are counted and numbered together, on average.
+BUCKET_WORDS = 1 << 20
 #: A batch handed to Python holds about so many bytes.
 BATCH_BYTES = 16 << 20
 #: Slices, by last token, that one after another lie on disk (at most 126); positions of one part of a slice, on average.
-SLICES, PART_POSITIONS = 8, 1 << 18
+SLICES, PART_POSITIONS = 4, 1 << 18
 #: Training uses from which on the contexts of a token are dealt to several parts.
 HOT_USES = 1 << 18
+#: Positions after a hot token whose pairs are added up together, on average.
+HOT_POSITIONS = 1 << 19
+
+#: How chunks are written: packed arrays of small numbers shrink by it, unlike by Spark's default.
+CODEC = "zstd"
 
 #: Codes of the end of a text; those of words are digests.
 END = 0x14057B7EF767814F
@@ -51,6 +54,14 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _hashes(columns: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each column of several rows."""
+    key = mixed(columns[0], columns[1])
+    for row in columns[2:]:
+        key = mixed(key, row)
+    return key
+
+
 @dataclass
 class Counts:
     """Totals of the training tokens, ends included."""
@@ -102,12 +113,12 @@ class Codes(dict):
         return code
 
 
-CHUNKS = "first long, doc_ids array<long>, learn binary, sizes binary, words binary, used binary, places binary"
+CHUNKS = "first long, doc_ids array<long>, learn binary, sizes binary, words binary, used binary, places binary, n_words long, n_tokens long"
 
 
 def read_chunks(docs: DataFrame, learn: Column) -> DataFrame:
     """Chunks of whole texts: the number of the first text (unique over all chunks), ids, marks and token counts of the texts, the
-    distinct tokens, their uses in texts to learn from, and for each token of each text its place among them.
+    distinct tokens in ascending order, their uses in texts to learn from, and for each token of each text its place among them.
 
     A text is its words, A-Z lower-cased, and one end.
     """
@@ -117,17 +128,12 @@ def read_chunks(docs: DataFrame, learn: Column) -> DataFrame:
         known = Codes()
         first = TaskContext.get().partitionId() << 36
         doc_ids, marks, sizes, codes = [], [], [], array("Q")
-        types = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)
+        types = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64(), pa.int64())
 
         def close() -> pa.RecordBatch:
             found, inverse = np.unique(np.frombuffer(codes, np.uint64), return_inverse=True)
-            learned = np.repeat(np.array(marks, bool), sizes)
-            used, uses = (np.bincount(i, minlength=len(found)) for i in (inverse[learned], inverse))
-            # Frequent tokens get small places.
-            order = np.argsort(-uses, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            values = (first, doc_ids, packed(np.array(marks, np.int64)), packed(np.array(sizes)), found[order].tobytes(), packed(used[order]), packed(place[inverse]))
+            used = np.bincount(inverse[np.repeat(np.array(marks, bool), sizes)], minlength=len(found))
+            values = (first, doc_ids, packed(np.array(marks, np.int64)), packed(np.array(sizes)), found.tobytes(), packed(used), packed(inverse), len(found), len(codes))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], [c.split()[0] for c in CHUNKS.split(", ")])
 
         for batch in batches:
@@ -149,33 +155,41 @@ def read_chunks(docs: DataFrame, learn: Column) -> DataFrame:
     return texts.mapInArrow(scan, CHUNKS)
 
 
-def used_words(chunks: DataFrame) -> DataFrame:
-    """word, n of every token of the training texts; chunks of one task are added up first."""
+TOLD = "first long, bucket long, numbers binary, uses binary, tokens long, kinds long, once long, twice long"
 
-    def flush(words: list[np.ndarray], used: list[np.ndarray]) -> pa.RecordBatch:
-        found, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate(used)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[n > 0]), pa.array(n[n > 0])], ["word", "n"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, used, held = [], [], 0
-        for batch in batches:
-            for own, uses in zip(*(c.to_pylist() for c in batch.columns)):
-                words.append(np.frombuffer(own, "<i8")), used.append(unpacked(uses))
-                held += len(words[-1])
-                if held > ADDED_AT_ONCE:
-                    yield flush(words, used)
-                    words, used, held = [], [], 0
-        if held:
-            yield flush(words, used)
+def told_words(chunks: DataFrame, n_buckets: int) -> DataFrame:
+    """Numbers and training uses of the tokens of each chunk, those in one bucket (a range of codes) together in one value.
 
-    return chunks.select("words", "used").mapInArrow(add, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    Totals of the training tokens of a bucket stand once, with one of its chunks.
+    """
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], np.uint64)
+        for batch in batches:
+            for first, own, used in zip(*(c.to_pylist() for c in batch.columns)):
+                own, used = np.frombuffer(own, np.uint64), unpacked(used)
+                ends = [0, *np.searchsorted(own, bounds), len(own)]
+                mine = [(b, i, j) for b, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+                values = [[b for b, _, _ in mine], [first] * len(mine), [own[i:j].tobytes() for _, i, j in mine], [packed(used[i:j]) for _, i, j in mine]]
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], ["bucket", "first", "words", "used"])
+
+    def tell(asked: pa.Table) -> pa.Table:
+        bucket = asked.column("bucket")[0].as_py()
+        words = [np.frombuffer(w, np.uint64) for w in asked.column("words").to_pylist()]
+        found, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        used = np.concatenate([unpacked(u) for u in asked.column("used").to_pylist()])
+        n = np.bincount(inverse, weights=used, minlength=len(found)).astype(np.int64)
+        number = np.where(n > 0, (np.cumsum(n > 0) - 1) * n_buckets + bucket + FIRST, UNSEEN)[inverse]
+        uses, ends = n[inverse], np.cumsum([len(w) for w in words])[:-1]
+        totals = [int(v) for v in (n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum())]
+        once = [pa.array([v] + [0] * (len(words) - 1), pa.int64()) for v in totals]
+        values = [pa.array([packed(v) for v in np.split(all_, ends)], pa.binary()) for all_ in (number, uses)]
+        return pa.table([asked.column("first"), asked.column("bucket"), *values, *once], names=[c.split()[0] for c in TOLD.split(", ")])
 
-def vocabulary(chunks: DataFrame) -> DataFrame:
-    """word, n, part, at of every token of the training texts; part and at are its place in the written table."""
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return used_words(chunks).select("word", "n", F.spark_partition_id().alias("part"), at.alias("at"))
+    asked = chunks.select("first", "words", "used").mapInArrow(ask, "bucket long, first long, words binary, used binary")
+    return asked.groupBy("bucket").applyInArrow(tell, TOLD)
 
 
 @dataclass
@@ -245,55 +259,32 @@ FIELDS = ("t", "w", "c2", "c3", "uses", "row")
 #: Slice of the positions after an unseen token, which every context leaves to the root; mark of positions after a hot token.
 ROOT, HOT = 127, 128
 WHOLE = (
-    "first long, doc_ids array<long>, sizes binary, learn binary, places binary, numbers binary, uses binary, slices binary, known binary, base binary, rooted binary"
+    "first long, doc_ids array<long>, sizes binary, learn binary, places binary, numbers binary, uses binary, slices binary, known binary, base binary, rooted binary, n_hot long"
 )
 
 
-def numbered(chunks: DataFrame, words: DataFrame, counts: Counts) -> tuple[DataFrame, DataFrame]:
-    """The chunks with numbers and training uses of their tokens instead of the tokens, the slice of each position, and the sums of each text.
-
-    Frequent tokens (see ``HEAD``) are looked up in each task, the rest by a join, whose written result is returned as well: its shuffle files are
-    gone before the chunks move.
-    """
-    head = words.filter(F.col("n") * HEAD >= counts.tokens).select("word", "n", "number").toArrow().sort_by("word")
-    known, known_n, known_number = (c.to_numpy() for c in head.columns)
-
-    def look(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(known):
-            return np.zeros(len(own), np.int64), np.zeros(len(own), bool)
-        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        return at, known[at] == own
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, own in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(own, "<i8")
-                place = np.flatnonzero(~look(own)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), first)), pa.array(place), pa.array(own[place])], ["first", "place", "word"])
+def numbered(chunks: DataFrame, told: DataFrame, counts: Counts) -> DataFrame:
+    """The chunks with numbers and training uses of their tokens instead of the tokens, the slice of each position, and the sums of each text."""
 
     def settle(_, chunk: pa.Table, told: pa.Table) -> pa.Table:
-        first, doc_ids, learn, sizes, own, places = (chunk.column(c)[0].as_py() for c in ("first", "doc_ids", "learn", "sizes", "words", "places"))
-        at, hit = look(np.frombuffer(own, "<i8"))
-        numbers, uses = np.full(len(at), UNSEEN), np.zeros(len(at), np.int64)
-        if hit.any():
-            numbers[hit], uses[hit] = known_number[at[hit]], known_n[at[hit]]
-        place, number, n = (told.column(c).to_numpy() for c in ("place", "number", "n"))
-        numbers[place], uses[place] = number, n
+        first, doc_ids, learn, sizes, places = (chunk.column(c)[0].as_py() for c in ("first", "doc_ids", "learn", "sizes", "places"))
+        # Buckets are ranges, so one after another they hold the tokens in ascending order.
+        told = told.sort_by("bucket")
+        numbers, uses = (np.concatenate([unpacked(v) for v in told.column(c).to_pylist()]) for c in ("numbers", "uses"))
         c = Chunk(unpacked(sizes), unpacked(learn), unpacked(places), numbers, uses, counts)
         every = np.arange(len(c.places))
         p = c.take(every)
         slices = (p.key(every) % np.uint64(counts.slices)).astype(np.uint8)
         slices[p.tokens[1] == UNSEEN] = ROOT
         slices[p.hot[0]] |= HOT
-        rooted = np.where(p.tokens[1] == UNSEEN, np.log10(counts.share(p.uses)), 0.0)
-        sums = [np.bincount(p.rows, weights=v, minlength=len(c.sizes)) for v in (p.uses > 0, counts.base_log(p.uses), rooted)]
-        values = [first, doc_ids, sizes, learn, places, packed(numbers), packed(uses), slices.tobytes(), *[v.astype("<f8").tobytes() for v in sums]]
-        types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 9]
+        rooted = np.where(p.tokens[1] == UNSEEN, np.log10(counts.share(uses))[c.places], 0.0)
+        sums = [np.bincount(p.rows, weights=v, minlength=len(c.sizes)) for v in (p.uses > 0, counts.base_log(uses)[c.places], rooted)]
+        values = [first, doc_ids, sizes, learn, places, packed(numbers), packed(uses), slices.tobytes(), *[v.astype("<f8").tobytes() for v in sums], int(p.hot[0].sum())]
+        types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 9, pa.int64()]
         return pa.table([pa.array([v], t) for v, t in zip(values, types)], names=[f.split()[0] for f in WHOLE.split(", ")])
 
-    asked = chunks.select("first", "words").mapInArrow(ask, "first long, place long, word long")
-    met = stage(asked.join(words.select("word", "number", "n"), "word").select("first", "place", "number", "n"), "met")
-    return chunks.drop("used").groupBy("first").cogroup(met.groupBy("first")).applyInArrow(settle, WHOLE), met
+    own = chunks.select("first", "doc_ids", "learn", "sizes", "places")
+    return own.groupBy("first").cogroup(told.select("first", "bucket", "numbers", "uses").groupBy("first")).applyInArrow(settle, WHOLE)
 
 
 READ = ["first", "learn", "sizes", "places", "numbers", "uses", "slices"]
@@ -306,29 +297,23 @@ def _chunks(batch: pa.RecordBatch, counts: Counts) -> Iterator[tuple[int, Chunk,
         yield first, Chunk(*map(unpacked, (sizes, learn, places, numbers, uses)), counts), np.frombuffer(slices, np.uint8)
 
 
-def n_values(column: str) -> Column:
-    """How many numbers a packed array holds."""
-    return ((F.octet_length(column) - 1) / F.conv(F.hex(F.substring(column, 1, 1)), 16, 10).cast("int")).cast("long")
-
+def text_scores(whole: DataFrame, scores: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, and score: what the slices add to the tokens after an unseen one, which every context leaves to the root."""
 
-def text_sums(whole: DataFrame) -> DataFrame:
-    """row, doc_id, n_tokens, n_known, base_score, and score: the tokens after an unseen one, which every context leaves to the root."""
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                sizes = unpacked(batch.column("sizes")[k].as_py())
-                known, base, rooted = (np.frombuffer(batch.column(c)[k].as_py(), "<f8") for c in ("known", "base", "rooted"))
-                row = batch.column("first")[k].as_py() + np.arange(len(sizes))
-                columns = [pa.array(row), batch.column("doc_ids")[k].values, pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(rooted)]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+    def tell(_, chunk: pa.Table, told: pa.Table) -> pa.Table:
+        sizes = unpacked(chunk.column("sizes")[0].as_py())
+        known, base, total = (np.frombuffer(chunk.column(c)[0].as_py(), "<f8") for c in ("known", "base", "rooted"))
+        for added in told.column("scores").to_pylist():
+            total = total + np.frombuffer(added, "<f8")
+        columns = [chunk.column("doc_ids").combine_chunks().flatten(), *map(pa.array, (sizes, known.astype(np.int64), base, total))]
+        return pa.table(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    columns = whole.select("first", "doc_ids", "sizes", "known", "base", "rooted")
-    return columns.mapInArrow(tell, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    both = whole.select("first", "doc_ids", "sizes", "known", "base", "rooted").groupBy("first").cogroup(scores.groupBy("first"))
+    return both.applyInArrow(tell, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def dealt(whole: DataFrame, slice_no: int, n_parts: int, counts: Counts) -> DataFrame:
-    """part, first, positions: the positions of one slice in each chunk, those of one part together in one value."""
+    """part, first, n_texts, positions: the positions of one slice in each chunk, those of one part together in one value."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,13 +327,14 @@ def dealt(whole: DataFrame, slice_no: int, n_parts: int, counts: Counts) -> Data
                 table, part = p.table()[:, order], part[order]
                 begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 values = [_packed_table(table[:, a:b]) for a, b in zip(begin, [*begin[1:], len(at)])]
-                yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(np.full(len(begin), first)), pa.array(values, pa.binary())], ["part", "first", "positions"])
+                own = [pa.array(part[begin]), *[pa.array(np.full(len(begin), v)) for v in (first, len(c.sizes))], pa.array(values, pa.binary())]
+                yield pa.RecordBatch.from_arrays(own, ["part", "first", "n_texts", "positions"])
 
-    return whole.select(*READ).mapInArrow(deal, "part long, first long, positions binary")
+    return whole.select(*READ).mapInArrow(deal, "part long, first long, n_texts long, positions binary")
 
 
 def _packed_table(table: np.ndarray) -> bytes:
-    """FIELDS as packed arrays one after another, after the number of positions."""
+    """Fields as packed arrays one after another, after the number of positions."""
     return table.shape[1].to_bytes(8, "little") + b"".join(map(packed, table))
 
 
@@ -356,12 +342,12 @@ def _size(value: bytes) -> int:
     return int.from_bytes(value[:8], "little")
 
 
-def _unpacked(values: list[bytes]) -> np.ndarray:
-    """FIELDS as rows, one column per position."""
-    tables = []
+def _unpacked(values: list[bytes], n_fields: int) -> np.ndarray:
+    """Packed tables next to each other: fields as rows, one column per position."""
+    tables = [np.empty((n_fields, 0), np.int64)]
     for v in values:
         n, at, fields = _size(v), 8, []
-        for _ in FIELDS:
+        for _ in range(n_fields):
             end = at + 1 + n * v[at]
             fields.append(unpacked(v[at:end]))
             at = end
@@ -432,14 +418,17 @@ class Part:
     def logs(self, counts: Counts, resolved: np.ndarray | None) -> np.ndarray:
         """log10 probability of each position: the longest kept context before it, smoothed towards shorter ones and the token's share.
 
-        ``resolved``: level, w, c2, c3 and t of each pair of ``shared`` in any order, then uses of the pair, total and kept of the context over all parts.
+        ``resolved``: RESOLVED of each pair of ``shared`` in any order.
         """
         p = counts.share(self.uses)
         n_above, total_above = self.uses.astype(float), np.full(len(p), float(max(1, counts.tokens)))
         asked, places = self.shared()
         told, done = np.empty((3, asked.shape[1])), 0
         if asked.shape[1]:
-            mine, theirs = np.lexsort(asked[1:6]), np.lexsort(resolved[:5])
+            mine, theirs = (np.argsort(_hashes(v)) for v in (asked[1:6], resolved[:5]))
+            if not np.array_equal(asked[1:6, mine], resolved[:5, theirs]):
+                # Two pairs may share a hash.
+                mine, theirs = np.lexsort(asked[1:6]), np.lexsort(resolved[:5])
             if not np.array_equal(asked[1:6, mine], resolved[:5, theirs]):
                 raise RuntimeError("the pairs of hot contexts are not those of the part")
             told[:, mine] = resolved[5:, theirs]
@@ -465,17 +454,49 @@ class Part:
         return np.log10(p)
 
 
+#: Fields of the pairs of hot contexts in one part, and what is told of them: uses of the pair over all parts, total and kept of its context.
 SHARED = ["part", "level", "w", "c2", "c3", "t", "uses", "n"]
-#: What names a context of a level, and a pair.
-CONTEXT, PAIR = SHARED[1:5], SHARED[1:6]
-RESOLVED = [*PAIR, "all_n", "all_total", "all_kept"]
+RESOLVED = [*SHARED[1:6], "n", "total", "kept"]
+#: What names a context of a level.
+CONTEXT = SHARED[1:5]
+
+
+def _numbers(columns: np.ndarray) -> np.ndarray:
+    """A number for each distinct column of several rows."""
+    of = np.zeros(columns.shape[1], np.int64)
+    for row in columns if len(of) else ():
+        of = _groups(of, row)[0]
+    return of
 
 
-def hot_contexts(whole: DataFrame, n_parts: int, counts: Counts) -> DataFrame:
-    """slice, part, and RESOLVED: each pair of a context whose tokens are all hot, for each part that has it, with its uses, the total and kept of its context over all parts.
+def _dealt_tables(key: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct keys, and for each the columns of the table that have it, packed."""
+    order = np.argsort(key, kind="stable")
+    key, table = key[order], table[:, order]
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[begin], [_packed_table(table[:, a:b]) for a, b in zip(begin, [*begin[1:], len(key)])]
 
-    Each chunk adds up its own pairs first, so a hot context is no hot key. Partitioned by slice.
+
+def _above(pairs: np.ndarray) -> np.ndarray:
+    """For each pair (level, w, c2, c3, t) the place of the same token after the suffix of its context; -1 on the first level."""
+    up = pairs.copy()
+    up[0] -= 1
+    for k in range(1, DEPTH):
+        up[1 + k] = np.where(up[0] > k, up[1 + k], 0)
+    both = _numbers(np.concatenate([pairs, up], 1))
+    mine, theirs = np.split(both, 2)
+    place = np.full(int(both.max(initial=-1)) + 1, -1)
+    place[mine] = np.arange(len(mine))
+    return place[theirs]
+
+
+def hot_contexts(whole: DataFrame, n_hot: int, n_parts: int, counts: Counts) -> DataFrame:
+    """slice, part, told: each pair of a context whose tokens are all hot, for each part that has it, as packed RESOLVED. Partitioned by slice.
+
+    Each chunk adds up its own pairs first. Pairs are then dealt by the last token of the context and the token after it, so that a hot context is no hot key:
+    a bucket adds up its pairs and meets those of the suffixes, and contexts are put together from what each bucket has of them.
     """
+    n_buckets = -(-n_hot // HOT_POSITIONS) or 1
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -484,57 +505,85 @@ def hot_contexts(whole: DataFrame, n_parts: int, counts: Counts) -> DataFrame:
                 if len(at):
                     p = c.take(at)
                     own = p.part(at, n_parts, counts) * counts.slices + (slices[at] & (HOT - 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in Part(p.table(), own).shared()[0]], SHARED)
-
-    paired = whole.select(*READ).mapInArrow(pair_up, ", ".join(f"{c} long" for c in SHARED))
-    rows = stage(paired.groupBy(*PAIR, "part").agg(F.max("uses").alias("uses"), F.sum("n").alias("n")), "shared")
-    n = F.col("n")
-    pairs = stage(rows.groupBy(*PAIR).agg(F.max("uses").alias("uses"), F.sum("n").alias("n")).filter("n > 0"), "pairs")
-    above, contexts = None, []
-    for level in range(1, DEPTH + 1):
-        before = CONTEXT[1 : level + 1]
-        of_level = pairs.filter(F.col("level") == level)
-        own = of_level.select(*before, "t", "uses", "n")
-        if above is None:
-            own = own.withColumn("share", F.col("uses") / F.lit(float(max(1, counts.tokens))))
-        else:
-            own = own.join(above, [*before[:-1], "t"])
-        tests = own.groupBy(*before).agg(F.sum("n").alias("total"), F.count("*").alias("n_next"), F.sum(n * F.log(n / F.col("share"))).alias("told"))
-        kept = (F.col("total") >= LEAST_USES) & (F.col("told") - F.col("total") * F.log("total") >= LEAST_GAIN + GAIN_EACH * F.col("n_next"))
-        tests = stage(tests.select(*before, "total", kept.cast("long").alias("kept")), "contexts")
-        above = of_level.join(tests, before).select(*before, "t", (n / F.col("total")).alias("share"))
-        labels = [F.lit(level).cast("long").alias("level"), *before, *[F.lit(0).cast("long").alias(c) for c in CONTEXT[level + 1 :]]]
-        contexts.append(tests.select(*labels, "total", "kept"))
-    tested = contexts[0].unionByName(contexts[1]).unionByName(contexts[2])
-    met = rows.select("part", *PAIR).join(pairs.select(*PAIR, "n"), PAIR, "left").join(tested, CONTEXT, "left")
-    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("double").alias(name)
-    told = met.select(
-        (F.col("part") % counts.slices).alias("slice"),
-        F.floor(F.col("part") / counts.slices).alias("part"),
-        *PAIR,
-        zero("n", "all_n"),
-        zero("total", "all_total"),
-        zero("kept", "all_kept"),
-    )
-    resolved = stage(told, "resolved", ["slice"])
-    drop_staged(rows, pairs, tested)
+                    pairs = Part(p.table(), own).shared()[0]
+                    bucket = (mixed(pairs[2], pairs[5]) % np.uint64(n_buckets)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, _dealt_tables(bucket, pairs))), ["bucket", "pairs"])
+
+    added = ["bucket", "asked", *CONTEXT, "total", "n_next", "told"]
+
+    def add(dealt: pa.Table) -> pa.Table:
+        bucket = dealt.column("bucket")[0].as_py()
+        rows = _unpacked(dealt.column("pairs").to_pylist(), len(SHARED))
+        of = _numbers(rows[1:6])
+        n, first = np.bincount(of, weights=rows[7]), np.empty(int(of.max()) + 1, np.int64)
+        first[of] = np.arange(len(of))
+        pairs, uses = rows[1:6, first], rows[6, first]
+        _, asked = _groups(of, rows[0])
+        table = np.concatenate([rows[:6, asked], n[of[asked]].astype(np.int64)[None]])
+        seen = np.flatnonzero(n > 0)
+        n_above = np.where(pairs[0] == 1, uses, n[_above(pairs)])[seen]
+        context = _numbers(pairs[:4, seen])
+        at = np.empty(int(context.max(initial=-1)) + 1, np.int64)
+        at[context] = seen
+        total, told = np.bincount(context, weights=n[seen]), np.bincount(context, weights=n[seen] * np.log(n[seen] / n_above))
+        own = [pa.array([None, *pairs[k, at]], pa.int64()) for k in range(4)]
+        sums = [pa.array([None, *v], t) for v, t in zip((total.astype(np.int64), np.bincount(context), told), (pa.int64(), pa.int64(), pa.float64()))]
+        return pa.table([pa.array([bucket] * (len(at) + 1)), pa.array([_packed_table(table), *[None] * len(at)], pa.binary()), *own, *sums], names=added)
+
+    def answer(dealt: pa.Table, tested: pa.Table) -> pa.Table:
+        asked = _unpacked([v for v in dealt.column("asked").to_pylist() if v is not None], len(SHARED) - 1)
+        known = np.stack([tested.column(c).to_numpy() for c in CONTEXT])
+        context, of = np.split(_numbers(np.concatenate([known, asked[1:5]], 1)), [known.shape[1]])
+        told = np.zeros((2, int(max(context.max(initial=0), of.max(initial=0))) + 1), np.int64)
+        told[:, context] = [tested.column(c).to_numpy() for c in ("total", "kept")]
+        part, tables = _dealt_tables(asked[0], np.concatenate([asked[1:], told[:, of]]))
+        return pa.table([pa.array(part % counts.slices), pa.array(part // counts.slices), pa.array(tables, pa.binary())], names=["slice", "part", "told"])
+
+    paired = whole.select(*READ).mapInArrow(pair_up, "bucket long, pairs binary").groupBy("bucket")
+    kinds = f"bucket long, asked binary, {', '.join(f'{c} long' for c in CONTEXT)}, total long, n_next long, told double"
+    pairs = stage(paired.applyInArrow(add, kinds), "pairs", codec=CODEC)
+    partial = pairs.filter("asked IS NULL").select("bucket", *CONTEXT, "total", "n_next", "told")
+    contexts = stage(partial.groupBy(*CONTEXT).agg(*[F.sum(c).alias(c) for c in ("total", "n_next", "told")]), "contexts")
+    # The suffix of a context has one token less, the one farthest back.
+    above = contexts.select((F.col("level") + 1).alias("level"), "w", F.col("c2").alias("u2"), F.col("c3").alias("u3"), F.col("total").alias("total_above"))
+    level, total = F.col("level"), F.col("total")
+    up = contexts.withColumns({"u2": F.when(level > 2, F.col("c2")).otherwise(0), "u3": F.lit(0).cast("long")})
+    gain = F.col("told") + total * F.log(F.coalesce("total_above", F.lit(max(1, counts.tokens))) / total)
+    kept = (total >= LEAST_USES) & (gain >= LEAST_GAIN + GAIN_EACH * F.col("n_next"))
+    tested = stage(up.join(above, ["level", "w", "u2", "u3"], "left").select(*CONTEXT, "total", kept.cast("long").alias("kept")), "tested")
+    known = partial.select(F.col("bucket").alias("of"), *CONTEXT).join(tested, CONTEXT)
+    both = pairs.filter("asked IS NOT NULL").select("bucket", "asked").groupBy("bucket").cogroup(known.groupBy("of"))
+    resolved = stage(both.applyInArrow(answer, "slice long, part long, told binary"), "resolved", ["slice"], CODEC)
+    drop_staged(pairs, contexts, tested)
     return resolved
 
 
 def slice_scores(positions: DataFrame, resolved: DataFrame | None, counts: Counts) -> DataFrame:
-    """row, score: what the positions of each part add to their texts; ``resolved``: the rows of ``hot_contexts`` for this slice."""
+    """first, scores: what the positions of a slice add to the texts of each chunk; ``resolved``: the rows of ``hot_contexts`` for this slice."""
 
     def tell(table: pa.Table, told: np.ndarray | None) -> pa.Table:
-        values, firsts = table.column("positions").to_pylist(), table.column("first").to_numpy()
-        part = Part(_unpacked(values))
-        row, inverse = np.unique(np.repeat(firsts, [_size(v) for v in values]) + part.row, return_inverse=True)
-        return pa.table([pa.array(row), pa.array(np.bincount(inverse, weights=part.logs(counts, told)))], names=["row", "score"])
-
-    parts = positions.groupBy("part")
+        values = table.column("positions").to_pylist()
+        part = Part(_unpacked(values, len(FIELDS)))
+        logs, ends = part.logs(counts, told), np.cumsum([_size(v) for v in values])[:-1]
+        rows, scores = [], []
+        for row, log in zip(np.split(part.row, ends), np.split(logs, ends)):
+            mine, inverse = np.unique(row, return_inverse=True)
+            rows.append(packed(mine)), scores.append(np.bincount(inverse, weights=log).astype("<f8").tobytes())
+        return pa.table([table.column("first"), table.column("n_texts"), pa.array(rows, pa.binary()), pa.array(scores, pa.binary())], names=["first", "n_texts", "rows", "scores"])
+
+    def add(told: pa.Table) -> pa.Table:
+        rows = np.concatenate([unpacked(v) for v in told.column("rows").to_pylist()])
+        logs = np.frombuffer(b"".join(told.column("scores").to_pylist()), "<f8")
+        total = np.bincount(rows, weights=logs, minlength=told.column("n_texts")[0].as_py())
+        return pa.table([told.column("first").slice(0, 1), pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["first", "scores"])
+
+    parts, kinds = positions.groupBy("part"), "first long, n_texts long, rows binary, scores binary"
     if resolved is None:
-        return parts.applyInArrow(lambda table: tell(table, None), "row long, score double")
-    both = parts.cogroup(resolved.select("part", *RESOLVED).groupBy("part"))
-    return both.applyInArrow(lambda table, told: tell(table, np.stack([told.column(c).to_numpy() for c in RESOLVED])), "row long, score double")
+        told = parts.applyInArrow(lambda table: tell(table, None), kinds)
+    else:
+        both = parts.cogroup(resolved.select("part", "told").groupBy("part"))
+        told = both.applyInArrow(lambda table, told: tell(table, _unpacked(told.column("told").to_pylist(), len(RESOLVED))), kinds)
+    return told.groupBy("first").applyInArrow(add, "first long, scores binary")
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -556,29 +605,26 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    chunks = stage(read_chunks(docs, learn), "chunks")
-    words = stage(vocabulary(chunks), "vocabulary")
-    n = F.col("n")
+    # Cut by chunk when they are written, so that the chunks need not move again to meet what is told of their tokens.
+    cuts = partitions_of(spark)
+    chunks = stage_buckets(read_chunks(docs, learn), "chunks", ["first"], cuts, CODEC)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    tokens, kinds, once, twice, hottest, written = words.agg(
-        zero(F.sum(n)), F.count("*"), F.count_if(n == 1), F.count_if(n == 2), zero(F.max(n)), zero(F.max("part")) + 1
-    ).first()
-    texts, positions = chunks.agg(zero(F.sum(F.size("doc_ids"))), zero(F.sum(n_values("places")))).first()
+    texts, positions, held = chunks.agg(zero(F.sum(F.size("doc_ids"))), zero(F.sum("n_tokens")), zero(F.sum("n_words"))).first()
+    told = stage_buckets(told_words(chunks, -(-held // BUCKET_WORDS) or 1), "told", ["first"], cuts, CODEC)
+    totals = [zero(F.sum(c)) for c in ("tokens", "kinds", "once", "twice")]
+    tokens, kinds, once, twice = told.agg(*totals).first()
     counts = Counts(tokens, kinds, once / (once + 2 * twice) if once and twice else 0.75, texts, HOT_USES, SLICES)
-    settled, met = numbered(chunks, words.withColumn("number", F.col("at") * written + F.col("part") + FIRST), counts)
-    whole = stage(settled, "numbered")
-    drop_staged(chunks, words, met)
-    sums = text_sums(whole)
-    partial = [sums.select("row", "score")]
+    whole = stage(numbered(chunks, told, counts), "numbered", codec=CODEC)
+    drop_staged(chunks, told)
+    partial = [spark.createDataFrame([], "first long, scores binary")]
     n_parts = -(-positions // (SLICES * PART_POSITIONS)) or 1
-    hot = texts > counts.hot_uses or hottest > counts.hot_uses
-    over_all = hot_contexts(whole, n_parts, counts) if hot else None
+    n_hot = whole.agg(zero(F.sum("n_hot"))).first()[0]
+    over_all = hot_contexts(whole, n_hot, n_parts, counts) if n_hot else None
     for slice_no in range(SLICES if positions else 0):
-        told = over_all.filter(F.col("slice") == slice_no) if hot else None
-        scores = slice_scores(dealt(whole, slice_no, n_parts, counts), told, counts)
-        partial.append(stage(scores.groupBy("row").agg(F.sum("score").alias("score")), "scores"))
+        known = over_all.filter(F.col("slice") == slice_no) if n_hot else None
+        partial.append(stage(slice_scores(dealt(whole, slice_no, n_parts, counts), known, counts), "scores"))
     added = partial[0]
     for one in partial[1:]:
         added = added.unionByName(one)
-    total = added.groupBy("row").agg(F.sum("score").alias("score"))
-    return sums.drop("score").join(total, "row").select("doc_id", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    train_tokens = F.lit(counts.tokens).cast("long").alias("train_tokens")
+    return text_scores(whole, added).select("doc_id", "n_tokens", "n_known", train_tokens, "base_score", "score")

@@ -247,3 +247,19 @@ def test_rare_contexts_count_in_a_large_corpus(spark, monkeypatch, hot, part, ch
     want, kept = brute_tree(rows, [i for i, _ in rows if i < 200])
     assert {("zig",), ("zag",)} <= kept and max(map(len, kept)) == 3
     assert got == pytest.approx(want)
+
+
+def test_chunks_move_once_and_scores_come_by_chunk(spark, monkeypatch):
+    from rowloom.session import stage, stage_buckets
+
+    monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", 20)
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat_ws(' ', 'a', 'b', 'w' || id % 7, 'u' || id) AS text").repartition(2)
+    chunks = stage_buckets(suffix_tree.read_chunks(docs, docs["doc_id"] < 30), "chunks", ["first"], 3)
+    told = stage_buckets(suffix_tree.told_words(chunks, 4), "told", ["first"], 3)
+    # 30 ends, a and b each, the seven words and the 30 that occur once.
+    assert told.groupBy().sum("tokens", "kinds", "once").first()[:] == (150, 3 + 7 + 30, 30)
+    whole = suffix_tree.numbered(chunks, told, suffix_tree.Counts(150, 40, texts=40))
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    whole, counts = stage(whole, "numbered"), suffix_tree.Counts(150, 40, texts=40, slices=1)
+    scores = suffix_tree.slice_scores(suffix_tree.dealt(whole, 0, 1, counts), None, counts)
+    assert scores.count() <= whole.count() == chunks.count() < 40

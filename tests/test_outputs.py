@@ -233,3 +233,17 @@ def test_scorer_is_handed_what_it_reads(spark, cells):
     frame = pd.DataFrame({"task_no": [0, 0], "seed_id": [1, 2], "sem_types": [[0, 1, 0], [1]], "masks": [[False, False, True], [False]]})
     told = U.MeanNumber()(frame.assign(is_padding=[[False] * 3, [False]], number_values=[[2.5, 1.0, 9.0], [3.0]]))
     assert told.yhat.tolist() == [2.5, 0.0]
+
+
+def test_scores_need_no_dictionary(spark):
+    from rowloom.operators import graph as G
+    from rowloom.plans import queries as Q
+
+    run = Q.LocalRun(spark, "/root/testdata/sf0.001")
+    told = sorted(Q.q_score(run).collect())
+    assert told and not {"text_dict", "cells", "churn_cells"} & set(run.__dict__)
+    # Whole rows hold the cells that the long table has.
+    rows = G.row_cells(run.numbered, run.stats).selectExpr("node_id", "inline(cells)")
+    assert rows.exceptAll(run.cells.select(*rows.columns)).isEmpty() and rows.count() == run.cells.count()
+    assert run.churn_cells.count() == run.churn_numbers().count()
+    assert sorted(Q.q_score(run).collect()) == told

@@ -2,7 +2,7 @@
 
 import pytest
 
-from rowloom.operators import adjacency as A, closure as CL, graph as G, payload as P
+from rowloom.operators import adjacency as A, closure as CL, graph as G, lineage as L, payload as P
 from rowloom.plans import pipeline as PL
 from rowloom.plans.local import CHURN, LINE_OPEN, ORDER_TOTAL, local_catalog
 from rowloom.plans.queries import QUERIES, run_for
@@ -84,3 +84,51 @@ def test_numbering_without_values_counts_an_index_cell(spark):
     assert [tuple(r) for r in told.select("row_idx", "n_cells").orderBy("row_idx").collect()] == [
         tuple(r) for r in G.nodes(G.number_rows(Catalog.of([t], "m"))).select("row_idx", "n_cells").orderBy("row_idx").collect()
     ]
+
+
+def test_lineage_along_the_schema(spark, numbered, graph):
+    nodes, edges, _ = graph
+    want = CL.ancestor_paths(nodes, edges, numbered.catalog.max_hops())
+    same(want, L.row_ancestors(numbered))
+    same(want, L.row_ancestors(G.number_rows(local_catalog(spark, SF_DIR), values=False)))
+    closure = CL.parent_closure(nodes, edges, numbered.catalog.max_hops())
+    met = L.row_closure(numbered).join(closure.select("node_id").distinct(), "node_id", "left_semi")
+    same(closure, met)
+
+
+def test_lineage_with_gaps_and_two_ways_to_one_row(spark):
+    """b points twice to a, so c reaches a by b and by itself; null keys and keys without a parent."""
+    a = spark.createDataFrame([(i, float(i)) for i in range(4)], "a int, x double")
+    b = spark.createDataFrame([(0, 1, 1, 1.0), (1, 2, 3, None), (2, None, 9, 2.0)], "b int, a1 int, a2 int, y double")
+    c = spark.createDataFrame([(i, i % 4 if i % 3 else None, 1) for i in range(9)], "i int, b int, a int")
+    tables = [
+        Table("a", a, pkey="a", order="pkey"),
+        Table("b", b, pkey="b", fkeys=(("a1", "a"), ("a2", "a")), order="pkey"),
+        Table("c", c, fkeys=(("b", "b"), ("a", "a")), order=("i",)),
+    ]
+    numbered = G.number_rows(Catalog.of(tables, "gaps"))
+    nodes, edges = G.nodes(numbered), G.edges(numbered)
+    same(CL.ancestor_paths(nodes, edges, 2), L.row_ancestors(numbered))
+    closure = CL.parent_closure(nodes, edges, 2)
+    same(closure, L.row_closure(numbered).join(closure.select("node_id").distinct(), "node_id", "left_semi"))
+
+
+def test_no_lineage_in_a_cycle(spark):
+    t = Table("t", spark.createDataFrame([(0, None), (1, 0)], "t int, boss int"), pkey="t", fkeys=(("boss", "t"),), order="pkey")
+    numbered = G.number_rows(Catalog.of([t], "cycle"))
+    assert L.row_ancestors(numbered) is None and L.row_closure(numbered) is None
+
+
+def test_ids_are_not_gathered_in_hash_tables(spark, numbered):
+    """Packed ids are small in shuffle files and large in a task's memory: joins between shuffled rows must be able to spill."""
+    edges = G.row_links(numbered)
+    parents = edges.select(edges["parent_id"].alias("child_id")).distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = edges.select("child_id").join(parents, "child_id", "left_semi")
+        met.collect()
+        assert "ShuffledHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

@@ -1,6 +1,7 @@
 """What is read off the rows beside the same tables by way of joins."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowloom.operators import adjacency as A, closure as CL, graph as G, lineage as L, payload as P
 from rowloom.plans import pipeline as PL
@@ -132,3 +133,31 @@ def test_ids_are_not_gathered_in_hash_tables(spark, numbered):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_entries_hold_plain_ids_and_name_them_where_they_are_met(spark, numbered):
+    entries = A.build_adjacency(G.row_links(numbered), None)
+    places = spark.range(0, 60_000, 7).select(F.col("id").alias("adj_pos"))
+    met = A.children_at(entries, places)
+    same(met, places.join(entries.entries.select("adj_pos", "child_id", "child_cells", "ups"), "adj_pos"))
+    named = A.Adjacency(entries.entries.drop("others"), entries.runs, entries.times, entries.height)
+    same(met, A.children_at(named, places))
+    # The sort of all edges moves ids alone.
+    ordered = A.child_order(G.row_links(numbered))
+    assert "others" in ordered.columns and "ups" not in ordered.columns
+
+
+def test_seed_rows_read_the_tables_of_seeds_alone(numbered):
+    tasks = PL.resolve_rows(numbered.catalog, numbered.ranges, [(CHURN, "val")])
+    mine = PL.seed_rows(G.row_payload(numbered), tasks)
+    assert {r.table_name for r in mine.select("table_name").distinct().collect()} == {CHURN.table}
+    read = mine._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_custkey" not in read and "l_orderkey" not in read and "c_custkey" in read
+
+
+def test_numbering_with_the_values_of_tasks(spark, numbered):
+    part = G.number_rows(local_catalog(spark, SF_DIR), values=False, task_values=True)
+    tasks = PL.resolve_rows(part.catalog, part.ranges, [(CHURN, "val")])
+    same(T.row_seeds(numbered, tasks), T.row_seeds(part, tasks))
+    same(G.row_payload(numbered), G.row_payload(part))
+    assert "l_quantity" not in part.rows[("lineitem", "db")].columns
